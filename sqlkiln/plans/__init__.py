@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("flagship", "relational")
+_MODULES = ("flagship", "relational", "cleanup")
 
 
 def load_all():

@@ -182,3 +182,17 @@ def lake_keys(spark, sf_dir) -> DataFrame:
 def duck(sql: str) -> str:
     """Spark-flavoured fixture SQL -> DuckDB spelling."""
     return (sql.replace("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"))
+
+
+# Query log (history entries): session = user, failed = error event,
+# success = purchase, never run = anything else.
+QUERY_LOG_SQL = """
+SELECT event_id, user_id, ts, 'question ' || CAST(event_id AS STRING) AS question,
+       CAST(get_json_object(props, '$.k') AS INT) > 50 AS edited,
+       event_type = 'signup' AS user_written,
+       CASE event_type WHEN 'error' THEN false WHEN 'purchase' THEN true END AS execution_status
+FROM events"""
+
+
+def query_log(spark, sf_dir) -> DataFrame:
+    return spark_sql(spark, sf_dir, QUERY_LOG_SQL, ("events",))

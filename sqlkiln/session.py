@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
