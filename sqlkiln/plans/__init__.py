@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("flagship", "relational", "cleanup")
+_MODULES = ("flagship", "relational", "cleanup", "catalog")
 
 
 def load_all():

@@ -132,26 +132,29 @@ SELECT t.db_id, t.table_name,
        (l_linenumber = 1 OR (l_linenumber = 2 AND l_returnflag = 'A')) AS is_pk
 FROM lineitem JOIN ({TABLES_SQL}) t ON t.table_pos = l_orderkey"""
 
-# Key constraints: primary keys, and a foreign key from every table's
-# parent_id to the id of its database's first table (self reference for the
-# first table itself). Urgent orders point at 'ID', which does not exist.
-KEYS_SQL = f"""
-WITH c AS ({COLUMNS_SQL}),
-     t AS ({TABLES_SQL}),
-     firsts AS (SELECT db_id, min(table_pos) AS first_pos FROM t GROUP BY db_id),
-     first_names AS (SELECT t.db_id, t.table_name AS to_table FROM t JOIN firsts f
-                     ON f.db_id = t.db_id AND f.first_pos = t.table_pos)
-SELECT c.db_id, c.table_name, c.column_name, 'PRIMARY KEY' AS constraint_type,
-       'pk_' || c.table_name AS constraint_name, c.ordinal_position AS key_pos,
-       CAST(NULL AS STRING) AS ref_table, CAST(NULL AS STRING) AS ref_column
-FROM c WHERE c.is_pk
+# Key constraints, information_schema style: a primary key per table and a
+# foreign key from every table's parent_id to the key of its database's
+# first table (a self reference for the first table itself). Key columns
+# carry their position, so composite keys pair by position.
+CONSTRAINTS_SQL = f"""
+WITH t AS ({TABLES_SQL}), c AS ({COLUMNS_SQL}),
+firsts AS (SELECT db_id, min(table_pos) AS first_pos FROM t GROUP BY db_id),
+first_names AS (SELECT t.db_id, t.table_name AS first_table FROM t JOIN firsts f
+                ON f.db_id = t.db_id AND f.first_pos = t.table_pos)
+SELECT db_id, 'pk_' || table_name AS constraint_name, 'PRIMARY KEY' AS constraint_type, table_name,
+       CAST(NULL AS STRING) AS unique_constraint_name
+FROM t
 UNION ALL
-SELECT c.db_id, c.table_name, c.column_name, 'FOREIGN KEY' AS constraint_type,
-       'fk_' || c.table_name AS constraint_name, 0 AS key_pos, fn.to_table AS ref_table,
-       CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'ID' ELSE 'id' END AS ref_column
-FROM c JOIN first_names fn ON fn.db_id = c.db_id
-JOIN orders o ON 't_' || CAST(o.o_orderkey AS STRING) = regexp_replace(c.table_name, '^[A-Z$]*_t_', 't_')
-WHERE c.column_name = 'parent_id'"""
+SELECT c.db_id, 'fk_' || c.table_name, 'FOREIGN KEY', c.table_name, 'pk_' || fn.first_table
+FROM c JOIN first_names fn ON fn.db_id = c.db_id WHERE c.column_name = 'parent_id'"""
+
+KEY_COLUMNS_SQL = f"""
+WITH c AS ({COLUMNS_SQL})
+SELECT db_id, 'pk_' || table_name AS constraint_name, table_name, column_name,
+       CAST(ordinal_position + 1 AS INT) AS key_pos
+FROM c WHERE is_pk
+UNION ALL
+SELECT db_id, 'fk_' || table_name, table_name, column_name, CAST(1 AS INT) FROM c WHERE column_name = 'parent_id'"""
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str, tables=("orders", "lineitem", "events")) -> DataFrame:
@@ -175,8 +178,12 @@ def lake_columns(spark, sf_dir) -> DataFrame:
     return spark_sql(spark, sf_dir, COLUMNS_SQL, ("orders", "lineitem"))
 
 
-def lake_keys(spark, sf_dir) -> DataFrame:
-    return spark_sql(spark, sf_dir, KEYS_SQL, ("orders", "lineitem"))
+def lake_constraints(spark, sf_dir) -> DataFrame:
+    return spark_sql(spark, sf_dir, CONSTRAINTS_SQL, ("orders", "lineitem"))
+
+
+def lake_key_columns(spark, sf_dir) -> DataFrame:
+    return spark_sql(spark, sf_dir, KEY_COLUMNS_SQL, ("orders", "lineitem"))
 
 
 def duck(sql: str) -> str:
