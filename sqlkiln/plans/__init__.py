@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("flagship", "relational", "cleanup", "catalog")
+_MODULES = ("flagship", "relational", "cleanup", "catalog", "retrieval")
 
 
 def load_all():

@@ -157,9 +157,23 @@ UNION ALL
 SELECT db_id, 'fk_' || table_name, table_name, column_name, CAST(1 AS INT) FROM c WHERE column_name = 'parent_id'"""
 
 
+_MEMO: dict = {}
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str, tables=("orders", "lineitem", "events")) -> DataFrame:
-    register_tables(spark, sf_dir, tables)
-    return spark.sql(sql)
+    """Run fixture SQL once per session and directory, persisted.
+
+    Fixtures are reused by many operators in one plan (the catalog feeds
+    columns, keys, graph and prompts); persisting them (memory, spilling to
+    disk) keeps one computation per run instead of one per reference.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, sql)
+    df = _MEMO.get(key)
+    if df is None or not df.is_cached:
+        register_tables(spark, sf_dir, tables)
+        df = spark.sql(sql).persist()
+        _MEMO[key] = df
+    return df
 
 
 def corpus(spark, sf_dir) -> DataFrame:

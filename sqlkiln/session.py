@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Local runs only: the driver JVM is the executor. Ignored once a JVM is up.
+    "spark.driver.memory": "16g",
 }
 
 
@@ -61,3 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def cut_lineage(df):
+    """Materialise ``df`` into the shared checkpoint folder and return a
+    DataFrame that reads it back.
+
+    Used where one intermediate feeds several branches of a plan: the
+    branches then share a leaf instead of each carrying (and possibly
+    recomputing) the whole upstream tree, and a lost executor re-reads the
+    checkpoint instead of replaying the lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
