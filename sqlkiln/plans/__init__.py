@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("flagship", "relational", "cleanup", "catalog", "retrieval")
+_MODULES = ("flagship", "relational", "cleanup", "catalog", "retrieval", "training")
 
 
 def load_all():
