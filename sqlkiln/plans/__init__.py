@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("flagship", "relational", "cleanup", "catalog", "retrieval", "training")
+_MODULES = ("flagship", "relational", "cleanup", "catalog", "retrieval", "training", "io")
 
 
 def load_all():
