@@ -182,11 +182,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = und.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")).checkpoint()
     for _ in range(max_iter):
-        prop = und.join(labels.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v"), "label")
-        new = (labels.unionByName(prop).groupBy("v").agg(F.min("label").alias("label"))).checkpoint()
-        changed = (new.join(labels.withColumnRenamed("label", "old"), "v")
-                   .where(F.col("label") != F.col("old")).limit(1).count())
-        labels = new
+        prop = und.join(labels.withColumnRenamed("v", "a"), "a").select(
+            F.col("b").alias("v"), "label", F.lit(None).alias("old"))
+        # The previous label rides along in the same aggregate, so "did
+        # anything change" needs no second join.
+        new = (labels.select("v", "label", F.col("label").alias("old")).unionByName(prop)
+               .groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))).checkpoint()
+        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
+        labels = new.select("v", "label")
         if changed == 0:
             break
     return labels

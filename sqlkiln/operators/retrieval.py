@@ -8,7 +8,6 @@ run-time statistics put it under the broadcast threshold; otherwise the join
 shuffles on ``db_id`` and AQE splits a skewed database across tasks.
 """
 
-from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("flagship", "relational", "cleanup", "catalog", "retrieval", "training", "io")
+_MODULES = ("flagship", "relational", "cleanup", "catalog", "retrieval", "training", "io", "scoring")
 
 
 def load_all():
