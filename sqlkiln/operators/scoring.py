@@ -401,8 +401,9 @@ def execution_match(results: DataFrame, ordered: bool = True) -> DataFrame:
     """
     v = results.withColumn("value", F.col("value").cast("string"))
     if not ordered:
-        v = v.groupBy("example_id", "side", "unit_key", "value").agg(F.count(F.lit(1)).cast("string").alias("row_no"))
-        v = v.withColumn("row_no", F.col("row_no").cast("long"))
+        # Multiset compare: the value becomes part of the key, its count the compared value.
+        v = (v.groupBy("example_id", "side", "unit_key", "value").agg(F.count(F.lit(1)).cast("string").alias("_n"))
+             .select("example_id", "side", "unit_key", F.col("value").alias("row_no"), F.col("_n").alias("value")))
     p = v.where(F.col("side") == "pred").select("example_id", "unit_key", "row_no", F.col("value").alias("pv"), F.lit(1).alias("_p"))
     g = v.where(F.col("side") == "gold").select("example_id", "unit_key", "row_no", F.col("value").alias("gv"), F.lit(1).alias("_g"))
     j = p.join(g, ["example_id", "unit_key", "row_no"], "full")
