@@ -67,6 +67,16 @@ RE_DDL_DML = r"(?i)^\s*(DROP|CREATE|ALTER|TRUNCATE|RENAME|INSERT|UPDATE|DELETE)\
 RE_QUALIFY = r"(?i)\b(FROM|JOIN)\s+([^\s,;]+)"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Column functions that use an input several times would otherwise copy
+    the whole input expression into every use; long rule chains then blow
+    past the 64 KB generated-method limit and fall back to interpretation.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Python ``str.strip()`` for ASCII whitespace (Spark ``trim`` only drops spaces)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -90,8 +100,7 @@ def split_output(raw: Column) -> tuple[Column, Column]:
     """
     has = raw.rlike(r"(?i)\bSQL\s*:")
     cot = F.when(has, strip(F.regexp_extract(raw, RE_SQL_SPLIT, 1))).otherwise(strip(raw))
-    rest = strip(F.regexp_extract(raw, RE_SQL_SPLIT, 2))
-    sql = F.when(has, cut_schema_echo(rest)).otherwise(F.lit(""))
+    sql = F.when(has, cut_schema_echo(strip(F.regexp_extract(raw, RE_SQL_SPLIT, 2)))).otherwise(F.lit(""))
     return cot, sql
 
 
@@ -101,10 +110,11 @@ def cut_schema_echo(c: Column) -> Column:
 
 # -- P3 ----------------------------------------------------------------------
 def sql_needs_fallback(sql: Column) -> Column:
-    cand = strip(sql)
-    low = F.lower(cand)
-    return ((cand == "") | ~cand.endswith(";") | (count_sub(low, "select") > 1)
-            | low.endswith("group by"))
+    def rule(cand):
+        low = F.lower(cand)
+        return ((cand == "") | ~cand.endswith(";") | (count_sub(low, "select") > 1)
+                | low.endswith("group by"))
+    return let(strip(sql), rule)
 
 
 def extract_sql(sql: Column, cot: Column, compat: bool = False) -> Column:
@@ -116,13 +126,16 @@ def extract_sql(sql: Column, cot: Column, compat: bool = False) -> Column:
     by default the SQL part is kept. Then ``<|endoftext|>``, ``--`` comment
     lines and code fences are removed.
     """
-    cand = strip(sql)
-    fenced = F.regexp_extract(cot, RE_FENCED_SQL, 1)
-    stmts = F.regexp_extract_all(cot, F.lit(RE_LAST_STATEMENT), 1)
-    last = F.when(F.size(stmts) > 0, F.element_at(stmts, -1))
-    found = F.when(fenced != "", strip(fenced)).otherwise(last)
-    fallback = F.coalesce(found, F.lit("") if compat else cand)
-    chosen = F.when(sql_needs_fallback(sql), fallback).otherwise(cand)
+    def pick(cand):
+        fenced_last = F.array(F.regexp_extract(cot, RE_FENCED_SQL, 1),
+                              F.try_element_at(F.regexp_extract_all(cot, F.lit(RE_LAST_STATEMENT), 1), F.lit(-1)))
+
+        def fallback(fl):
+            found = F.when(fl[0] != "", strip(fl[0])).otherwise(fl[1])
+            return F.coalesce(found, F.lit("") if compat else cand)
+        return F.when(sql_needs_fallback(cand), let(fenced_last, fallback)).otherwise(cand)
+
+    chosen = let(strip(sql), pick)
     no_eot = F.replace(chosen, F.lit("<|endoftext|>"), F.lit(""))
     lines = F.split(no_eot, r"\r\n|\r|\n")
     kept = F.filter(lines, lambda l: ~F.regexp_replace(l, r"^\s+", "").startswith("--"))
@@ -151,12 +164,14 @@ def looks_incomplete(sql: Column, compat: bool = False) -> Column:
     suffix check, so ``... FROM region`` counts as cut off (``ON``); by
     default a word boundary is required, ``compat=True`` restores the suffix.
     """
-    s = strip(sql)
-    tail = F.upper(rstrip(F.regexp_replace(s, r";\s*$", "")))
     words = "|".join(INCOMPLETE_TAIL_WORDS)
-    kw = tail.rlike(f"({words})$") if compat else tail.rlike(rf"\b({words})$")
-    return (F.coalesce(s, F.lit("")) == "") | (count_sub(s, "(") > count_sub(s, ")")) \
-        | (count_sub(s, "'") % 2 == 1) | (count_sub(s, '"') % 2 == 1) | kw | tail.endswith(",")
+
+    def rule(s):
+        tail = F.upper(rstrip(F.regexp_replace(s, r";\s*$", "")))
+        kw = tail.rlike(f"({words})$") if compat else tail.rlike(rf"\b({words})$")
+        return (F.coalesce(s, F.lit("")) == "") | (count_sub(s, "(") > count_sub(s, ")")) \
+            | (count_sub(s, "'") % 2 == 1) | (count_sub(s, '"') % 2 == 1) | kw | tail.endswith(",")
+    return let(strip(sql), rule)
 
 
 # -- P6 ----------------------------------------------------------------------
@@ -196,6 +211,7 @@ def to_mysql(sql: Column) -> Column:
 
 
 def _limit_parts(out: Column):
+    # ``out`` is a lambda variable here (see ``let``), so using it four times is free.
     has = out.rlike(RE_LIMIT_TAIL)
     n = F.regexp_extract(out, RE_LIMIT_TAIL, 1)
     semi = F.regexp_extract(out, RE_LIMIT_TAIL, 2)
@@ -216,15 +232,20 @@ def to_mssql(sql: Column) -> Column:
     out = _rx(out, r"(?i)\bTIMESTAMP\b", "DATETIME2")
     out = _rx(out, r"(?i)\bINTEGER\s+PRIMARY\s+KEY\b", "INT PRIMARY KEY")
     out = _rx(out, r"(?i)\b(AUTOINCREMENT|AUTO_INCREMENT|SERIAL)\b", "IDENTITY(1,1)")
-    has, n, semi, body = _limit_parts(out)
-    distinct = F.regexp_replace(body, F.lit(r"(?is)^(.*?)SELECT\s+DISTINCT"),
-                                F.concat(F.lit("$1SELECT DISTINCT TOP "), n))
-    plain = F.regexp_replace(body, F.lit(r"(?is)^(.*?)SELECT"), F.concat(F.lit("$1SELECT TOP "), n))
-    topped = (F.when(body.rlike(r"(?i)\bTOP\s+\d+"), body)
-              .when(body.rlike(r"(?i)SELECT\s+DISTINCT"), distinct)
-              .otherwise(plain))
-    out = F.when(has, F.concat(rstrip(topped), semi)).otherwise(out)
-    return strip(_rx(out, r"\s+;", ";"))
+
+    def limit_to_top(o):
+        has, n, semi, body = _limit_parts(o)
+
+        def top(b):
+            distinct = F.regexp_replace(b, F.lit(r"(?is)^(.*?)SELECT\s+DISTINCT"),
+                                        F.concat(F.lit("$1SELECT DISTINCT TOP "), n))
+            plain = F.regexp_replace(b, F.lit(r"(?is)^(.*?)SELECT"), F.concat(F.lit("$1SELECT TOP "), n))
+            return (F.when(b.rlike(r"(?i)\bTOP\s+\d+"), b)
+                    .when(b.rlike(r"(?i)SELECT\s+DISTINCT"), distinct)
+                    .otherwise(plain))
+        return F.when(has, F.concat(rstrip(let(body, top)), semi)).otherwise(o)
+
+    return strip(_rx(let(out, limit_to_top), r"\s+;", ";"))
 
 
 def to_oracle(sql: Column, compat: bool = False) -> Column:
@@ -242,10 +263,12 @@ def to_oracle(sql: Column, compat: bool = False) -> Column:
     out = _rx(out, r"(?i)\bTRUE\b", "1")
     out = _rx(out, r"(?i)\bFALSE\b", "0")
     out = _rx(out, r"(?i)\bNOW\(\)\b" if compat else r"(?i)\bNOW\(\)", "SYSDATE")
-    has, n, semi, body = _limit_parts(out)
-    fetched = F.concat(rstrip(body), F.lit(" FETCH FIRST "), n, F.lit(" ROWS ONLY"), semi)
-    out = F.when(has, fetched).otherwise(out)
-    return strip(_rx(out, r"\s+;", ";"))
+
+    def limit_to_fetch(o):
+        has, n, semi, body = _limit_parts(o)
+        return F.when(has, F.concat(rstrip(body), F.lit(" FETCH FIRST "), n, F.lit(" ROWS ONLY"), semi)).otherwise(o)
+
+    return strip(_rx(let(out, limit_to_fetch), r"\s+;", ";"))
 
 
 def canonical_dialect(dialect: Column) -> Column:
@@ -257,14 +280,19 @@ def transform_sql(sql: Column, dialect: Column, compat: bool = False) -> Column:
     """Dialect dispatch. Unknown dialects and sqlite are only trimmed; for
     the others one trailing ``;`` is split off, the rules run, and it is put back."""
     d = canonical_dialect(dialect)
-    base0 = rstrip(sql)
-    semi = F.when(base0.endswith(";"), F.lit(";")).otherwise(F.lit(""))
-    base = F.when(base0.endswith(";"), F.regexp_replace(base0, r";$", "")).otherwise(base0)
-    out = (F.when(d == "postgres", to_postgres(base, compat))
-           .when(d == "mysql", to_mysql(base))
-           .when(d == "mssql", to_mssql(base))
-           .when(d == "oracle", to_oracle(base, compat)))
-    return F.when(d.isNull() | (d == "sqlite"), strip(sql)).otherwise(F.concat(rstrip(out), semi))
+
+    def run(base0):
+        semi = F.when(base0.endswith(";"), F.lit(";")).otherwise(F.lit(""))
+
+        def rules(base):
+            return (F.when(d == "postgres", to_postgres(base, compat))
+                    .when(d == "mysql", to_mysql(base))
+                    .when(d == "mssql", to_mssql(base))
+                    .when(d == "oracle", to_oracle(base, compat)))
+        out = let(F.regexp_replace(base0, r";$", ""), rules)
+        return F.concat(rstrip(out), semi)
+
+    return F.when(d.isNull() | (d == "sqlite"), strip(sql)).otherwise(let(rstrip(sql), run))
 
 
 def strip_trailing_semicolon(sql: Column) -> Column:

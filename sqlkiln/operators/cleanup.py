@@ -60,17 +60,13 @@ def table_schema_map(tables: DataFrame) -> DataFrame:
             .groupBy("db_id", "kind", "key").agg(F.max("table_schema").alias("table_schema")))
 
 
-def _java_repl_escape(c):
-    return F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), r"\$", r"\\\$")
-
-
 def qualify_tables(df: DataFrame, schema_map: DataFrame, sql_col: str = "adapted",
                    key: str = "query_id", oracle_default: str = ORACLE_DEFAULT_SCHEMA) -> DataFrame:
     """Prefix unqualified tables after FROM/JOIN with their schema.
 
     Tokens are exploded (bounded by the statement length), looked up with an
-    equi-join on (db_id, kind, key), and the rewrites are folded back into
-    the text with ``aggregate`` -- the rewrite itself stays in the JVM.
+    equi-join on (db_id, kind, key), gathered into one small map per
+    statement and applied in a single pass over the text (JVM-side).
     Returns ``df`` with column ``qualified``.
     """
     kind = st.canonical_dialect(F.col("dialect"))
@@ -87,17 +83,30 @@ def qualify_tables(df: DataFrame, schema_map: DataFrame, sql_col: str = "adapted
                .when(F.col("kind") == "postgres", F.lit("public")).otherwise(F.lit(oracle_default)))
     hits = (toks.join(schema_map, ["db_id", "kind", "key"])
             .where(F.lower("table_schema") != F.lower(default))
-            .groupBy(key).agg(F.collect_set(F.struct("tok", "table_schema")).alias("rewrites")))
+            .groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("tok", "table_schema"))).alias("rewrites")))
     out = df.join(hits, key, "left")
-    fold = F.aggregate(
-        F.coalesce(F.col("rewrites"), F.array().cast("array<struct<tok:string,table_schema:string>>")),
-        F.col(sql_col),
-        lambda acc, r: F.regexp_replace(
-            acc,
-            F.concat(F.lit(r"\b((?i:FROM|JOIN))\s+\Q"), r["tok"], F.lit(r"\E([\s,;]|$)")),
-            F.concat(F.lit("$1 "), _java_repl_escape(r["table_schema"]), F.lit("."),
-                     _java_repl_escape(r["tok"]), F.lit("$2"))))
-    return out.withColumn("qualified", fold).drop("rewrites")
+    return out.withColumn("qualified", _apply_rewrites(F.col(sql_col), F.col("rewrites"))).drop("rewrites")
+
+
+def _apply_rewrites(sql, rewrites):
+    """Rewrite ``FROM|JOIN <tok>`` to ``<clause> <schema>.<tok>`` for tokens in
+    the per-statement map. The text is split in front of every FROM/JOIN, so
+    each piece starts with at most one candidate; all patterns are literals
+    (compiled once), none is built per row."""
+    head = r"(?is)^((?:FROM|JOIN))\s+([^\s,;]+)"
+
+    def piece(seg):
+        parts = F.array(F.regexp_extract(seg, head, 1), F.regexp_extract(seg, head, 2),
+                        F.regexp_replace(seg, head, ""))
+
+        def rebuild(p):
+            schema = F.element_at(rewrites, p[1])
+            return F.when((p[1] != "") & schema.isNotNull(),
+                          F.concat(p[0], F.lit(" "), schema, F.lit("."), p[1], p[2])).otherwise(seg)
+        return st.let(parts, rebuild)
+
+    segs = F.split(sql, r"(?i)(?=\b(?:FROM|JOIN)\s)")
+    return F.when(rewrites.isNull(), sql).otherwise(F.array_join(F.transform(segs, piece), ""))
 
 
 def adapted_report(df: DataFrame) -> DataFrame:
