@@ -37,30 +37,24 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) ->
     """``x NOT IN (subquery)`` with SQL's three-valued logic, shuffle-friendly.
 
     Spark's null-aware anti join needs the subquery side broadcast and falls
-    back to a nested loop when it is not. Here the rule is split into
-    equi-joins that all hash-partition:
+    back to a nested loop when it is not. Here the rule is split up:
 
     * a NULL inside the subquery makes every comparison unknown -> no rows;
     * a NULL outer key survives only when the subquery is empty;
-    * otherwise a plain anti join on the key.
+    * otherwise a plain anti join on the key (hash-partitioned, or
+      broadcast by AQE when the distinct keys turn out small).
 
-    The two "flag" sides hold at most one row each (a ``distinct`` over a
-    constant), so broadcasting them is size-bounded by construction.
+    The two conditions are scalar subqueries (one value each, evaluated
+    once), so no join is needed for them.
     """
-    rk = F.col(right_key)
-    sub_keys = right.select(rk.alias("__k")).distinct()          # partial agg before shuffle
-    has_null = sub_keys.where(F.col("__k").isNull()).select(F.lit(1).alias("__one")).distinct()
-    non_empty = sub_keys.select(F.lit(1).alias("__one")).distinct()
-
+    sub_keys = right.select(F.col(right_key).alias("__k")).distinct()   # map-side partial distinct
+    has_null = sub_keys.select(F.count(F.when(F.col("__k").isNull(), 1)) > 0).scalar()
+    non_empty = sub_keys.select(F.count(F.lit(1)) > 0).scalar()
     lk = left[left_key]
-    with_one = left.withColumn("__one", F.lit(1))
-    not_null = (with_one.where(lk.isNotNull())
-                .join(sub_keys.where(F.col("__k").isNotNull()),
-                      F.col(left_key) == F.col("__k"), "left_anti"))
-    null_outer = (with_one.where(lk.isNull())
-                  .join(F.broadcast(non_empty), "__one", "left_anti"))
-    out = not_null.unionByName(null_outer)
-    return out.join(F.broadcast(has_null), "__one", "left_anti").drop("__one")
+    not_null = (left.where(lk.isNotNull())
+                .join(sub_keys.where(F.col("__k").isNotNull()), F.col(left_key) == F.col("__k"), "left_anti"))
+    null_outer = left.where(lk.isNull() & ~non_empty)
+    return not_null.unionByName(null_outer).where(~has_null)
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
