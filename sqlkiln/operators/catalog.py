@@ -195,21 +195,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     return labels
 
 
-def fk_canonical_map(edges: DataFrame, cols: DataFrame) -> DataFrame:
+def fk_canonical_map(fks: DataFrame, cols: DataFrame) -> DataFrame:
     """Column equivalence through FKs; representative = lowest column index.
 
     Column index = (table position, column position) in its database,
-    encoded as one BIGINT. True connected components (the original merges
-    greedily and can leave two sets that a later edge bridges).
+    encoded as one BIGINT. Only FKs whose two end columns exist take part
+    (the same rule as the FK edges of C11), found with two equi-joins
+    against the column inventory -- no graph of all columns is built.
+    True connected components (the original merges greedily and can leave
+    two sets that a later edge bridges).
     """
     idx = cols.select("db_id", "table_name", F.col("name").alias("column_name"),
                       (F.col("table_pos") * 4096 + F.col("pos")).alias("cidx"))
-    fk = edges.where(F.col("rel") == "FK").select(
-        "db_id", F.col("table_name").alias("t1"), F.regexp_extract("src", r"^column:[^.]*\.(.*)$", 1).alias("c1"),
-        F.col("dst_table").alias("t2"), F.regexp_extract("dst", r"^column:[^.]*\.(.*)$", 1).alias("c2"))
-    i1 = idx.toDF("db_id", "t1", "c1", "i1")
-    i2 = idx.toDF("db_id", "t2", "c2", "i2")
-    pairs = fk.join(i1, ["db_id", "t1", "c1"]).join(i2, ["db_id", "t2", "c2"]).select("i1", "i2")
+    i1 = idx.toDF("db_id", "from_table", "from_column", "i1")
+    i2 = idx.toDF("db_id", "to_table", "to_column", "i2")
+    pairs = (fks.join(i1, ["db_id", "from_table", "from_column"])
+             .join(i2, ["db_id", "to_table", "to_column"]).select("i1", "i2"))
     comp = connected_components(pairs, "i1", "i2")
     rep = idx.select(F.col("cidx").alias("label"), F.col("table_name").alias("rep_table"),
                      F.col("column_name").alias("rep_column"))

@@ -192,8 +192,7 @@ SELECT i.db_id, i.table_name, i.column_name, r.table_name AS rep_table, r.column
 FROM lab JOIN idx i ON i.cidx = lab.v JOIN idx r ON r.cidx = lab.label""")
 def c13_fk_canonical_map(spark, d):
     _, inv, cols, fks = _lake(spark, d)
-    edges = cat.graph_edges(cat.graph_nodes(cols, inv), fks)
-    return cat.fk_canonical_map(edges, cols)
+    return cat.fk_canonical_map(fks, cols)
 
 
 @register("c14_table_schema_map", sql=with_(D_T) + """

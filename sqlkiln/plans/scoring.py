@@ -100,8 +100,7 @@ def parsed(spark, d):
 def _kmap(spark, d):
     from ..operators import catalog as cat
     _, inv, cols, fks = pc._lake(spark, d)
-    edges = cat.graph_edges(cat.graph_nodes(cols, inv), fks)
-    return sc.fk_kmap(cat.fk_canonical_map(edges, cols))
+    return sc.fk_kmap(cat.fk_canonical_map(fks, cols))
 
 
 def _scored(spark, d):
