@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as st
+from ..session import cut_lineage
 
 # Fixed value: Oracle's default schema when the user gives none.
 ORACLE_DEFAULT_SCHEMA = "SCOTT"
@@ -69,6 +70,9 @@ def qualify_tables(df: DataFrame, schema_map: DataFrame, sql_col: str = "adapted
     statement and applied in a single pass over the text (JVM-side).
     Returns ``df`` with column ``qualified``.
     """
+    # The statements feed both the token lookup and the final join: materialise
+    # them once instead of running the whole clean-up chain twice.
+    df = cut_lineage(df)
     kind = st.canonical_dialect(F.col("dialect"))
     toks = (df.select(key, "db_id", kind.alias("kind"),
                       F.explode(F.regexp_extract_all(F.col(sql_col), F.lit(st.RE_QUALIFY), 2)).alias("tok"))
