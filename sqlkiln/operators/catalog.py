@@ -165,6 +165,23 @@ def fk_neighbours(edges: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def existing_fks(fks: DataFrame, cols: DataFrame) -> DataFrame:
+    """FKs whose two end columns exist in the column inventory (the FK-edge
+    rule of C11), by two semi-joins -- for jobs that need only FK edges."""
+    c = cols.select("db_id", "table_name", F.col("name").alias("column_name")).distinct()
+    f = fks.join(c.toDF("db_id", "from_table", "from_column"), ["db_id", "from_table", "from_column"], "left_semi")
+    return f.join(c.toDF("db_id", "to_table", "to_column"), ["db_id", "to_table", "to_column"], "left_semi")
+
+
+def fk_table_neighbours(fks: DataFrame, cols: DataFrame) -> DataFrame:
+    """C12 straight from the FK inventory: same result as ``fk_neighbours``
+    over ``graph_edges``, without building nodes for every column."""
+    f = existing_fks(fks, cols)
+    a = f.select("db_id", F.col("from_table").alias("table_name"), F.col("to_table").alias("neighbour"))
+    b = f.select("db_id", F.col("to_table").alias("table_name"), F.col("from_table").alias("neighbour"))
+    return a.unionByName(b).distinct()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          max_iter: int = 64) -> DataFrame:
     """Label every vertex with the least vertex id of its component.

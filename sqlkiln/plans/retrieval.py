@@ -50,7 +50,7 @@ def _vec_sims(spark, d):
 
 
 def _neighbours(cols, inv, fks):
-    return cat.fk_neighbours(cat.graph_edges(cat.graph_nodes(cols, inv), fks))
+    return cat.fk_table_neighbours(fks, cols)
 
 
 # ---------------------------------------------------------------- DuckDB side
