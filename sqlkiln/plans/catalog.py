@@ -46,13 +46,29 @@ def with_(*ctes):
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+_LAKE: dict = {}
+
+
 def _lake(spark, d):
+    """Catalog inventories (C1, C2, C3), materialised once per run.
+
+    Dozens of jobs read the column and FK inventories; they are checkpointed
+    into the shared folder and kept persisted, so each job reads them
+    instead of re-joining the raw catalog rows. Dropped caches (e.g.
+    ``clearCache()``) make the next caller rebuild them.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    hit = _LAKE.get(key)
+    if hit is not None and all(x.is_cached for x in hit[1:]):
+        return hit
+    from ..session import cut_lineage
     tables = fx.lake_tables(spark, d)
-    inv = cat.table_inventory(tables)
+    inv = cut_lineage(cat.table_inventory(tables)).persist()
     cons, kcs = fx.lake_constraints(spark, d), fx.lake_key_columns(spark, d)
-    cols = cat.column_inventory(fx.lake_columns(spark, d), inv, cons, kcs)
-    fks = cat.fk_inventory(cons, kcs)
-    return tables, inv, cols, fks
+    cols = cut_lineage(cat.column_inventory(fx.lake_columns(spark, d), inv, cons, kcs)).persist()
+    fks = cut_lineage(cat.fk_inventory(cons, kcs)).persist()
+    _LAKE[key] = (tables, inv, cols, fks)
+    return _LAKE[key]
 
 
 @register("c1_table_inventory", sql=with_(D_T, D_INV) + "SELECT * FROM inv")
