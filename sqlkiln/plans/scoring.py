@@ -103,10 +103,20 @@ def _kmap(spark, d):
     return sc.fk_kmap(cat.fk_canonical_map(fks, cols))
 
 
+_SCORED: dict = {}
+
+
 def _scored(spark, d):
+    """The per-example score table, materialised once per run; every E
+    report (components, exact, hardness, roll-up, pivot) reads it."""
     from ..session import cut_lineage
+    key = (spark.sparkContext.applicationId, d)
+    hit = _SCORED.get(key)
+    if hit is not None and hit.is_cached:
+        return hit
     gold, pred = parsed(spark, d)
-    return cut_lineage(sc.score_examples(gold, pred, _kmap(spark, d)))
+    _SCORED[key] = cut_lineage(sc.score_examples(gold, pred, _kmap(spark, d))).persist()
+    return _SCORED[key]
 
 
 @register("e1_explode_components")
