@@ -238,14 +238,20 @@ def e19_score_report(spark, d):
     return sc.score_report(sc.score_rollup(_scored(spark, d)))
 
 
-@register("e20_parse_failures")
+D_ALIGN = ("WITH pq AS (" + parsed_sql() + "),\n"
+           "al AS (SELECT example_id, db_id, missing, CASE WHEN missing THEN NULL ELSE pred_json END AS pj FROM pq),\n"
+           "af AS (SELECT example_id, db_id, pj IS NULL AS missing, "
+           "NOT coalesce(json_valid(pj) AND starts_with(pj, '{'), false) AS pred_failed FROM al)\n")
+
+
+@register("e20_parse_failures", sql=D_ALIGN + "SELECT missing, pred_failed, count(*) AS n FROM af GROUP BY ALL")
 def e20_parse_failures(spark, d):
     gold, pred = parsed(spark, d)
     a = sc.align(gold, pred)
     return a.groupBy((F.col("pred_json").isNull()).alias("missing"), "pred_failed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("e21_align_by_id")
+@register("e21_align_by_id", sql=D_ALIGN + "SELECT example_id, db_id, missing, pred_failed FROM af")
 def e21_align_by_id(spark, d):
     gold, pred = parsed(spark, d)
     return sc.align(gold, pred).select("example_id", "db_id", (F.col("pred_json").isNull()).alias("missing"),
