@@ -135,7 +135,21 @@ def e1_explode_components(spark, d):
         "example_id", "side", "clause", "pos", F.to_json("item").alias("unit"))
 
 
-@register("e2_nested_queries")
+def _d_nested(path):
+    lst = f"coalesce(CAST(json_extract(gold_json, '{path}') AS JSON[]), [])"
+    units = f"list_filter({lst}, lambda x, i: i % 2 = 1)"
+    return (f"len(list_filter({units}, lambda u: json_type(json_extract(u, '$[3]')) = 'OBJECT')) + "
+            f"len(list_filter({units}, lambda u: json_type(json_extract(u, '$[4]')) = 'OBJECT'))")
+
+
+E2_SQL = ("WITH pq AS (" + parsed_sql() + ")\nSELECT example_id, CAST(" + _d_nested("$.where") + " + "
+          + _d_nested("$.having") + " AS INTEGER) AS n_in_conditions, CAST("
+          + " + ".join(f"CASE WHEN coalesce(json_type(json_extract(gold_json, '$.{k}')), 'NULL') <> 'NULL' THEN 1 ELSE 0 END"
+                       for k in ("intersect", "except", "union"))
+          + " AS INTEGER) AS n_set_ops FROM pq")
+
+
+@register("e2_nested_queries", sql=E2_SQL)
 def e2_nested_queries(spark, d):
     gold, _ = parsed(spark, d)
     g = gold.select("example_id", F.parse_json("gold_json").alias("q"))
