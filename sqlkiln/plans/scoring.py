@@ -237,7 +237,55 @@ def e15_partial_scores(spark, d):
     return _component(spark, d, sc.PARTIAL_TYPES)
 
 
-@register("e17_hardness")
+def _d_list(path):
+    return f"coalesce(CAST(json_extract(gold_json, '{path}') AS JSON[]), [])"
+
+
+def _d_even(l):
+    return f"list_filter({l}, lambda x, i: i % 2 = 1)"
+
+
+def _d_odd(l):
+    return f"list_filter({l}, lambda x, i: i % 2 = 0)"
+
+
+def _d_first_nonzero(l):
+    # first element not 0: agg ids, NOT flags, and connector strings all count
+    return (f"len(list_filter({l}, lambda u: json_type(u) = 'VARCHAR' OR "
+            f"(json_type(json_extract(u, '$[0]')) IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND CAST(json_extract(u, '$[0]') AS DOUBLE) <> 0) OR "
+            f"(json_type(json_extract(u, '$[0]')) = 'BOOLEAN' AND CAST(json_extract(u, '$[0]') AS BOOLEAN))))")
+
+
+def _hardness_sql():
+    w, grp, hav, fc = _d_list("$.where"), _d_list("$.groupBy"), _d_list("$.having"), _d_list("$.from.conds")
+    sel, order_units = _d_list("$.select[1]"), _d_list("$.orderBy[1]")
+    units = f"list_concat({_d_even(fc)}, {_d_even(w)}, {_d_even(hav)})"
+    conns = f"list_concat({_d_odd(fc)}, {_d_odd(w)}, {_d_odd(hav)})"
+    n_tu = "coalesce(json_array_length(gold_json, '$.from.table_units'), 0)"
+    not_null = lambda k: f"(coalesce(json_type(json_extract(gold_json, '$.{k}')), 'NULL') <> 'NULL')::INT"
+    order_cols = (f"list_concat(list_filter(list_transform({order_units}, lambda v: json_extract(v, '$[1]')), "
+                  f"lambda x: coalesce(json_type(x), 'NULL') <> 'NULL'), list_filter(list_transform({order_units}, "
+                  f"lambda v: json_extract(v, '$[2]')), lambda x: coalesce(json_type(x), 'NULL') <> 'NULL'))")
+    c1 = (f"(len({w}) > 0)::INT + (len({grp}) > 0)::INT + (coalesce(json_array_length(gold_json, '$.orderBy'), 0) > 0)::INT"
+          f" + {not_null('limit')} + CASE WHEN {n_tu} > 0 THEN {n_tu} - 1 ELSE 0 END"
+          f" + len(list_filter({conns}, lambda c: json_extract_string(c, '$') = 'or'))"
+          f" + len(list_filter({units}, lambda u: CAST(json_extract(u, '$[1]') AS INTEGER) = 9))")
+    c2 = (f"len(list_filter({units}, lambda u: json_type(json_extract(u, '$[3]')) = 'OBJECT'))"
+          f" + len(list_filter({units}, lambda u: json_type(json_extract(u, '$[4]')) = 'OBJECT'))"
+          f" + {not_null('intersect')} + {not_null('except')} + {not_null('union')}")
+    agg = (f"{_d_first_nonzero(sel)} + {_d_first_nonzero(_d_even(w))} + {_d_first_nonzero(grp)}"
+           f" + {_d_first_nonzero(order_cols)} + {_d_first_nonzero(hav)}")
+    others = f"({agg} > 1)::INT + (len({sel}) > 1)::INT + (len({w}) > 1)::INT + (len({grp}) > 1)::INT"
+    return ("WITH pq AS (" + parsed_sql() + "),\n"
+            f"hc AS (SELECT example_id, {c1} AS c1, {c2} AS c2, {others} AS others FROM pq),\n"
+            "hd AS (SELECT CASE WHEN c1 <= 1 AND others = 0 AND c2 = 0 THEN 'easy' "
+            "WHEN (others <= 2 AND c1 <= 1 AND c2 = 0) OR (c1 <= 2 AND others < 2 AND c2 = 0) THEN 'medium' "
+            "WHEN (others > 2 AND c1 <= 2 AND c2 = 0) OR (c1 > 2 AND c1 <= 3 AND others <= 2 AND c2 = 0) "
+            "OR (c1 <= 1 AND others = 0 AND c2 <= 1) THEN 'hard' ELSE 'extra' END AS hardness FROM hc)\n"
+            "SELECT hardness, count(*) AS n FROM hd GROUP BY hardness")
+
+
+@register("e17_hardness", sql=_hardness_sql())
 def e17_hardness(spark, d):
     return _scored(spark, d).groupBy("hardness").agg(F.count(F.lit(1)).alias("n"))
 
