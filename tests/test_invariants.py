@@ -106,3 +106,21 @@ def test_registry_covers_oracles():
     import __spark_entry__ as E
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs) and len(qs) >= 130
+
+
+def test_pluggable_encoder_and_tokenizer(spark):
+    df = spark.createDataFrame([(1, "orders by customer"), (2, "")], "id long, text string")
+
+    def encoder(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    out = {r.id: r.vec for r in rt.embed_with(df, "text", encoder, dim=2).collect()}
+    assert out == {1: [18.0, 1.0], 2: [0.0, 1.0]}
+
+    def broken(texts):
+        raise RuntimeError("tokenizer unavailable")
+
+    lens = {r.id: r.n_tokens for r in rt.token_len_with(df, "text", broken).collect()}
+    assert lens == {1: 6, 2: 0}          # falls back to 2 x whitespace words
+    ok = {r.id: r.n_tokens for r in rt.token_len_with(df, "text", lambda ts: [len(t) for t in ts]).collect()}
+    assert ok == {1: 18, 2: 0}
