@@ -339,3 +339,49 @@ def e22_corpus_profile(spark, d):
     c = fx.corpus(spark, d)
     return c.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_queries"), *[
         F.sum(F.regexp_count("raw_output", F.lit(p))).cast("long").alias(k) for k, p in PROFILE_RULES.items()])
+
+
+# Execution match over result sets derived from the data. For every
+# order, the gold result is its line-item quantities in line order; the
+# prediction's result carries an injected error chosen by the customer key:
+# none, a wrong value, an extra row, reversed row order, or no result (the
+# predicted query failed).
+RESULTS_SQL = """
+WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_custkey % 5 AS m
+            FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+r AS (SELECT l_orderkey AS example_id, m, l_linenumber, l_quantity,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS rn,
+             count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)
+SELECT example_id, 'gold' AS side, 'qty' AS unit_key, CAST(rn AS BIGINT) AS row_no, CAST(l_quantity AS STRING) AS value FROM r
+UNION ALL
+SELECT example_id, 'pred', 'qty', CAST(CASE WHEN m = 3 THEN n - 1 - rn ELSE rn END AS BIGINT),
+       CAST(CASE WHEN m = 1 AND rn = 0 THEN l_quantity + 1 ELSE l_quantity END AS STRING) FROM r WHERE m <> 4
+UNION ALL
+SELECT example_id, 'pred', 'qty', CAST(n AS BIGINT), '0.0' FROM r WHERE m = 2 AND rn = 0"""
+
+
+def _duck_exec(ordered: bool) -> str:
+    if ordered:
+        v = "SELECT example_id, side, unit_key, CAST(row_no AS VARCHAR) AS k, value FROM res"
+    else:
+        v = ("SELECT example_id, side, unit_key, value AS k, CAST(count(*) AS VARCHAR) AS value FROM res "
+             "GROUP BY ALL")
+    return (f"v{int(ordered)} AS ({v}),\n"
+            f"j{int(ordered)} AS (SELECT coalesce(p.example_id, g.example_id) AS example_id, "
+            f"p.example_id IS NOT NULL AND g.example_id IS NOT NULL AND p.value IS NOT DISTINCT FROM g.value AS ok "
+            f"FROM (SELECT * FROM v{int(ordered)} WHERE side = 'pred') p FULL OUTER JOIN "
+            f"(SELECT * FROM v{int(ordered)} WHERE side = 'gold') g "
+            f"ON p.example_id = g.example_id AND p.unit_key = g.unit_key AND p.k = g.k),\n"
+            f"m{int(ordered)} AS (SELECT example_id, bool_and(ok) AS ok FROM j{int(ordered)} GROUP BY example_id)")
+
+
+E16_SQL = ("WITH res AS (" + RESULTS_SQL + "),\n" + _duck_exec(True) + ",\n" + _duck_exec(False)
+           + "\nSELECT m1.example_id, m1.ok AS exec_ordered, m0.ok AS exec_unordered FROM m1 JOIN m0 USING (example_id)")
+
+
+@register("e16_execution_match", sql=E16_SQL)
+def e16_execution_match(spark, d):
+    res = fx.spark_sql(spark, d, RESULTS_SQL, ("orders", "lineitem"))
+    o = sc.execution_match(res).withColumnRenamed("exec_match", "exec_ordered")
+    u = sc.execution_match(res, ordered=False).withColumnRenamed("exec_match", "exec_unordered")
+    return o.join(u, "example_id")
