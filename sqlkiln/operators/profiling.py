@@ -61,8 +61,8 @@ def key_profile(spark: SparkSession, tables: dict[str, DataFrame], rsd: float =
     a duplicate search: singles first, then pairs of non-null, non-key
     columns. Floating-point measures are never key candidates.
     """
-    out = []
-    for name, df in tables.items():
+    def profile(item):
+        name, df = item
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, KEY_TYPES)]
         aggs = [F.count(F.lit(1)).alias("__n")]
         for c in cols:
@@ -70,17 +70,26 @@ def key_profile(spark: SparkSession, tables: dict[str, DataFrame], rsd: float =
         st = df.agg(*aggs).first()          # one row of statistics
         n = st["__n"]
         if n == 0:
-            continue
+            return []
         full = [c for c in cols if st[f"nn__{c}"] == n]
-        single_cands = [c for c in full if st[f"d__{c}"] >= 0.5 * n]
-        dup = _duplicated(df, [(c,) for c in single_cands]) if single_cands else set()
-        singles = [c for i, c in enumerate(single_cands) if i not in dup]
-        out += [(name, c, 1, n) for c in singles]
-        rest = [c for c in full if c not in singles]
-        cands = [(a, b) for a, b in combinations(rest, 2) if st[f"d__{a}"] * st[f"d__{b}"] >= 0.25 * n]
-        if cands:
-            bad = _duplicated(df, cands)
-            out += [(name, f"{a},{b}", 2, n) for i, (a, b) in enumerate(cands) if i not in bad]
+        singles = [(c,) for c in full if st[f"d__{c}"] >= 0.5 * n]
+        pairs = [(a, b) for a, b in combinations(full, 2) if st[f"d__{a}"] * st[f"d__{b}"] >= 0.25 * n]
+        cands = singles + pairs
+        if not cands:
+            return []
+        # One exact pass decides singles and pairs together; a pair that
+        # contains a single-column key is not minimal and is dropped after.
+        bad = _duplicated(df, cands)
+        keys = {c[0] for i, c in enumerate(singles) if i not in bad}
+        rows = [(name, c, 1, n) for c in sorted(keys, key=cols.index)]
+        rows += [(name, f"{a},{b}", 2, n) for i, (a, b) in enumerate(pairs, start=len(singles))
+                 if i not in bad and a not in keys and b not in keys]
+        return rows
+
+    # Tables are independent: their (small) jobs are submitted concurrently.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        out = [r for rows in pool.map(profile, tables.items()) for r in rows]
     return spark.createDataFrame(out, KEY_PROFILE_SCHEMA)
 
 
