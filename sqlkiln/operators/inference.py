@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 from ..sources.files import read_predictions, write_predictions
 
 PREDICTION_COLS = "example_id long, sql string, error string"
@@ -38,6 +40,7 @@ def batch_predict(examples: DataFrame, make_predictor: Callable[[], Callable[[st
                   question: str = "question", schema: str = "schema_text") -> DataFrame:
     """B1+B3: ``(example_id, sql, error)``; any exception becomes an empty
     prediction with its message, the run goes on."""
+    ship_package(examples.sparkSession)
     cols = examples.select("example_id", "db_id", F.col(question).alias("q"), F.col(schema).alias("s"))
 
     def run(batches):

@@ -12,6 +12,8 @@ shuffles on ``db_id`` and AQE splits a skewed database across tasks.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 # Fixed values of the selection and prompt rules.
 BASE_THRESHOLD = 0.20
 MAX_SCHEMA_TOKENS = 1528
@@ -57,6 +59,8 @@ def embed_with(df: DataFrame, text_col: str, encoder, out_col: str = "vec", dim:
     Arrow-batched pandas UDF; the model is built once per Python worker."""
     import pandas as pd
 
+    ship_package(df.sparkSession)
+
     @F.pandas_udf("array<double>")
     def _enc(batch: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in encoder(batch.tolist())])
@@ -139,6 +143,8 @@ def token_len_with(df: DataFrame, text_col: str, tokenizer, out_col: str = "n_to
     vectorised over Arrow batches; a failing batch falls back to the rule."""
     import pandas as pd
 
+    ship_package(df.sparkSession)
+
     @F.pandas_udf("int")
     def _len(batch: pd.Series) -> pd.Series:
         try:

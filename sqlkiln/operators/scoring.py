@@ -15,6 +15,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 # Operator code lists of the parsed-query format (ordinals matter).
 WHERE_OPS = ["not", "between", "=", ">", "<", ">=", "<=", "!=", "in", "like", "is", "exists"]
 UNIT_OPS = ["none", "-", "+", "*", "/"]
@@ -348,6 +350,7 @@ def align(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def score_examples(gold: DataFrame, pred: DataFrame, kmap: DataFrame | None = None) -> DataFrame:
     """Per example: hardness, exact, and the ten partial components."""
+    ship_package(gold.sparkSession)
     a = align(gold, pred)
     if kmap is not None:
         a = a.join(kmap, "db_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .retrieval import token_len
 
 MAX_SEQ_TOKENS = 2048
@@ -59,6 +59,7 @@ def pack_sequences(df: DataFrame, order: list[str], tokens_col: str = "n_tokens"
        partition its starting offset (exclusive prefix over partitions);
     3. each partition adds its running sum on top, in an Arrow batch loop.
     """
+    ship_package(df.sparkSession)
     keys = ([group] if group else []) + order
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
