@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sqltext as st
 from ..operators import catalog as cat
 from ..operators import cleanup as cu
 from ..operators import profiling as prof

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring as sc
-from ..sources.tables import register_tables
 from . import fixtures as fx
 from . import catalog as pc
 from .registry import register

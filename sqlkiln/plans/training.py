@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import training as tr
 from ..operators import retrieval as rt
 from ..sources.tables import Tables
-from . import catalog as pc
 from . import retrieval as pr
 from .registry import register
 
