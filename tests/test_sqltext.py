@@ -117,3 +117,30 @@ def test_classify(spark):
         ["connection_lost", "aborted_transaction", "missing_table", "other"]
     miss = [("no such column foo",), ("Unknown column 'bar' in 'field list'",), ("column x does not exist",)]
     assert one(spark, miss, ["m"], st.missing_column(F.col("m"))) == ["foo", "bar", None]
+
+
+def test_portability_report(spark):
+    rows = [(1, "mssql", "SELECT a FROM (SELECT a FROM t LIMIT 2) s"),
+            (2, "mysql", 'SELECT a FROM t WHERE b = "x"'),
+            (3, "oracle", "SELECT a FROM t, u WHERE t.id = u.id"),
+            (4, "sqlite", "SELECT 1")]
+    df = spark.createDataFrame(rows, "query_id long, dialect string, best_sql string")
+    rep = {(r.dialect, r.rule): (r.n_queries, r.n_hits) for r in cu.portability_report(df).collect()}
+    assert rep[("mssql", "limit_not_at_end")] == (1, 1)
+    assert rep[("mysql", "quoted_literal")] == (1, 1)
+    assert rep[("oracle", "comma_from")] == (1, 1)
+    assert rep[("sqlite", "limit_not_at_end")] == (0, 0)
+
+
+def test_suggest_terms_top_k(spark):
+    misses = spark.createDataFrame([(1, "d", "prce")], "event_id long, db_id string, token string")
+    names = spark.createDataFrame([("d", n) for n in ["orders", "orders.price", "orders.prices", "items", "items.name",
+                                                       "items.price_2", "other"]] + [("e", "price")],
+                                  "db_id string, name string")
+    got = [(r.rank, r.name, r.score) for r in cu.suggest_terms(misses, names, k=3).orderBy("rank").collect()]
+    assert [rk for rk, _, _ in got] == [1, 2, 3]
+    assert "price" not in [n for _, n, _ in got]             # other databases are never candidates
+    scores = [sc for _, _, sc in got]
+    assert scores == sorted(scores, reverse=True)
+    for (_, n1, s1), (_, n2, s2) in zip(got, got[1:]):
+        assert s1 > s2 or n1 < n2                            # ties broken by name
