@@ -286,21 +286,31 @@ def score_pairs(df: DataFrame, key: list[str], depth: int = 2) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Hardness (E17), from the raw gold query
 # ---------------------------------------------------------------------------
-def hardness(g: Column) -> Column:
-    w, grp, having = _arr(g, "$.where"), _arr(g, "$.groupBy"), _arr(g, "$.having")
-    fconds = _arr(g, "$.from.conds")
-    order = _arr(g, "$.orderBy")
-    units = F.concat(_even(fconds), _even(w), _even(having))
-    conns = F.concat(_odd(fconds), _odd(w), _odd(having))
-    n_tu = F.size(_arr(g, "$.from.table_units"))
-    c1 = ((F.size(w) > 0).cast("int") + (F.size(grp) > 0).cast("int") + (F.size(order) > 0).cast("int")
-          + (~_is_null(_sub(g, "limit"))).cast("int") + F.when(n_tu > 0, n_tu - 1).otherwise(0)
-          + F.size(F.filter(conns, lambda c: F.try_variant_get(c, "$", "string") == "or"))
-          + F.size(F.filter(units, lambda u: F.try_variant_get(u, "$[1]", "int") == WHERE_OPS.index("like"))))
-    is_obj = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-    c2 = (F.size(F.filter(units, lambda u: is_obj(F.try_variant_get(u, "$[3]", "variant"))))
-          + F.size(F.filter(units, lambda u: is_obj(F.try_variant_get(u, "$[4]", "variant"))))
-          + sum((~_is_null(_sub(g, k))).cast("int") for k in ("intersect", "except", "union")))
+def with_hardness(df: DataFrame, g: str, out: str = "hardness") -> DataFrame:
+    """E17 on the raw gold query in column ``g``: easy / medium / hard / extra.
+
+    The clause arrays are staged as columns first, so every count below
+    reads them instead of re-walking the VARIANT once per reference.
+    """
+    v = F.col(g)
+    order_units = F.coalesce(F.try_variant_get(v, "$.orderBy[1]", "array<variant>"), F.array().cast("array<variant>"))
+    staged = df.select(
+        "*",
+        _arr(v, "$.where").alias("_w"), _arr(v, "$.groupBy").alias("_grp"), _arr(v, "$.having").alias("_hav"),
+        _arr(v, "$.from.conds").alias("_fc"), _arr(v, "$.select[1]").alias("_sel"),
+        F.size(_arr(v, "$.orderBy")).alias("_n_order"), F.size(_arr(v, "$.from.table_units")).alias("_n_tu"),
+        (~_is_null(_sub(v, "limit"))).cast("int").alias("_limit"),
+        sum((~_is_null(_sub(v, k))).cast("int") for k in ("intersect", "except", "union")).alias("_n_setops"),
+        F.concat(F.filter(F.transform(order_units, lambda u: F.try_variant_get(u, "$[1]", "variant")),
+                          lambda x: ~_is_null(x)),
+                 F.filter(F.transform(order_units, lambda u: F.try_variant_get(u, "$[2]", "variant")),
+                          lambda x: ~_is_null(x))).alias("_ocols"))
+    c = F.col
+    staged = staged.select(
+        "*",
+        F.concat(_even(c("_fc")), _even(c("_w")), _even(c("_hav"))).alias("_units"),
+        F.concat(_odd(c("_fc")), _odd(c("_w")), _odd(c("_hav"))).alias("_conns"))
+    is_obj = lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull()
 
     def first_nonzero(a):
         # "has an aggregate" = first element is not 0: agg ids, NOT flags, and
@@ -310,23 +320,27 @@ def hardness(g: Column) -> Column:
             F.try_variant_get(u, "$[0]", "boolean"),
             F.try_variant_get(u, "$", "string").isNotNull())))
 
-    sel = _arr(g, "$.select[1]")
-    order_cols = F.concat(
-        F.filter(F.transform(F.coalesce(F.try_variant_get(g, "$.orderBy[1]", "array<variant>"),
-                                        F.array().cast("array<variant>")),
-                             lambda v: F.try_variant_get(v, "$[1]", "variant")), lambda x: ~_is_null(x)),
-        F.filter(F.transform(F.coalesce(F.try_variant_get(g, "$.orderBy[1]", "array<variant>"),
-                                        F.array().cast("array<variant>")),
-                             lambda v: F.try_variant_get(v, "$[2]", "variant")), lambda x: ~_is_null(x)))
-    agg = first_nonzero(sel) + first_nonzero(_even(w)) + first_nonzero(grp) + first_nonzero(order_cols) \
-        + first_nonzero(having)
-    others = ((agg > 1).cast("int") + (F.size(sel) > 1).cast("int") + (F.size(w) > 1).cast("int")
-              + (F.size(grp) > 1).cast("int"))
-    return (F.when((c1 <= 1) & (others == 0) & (c2 == 0), "easy")
-            .when(((others <= 2) & (c1 <= 1) & (c2 == 0)) | ((c1 <= 2) & (others < 2) & (c2 == 0)), "medium")
-            .when(((others > 2) & (c1 <= 2) & (c2 == 0)) | ((c1 > 2) & (c1 <= 3) & (others <= 2) & (c2 == 0))
-                  | ((c1 <= 1) & (others == 0) & (c2 <= 1)), "hard")
-            .otherwise("extra"))
+    counts = staged.select(
+        "*",
+        ((F.size("_w") > 0).cast("int") + (F.size("_grp") > 0).cast("int") + (c("_n_order") > 0).cast("int")
+         + c("_limit") + F.when(c("_n_tu") > 0, c("_n_tu") - 1).otherwise(0)
+         + F.size(F.filter("_conns", lambda x: F.try_variant_get(x, "$", "string") == "or"))
+         + F.size(F.filter("_units", lambda u: F.try_variant_get(u, "$[1]", "int") == WHERE_OPS.index("like")))
+         ).alias("_c1"),
+        (F.size(F.filter("_units", lambda u: is_obj(F.try_variant_get(u, "$[3]", "variant"))))
+         + F.size(F.filter("_units", lambda u: is_obj(F.try_variant_get(u, "$[4]", "variant"))))
+         + c("_n_setops")).alias("_c2"),
+        (first_nonzero(c("_sel")) + first_nonzero(_even(c("_w"))) + first_nonzero(c("_grp"))
+         + first_nonzero(c("_ocols")) + first_nonzero(c("_hav"))).alias("_agg"))
+    c1, c2 = c("_c1"), c("_c2")
+    others = ((c("_agg") > 1).cast("int") + (F.size("_sel") > 1).cast("int") + (F.size("_w") > 1).cast("int")
+              + (F.size("_grp") > 1).cast("int"))
+    level = (F.when((c1 <= 1) & (others == 0) & (c2 == 0), "easy")
+             .when(((others <= 2) & (c1 <= 1) & (c2 == 0)) | ((c1 <= 2) & (others < 2) & (c2 == 0)), "medium")
+             .when(((others > 2) & (c1 <= 2) & (c2 == 0)) | ((c1 > 2) & (c1 <= 3) & (others <= 2) & (c2 == 0))
+                   | ((c1 <= 1) & (others == 0) & (c2 <= 1)), "hard")
+             .otherwise("extra"))
+    return counts.select(*df.columns, level.alias(out))
 
 
 # ---------------------------------------------------------------------------
@@ -359,8 +373,8 @@ def score_examples(gold: DataFrame, pred: DataFrame, kmap: DataFrame | None = No
     pj = F.when(F.col("pred_failed"), F.lit(EMPTY_QUERY_JSON)).otherwise(F.col("pred_json"))
     c = a.select("example_id", "db_id", "pred_failed", F.parse_json("gold_json").alias("graw"),
                  canonicalize(F.col("gold_json"), F.col("kmap")).alias("gc"), canonicalize(pj, F.col("kmap")).alias("pc"))
-    v = c.select("example_id", "db_id", "pred_failed", hardness(F.col("graw")).alias("hardness"),
-                 F.parse_json("gc").alias("g"), F.parse_json("pc").alias("p"))
+    v = with_hardness(c, "graw").select("example_id", "db_id", "pred_failed", "hardness",
+                                        F.parse_json("gc").alias("g"), F.parse_json("pc").alias("p"))
     from ..session import cut_lineage
     v = cut_lineage(v)        # canonical variants feed the main and the nested scoring
     s = score_pairs(v.select("example_id", "p", "g"), ["example_id"])
