@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sqlkiln.sources.tables import table
 
-from . import minhash
+from . import minhash, packing, tokenfile
 from .registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file lies; it is used in place, never copied."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 @register("op1_minhash_near_dedup")
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 5-word shingle similarity of at least 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), pct=85)
+
+
+@register("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024)
+
+
+@register("op7_token_bit_packing")
+def op7_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as bit-packed shards and read back."""
+    return tokenfile.read_shards(tokenfile.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
