@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sqlkiln.operators.components import connected_components
 
-from .common import stored
+from .common import rows_of, stored
 from .shingles import mix, shingle_set
 
 BANDS, ROWS = 24, 4
@@ -156,8 +156,7 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
 
     # Full sets of the texts that occur in an edge.
     ends = edges.select(F.explode(F.array("hub", "rep")).alias("doc_id")).distinct()
-    wanted = docs.join(ends, "doc_id", "left_semi")
-    sets = stored(wanted.mapInPandas(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    sets = stored(rows_of(docs, ends).mapInPandas(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
 
     # Confirm the edges; a hub's edges are dealt over HUB_SPREAD parts.
     salted = edges.withColumn("part", F.pmod(F.hash("rep"), F.lit(HUB_SPREAD)))
