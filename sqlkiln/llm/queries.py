@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlkiln.sources.tables import table
 
-from . import minhash, packing, tokenfile
+from . import langid, linededup, merkle, minhash, mixing, packing, quality, sql, tokenfile, warc
 from .registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -34,3 +34,46 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as bit-packed shards and read back."""
     return tokenfile.read_shards(tokenfile.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@register("op5_merkle_fingerprints")
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle roots of all documents and of their edited texts, with likeness."""
+    return merkle.fingerprints(table(spark, sf_dir, "documents")).drop("edited_paragraphs")
+
+
+@register("op10_seekable_warc")
+def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records of seekable bundles, read back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("path")
+
+
+@register("op6_distribution_quality")
+def op6_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures, divergence from the language's references and the verdict for all documents."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@register("op8_byte_cnn_language")
+def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a byte convolutional network."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+# Domains of the sample corpus: a source's number modulo four.
+DOMAIN = F.concat(F.lit("domain"), (F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 4).cast("string"))
+WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1,
+           (None, "en"): 4, (None, "de"): 2, (None, "fr"): 2, (None, "es"): 2,
+           ("domain0", "en", "src0"): 2, ("domain1", "de"): 5}
+
+
+@register("op4_hierarchical_mixing", sql.OP4)
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of 60 % of the corpus' tokens by domain, language and source."""
+    return mixing.mix(table(spark, sf_dir, "documents"), DOMAIN, WEIGHTS, budget_permille=600, max_epochs=2, seed=17)
+
+
+@register("op9_line_dedup", sql.OP9)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the lines that stay when near-duplicates of earlier lines go."""
+    return linededup.line_report(table(spark, sf_dir, "documents"), pct=80)

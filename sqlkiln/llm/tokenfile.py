@@ -162,7 +162,7 @@ def open_shared(uri: str, mode: str):
     system, path = fs.FileSystem.from_uri(uri)
     if mode == "w":
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        return system.open_output_stream(path)
+        return system.open_output_stream(path, compression=None)
     return system.open_input_file(path), system.get_file_info(path).size
 
 
