@@ -32,11 +32,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BROADCAST_IDS = 2_000_000
 
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def rows_of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (distinct), without moving
     texts as long as the ids are few enough to broadcast; counted first."""
     ids = stored(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
+def without_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (distinct); see ``rows_of``."""
+    return rows_of(docs, ids, "left_anti")
 
 
 def word_count(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlkiln.sources.tables import table
 
-from . import langid, linededup, merkle, minhash, mixing, packing, quality, sql, tokenfile, warc
+from . import html, langid, linededup, merkle, minhash, mixing, packing, quality, sql, tokenfile, warc
 from .registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -77,3 +77,9 @@ def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the lines that stay when near-duplicates of earlier lines go."""
     return linededup.line_report(table(spark, sf_dir, "documents"), pct=80)
+
+
+@register("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))

@@ -65,7 +65,7 @@ WITH lines AS (
 sets AS (
   SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM lines),
 eligible AS (SELECT doc_id, line_no, words, len(words) AS n FROM sets WHERE len(words) >= 5),
-firsts AS (SELECT min((doc_id, line_no)) AS pos, words, any_value(n) AS n FROM eligible GROUP BY words),
+firsts AS (SELECT min({'doc_id': doc_id, 'line_no': line_no}) AS pos, words, any_value(n) AS n FROM eligible GROUP BY words),
 tokens AS (SELECT pos, n, unnest(words) AS word FROM firsts),
 seen AS (SELECT word, count(*) AS times FROM tokens GROUP BY word),
 ranked AS (
