@@ -87,12 +87,12 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), epoch.cast("string"), doc_id.cast("string")))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[tuple, int], budget_permille: int = 600, max_epochs: int = 2,
+def mix(docs: DataFrame, domain: str, weights: dict[tuple, int], budget_permille: int = 600, max_epochs: int = 2,
         seed: int = 17) -> DataFrame:
     """The documents of a mixture: ``(doc_id, domain, lang, source, epoch, n_tokens, take_tokens)``.
 
     ``docs`` needs ``doc_id``, ``text``, ``lang`` and ``source``; ``domain`` is
-    an expression over these; other columns are ignored. Tokens are words. The
+    a SQL expression over these; other columns are ignored. Tokens are words. The
     budget is ``budget_permille`` thousandths of all tokens. A document is there
     once for each pass of its leaf; in the last, partial pass those whose
     preceding tokens are fewer than the leaf's remainder, and ``take_tokens`` is
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple, int], budget_permi
     no place in the order. An empty table gives an empty result.
     """
     leaf = ["domain", "lang", "source"]
-    slim = docs.select("doc_id", F.coalesce(domain, F.lit("unknown")).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"),
+    slim = docs.select("doc_id", F.coalesce(F.expr(domain), F.lit("unknown")).alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"),
                        F.coalesce("source", F.lit("unknown")).alias("source"), word_count(F.col("text")).alias("n_tokens"))
     slim = stored(slim.where("doc_id is not null and n_tokens > 0"), "mix-tokens")
     leaves = slim.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))

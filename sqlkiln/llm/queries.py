@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sqlkiln.sources.tables import table
 
@@ -61,7 +61,7 @@ def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Domains of the sample corpus: a source's number modulo four.
-DOMAIN = F.concat(F.lit("domain"), (F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 4).cast("string"))
+DOMAIN = "concat('domain', try_cast(regexp_extract(source, '([0-9]+)', 1) as int) % 4)"
 WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain3",): 1,
            (None, "en"): 4, (None, "de"): 2, (None, "fr"): 2, (None, "es"): 2,
            ("domain0", "en", "src0"): 2, ("domain1", "de"): 5}

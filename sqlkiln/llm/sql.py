@@ -28,7 +28,7 @@ def _share(name: str, nodes: str, parent: str, order: str) -> str:
 
 OP4 = f"""
 WITH tok AS (
-  SELECT doc_id, 'domain' || (CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 4) AS domain,
+  SELECT doc_id, coalesce('domain' || (TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 4), 'unknown') AS domain,
     coalesce(lang, 'und') AS lang, coalesce(source, 'unknown') AS source,
     len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens
   FROM documents),
