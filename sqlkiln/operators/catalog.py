@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .components import connected_components
 
 # Fixed value: table-name prefixes of Oracle demo/system tables ignored by default.
 DEFAULT_IGNORED_PREFIXES = ["MVIEW$_", "APEX$_", "DEMO_"]
@@ -182,57 +182,23 @@ def fk_table_neighbours(fks: DataFrame, cols: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_iter: int = 64) -> DataFrame:
-    """Label every vertex with the least vertex id of its component.
-
-    Min-label propagation: each round joins labels across both directions of
-    every edge and keeps the minimum (a partial aggregate, so hub vertices
-    do not pile up in one task). Lineage is cut each round with a reliable
-    ``checkpoint()`` into the session's ``spark.checkpoint.dir`` so a lost
-    executor recomputes one round, not the whole loop. Stops when no label
-    changes; the only driver traffic is one count per round.
-    """
-    spark: SparkSession = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = und.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")).checkpoint()
-    for _ in range(max_iter):
-        prop = und.join(labels.withColumnRenamed("v", "a"), "a").select(
-            F.col("b").alias("v"), "label", F.lit(None).alias("old"))
-        # The previous label rides along in the same aggregate, so "did
-        # anything change" needs no second join.
-        new = (labels.select("v", "label", F.col("label").alias("old")).unionByName(prop)
-               .groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))).checkpoint()
-        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new.select("v", "label")
-        if changed == 0:
-            break
-    return labels
-
-
 def fk_canonical_map(fks: DataFrame, cols: DataFrame) -> DataFrame:
-    """Column equivalence through FKs; representative = lowest column index.
-
-    Column index = (table position, column position) in its database,
-    encoded as one BIGINT. Only FKs whose two end columns exist take part
-    (the same rule as the FK edges of C11), found with two equi-joins
-    against the column inventory -- no graph of all columns is built.
-    True connected components (the original merges greedily and can leave
-    two sets that a later edge bridges).
+    """Column equivalence through FKs; representative = first column of the set
+    by table position, then column position, in its database.
+
+    Only FKs whose two end columns exist take part (the same rule as the FK
+    edges of C11), found with two equi-joins against the column inventory. A
+    vertex is ``(db_id, table_pos, pos)``, so databases never mix. True connected
+    components (the original merges greedily and can leave two sets that a later
+    edge bridges).
     """
-    idx = cols.select("db_id", "table_name", F.col("name").alias("column_name"),
-                      (F.col("table_pos") * 4096 + F.col("pos")).alias("cidx"))
-    i1 = idx.toDF("db_id", "from_table", "from_column", "i1")
-    i2 = idx.toDF("db_id", "to_table", "to_column", "i2")
-    pairs = (fks.join(i1, ["db_id", "from_table", "from_column"])
-             .join(i2, ["db_id", "to_table", "to_column"]).select("i1", "i2"))
-    comp = connected_components(pairs, "i1", "i2")
-    rep = idx.select(F.col("cidx").alias("label"), F.col("table_name").alias("rep_table"),
-                     F.col("column_name").alias("rep_column"))
-    return (comp.join(idx.withColumnRenamed("cidx", "v"), "v").join(rep, "label")
-            .select("db_id", "table_name", "column_name", "rep_table", "rep_column"))
+    idx = cols.select("db_id", "table_name", F.col("name").alias("column_name"), F.struct("db_id", "table_pos", "pos").alias("vertex"))
+    a = idx.toDF("db_id", "from_table", "from_column", "a")
+    b = idx.toDF("db_id", "to_table", "to_column", "b")
+    pairs = fks.join(a, ["db_id", "from_table", "from_column"]).join(b, ["db_id", "to_table", "to_column"]).select("a", "b")
+    comp = connected_components(pairs, "a", "b")
+    rep = idx.select(F.col("vertex").alias("component"), F.col("table_name").alias("rep_table"), F.col("column_name").alias("rep_column"))
+    return comp.join(idx, "vertex").join(rep, "component").select("db_id", "table_name", "column_name", "rep_table", "rep_column")
 
 
 def table_schema_default(tables: DataFrame, dialect: str, user: str | None = None) -> DataFrame:

@@ -3,11 +3,9 @@ the logarithm of the diameter."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -20,21 +18,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     component of its own; no edges, no rows. Each round is one written table
     in the shared checkpoint folder, so lineage stays short.
     """
-    spark = edges.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sqlkiln-cc-{uuid.uuid4().hex}"
     a, b = F.col(src), F.col(dst)
     e = edges.where(a.isNotNull() & b.isNotNull())
     both = F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(b.alias("u"), a.alias("v")),
                    F.struct(a.alias("u"), a.alias("v")), F.struct(b.alias("u"), b.alias("v")))
-    e = e.select(F.inline(both)).distinct()
-    e.write.parquet(f"{base}/edges")
-    e = spark.read.schema(e.schema).parquet(f"{base}/edges")
+    e = cut_lineage(e.select(F.inline(both)).distinct(), "edges")
     f = e.groupBy("u").agg(F.min("v").alias("p"))
     step = 0
     while True:
-        path = f"{base}/round={step}"
-        f.write.parquet(path)
-        f = spark.read.schema(f.schema).parquet(path)
+        f = cut_lineage(f, f"round-{step}")
         if step and f.where("moved").isEmpty():
             return f.select(F.col("u").alias("vertex"), F.col("p").alias("component"))
         step += 1

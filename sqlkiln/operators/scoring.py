@@ -1,21 +1,26 @@
 """Benchmark scoring of predicted against gold parsed queries.
 
 Parsed queries arrive as JSON text in the public benchmark's nested layout.
-One small Python helper canonicalises each query (value blinding, DISTINCT
-blinding, foreign-key column canonicalisation -- recursive, bounded by the
-query itself) inside Arrow batches; everything after that is Spark: the
-component arrays come from VARIANT paths, matching is row-local array
-arithmetic after a single join on ``example_id`` (so no shuffle per
-component), and the roll-up is one grouping-sets aggregate.
+They are taken apart into one *component table* (E1): a row per select item,
+table, condition, connector, group / order unit, limit and set operation of the
+query and of every query nested in it, found level by level until none is left.
+Everything else reads that table: values and DISTINCT are blinded by leaving
+columns out (E3, E4), columns are made canonical by a join to the foreign-key
+map on ``(db_id, column)`` (E5). The rows of an example then meet once, and the
+matchers (E6-E15) compare small arrays in place. Whether a set operation's
+branch matches at any depth is whether all rows of its subtree do, so no depth
+is special; the same holds for a subquery in a condition, whose identity is the
+list of its subtree's rows.
 """
 
+from __future__ import annotations
 
 import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import cut_lineage
 
 # Operator code lists of the parsed-query format (ordinals matter).
 WHERE_OPS = ["not", "between", "=", ">", "<", ">=", "<=", "!=", "in", "like", "is", "exists"]
@@ -32,104 +37,16 @@ EMPTY_QUERY = {"select": [False, []], "from": {"table_units": [], "conds": []},
                "having": [], "orderBy": [], "limit": None, "intersect": None, "except": None, "union": None}
 EMPTY_QUERY_JSON = json.dumps(EMPTY_QUERY, separators=(",", ":"))
 
+COND_LISTS = (("join", "$.from.conds"), ("where", "$.where"), ("having", "$.having"))
+
 
 # ---------------------------------------------------------------------------
-# Canonicalisation helper (per query, runs inside Arrow batches)
+# VARIANT access
 # ---------------------------------------------------------------------------
-def _blind_values(q):
-    """Literal values in conditions become null; nested queries are kept and blinded too."""
-    if not isinstance(q, dict):
-        return q
-
-    def cond(c):
-        out = []
-        for i, it in enumerate(c or []):
-            if i % 2 == 1:
-                out.append(it)
-                continue
-            not_op, op_id, vu, v1, v2 = it
-            out.append([not_op, op_id, vu,
-                        _blind_values(v1) if isinstance(v1, dict) else None,
-                        _blind_values(v2) if isinstance(v2, dict) else None])
-        return out
-
-    q = dict(q)
-    q["from"] = dict(q["from"], conds=cond(q["from"]["conds"]))
-    q["where"], q["having"] = cond(q["where"]), cond(q["having"])
-    for k in SQL_OPS:
-        q[k] = _blind_values(q[k])
-    return q
-
-
-def _rebuild_columns(q, kmap, valid, blind_distinct=True):
-    """FK-canonical column ids (only for columns of tables in the outer FROM)
-    and DISTINCT flags dropped. Condition values -- including subqueries in
-    them -- are left alone; set-operation branches use the outer FROM."""
-    if not isinstance(q, dict):
-        return q
-
-    def col(cu):
-        if cu is None:
-            return None
-        agg, cid, dist = cu
-        if isinstance(cid, str) and cid in kmap and cid in valid:
-            cid = kmap[cid]
-        return [agg, cid, None if blind_distinct else dist]
-
-    def val(vu):
-        return None if vu is None else [vu[0], col(vu[1]), col(vu[2])]
-
-    def cond(c):
-        return [it if i % 2 else [it[0], it[1], val(it[2]), it[3], it[4]] for i, it in enumerate(c)]
-
-    q = dict(q)
-    dist, items = q["select"]
-    q["select"] = [None if blind_distinct else dist, [[a, val(v)] for a, v in items]]
-    q["from"] = dict(q["from"], conds=cond(q["from"]["conds"]))
-    q["where"], q["having"] = cond(q["where"]), cond(q["having"])
-    q["groupBy"] = [col(c) for c in q["groupBy"]]
-    if q["orderBy"]:
-        q["orderBy"] = [q["orderBy"][0], [val(v) for v in q["orderBy"][1]]]
-    for k in SQL_OPS:
-        q[k] = _rebuild_columns(q[k], kmap, valid, blind_distinct)
-    return q
-
-
-def canonical_query(text, kmap=None, blind_values=True, blind_distinct=True):
-    """JSON text -> canonical JSON text; None when the text does not parse."""
-    try:
-        q = json.loads(text)
-        if not isinstance(q, dict) or "select" not in q:
-            return None
-    except Exception:  # noqa: BLE001
-        return None
-    kmap = {str(k).lower(): str(v).lower() for k, v in (kmap or {}).items()}
-    prefixes = {tu[1][:-2] for tu in q["from"]["table_units"] if tu[0] == "table_unit" and isinstance(tu[1], str)}
-    valid = {c for c in kmap if "." in c and c[:c.index(".")] in prefixes}
-    if blind_values:
-        q = _blind_values(q)
-    q = _rebuild_columns(q, kmap, valid, blind_distinct)
-    return json.dumps(q, separators=(",", ":"))
-
-
-def canonicalize(text: Column, kmap: Column) -> Column:
-    """E3+E4+E5 as an Arrow-batched pandas UDF over (json, kmap)."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def _canon(texts: pd.Series, maps: pd.Series) -> pd.Series:
-        def to_dict(m):
-            if m is None:
-                return {}
-            return dict(m) if not isinstance(m, dict) else m
-        return pd.Series([canonical_query(t, to_dict(m)) if t is not None else None for t, m in zip(texts, maps)])
-
-    return _canon(text, kmap)
+def _get(v: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(v, path, kind)
 
 
-# ---------------------------------------------------------------------------
-# Components from VARIANT
-# ---------------------------------------------------------------------------
 def _arr(q: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(q, path, "array<variant>"), F.array().cast("array<variant>"))
 
@@ -138,6 +55,10 @@ def _is_null(v: Column) -> Column:
     return v.isNull() | F.is_variant_null(v)
 
 
+def _is_query(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def _even(a: Column) -> Column:
     return F.filter(a, lambda x, i: i % 2 == 0)
 
@@ -146,141 +67,296 @@ def _odd(a: Column) -> Column:
     return F.filter(a, lambda x, i: i % 2 == 1)
 
 
-def _txt(a: Column) -> Column:
-    return F.transform(a, lambda x: F.to_json(x))
+def _sub(q: Column, key: str) -> Column:
+    return F.try_variant_get(q, f"$.{key}", "variant")
 
 
-def _msi(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two string arrays (row-local)."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(
-        F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+# ---------------------------------------------------------------------------
+# Alignment and failures
+# ---------------------------------------------------------------------------
+def _parses(text: str) -> Column:
+    return F.coalesce(F.try_parse_json(text).isNotNull() & F.col(text).startswith("{"), F.lit(False))
 
 
-def _sub(q: Column, key: str) -> Column:
-    return F.try_variant_get(q, f"$.{key}", "variant")
+def align(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """E21 + E20: gold rows joined to predictions by id (never by position).
+
+    ``pred_failed``: missing or unparsable, scored as the empty query.
+    ``gold_failed``: an unparsable gold query; it is reported and not scored.
+    """
+    j = gold.join(pred.select("example_id", "pred_json"), "example_id", "left")
+    return j.withColumn("pred_failed", ~_parses("pred_json")).withColumn("gold_failed", ~_parses("gold_json"))
+
+
+def sides(aligned: DataFrame) -> DataFrame:
+    """``(example_id, db_id, side, outer_tables, q)``: both parsed queries of each
+    scorable example, and the tables of their FROM in the notation of columns."""
+    pred = F.when(F.col("pred_failed"), F.lit(EMPTY_QUERY_JSON)).otherwise(F.col("pred_json"))
+    two = F.array(F.struct(F.lit("gold").alias("side"), F.col("gold_json").alias("j")),
+                  F.struct(F.lit("pred").alias("side"), pred.alias("j")))
+    return (aligned.where("not gold_failed").select("example_id", "db_id", F.inline(two))
+            .select("example_id", "db_id", "side", F.parse_json("j").alias("q"))
+            .select("example_id", "db_id", "side", F.transform(
+                F.filter(_arr(F.col("q"), "$.from.table_units"), lambda u: _get(u, "$[0]", "string") == "table_unit"),
+                lambda u: F.regexp_replace(_get(u, "$[1]", "string"), "__$", "")).alias("outer_tables"), "q"))
+
+
+# ---------------------------------------------------------------------------
+# Nested queries (E2) and the component table
+# ---------------------------------------------------------------------------
+def children(q: Column, path: Column) -> Column:
+    """The queries directly inside ``q`` as structs ``(path, q)``.
+
+    Set operations by name; subqueries in conditions by clause, position and
+    slot (``where0.3``); subqueries in FROM by position.
+    """
+    kind = "array<struct<path:string,q:variant>>"
+    found = [F.filter(F.array(*[F.struct(F.concat(path, F.lit(f"/{k}")).alias("path"), _sub(q, k).alias("q")) for k in SQL_OPS]),
+                      lambda s: ~_is_null(s["q"]))]
+
+    def inside(clause: str, where: str, slot: int) -> Column:
+        values = F.transform(_arr(q, where), lambda u, i: F.struct(
+            F.concat(path, F.lit(f"/{clause}"), i.cast("string"), F.lit(f".{slot}")).alias("path"), _get(u, f"$[{slot}]", "variant").alias("q")))
+        return F.filter(values, lambda s: _is_query(s["q"]))
+
+    found += [inside(clause, where, slot) for clause, where in COND_LISTS for slot in (3, 4)]
+    tables = F.transform(_arr(q, "$.from.table_units"), lambda u, i: F.struct(
+        F.concat(path, F.lit("/from"), i.cast("string")).alias("path"), _get(u, "$[1]", "variant").alias("q")))
+    found.append(F.filter(tables, lambda s: _is_query(s["q"])))
+    return F.concat(*[f.cast(kind) for f in found])
+
+
+def query_tree(queries: DataFrame) -> DataFrame:
+    """Every query with its ``path`` ('' for the outermost) and ``scope``.
+
+    ``scope`` is 'main' for the outermost query and branches of its set
+    operations, 'nested' for anything else. One level of nesting per round,
+    until a round finds nothing; each level is written once.
+    """
+    level = tree = cut_lineage(queries.withColumn("path", F.lit("")), "level-0")
+    depth = 0
+    while True:
+        depth += 1
+        keys = [c for c in level.columns if c not in ("path", "q")]
+        level = cut_lineage(level.select(*keys, F.inline(children(F.col("q"), F.col("path")))), f"level-{depth}")
+        if level.isEmpty():
+            break
+        tree = tree.unionByName(level)
+    main = F.col("path").rlike("^(/(" + "|".join(SQL_OPS) + "))*$")
+    return tree.withColumn("scope", F.when(main, "main").otherwise("nested"))
+
+
+_FIELDS = {"clause": "string", "pos": "int", "word": "string", "agg": "int", "not_op": "boolean", "op": "int", "uop": "int",
+           "a1": "int", "c1": "string", "d1": "boolean", "a2": "int", "c2": "string", "d2": "boolean",
+           "v1": "string", "v2": "string", "q1": "boolean", "q2": "boolean"}
+_ROW = "array<struct<" + ",".join(f"{k}:{t}" for k, t in _FIELDS.items()) + ">>"
+
+
+def _row(**known) -> Column:
+    return F.struct(*[known.get(k, F.lit(None)).cast(t).alias(k) for k, t in _FIELDS.items()])
+
+
+def _val_unit(vu: Column) -> dict[str, Column]:
+    out = {"uop": _get(vu, "$[0]", "int")}
+    for n in ("1", "2"):
+        out |= {f"a{n}": _get(vu, f"$[{n}][0]", "int"), f"c{n}": _get(vu, f"$[{n}][1]", "string"), f"d{n}": _get(vu, f"$[{n}][2]", "boolean")}
+    return out
 
 
-def keywords(q: Column) -> Column:
-    """Keyword set of one query."""
-    units = F.concat(_even(_arr(q, "$.from.conds")), _even(_arr(q, "$.where")), _even(_arr(q, "$.having")))
-    conns = F.concat(_odd(_arr(q, "$.from.conds")), _odd(_arr(q, "$.where")), _odd(_arr(q, "$.having")))
-    order = _arr(q, "$.orderBy")
-    ops = F.transform(units, lambda u: F.try_variant_get(u, "$[1]", "int"))
-    kws = [
-        F.when(F.size(_arr(q, "$.where")) > 0, F.lit("where")),
-        F.when(F.size(_arr(q, "$.groupBy")) > 0, F.lit("group")),
-        F.when(F.size(_arr(q, "$.having")) > 0, F.lit("having")),
-        F.when(F.size(order) > 0, F.try_variant_get(q, "$.orderBy[0]", "string")),
-        F.when(F.size(order) > 0, F.lit("order")),
-        F.when(~_is_null(_sub(q, "limit")), F.lit("limit")),
-        F.when(~_is_null(_sub(q, "except")), F.lit("except")),
-        F.when(~_is_null(_sub(q, "union")), F.lit("union")),
-        F.when(~_is_null(_sub(q, "intersect")), F.lit("intersect")),
-        F.when(F.exists(conns, lambda c: F.try_variant_get(c, "$", "string") == "or"), F.lit("or")),
-        F.when(F.exists(units, lambda u: F.coalesce(F.try_variant_get(u, "$[0]", "boolean"), F.lit(False))), F.lit("not")),
-        F.when(F.exists(ops, lambda o: o == WHERE_OPS.index("in")), F.lit("in")),
-        F.when(F.exists(ops, lambda o: o == WHERE_OPS.index("like")), F.lit("like")),
+def _value(u: Column, slot: int) -> dict[str, Column]:
+    v = _get(u, f"$[{slot}]", "variant")
+    n = slot - 2
+    return {f"v{n}": F.when(~_is_null(v), F.to_json(v)), f"q{n}": _is_query(v)}
+
+
+def components(tree: DataFrame) -> DataFrame:
+    """The rows of every query in ``tree``; see ``_FIELDS``.
+
+    Conditions alternate with connectors: clause ``where`` has the units,
+    ``where:and/or`` the words between them, at their places in the list (so
+    for joins and HAVING). ``v1`` / ``v2`` are values as JSON, ``q1`` / ``q2``
+    say whether they are subqueries.
+    """
+    q = F.col("q")
+    parts = [
+        F.array(_row(clause=F.lit("distinct"), pos=F.lit(0), word=_get(q, "$.select[0]", "string"))),
+        F.transform(_arr(q, "$.select[1]"), lambda u, i: _row(clause=F.lit("select"), pos=i, agg=_get(u, "$[0]", "int"),
+                                                              **_val_unit(_get(u, "$[1]", "variant")))),
+        F.transform(_arr(q, "$.from.table_units"), lambda u, i: _row(
+            clause=F.lit("from"), pos=i, word=_get(u, "$[0]", "string"), c1=F.when(~_is_query(_get(u, "$[1]", "variant")), _get(u, "$[1]", "string")),
+            v1=F.to_json(_get(u, "$[1]", "variant")), q1=_is_query(_get(u, "$[1]", "variant")))),
     ]
-    return F.array_distinct(F.filter(F.array(*kws), lambda k: k.isNotNull()))
 
+    def conditions(clause: str, path: str) -> Column:
+        return F.transform(_arr(q, path), lambda u, i: F.when(i % 2 == 0, _row(
+            clause=F.lit(clause), pos=i, not_op=_get(u, "$[0]", "boolean"), op=_get(u, "$[1]", "int"),
+            **_val_unit(_get(u, "$[2]", "variant")), **_value(u, 3), **_value(u, 4)))
+            .otherwise(_row(clause=F.lit(f"{clause}:and/or"), pos=i, word=_get(u, "$", "string"))))
+
+    parts += [conditions(clause, path) for clause, path in COND_LISTS]
+    parts += [
+        F.transform(_arr(q, "$.groupBy"), lambda c, i: _row(clause=F.lit("group"), pos=i, a1=_get(c, "$[0]", "int"),
+                                                            c1=_get(c, "$[1]", "string"), d1=_get(c, "$[2]", "boolean"))),
+        F.transform(_arr(q, "$.orderBy[1]"), lambda vu, i: _row(clause=F.lit("order"), pos=i, word=_get(q, "$.orderBy[0]", "string"),
+                                                                **_val_unit(vu))),
+        F.when(~_is_null(_sub(q, "limit")), F.array(_row(clause=F.lit("limit"), pos=F.lit(0), v1=F.to_json(_sub(q, "limit")))))
+        .otherwise(F.array().cast(_ROW)),
+        F.filter(F.array(*[F.when(~_is_null(_sub(q, k)), _row(clause=F.lit("set"), pos=F.lit(i), word=F.lit(k)))
+                           for i, k in enumerate(SQL_OPS)]), lambda r: r.isNotNull()),
+    ]
+    keys = [c for c in tree.columns if c != "q"]
+    return tree.select(*keys, F.inline(F.concat(*[p.cast(_ROW) for p in parts])))
 
-def _scores(cnt: Column, pred_total: Column, label_total: Column) -> Column:
-    one = (pred_total == label_total) & (cnt == pred_total)
-    v = F.when(one, F.lit(1)).otherwise(F.lit(0))
-    return F.struct(v.alias("acc"), v.alias("rec"), v.alias("f1"), label_total.alias("label_total"),
-                    pred_total.alias("pred_total"))
 
+# ---------------------------------------------------------------------------
+# Blinding (E3, E4) and canonical columns (E5): columns of the component table
+# ---------------------------------------------------------------------------
+def blind_values(comp: DataFrame) -> DataFrame:
+    """Literals of conditions become null, everywhere; subqueries stay (their rows are blinded too)."""
+    cond = F.col("clause").isin(*[c for c, _ in COND_LISTS])
+    return comp.withColumns({f"v{n}": F.when(~cond | F.col(f"q{n}"), F.col(f"v{n}")) for n in (1, 2)})
 
-def with_components(df: DataFrame, q: str, px: str) -> DataFrame:
-    """E1 for one side: the component arrays of the canonical query in ``q``
-    as plain columns ``<px>_...`` (computed once, reused by every matcher)."""
-    v = F.col(q)
-    sel = _arr(v, "$.select[1]")
-    w = _even(_arr(v, "$.where"))
-    gc = F.transform(_arr(v, "$.groupBy"), lambda c: F.try_variant_get(c, "$[1]", "string"))
-    return df.select(
-        "*",
-        _txt(sel).alias(f"{px}_sel"),
-        F.transform(sel, lambda u: F.to_json(F.try_variant_get(u, "$[1]", "variant"))).alias(f"{px}_selv"),
-        _txt(w).alias(f"{px}_w"),
-        F.transform(w, lambda u: F.to_json(F.try_variant_get(u, "$[2]", "variant"))).alias(f"{px}_wv"),
-        gc.alias(f"{px}_gc"),
-        F.to_json(_sub(v, "having")).alias(f"{px}_having"),
-        F.size(_arr(v, "$.orderBy")).alias(f"{px}_n_order"),
-        F.to_json(_sub(v, "orderBy")).alias(f"{px}_order"),
-        (~_is_null(_sub(v, "limit"))).alias(f"{px}_limit"),
-        F.array_sort(F.array_distinct(F.transform(_odd(_arr(v, "$.where")),
-                                                  lambda c: F.try_variant_get(c, "$", "string")))).alias(f"{px}_ao"),
-        keywords(v).alias(f"{px}_kw"),
-        F.array_sort(_txt(_arr(v, "$.from.table_units"))).alias(f"{px}_tu"),
-        *[(~_is_null(_sub(v, k))).alias(f"{px}_has_{k}") for k in SQL_OPS])
-
-
-def partial_scores(iuen_cnt: Column | None = None) -> Column:
-    """E6-E13 + E15 over the columns of ``with_components`` (prefixes p, g):
-    the ten components as structs (type, acc, rec, f1, label_total,
-    pred_total) in the fixed order. ``iuen_cnt`` is the number of exactly
-    matching set-operation branches (scored as their own rows)."""
-    c = F.col
-    n = F.size
-    strip_tbl = lambda a: F.transform(a, lambda x: F.when(x.contains("."), F.split_part(x, F.lit("."), F.lit(2))).otherwise(x))
-    sel = _scores(_msi(c("p_sel"), c("g_sel")), n("p_sel"), n("g_sel"))
-    sel_na = _scores(_msi(c("p_selv"), c("g_selv")), n("p_sel"), n("g_sel"))
-    whr = _scores(_msi(c("p_w"), c("g_w")), n("p_w"), n("g_w"))
-    whr_no = _scores(_msi(c("p_wv"), c("g_wv")), n("p_w"), n("g_w"))
-    grp = _scores(_msi(strip_tbl(c("p_gc")), strip_tbl(c("g_gc"))), n("p_gc"), n("g_gc"))
-    p_has_g, g_has_g = (n("p_gc") > 0).cast("int"), (n("g_gc") > 0).cast("int")
-    hav_hit = (p_has_g == 1) & (g_has_g == 1) & (c("p_gc") == c("g_gc")) & (c("p_having") == c("g_having"))
-    hav = _scores(F.when(hav_hit, 1).otherwise(0), p_has_g, g_has_g)
-    p_has_o, g_has_o = (c("p_n_order") > 0).cast("int"), (c("g_n_order") > 0).cast("int")
-    ord_hit = (g_has_o == 1) & (c("p_order") == c("g_order")) & (c("p_limit") == c("g_limit"))
-    order = _scores(F.when(ord_hit, 1).otherwise(0), p_has_o, g_has_o)
-    # When the connector sets differ the totals come back in swapped order.
-    andor = F.when(c("p_ao") == c("g_ao"), _scores(F.lit(1), F.lit(1), F.lit(1))).otherwise(
-        _scores(F.lit(0), n("g_ao"), n("p_ao")))
-    pt = sum(c(f"p_has_{k}").cast("int") for k in SQL_OPS)
-    lt = sum(c(f"g_has_{k}").cast("int") for k in SQL_OPS)
-    iuen = _scores(F.coalesce(iuen_cnt, F.lit(0)) if iuen_cnt is not None else F.lit(0), pt, lt)
-    kw = _scores(n(F.array_intersect(c("p_kw"), c("g_kw"))), n("p_kw"), n("g_kw"))
-    parts = [sel, sel_na, whr, whr_no, grp, hav, order, andor, iuen, kw]
-    return F.array(*[F.struct(F.lit(t).alias("type"), s["acc"].alias("acc"), s["rec"].alias("rec"),
-                              s["f1"].alias("f1"), s["label_total"].alias("label_total"),
-                              s["pred_total"].alias("pred_total")) for t, s in zip(PARTIAL_TYPES, parts)])
-
-
-def exact_from(parts: Column) -> Column:
-    """Every partial f1 is 1 and, when the gold query has FROM units,
-    the sorted units are equal."""
-    tables_ok = (F.size("g_tu") == 0) | (F.col("g_tu") == F.col("p_tu"))
-    return F.when(F.forall(parts, lambda s: s["f1"] == 1) & tables_ok, 1).otherwise(0)
-
-
-def score_pairs(df: DataFrame, key: list[str], depth: int = 2) -> DataFrame:
-    """Partial and exact scores for canonical variant pairs (columns p, g).
-
-    E12: set-operation branches present on both sides are scored as their
-    own rows first (bottom-up, to ``depth`` levels; below that a branch
-    matches only when its canonical text is equal), then counted back.
+
+def blind_distinct(comp: DataFrame) -> DataFrame:
+    """DISTINCT marks become null in the main query, not in subqueries."""
+    main = F.col("scope") == "main"
+    return comp.withColumns({"d1": F.when(~main, F.col("d1")), "d2": F.when(~main, F.col("d2")),
+                             "word": F.when(~(main & (F.col("clause") == "distinct")), F.col("word"))})
+
+
+def column_map(canon_map: DataFrame) -> DataFrame:
+    """C13 in the notation of parsed queries: ``(db_id, col, rep)``, one row per column."""
+    def name(t, c):
+        return F.lower(F.concat(F.lit("__"), t, F.lit("."), c, F.lit("__")))
+    return canon_map.groupBy("db_id", name("table_name", "column_name").alias("col")).agg(F.min(name("rep_table", "rep_column")).alias("rep"))
+
+
+def canonical_columns(comp: DataFrame, kmap: DataFrame) -> DataFrame:
+    """E5: columns of the main query replaced by their foreign-key representative.
+
+    Only columns of tables in the outermost FROM count, also in branches of set
+    operations. Rows without such a column carry a key that matches nothing and
+    spreads them evenly.
     """
-    comp = with_components(with_components(df, "p", "p"), "g", "g")
-    if depth > 0:
-        subs = []
-        for k in SQL_OPS:
-            subs.append(df.select(*key, F.lit(k).alias(f"_op{depth}"), _sub(F.col("p"), k).alias("p"),
-                                  _sub(F.col("g"), k).alias("g"))
-                        .where(~_is_null(F.col("p")) & ~_is_null(F.col("g"))))
-        nested = subs[0].unionByName(subs[1]).unionByName(subs[2])
-        nk = key + [f"_op{depth}"]
-        inner = score_pairs(nested, nk, depth - 1).groupBy(*key).agg(F.sum("exact").alias("_iuen"))
-        comp = comp.join(inner, key, "left")
-        parts = partial_scores(F.col("_iuen"))
-    else:
-        eq = sum(F.when(F.col(f"p_has_{k}") & F.col(f"g_has_{k}")
-                        & (F.to_json(_sub(F.col("p"), k)) == F.to_json(_sub(F.col("g"), k))), 1).otherwise(0)
-                 for k in SQL_OPS)
-        parts = partial_scores(eq)
-    scored = comp.select(*key, parts.alias("partial"), "p_tu", "g_tu")
-    return scored.select(*key, "partial", exact_from(F.col("partial")).alias("exact"))
+    for n in ("1", "2"):
+        col = F.col(f"c{n}")
+        usable = F.coalesce((F.col("scope") == "main") & (F.col("clause") != "from") & col.contains(".")
+                            & F.array_contains("outer_tables", F.split_part(col, F.lit("."), F.lit(1))), F.lit(False))
+        comp = (comp.withColumn("key", F.when(usable, col).otherwise(F.concat(F.lit("#"), F.col("example_id").cast("string"))))
+                .join(kmap.select("db_id", F.col("col").alias("key"), "rep"), ["db_id", "key"], "left")
+                .withColumn(f"c{n}", F.coalesce("rep", col)).drop("rep", "key"))
+    return comp
+
+
+# ---------------------------------------------------------------------------
+# Matching (E6-E15)
+# ---------------------------------------------------------------------------
+def _join(*parts: Column) -> Column:
+    return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
+
+
+def examples(comp: DataFrame) -> DataFrame:
+    """One row per example: ``parts``, all component rows of both sides as texts.
+
+    ``full`` is what a row says, ``part`` the same without its aggregate or
+    operator, ``kw`` the keywords it brings to its query.
+    """
+    c = F.col
+    unit = _join(c("uop"), c("a1"), c("c1"), c("d1"), c("a2"), c("c2"), c("d2"))
+    cond = c("clause").isin(*[x for x, _ in COND_LISTS])
+    # a subquery's own rows say what it is; its text does not
+    v1, v2 = (F.when(c(f"q{n}") & cond, F.lit("?")).otherwise(c(f"v{n}")) for n in (1, 2))
+    full = (F.when(c("clause") == "select", _join(c("agg"), unit)).when(cond, _join(c("not_op"), c("op"), unit, v1, v2))
+            .when(c("clause") == "from", _join(c("word"), c("v1"))).when(c("clause") == "limit", _join(c("v1")))
+            .when(c("clause") == "group", _join(c("a1"), c("c1"), c("d1"))).when(c("clause") == "order", _join(c("word"), unit))
+            .otherwise(_join(c("word"))))
+    part = F.when(c("clause") == "group", c("c1")).otherwise(unit)
+    kw = F.filter(F.array(
+        F.when(c("clause").isin("where", "group", "having", "limit", "order"), c("clause")),
+        F.when(c("clause").isin("order", "set"), c("word")),
+        F.when(c("clause").endswith(":and/or") & (c("word") == "or"), F.lit("or")),
+        F.when(cond & c("not_op"), F.lit("not")),
+        F.when(cond & (c("op") == WHERE_OPS.index("in")), F.lit("in")),
+        F.when(cond & (c("op") == WHERE_OPS.index("like")), F.lit("like"))), lambda k: k.isNotNull())
+    rows = F.struct("path", "clause", "pos", "side", "scope", full.alias("full"), part.alias("part"), kw.alias("kw"), c("word").alias("word"))
+    return comp.groupBy("example_id").agg(F.array_sort(F.collect_list(rows)).alias("parts"))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two string arrays."""
+    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(
+        F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+
+
+def _score(kind: str, hits: Column, pred_total: Column, label_total: Column) -> Column:
+    v = F.when((pred_total == label_total) & (hits == pred_total), 1).otherwise(0)
+    return F.struct(F.lit(kind).alias("type"), v.alias("acc"), v.alias("rec"), v.alias("f1"),
+                    label_total.cast("int").alias("label_total"), pred_total.cast("int").alias("pred_total"))
+
+
+def score_queries(ex: DataFrame) -> DataFrame:
+    """``(example_id, path, partial, exact)`` for every main query: the outermost and all set-operation branches."""
+    arr = F.array().cast("array<string>")
+    # Conditions with a subquery carry the rows of its subtree as part of their text.
+    def spelled(r: Column) -> Column:
+        at = F.concat(r["path"], F.lit("/"), r["clause"], r["pos"].cast("string"), F.lit("."))
+        own = F.filter("parts", lambda s: (s["side"] == r["side"]) & s["path"].startswith(at))
+        below = F.transform(own, lambda s: F.concat_ws("|", F.substr(s["path"], F.length(at) + 1), s["clause"], s["pos"].cast("string"), s["full"]))
+        return F.concat_ws("\n", F.array(r["full"]), below)
+    ex = ex.withColumn("rows", F.transform(F.filter("parts", lambda r: r["scope"] == "main"), lambda r: F.struct(
+        r["path"].alias("path"), r["clause"].alias("clause"), r["side"].alias("side"), r["part"].alias("part"), r["kw"].alias("kw"),
+        r["word"].alias("word"), F.when(r["full"].contains("?"), spelled(r)).otherwise(r["full"]).alias("full"))))
+    q = ex.select("example_id", "rows", F.explode(F.array_distinct(F.transform("rows", lambda r: r["path"]))).alias("path"))
+    q = q.withColumn("rows", F.filter("rows", lambda r: r["path"] == F.col("path")))
+
+    names = ["select", "from", "where", "where:and/or", "having", "having:and/or", "group", "order", "limit", "set", "distinct"]
+
+
+    def of(side: str, name: str | None = None) -> Column:
+        return F.filter("rows", lambda r: (r["side"] == side) & (r["clause"] == name if name else F.lit(True)))
+
+    staged = {f"{side[0]}_{name}": of(side, name) for side in ("gold", "pred") for name in names}
+    staged |= {f"{side[0]}_kw": F.array_distinct(F.flatten(F.transform(of(side), lambda r: r["kw"]))) for side in ("gold", "pred")}
+    q = q.select("example_id", "path", *[v.alias(k) for k, v in staged.items()])
+    c = lambda k: F.col(f"`{k}`")
+    texts = lambda k: F.transform(c(k), lambda r: r["full"])
+    parts_of = lambda k: F.transform(c(k), lambda r: r["part"])
+    words = lambda k: F.transform(c(k), lambda r: r["word"])
+    size = lambda k: F.size(c(k))
+    column_name = lambda a: F.transform(a, lambda x: F.when(x.contains("."), F.split_part(x, F.lit("."), F.lit(2))).otherwise(x))
+    some = lambda k: (size(k) > 0).cast("int")
+    same = lambda *ks: F.concat(*[texts(f"p_{k}") for k in ks]) == F.concat(*[texts(f"g_{k}") for k in ks])
+    group_hit = (size("p_group") > 0) & (size("g_group") > 0) & (parts_of("p_group") == parts_of("g_group")) & same("having") & same("having:and/or")
+    order_hit = (size("g_order") > 0) & same("order") & (some("p_limit") == some("g_limit"))
+    p_ao, g_ao = (F.array_sort(F.array_distinct(words(f"{x}_where:and/or"))) for x in ("p", "g"))
+    and_or = F.when(p_ao == g_ao, _score("and/or", F.lit(1), F.lit(1), F.lit(1))).otherwise(
+        _score("and/or", F.lit(0), F.size(g_ao), F.size(p_ao)))      # totals of unequal sets come back the other way round
+    local = [
+        _score("select", _common(texts("p_select"), texts("g_select")), size("p_select"), size("g_select")),
+        _score("select(no AGG)", _common(parts_of("p_select"), parts_of("g_select")), size("p_select"), size("g_select")),
+        _score("where", _common(texts("p_where"), texts("g_where")), size("p_where"), size("g_where")),
+        _score("where(no OP)", _common(parts_of("p_where"), parts_of("g_where")), size("p_where"), size("g_where")),
+        _score("group(no Having)", _common(column_name(parts_of("p_group")), column_name(parts_of("g_group"))), size("p_group"), size("g_group")),
+        _score("group", F.when(group_hit, 1).otherwise(0), some("p_group"), some("g_group")),
+        _score("order", F.when(order_hit, 1).otherwise(0), some("p_order"), some("g_order")),
+        and_or,
+        _score("keywords", F.size(F.array_intersect(c("p_kw"), c("g_kw"))), size("p_kw"), size("g_kw")),
+    ]
+    tables = (size("g_from") == 0) | (F.array_sort(texts("p_from")) == F.array_sort(texts("g_from")))
+    q = q.select("example_id", "path", F.array(*local).alias("local"), tables.alias("tables"),
+                 F.array_sort(F.coalesce(words("p_set"), arr)).alias("p_ops"), F.array_sort(F.coalesce(words("g_set"), arr)).alias("g_ops"))
+    good = F.forall("local", lambda s: s["f1"] == 1) & F.col("tables") & (F.col("p_ops") == F.col("g_ops"))
+    q = q.withColumn("good", good)
+    # A query matches exactly when it and every set-operation branch below it are good.
+    per = q.groupBy("example_id").agg(F.collect_list(F.struct("path", "good", "local", "p_ops", "g_ops")).alias("qs"))
+    whole = lambda path: F.forall(F.filter("qs", lambda s: (s["path"] == path) | s["path"].startswith(F.concat(path, F.lit("/")))),
+                                  lambda s: s["good"])
+    one = per.select("example_id", "qs", F.inline("qs"))
+    both = F.array_intersect("p_ops", "g_ops")
+    hits = F.size(F.filter(both, lambda k: whole(F.concat(F.col("path"), F.lit("/"), k))))
+    iuen = _score("IUEN", hits, F.size("p_ops"), F.size("g_ops"))
+    partial = F.concat(F.slice("local", 1, 8), F.array(iuen), F.slice("local", 9, 1))
+    return one.select("example_id", "path", partial.alias("partial"), whole(F.col("path")).cast("int").alias("exact"))
 
 
 # ---------------------------------------------------------------------------
@@ -310,7 +386,7 @@ def with_hardness(df: DataFrame, g: str, out: str = "hardness") -> DataFrame:
         "*",
         F.concat(_even(c("_fc")), _even(c("_w")), _even(c("_hav"))).alias("_units"),
         F.concat(_odd(c("_fc")), _odd(c("_w")), _odd(c("_hav"))).alias("_conns"))
-    is_obj = lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull()
+    is_obj = _is_query
 
     def first_nonzero(a):
         # "has an aggregate" = first element is not 0: agg ids, NOT flags, and
@@ -346,83 +422,86 @@ def with_hardness(df: DataFrame, g: str, out: str = "hardness") -> DataFrame:
 # ---------------------------------------------------------------------------
 # Job level
 # ---------------------------------------------------------------------------
-def fk_kmap(canon_map: DataFrame) -> DataFrame:
-    """Per database: ``"__table.column__" -> "__rep_table.rep_column__"`` (from C13)."""
-    k = F.lower(F.concat(F.lit("__"), "table_name", F.lit("."), "column_name", F.lit("__")))
-    v = F.lower(F.concat(F.lit("__"), "rep_table", F.lit("."), "rep_column", F.lit("__")))
-    one = canon_map.groupBy("db_id", k.alias("k")).agg(F.min(v).alias("v"))     # one entry per column id
-    return one.groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("kmap"))
+def prepared(aligned: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
+    """The component table to be scored. ``values`` / ``distinct``: compare them, too."""
+    tree = query_tree(sides(aligned))
+    comp = components(tree)
+    if not values:
+        comp = blind_values(comp)
+    if not distinct:
+        comp = blind_distinct(comp)
+    return comp if kmap is None else canonical_columns(comp, kmap)
 
 
-def align(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """E21 + E20: gold rows joined to predictions by id (never by position);
-    a missing or unparsable prediction is scored as the empty query."""
-    j = gold.join(pred.select("example_id", "pred_json"), "example_id", "left")
-    ok = F.try_parse_json("pred_json").isNotNull() & F.col("pred_json").startswith("{")
-    return j.withColumn("pred_failed", ~F.coalesce(ok, F.lit(False)))
+def hardness(gold: DataFrame) -> DataFrame:
+    """``(example_id, hardness)`` of gold queries alone."""
+    ok = gold.where(_parses("gold_json")).select("example_id", F.parse_json("gold_json").alias("q"))
+    return with_hardness(ok, "q").select("example_id", "hardness")
 
 
-def score_examples(gold: DataFrame, pred: DataFrame, kmap: DataFrame | None = None) -> DataFrame:
-    """Per example: hardness, exact, and the ten partial components."""
-    ship_package(gold.sparkSession)
+def score_examples(gold: DataFrame, pred: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
+    """Per scorable example: hardness, exact match and the ten partial components."""
     a = align(gold, pred)
-    if kmap is not None:
-        a = a.join(kmap, "db_id", "left")
+    s = score_queries(examples(prepared(a, kmap, values, distinct))).where("path = ''").drop("path")
+    return a.where("not gold_failed").select("example_id", "db_id", "pred_failed").join(hardness(gold), "example_id").join(s, "example_id")
+
+
+def score_rollup(scored: DataFrame, executed: DataFrame | None = None) -> DataFrame:
+    """Every level and ``all``, with rows or without: count, exact, exec and,
+    per component, acc / rec averaged over examples with pred / label totals > 0.
+
+    f1 comes from the unrounded means and is 1 when both are 0; a level without
+    rows has zeros throughout. ``executed``: ``(example_id, exec_match)`` of E16;
+    an example it lacks counts as a failure, and without it ``exec`` is null.
+    """
+    if executed is not None:
+        scored = scored.join(executed.select("example_id", "exec_match"), "example_id", "left")
+        ran = F.coalesce("exec_match", F.lit(False)).cast("double")
     else:
-        a = a.withColumn("kmap", F.lit(None).cast("map<string,string>"))
-    pj = F.when(F.col("pred_failed"), F.lit(EMPTY_QUERY_JSON)).otherwise(F.col("pred_json"))
-    c = a.select("example_id", "db_id", "pred_failed", F.parse_json("gold_json").alias("graw"),
-                 canonicalize(F.col("gold_json"), F.col("kmap")).alias("gc"), canonicalize(pj, F.col("kmap")).alias("pc"))
-    v = with_hardness(c, "graw").select("example_id", "db_id", "pred_failed", "hardness",
-                                        F.parse_json("gc").alias("g"), F.parse_json("pc").alias("p"))
-    from ..session import cut_lineage
-    v = cut_lineage(v)        # canonical variants feed the main and the nested scoring
-    s = score_pairs(v.select("example_id", "p", "g"), ["example_id"])
-    return v.select("example_id", "db_id", "pred_failed", "hardness").join(s, "example_id")
-
-
-def score_rollup(scored: DataFrame) -> DataFrame:
-    """Per level and for all -- count, exact, and per component acc/rec
-    averaged over examples with pred/label totals > 0, f1 recomputed from the
-    means (1 when both means are 0)."""
-    long = scored.select("example_id", "hardness", "exact", F.inline("partial"))
-    sets = long.groupingSets([["hardness", "type"], ["type"]], "hardness", "type").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("exact").alias("exact"),
-        F.sum(F.when(F.col("pred_total") > 0, F.col("acc"))).alias("acc_sum"),
-        F.count(F.when(F.col("pred_total") > 0, 1)).alias("acc_count"),
-        F.sum(F.when(F.col("label_total") > 0, F.col("rec"))).alias("rec_sum"),
-        F.count(F.when(F.col("label_total") > 0, 1)).alias("rec_count"))
-    acc = F.when(F.col("acc_count") > 0, F.col("acc_sum") / F.col("acc_count")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("rec_count") > 0, F.col("rec_sum") / F.col("rec_count")).otherwise(F.lit(0.0))
-    out = sets.select(F.coalesce("hardness", F.lit("all")).alias("level"), "type", "count",
-                      F.round("exact", 6).alias("exact"), F.round(acc, 6).alias("acc"), F.round(rec, 6).alias("rec"))
-    f1 = F.when((F.col("acc") == 0) & (F.col("rec") == 0), F.lit(1.0)).otherwise(
-        2.0 * F.col("acc") * F.col("rec") / (F.col("acc") + F.col("rec")))
-    return out.withColumn("f1", F.round(f1, 6))
+        ran = F.lit(None).cast("double")
+    rows = scored.withColumn("ran", ran).select("exact", "ran", F.explode(F.array("hardness", F.lit("all"))).alias("level"), F.inline("partial"))
+    sums = rows.groupBy("level", "type").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("exact").alias("exact"), F.avg("ran").alias("exec"),
+        F.avg(F.when(F.col("pred_total") > 0, F.col("acc"))).alias("acc"), F.avg(F.when(F.col("label_total") > 0, F.col("rec"))).alias("rec"))
+    spark = scored.sparkSession
+    grid = spark.createDataFrame([(x, t) for x in LEVELS for t in PARTIAL_TYPES], "level string, type string")
+    out = grid.join(sums, ["level", "type"], "left")
+    acc, rec = F.coalesce("acc", F.lit(0.0)), F.coalesce("rec", F.lit(0.0))
+    f1 = F.when(F.col("count").isNull(), 0.0).when((acc == 0) & (rec == 0), 1.0).otherwise(2.0 * acc * rec / (acc + rec))
+    zero = F.lit(0.0) if executed is not None else F.lit(None).cast("double")
+    return out.select("level", "type", F.coalesce("count", F.lit(0)).alias("count"), F.round(F.coalesce("exact", F.lit(0.0)), 6).alias("exact"),
+                      F.round(F.coalesce("exec", zero), 6).alias("exec"), F.round(acc, 6).alias("acc"), F.round(rec, 6).alias("rec"),
+                      F.round(f1, 6).alias("f1"))
 
 
 def score_report(rollup: DataFrame) -> DataFrame:
-    """Component x level table of f1 (plus count and exact rows)."""
-    return (rollup.groupBy("type").pivot("level", LEVELS).agg(F.first("f1"))
-            .select("type", *[F.coalesce(F.col(lv), F.lit(0.0)).alias(lv) for lv in LEVELS]))
+    """``(block, type)`` by level: count, execution, exact match, then acc, rec and f1 of each component."""
+    whole = rollup.where(F.col("type") == PARTIAL_TYPES[0]).select("level", F.inline(F.array(
+        *[F.struct(F.lit(b).alias("block"), F.lit("").alias("type"), F.col(b).cast("double").alias("v")) for b in ("count", "exec", "exact")])))
+    each = rollup.select("level", F.inline(F.array(
+        *[F.struct(F.lit(b).alias("block"), F.col("type"), F.col(b).alias("v")) for b in ("acc", "rec", "f1")])))
+    return whole.unionByName(each).groupBy("block", "type").pivot("level", LEVELS).agg(F.first("v")).select("block", "type", *LEVELS)
 
 
-def execution_match(results: DataFrame, ordered: bool = True) -> DataFrame:
+def execution_match(results: DataFrame, ordered: bool = True, executed: DataFrame | None = None) -> DataFrame:
     """E16 over result sets in long form ``(example_id, side, unit_key, row_no, value)``.
 
-    Per example: the value lists per select unit must be equal (row order
-    matters unless ``ordered=False``, which compares value multisets); a
-    unit present on one side only, or a failing prediction (no rows with
-    side='pred' and a NULL unit), is a mismatch. Values compare as text.
+    Per example the values of every select unit must be equal, in row order
+    unless ``ordered=False``, which compares multisets. Values that read as
+    numbers compare as numbers (1 equals 1.0), null equals null. ``executed``:
+    ``(example_id, pred_ok)`` of all examples; those without rows on either side
+    match if the prediction ran (two empty results), and a prediction that
+    failed never matches. Without it the examples are those with rows.
     """
-    v = results.withColumn("value", F.col("value").cast("string"))
-    if not ordered:
-        # Multiset compare: the value becomes part of the key, its count the compared value.
-        v = (v.groupBy("example_id", "side", "unit_key", "value").agg(F.count(F.lit(1)).cast("string").alias("_n"))
-             .select("example_id", "side", "unit_key", F.col("value").alias("row_no"), F.col("_n").alias("value")))
-    p = v.where(F.col("side") == "pred").select("example_id", "unit_key", "row_no", F.col("value").alias("pv"), F.lit(1).alias("_p"))
-    g = v.where(F.col("side") == "gold").select("example_id", "unit_key", "row_no", F.col("value").alias("gv"), F.lit(1).alias("_g"))
-    j = p.join(g, ["example_id", "unit_key", "row_no"], "full")
-    return j.groupBy("example_id").agg(
-        F.bool_and(F.col("_p").isNotNull() & F.col("_g").isNotNull() & F.col("pv").eqNullSafe(F.col("gv"))).alias("exec_match"))
+    number = F.col("value").cast("string").try_cast("double")
+    text = F.when(F.col("value").isNull(), "n").when(number.isNotNull(), F.concat(F.lit("d"), number.cast("string"))).otherwise(
+        F.concat(F.lit("s"), F.col("value").cast("string")))
+    key = ["example_id", "unit_key"] + (["row_no"] if ordered else []) + ["text"]
+    v = results.withColumn("text", text)
+    sign = F.when(F.col("side") == "gold", 1).otherwise(-1)
+    # Every (unit, place, value) must occur equally often on both sides.
+    diff = v.groupBy(*key).agg(F.sum(sign).alias("d")).groupBy("example_id").agg((F.max(F.abs("d")) == 0).alias("same"))
+    if executed is None:
+        return diff.select("example_id", F.col("same").alias("exec_match"))
+    return (executed.join(diff, "example_id", "left")
+            .select("example_id", (F.col("pred_ok") & F.coalesce("same", F.lit(True))).alias("exec_match")))

@@ -191,20 +191,22 @@ def c12_fk_neighbours(spark, d):
     return cat.fk_neighbours(cat.graph_edges(cat.graph_nodes(cols, inv), fks))
 
 
-@register("c13_fk_canonical_map", sql=with_(D_T, D_C, D_K, D_KC, D_INV, D_COLS, D_FKS, D_NODES, D_EDGES).replace(
-    "WITH ", "WITH RECURSIVE ", 1) + """
-, idx AS (SELECT db_id, table_name, name AS column_name, table_pos * 4096 + pos AS cidx FROM cols),
-pe AS (SELECT i1.cidx AS a, i2.cidx AS b FROM edges e
+D_COMPONENTS = """, idx AS (SELECT db_id, table_name, name AS column_name, {'p': table_pos, 'c': pos} AS v FROM cols),
+pe AS (SELECT e.db_id, i1.v AS a, i2.v AS b FROM edges e
        JOIN idx i1 ON i1.db_id = e.db_id AND i1.table_name = e.table_name
             AND i1.column_name = regexp_extract(e.src, '^column:[^.]*\\.(.*)$', 1)
        JOIN idx i2 ON i2.db_id = e.db_id AND i2.table_name = e.dst_table
             AND i2.column_name = regexp_extract(e.dst, '^column:[^.]*\\.(.*)$', 1)
        WHERE e.rel = 'FK'),
-und AS (SELECT a, b FROM pe UNION SELECT b, a FROM pe UNION SELECT a, a FROM pe UNION SELECT b, b FROM pe),
-reach(a, b) AS (SELECT a, b FROM und UNION SELECT r.a, u.b FROM reach r JOIN und u ON u.a = r.b),
-lab AS (SELECT a AS v, min(b) AS label FROM reach GROUP BY a)
-SELECT i.db_id, i.table_name, i.column_name, r.table_name AS rep_table, r.column_name AS rep_column
-FROM lab JOIN idx i ON i.cidx = lab.v JOIN idx r ON r.cidx = lab.label""")
+und AS (SELECT db_id, a, b FROM pe UNION SELECT db_id, b, a FROM pe UNION SELECT db_id, a, a FROM pe UNION SELECT db_id, b, b FROM pe),
+reach(db_id, a, b) AS (SELECT db_id, a, b FROM und UNION SELECT r.db_id, r.a, u.b FROM reach r JOIN und u ON u.db_id = r.db_id AND u.a = r.b),
+lab AS (SELECT db_id, a AS v, min(b) AS label FROM reach GROUP BY db_id, a),
+canon AS (SELECT i.db_id, i.table_name, i.column_name, r.table_name AS rep_table, r.column_name AS rep_column
+  FROM lab l JOIN idx i ON i.db_id = l.db_id AND i.v = l.v JOIN idx r ON r.db_id = l.db_id AND r.v = l.label)"""
+D_CANON = with_(D_T, D_C, D_K, D_KC, D_INV, D_COLS, D_FKS, D_NODES, D_EDGES).replace("WITH ", "WITH RECURSIVE ", 1) + D_COMPONENTS
+
+
+@register("c13_fk_canonical_map", sql=D_CANON + "\nSELECT * FROM canon")
 def c13_fk_canonical_map(spark, d):
     _, inv, cols, fks = _lake(spark, d)
     return cat.fk_canonical_map(fks, cols)

@@ -116,7 +116,8 @@ SELECT 'db_' || CAST(o_custkey AS STRING) AS db_id,
        CASE o_orderstatus WHEN 'F' THEN 'sales' WHEN 'O' THEN 'public' ELSE 'dbo' END AS table_schema,
        CASE o_orderkey % 50 WHEN 0 THEN 'DEMO_' WHEN 1 THEN 'MVIEW$_' WHEN 2 THEN 'APEX$_' ELSE '' END
          || 't_' || CAST(o_orderkey AS STRING) AS table_name,
-       o_orderkey AS table_pos,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS table_pos,
+       o_orderkey AS order_key,
        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type
 FROM orders"""
 
@@ -130,7 +131,7 @@ SELECT t.db_id, t.table_name,
                  || '_' || CAST(l_linenumber AS STRING) END AS column_name,
        CASE WHEN l_linenumber <= 2 THEN 'INTEGER' WHEN l_linestatus = 'O' THEN 'TEXT' ELSE 'REAL' END AS data_type,
        (l_linenumber = 1 OR (l_linenumber = 2 AND l_returnflag = 'A')) AS is_pk
-FROM lineitem JOIN ({TABLES_SQL}) t ON t.table_pos = l_orderkey"""
+FROM lineitem JOIN ({TABLES_SQL}) t ON t.order_key = l_orderkey"""
 
 # Key constraints, information_schema style: a primary key per table and a
 # foreign key from every table's parent_id to the key of its database's

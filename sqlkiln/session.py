@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
     # Local runs only: the driver JVM is the executor. Ignored once a JVM is up.
     "spark.driver.memory": "16g",
@@ -48,35 +50,38 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only when unset.
+    """The shared folder in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when nothing is configured (local runs, tests) do we make a
-    fresh scratch folder.
+    Only a local master may go without: it gets a fresh scratch folder. On a
+    cluster a missing setting is an error, because executors do not see each
+    other's disks.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="sqlkiln-ckpt-", dir=os.environ.get("SQLKILN_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def cut_lineage(df):
-    """Materialise ``df`` into the shared checkpoint folder and return a
-    DataFrame that reads it back.
+def cut_lineage(df, tag: str = "table"):
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-    Used where one intermediate feeds several branches of a plan: the
-    branches then share a leaf instead of each carrying (and possibly
-    recomputing) the whole upstream tree, and a lost executor re-reads the
-    checkpoint instead of replaying the lineage.
+    Used where one intermediate feeds several branches of a plan or a loop: the
+    branches then share a columnar scan -- with pruning, pushdown and sizes --
+    instead of each recomputing the whole upstream tree, and a lost executor
+    re-reads files instead of replaying the lineage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sqlkiln-{uuid.uuid4().hex}/{tag}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set = set()

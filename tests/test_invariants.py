@@ -35,7 +35,7 @@ def test_connected_components_equal_union_find(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)]
     df = spark.createDataFrame(edges, "src long, dst long")
-    got = {r.v: r.label for r in cat.connected_components(df).collect()}
+    got = {r.vertex: r.component for r in cat.connected_components(df).collect()}
     assert got == union_find(edges)
 
 
