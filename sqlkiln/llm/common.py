@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sqlkiln.session import ensure_checkpoint_dir
+from sqlkiln.session import cut_lineage
 
 # ASCII white space, the separators between words everywhere in this package.
 WS = r"[\x20\x09-\x0D]"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage at a shared, columnar copy: later branches read it
-    instead of recomputing, and a lost executor costs only its own tasks.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sqlkiln-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back."""
+    return cut_lineage(df, tag)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -19,26 +19,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WS, rows_of, stored
+from .common import rows_of, stored
 
 BUCKETS = 1 << 18
 MIN_TOKENS = 5
 
 
+def _tokens(text: Column) -> Column:
+    """The pieces of ``text`` between white space; runs of it give empty pieces.
+
+    Blanks other than a space are rare and are turned into spaces first, which
+    leaves a split at one character, without a regular expression.
+    """
+    odd = F.lit(False)
+    for c in "\t\n\v\f\r":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.split(F.when(odd, F.translate(text, "\t\n\v\f\r", "     ")).otherwise(text), " ", -1)
+
+
 def _words(line: Column) -> Column:
     """Distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.split(line, WS + "+")), "")
+    return F.array_remove(F.array_distinct(_tokens(line)), "")
+
+
+def _eligible(line: Column, min_tokens: int) -> Column:
+    """Whether a line has ``min_tokens`` distinct words; most show it in the first few."""
+    head = F.array_remove(F.array_distinct(F.slice(_tokens(line), 1, 2 * min_tokens)), "")
+    return (F.size(head) >= min_tokens) | ((F.size(_tokens(line)) > 2 * min_tokens) & (F.size(_words(line)) >= min_tokens))
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A function of a word's 64-bit hash: the magnitude of its bucket's count.
+    """Per bucket of word hashes the magnitude of its count, as one byte each.
 
-    ``BUCKETS`` counts reach the driver, whatever the corpus, and go back as one
-    literal of a byte each.
+    ``BUCKETS`` counts reach the driver, whatever the corpus, and go back as a
+    literal.
     """
-    h = F.xxhash64("word")
-    rows = (docs.select(F.explode(F.split("text", WS + "+")).alias("word")).where("word <> ''")
-            .groupBy(F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket")).count()
+    words = docs.select(F.explode(_tokens(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word")).where("word <> ''")
+    rows = (words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
             .select("bucket", F.least(F.floor(F.log2("count")), F.lit(31)).cast("int").alias("size")).toPandas())
     table = bytearray(b"A" * BUCKETS)
     for bucket, size in zip(rows["bucket"], rows["size"]):
@@ -47,69 +64,87 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _positions(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line)`` of every line; ids in the order of the table."""
+    """``(doc_id, line_no, line)`` of every line."""
     return docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _similar_sets(classes: DataFrame, pct: int) -> DataFrame:
+    """Pairs ``(x, y)`` of set numbers that pass the prefix, length, positional and sketch filters.
+
+    A row of the join is a word of a prefix; its place and its line's size share
+    a number, to keep what is shuffled small.
+    """
+    n, pos = F.col("n"), F.col("pos")
+    rows = classes.select("set_no", "sketch", "n", F.posexplode("prefix").alias("pos", "token"))
+    packed = ["set_no", "sketch", "token", (n * F.lit(1 << 24).cast("long") + pos).alias("place")]
+    # The smaller line of a pair needs only a shorter prefix.
+    short = n - F.floor((2 * pct * n + 99 + pct) / (100 + pct)).cast("int") + 1
+    a, b = rows.where(pos < short).select(*packed).alias("a"), rows.select(*packed).alias("b")
+    na, nb = (F.shiftright(F.col(f"{x}.place"), 24) for x in "ab")
+    pa, pb = (F.col(f"{x}.place").bitwiseAND(F.lit((1 << 24) - 1)) for x in "ab")
+    need = F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
+    near = ((F.col("a.token") == F.col("b.token"))
+            & ((na < nb) | ((na == nb) & (F.col("a.set_no") < F.col("b.set_no"))))
+            & (100 * na >= pct * nb)
+            & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= need)
+            & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= na + nb - 2 * need))
+    return a.join(b, near).select(F.col("a.set_no").alias("x"), F.col("b.set_no").alias("y")).distinct()
+
+
+def _verified(pairs: DataFrame, words: DataFrame, pct: int) -> DataFrame:
+    """The ``later`` places of ``pairs`` whose words are similar enough."""
+    both = (pairs.join(words.select(F.col("at").alias("earlier"), F.col("words").alias("we")), "earlier")
+            .join(words.select(F.col("at").alias("later"), F.col("words").alias("wl")), "later"))
+    inter = F.size(F.array_intersect("we", "wl"))
+    return both.where(100 * inter >= pct * (F.size("we") + F.size("wl") - inter)).select("later").distinct()
+
+
 def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``(doc_id, line_no)`` of the eligible lines that stay, one row each.
 
     Eligible are lines of at least ``min_tokens`` distinct words. ``docs`` has
-    ``doc_id`` and ``text``; ids must be set.
+    ``doc_id`` and ``text``; rows without either are left out.
     """
     docs = docs.where("doc_id is not null and text is not null")
     table = _rarity(docs)
 
     def key(word: Column) -> Column:
+        """Magnitude of the word's count, then 58 bits of its hash: sorts by rarity."""
         h = F.xxhash64(word)
-        at = F.pmod(h, F.lit(BUCKETS)).cast("int") + 1
-        size = F.ascii(F.substring(table, at, F.lit(1)).cast("string")) - 65
+        size = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")) - 65
         return F.shiftleft(size.cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit((1 << 58) - 1)))
 
-    words = _positions(docs).select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") >= min_tokens)
-    keyed = words.select("doc_id", "line_no", F.array_sort(F.transform("words", key)).alias("keys"))
+    keys = F.sort_array(F.array_remove(F.array_distinct(F.transform(_tokens(F.col("line")), key)), key(F.lit(""))))
+    keyed = (_positions(docs).where(_eligible(F.col("line"), min_tokens))
+             .select("doc_id", "line_no", keys.alias("keys")))
     n = F.size("keys")
     prefix = n - F.floor((pct * n + 99) / 100).cast("int") + 1
-    sketch = F.aggregate("keys", F.lit(0).cast("long"),
-                         lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     lines = keyed.select(F.struct("doc_id", "line_no").alias("at"), F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"),
                          n.alias("n"), sketch.alias("sketch"),
                          F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
     # One row per distinct set: its first place; the rest depends on the set alone.
     classes = stored(lines.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"),
                                                    F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-                     .drop("c1", "c2"), "line-sets")
-
-    probe = classes.select("at", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
-    # The smaller line of a pair needs only a shorter prefix.
-    short = F.col("n") - F.floor((2 * pct * F.col("n") + 99 + pct) / (100 + pct)).cast("int") + 1
-    index = probe.where(F.col("pos") < short)
-    a, b = index.alias("a"), probe.alias("b")
-    na, nb, pa, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
-    need = F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
-    near = ((F.col("a.token") == F.col("b.token"))
-            & ((na < nb) | ((na == nb) & (F.col("a.at") < F.col("b.at"))))
-            & (100 * na >= pct * nb)
-            & (F.least(pa, pb) + 1 + F.least(na - pa, nb - pb) - 1 >= need)
-            & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= na + nb - 2 * need))
-    pairs = stored(a.join(b, near).select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct(), "line-pairs")
-
-    # Verify on the words of the lines concerned.
-    places = stored(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct(), "line-places")
-    ids = places.select(F.col("at.doc_id").alias("doc_id")).distinct()
-    again = (_positions(rows_of(docs, ids)).select(F.struct("doc_id", "line_no").alias("at"), "line")
-             .join(places, "at", "left_semi").select("at", _words(F.col("line")).alias("words")))
-    again = stored(again, "line-words")
-    both = (pairs.join(again.select(F.col("at").alias("x"), F.col("words").alias("wx")), "x")
-            .join(again.select(F.col("at").alias("y"), F.col("words").alias("wy")), "y"))
-    inter = F.size(F.array_intersect("wx", "wy"))
-    union = F.size("wx") + F.size("wy") - inter
-    later = both.where(100 * inter >= pct * union).select(F.greatest("x", "y").alias("at")).distinct()
-    return classes.select("at").join(later, "at", "left_anti").select("at.doc_id", "at.line_no")
-
-
-def _eligible(line: Column, min_tokens: int) -> Column:
-    return F.size(_words(line)) >= min_tokens
+                     .drop("c1", "c2").withColumn("set_no", F.monotonically_increasing_id()), "line-sets")
+
+    at = classes.select("set_no", "at")
+    pairs = (_similar_sets(classes, pct).join(at.toDF("x", "ax"), "x").join(at.toDF("y", "ay"), "y")
+             .select(F.least("ax", "ay").alias("earlier"), F.greatest("ax", "ay").alias("later")))
+    pairs = stored(pairs, "line-pairs")
+    places = stored(pairs.select(F.explode(F.array("earlier", "later")).alias("at")).distinct(), "line-places")
+    again = (_positions(rows_of(docs, places.select(F.col("at.doc_id").alias("doc_id")).distinct()))
+             .select(F.struct("doc_id", "line_no").alias("at"), "line").join(places, "at", "left_semi"))
+    words = stored(again.select("at", _words(F.col("line")).alias("words")), "line-words")
+
+    # One similar earlier line is enough: the first candidate of each line is
+    # verified, and all others only of lines that this did not settle.
+    best = pairs.groupBy("later").agg(F.min("earlier").alias("earlier"))
+    settled = stored(_verified(best, words, pct), "lines-settled")
+    open_pairs = pairs.join(settled, "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+    later = settled.unionByName(_verified(open_pairs, words, pct)).select(F.col("later").alias("at"))
+    return at.select("at").join(later, "at", "left_anti").select("at.doc_id", "at.line_no")
 
 
 def line_report(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) -> DataFrame:
