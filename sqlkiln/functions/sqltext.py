@@ -9,6 +9,8 @@ DuckDB oracle in ``sqlkiln.plans.cleanup`` line-for-line comparable.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,15 +188,21 @@ def _rx(c: Column, pattern: str, repl: str) -> Column:
     return F.regexp_replace(c, pattern, repl)
 
 
-def to_postgres(sql: Column, compat: bool = False) -> Column:
+def to_postgres(sql: Column, compat: bool = False, bool_columns: list[str] | None = None) -> Column:
     """Backticks -> double quotes, AUTOINCREMENT -> SERIAL, ``= 1/0`` -> TRUE/FALSE.
 
     The original also rewrites ``>= 1`` and ``<= 0``; by default only a bare
-    ``=`` (not part of ``<=``, ``>=``, ``!=``) is rewritten.
+    ``=`` (not part of ``<=``, ``>=``, ``!=``) is rewritten. ``bool_columns``
+    restricts that to comparisons of these columns, so ``id = 1`` stays.
     """
     out = strip(sql)
     out = _rx(out, r"`([^`]+)`", r'"$1"')
     out = _rx(out, r"(?i)\bAUTOINCREMENT\b", "SERIAL")
+    if bool_columns is not None:
+        names = "|".join(re.escape(c) for c in bool_columns)
+        for digit, word in (("1", "TRUE"), ("0", "FALSE")):
+            out = _rx(out, rf"(?i)\b({names})(\"?)\s*=\s*{digit}\b", f"$1$2 = {word}") if names else out
+        return out
     eq = r"=" if compat else r"(?<![<>!])="
     out = _rx(out, eq + r"\s*1\b", "= TRUE")
     out = _rx(out, eq + r"\s*0\b", "= FALSE")

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import sqltext as st
 from ..session import cut_lineage
 
-# Fixed value: Oracle's default schema when the user gives none.
-ORACLE_DEFAULT_SCHEMA = "SCOTT"
-
 # P12 rules: constructs the dialect rules leave untouched.
 PORTABILITY_RULES = {
     # LIMIT that is not the statement's tail, or with OFFSET: TOP/FETCH rewrite misses it.
@@ -62,13 +59,14 @@ def table_schema_map(tables: DataFrame) -> DataFrame:
 
 
 def qualify_tables(df: DataFrame, schema_map: DataFrame, sql_col: str = "adapted",
-                   key: str = "query_id", oracle_default: str = ORACLE_DEFAULT_SCHEMA) -> DataFrame:
+                   key: str = "query_id", oracle_default: str = "") -> DataFrame:
     """Prefix unqualified tables after FROM/JOIN with their schema.
 
     Tokens are exploded (bounded by the statement length), looked up with an
     equi-join on (db_id, kind, key), gathered into one small map per
     statement and applied in a single pass over the text (JVM-side).
-    Returns ``df`` with column ``qualified``.
+    ``oracle_default`` is the connected user's schema; without one every Oracle
+    table is qualified. Returns ``df`` with column ``qualified``.
     """
     # The statements feed both the token lookup and the final join: materialise
     # them once instead of running the whole clean-up chain twice.
@@ -134,15 +132,16 @@ def suggest_terms(misses: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
 
     Score = 1 - levenshtein / longer length (case-blind); ties by name. The
     candidate set is the token's own database, joined on ``db_id``; top-k
-    per miss uses a window whose ``row_number() <= k`` filter Spark turns
+    per token uses a window whose ``row_number() <= k`` filter Spark turns
     into a map-side group limit.
     """
-    j = misses.join(names, "db_id")
+    # Every unknown token is scored once per database, however often it occurs.
+    j = misses.select("db_id", "token").distinct().join(names, "db_id")
     a, b = F.lower("token"), F.lower("name")
     score = F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 4)
-    w = Window.partitionBy("event_id").orderBy(F.desc("score"), "name")
-    return (j.withColumn("score", score).withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k).select("event_id", "token", "rank", "name", "score"))
+    w = Window.partitionBy("db_id", "token").orderBy(F.desc("score"), "name")
+    best = j.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return misses.join(best, ["db_id", "token"]).select("event_id", "token", "rank", "name", "score")
 
 
 def history_last_n(log: DataFrame, n: int = 10, session: str = "user_id", ts: str = "ts",

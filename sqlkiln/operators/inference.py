@@ -1,6 +1,6 @@
 """Batch inference with any user model.
 
-The model is an opaque callable ``predict(question, schema_text) -> sql``.
+The model is an opaque callable ``predict(questions, schemas) -> sqls`` over lists.
 It is built once per task by ``make_predictor`` (weights load once per
 partition, not per row) and fed Arrow batches through ``mapInPandas``;
 rows are sorted by database inside each partition so per-database prompt
@@ -10,8 +10,10 @@ assets stay warm without a shuffle on a possibly skewed ``db_id``.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,39 +25,50 @@ PREDICTION_COLS = "example_id long, sql string, error string"
 
 
 class TemplatePredictor:
-    """Deterministic stand-in model: ``SELECT * FROM <first table>;``.
+    """Deterministic stand-in model: ``SELECT * FROM <first table>;`` per prompt.
 
-    Raises on a prompt without any table, so failure capture is exercised.
+    Raises on a batch that holds a prompt without any table, as a model that
+    cannot encode one of its inputs would, so failure capture is exercised.
     """
 
-    def __call__(self, question: str, schema_text: str) -> str:
+    def __call__(self, questions: list[str], schemas: list[str]) -> list[str]:
         import re
-        m = re.search(r"<SCHEMA> ([^(]+)\(", schema_text or "")
-        if not m:
+        found = [re.search(r"<SCHEMA> ([^(]+)\(", s or "") for s in schemas]
+        if not all(found):
             raise ValueError("schema has no tables")
-        return f"SELECT * FROM {m.group(1)};"
+        return [f"SELECT * FROM {m.group(1)};" for m in found]
 
 
-def batch_predict(examples: DataFrame, make_predictor: Callable[[], Callable[[str, str], str]] = TemplatePredictor,
-                  question: str = "question", schema: str = "schema_text") -> DataFrame:
-    """B1+B3: ``(example_id, sql, error)``; any exception becomes an empty
-    prediction with its message, the run goes on."""
+def batch_predict(examples: DataFrame, make_predictor: Callable[[], Callable[[list[str], list[str]], list[str]]] = TemplatePredictor,
+                  question: str = "question", schema: str = "schema_text", batch: int = 64) -> DataFrame:
+    """B1+B3: ``(example_id, sql, error)``.
+
+    The predictor takes lists of up to ``batch`` questions and schemas. If it
+    raises, the batch is repeated prompt by prompt; a prompt that fails alone
+    becomes an empty prediction with its message, and the run goes on.
+    """
     ship_package(examples.sparkSession)
     cols = examples.select("example_id", "db_id", F.col(question).alias("q"), F.col(schema).alias("s"))
 
     def run(batches):
         import pandas as pd
         predict = make_predictor()
+
+        def one(q, s):
+            try:
+                return predict([q], [s])[0], None
+            except Exception as e:  # noqa: BLE001 -- whatever the model raises is the row's result
+                return "", f"{type(e).__name__}: {e}"
+
         for pdf in batches:
-            sqls, errs = [], []
-            for q, s in zip(pdf["q"], pdf["s"]):
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at:at + batch]
+                qs, ss = part["q"].tolist(), part["s"].tolist()
                 try:
-                    sqls.append(predict(q, s))
-                    errs.append(None)
-                except Exception as e:  # noqa: BLE001
-                    sqls.append("")
-                    errs.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"example_id": pdf["example_id"], "sql": sqls, "error": errs})
+                    rows = [(sql, None) for sql in predict(qs, ss)]
+                except Exception:  # noqa: BLE001 -- find out which prompt it was
+                    rows = [one(q, s) for q, s in zip(qs, ss)]
+                yield pd.DataFrame({"example_id": part["example_id"], "sql": [r[0] for r in rows], "error": [r[1] for r in rows]})
 
     return cols.sortWithinPartitions("db_id").mapInPandas(run, PREDICTION_COLS)
 
@@ -69,16 +82,21 @@ def slice_examples(examples: DataFrame, start: int = 0, end: int | None = None)
 
 
 def resume(examples: DataFrame, predictions_path: str, make_predictor=TemplatePredictor, **kw) -> DataFrame:
-    """B4(a): predict only examples without a saved prediction, append them,
-    and return the complete predictions table."""
+    """B4(a): predict only examples without a saved prediction, add them as a
+    batch of their own, and return the complete predictions table.
+
+    Only a missing table means that nothing is saved yet; any other failure to
+    read it is raised, rather than predicting everything once more.
+    """
     spark = examples.sparkSession
+    todo = examples
     try:
         done = read_predictions(spark, predictions_path)
-        done.limit(1).count()
-    except Exception:  # noqa: BLE001 -- no table yet
-        done = spark.createDataFrame([], PREDICTION_COLS)
-    todo = examples.join(done.select("example_id"), "example_id", "left_anti")
-    write_predictions(batch_predict(todo, make_predictor, **kw), predictions_path, mode="append")
+        todo = examples.join(done.select("example_id"), "example_id", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write_predictions(batch_predict(todo, make_predictor, **kw), predictions_path, batch=uuid.uuid4().hex)
     return read_predictions(spark, predictions_path)
 
 

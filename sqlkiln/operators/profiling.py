@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEY_TYPES = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.StringType, T.DateType, T.TimestampType)
+from ..session import cut_lineage
+
+KEY_TYPES = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.StringType, T.DateType, T.TimestampType,
+             T.TimestampNTZType)
 INTEGRAL = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
 
 
@@ -21,7 +24,7 @@ def family(dt: T.DataType) -> str | None:
         return "integer"
     if isinstance(dt, T.StringType):
         return "string"
-    if isinstance(dt, (T.DateType, T.TimestampType)):
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return "datetime"
     return None
 
@@ -29,62 +32,57 @@ def family(dt: T.DataType) -> str | None:
 KEY_PROFILE_SCHEMA = "table_name string, key_columns string, n_columns int, n_rows long"
 
 
+SAMPLE_ROWS = 20_000       # rows in which duplicates are looked for first
+
+
+def digest(*cols) -> list:
+    """Two 64-bit hashes of the columns' text: a 128-bit stand-in for long values."""
+    text = [F.col(c).cast("string") for c in cols]
+    return [F.xxhash64(*text).alias("h1"), F.xxhash64(F.lit(1), *text).alias("h2")]
+
+
 def _duplicated(df: DataFrame, cands: list[tuple[str, ...]]) -> set[int]:
     """Ids of candidate column sets that hold a duplicate value (one job).
 
-    Rows are fanned out once per candidate as (id, values...) and grouped;
-    partial aggregation runs map-side, so only distinct value sets cross the
-    shuffle. The result is at most ``len(cands)`` ids.
+    Rows are fanned out once per candidate as (id, digest) and grouped; partial
+    aggregation runs map-side. The result is at most ``len(cands)`` ids.
     """
-    width = max(len(c) for c in cands)
-    structs = []
-    for i, cols in enumerate(cands):
-        vals = [F.col(c).cast("string") for c in cols] + [F.lit("")] * (width - len(cols))
-        structs.append(F.struct(F.lit(i).alias("pid"), *[v.alias(f"v{j}") for j, v in enumerate(vals)]))
-    long = df.select(F.inline(F.array(*structs)))
-    keys = ["pid"] + [f"v{j}" for j in range(width)]
-    dup = long.groupBy(*keys).count().where(F.col("count") > 1).select("pid").distinct()
+    if not cands:
+        return set()
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pid"), *digest(*cols)) for i, cols in enumerate(cands)])))
+    dup = rows.groupBy("pid", "h1", "h2").count().where(F.col("count") > 1).select("pid").distinct()
     return {r.pid for r in dup.collect()}
 
 
-def key_profile(spark: SparkSession, tables: dict[str, DataFrame], rsd: float = 0.02) -> DataFrame:
+def key_profile(spark: SparkSession, tables: dict[str, DataFrame], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Minimal candidate keys of one or two columns per table.
 
-    Pass 1 (one scan, no shuffle of rows): row count, non-null count and a
-    HyperLogLog distinct estimate per key-typed column -- mergeable sketches
-    instead of exact distinct counts, which Spark would run as one expanded
-    copy of the table per column.
-    The estimate only prunes, with a wide margin (a column is dropped only
-    when its estimate is under half the row count, and a pair only when the
-    product of estimates is under a quarter of it; with ``rsd`` = 2 % such an
-    error is out of reach). Every surviving candidate is decided exactly by
-    a duplicate search: singles first, then pairs of non-null, non-key
-    columns. Floating-point measures are never key candidates.
+    A duplicate found in a sample of rows proves that a candidate is no key;
+    whatever the sample cannot disprove gets the exact check over all rows,
+    singles first, then the pairs that hold no key. Nothing is decided by an
+    estimate. Columns with nulls and floating-point measures are never keys.
     """
     def profile(item):
         name, df = item
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, KEY_TYPES)]
-        aggs = [F.count(F.lit(1)).alias("__n")]
-        for c in cols:
-            aggs += [F.count(c).alias(f"nn__{c}"), F.approx_count_distinct(c, rsd).alias(f"d__{c}")]
-        st = df.agg(*aggs).first()          # one row of statistics
+        st = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(f"nn__{c}") for c in cols]).first()      # one row
         n = st["__n"]
-        if n == 0:
-            return []
-        full = [c for c in cols if st[f"nn__{c}"] == n]
-        singles = [(c,) for c in full if st[f"d__{c}"] >= 0.5 * n]
-        pairs = [(a, b) for a, b in combinations(full, 2) if st[f"d__{a}"] * st[f"d__{b}"] >= 0.25 * n]
-        cands = singles + pairs
-        if not cands:
-            return []
-        # One exact pass decides singles and pairs together; a pair that
-        # contains a single-column key is not minimal and is dropped after.
-        bad = _duplicated(df, cands)
-        keys = {c[0] for i, c in enumerate(singles) if i not in bad}
-        rows = [(name, c, 1, n) for c in sorted(keys, key=cols.index)]
-        rows += [(name, f"{a},{b}", 2, n) for i, (a, b) in enumerate(pairs, start=len(singles))
-                 if i not in bad and a not in keys and b not in keys]
-        return rows
+        full = [c for c in cols if n and st[f"nn__{c}"] == n]
+        cands = [(c,) for c in full] + list(combinations(full, 2))
+        some = df if n <= sample_rows else df.sample(sample_rows / n, seed=11)
+        bad = _duplicated(some, cands)
+        left = [c for i, c in enumerate(cands) if i not in bad]
+        if n > sample_rows:
+            singles = [c for c in left if len(c) == 1]
+            bad = _duplicated(df, singles)
+            keys = {c[0] for i, c in enumerate(singles) if i not in bad}
+            pairs = [c for c in left if len(c) == 2 and not keys & set(c)]
+            bad = _duplicated(df, pairs)
+            pairs = [c for i, c in enumerate(pairs) if i not in bad]
+        else:
+            keys = {c[0] for c in left if len(c) == 1}
+            pairs = [c for c in left if len(c) == 2 and not keys & set(c)]
+        return [(name, c, 1, n) for c in sorted(keys, key=cols.index)] + [(name, f"{a},{b}", 2, n) for a, b in pairs]
 
     # Tables are independent: their (small) jobs are submitted concurrently.
     from concurrent.futures import ThreadPoolExecutor
@@ -93,42 +91,49 @@ def key_profile(spark: SparkSession, tables: dict[str, DataFrame], rsd: float =
     return spark.createDataFrame(out, KEY_PROFILE_SCHEMA)
 
 
+def typed_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """``(table, column, family)`` of every key-typed column."""
+    return [(name, f.name, family(f.dataType)) for name, df in tables.items() for f in df.schema.fields if family(f.dataType)]
+
+
 def column_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct (table, column, family, value) for every key-typed column."""
-    parts = []
+    """Distinct ``(table_name, column_name, family, h1, h2)`` of every key-typed column.
+
+    One scan per table; values are 128-bit digests, so a long text is no wider
+    than a number.
+    """
+    parts = None
     for name, df in tables.items():
-        for f in df.schema.fields:
-            fam = family(f.dataType)
-            if fam is None:
-                continue
-            parts.append(df.select(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-                                   F.lit(fam).alias("family"), F.col(f.name).cast("string").alias("value"))
-                         .where(F.col("value").isNotNull()))
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
-    return allv.distinct()
+        cols = [(f.name, family(f.dataType)) for f in df.schema.fields if family(f.dataType)]
+        if not cols:
+            continue
+        values = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column_name"), F.lit(fam).alias("family"), *digest(c)))
+                           for c, fam in cols])
+        rows = (df.select(F.explode(F.filter(values, lambda v: v.isNotNull())).alias("v"))
+                .select(F.lit(name).alias("table_name"), "v.*").distinct())
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
 
 
 def inclusion_dependencies(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
     """For every column A and single-column key B of the same type family,
-    the share of A's distinct values found in B (1.0 = candidate foreign key).
+    the share of A's distinct values found in B (1.0 = candidate foreign key, 0.0 = nothing in common).
 
-    Both sides are distinct value sets; the join is on (family, value), so a
-    value shared by many columns meets at most (#columns)^2 partners.
+    The distinct values are written once. The join is on the value, so a value
+    shared by many columns meets at most (#columns)^2 partners.
     """
-    vals = column_values(tables)
-    ref_keys = keys.where(F.col("n_columns") == 1).select(
-        F.col("table_name").alias("ref_table"), F.col("key_columns").alias("ref_column"))
-    ref = (vals.join(ref_keys, (vals.table_name == ref_keys.ref_table) & (vals.column_name == ref_keys.ref_column))
-           .select("ref_table", "ref_column", "family", "value"))
-    dep = vals.select(F.col("table_name").alias("dep_table"), F.col("column_name").alias("dep_column"),
-                      "family", "value")
-    n_values = dep.groupBy("dep_table", "dep_column").agg(F.count(F.lit(1)).alias("n_values"))
-    hits = (dep.join(ref, ["family", "value"])
-            .where((F.col("dep_table") != F.col("ref_table")) | (F.col("dep_column") != F.col("ref_column")))
-            .groupBy("dep_table", "dep_column", "ref_table", "ref_column")
-            .agg(F.count(F.lit(1)).alias("n_covered")))
-    return (hits.join(n_values, ["dep_table", "dep_column"])
-            .select("dep_table", "dep_column", "ref_table", "ref_column", "n_values", "n_covered",
-                    F.round(F.col("n_covered") / F.col("n_values"), 4).alias("coverage")))
+    vals = cut_lineage(column_values(tables), "column-values")
+    spark = vals.sparkSession
+    cols = spark.createDataFrame(typed_columns(tables), "dep_table string, dep_column string, family string")
+    ref_cols = (keys.where(F.col("n_columns") == 1).select(F.col("table_name").alias("ref_table"), F.col("key_columns").alias("ref_column"))
+                .join(cols.toDF("ref_table", "ref_column", "family"), ["ref_table", "ref_column"]))
+    pairs = cols.join(ref_cols, "family").where((F.col("dep_table") != F.col("ref_table")) | (F.col("dep_column") != F.col("ref_column")))
+    n_values = vals.groupBy(F.col("table_name").alias("dep_table"), F.col("column_name").alias("dep_column")).agg(F.count(F.lit(1)).alias("n_values"))
+    ref = (vals.join(ref_cols, (F.col("table_name") == F.col("ref_table")) & (F.col("column_name") == F.col("ref_column")), "left_semi")
+           .select(F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), "family", "h1", "h2"))
+    dep = vals.select(F.col("table_name").alias("dep_table"), F.col("column_name").alias("dep_column"), "family", "h1", "h2")
+    both = ["dep_table", "dep_column", "ref_table", "ref_column"]
+    hits = dep.join(ref, ["family", "h1", "h2"]).groupBy(*both).agg(F.count(F.lit(1)).alias("n_covered"))
+    n, k = F.coalesce("n_values", F.lit(0)), F.coalesce("n_covered", F.lit(0))
+    return (pairs.join(n_values, ["dep_table", "dep_column"], "left").join(hits, both, "left")
+            .select(*both, n.alias("n_values"), k.alias("n_covered"), F.round(F.when(n > 0, k / n).otherwise(0.0), 4).alias("coverage")))

@@ -140,17 +140,23 @@ def token_len(text: Column) -> Column:
 
 def token_len_with(df: DataFrame, text_col: str, tokenizer, out_col: str = "n_tokens") -> DataFrame:
     """R9 with a real tokenizer (``tokenizer(list[str]) -> list[int]`` lengths),
-    vectorised over Arrow batches; a failing batch falls back to the rule."""
+    vectorised over Arrow batches. If a batch fails, its texts are tried one by
+    one, and only a text that fails alone gets the rule."""
     import pandas as pd
 
     ship_package(df.sparkSession)
 
     @F.pandas_udf("int")
     def _len(batch: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return tokenizer([text])[0]
+            except Exception:  # noqa: BLE001 -- whatever the tokenizer raises, the rule answers
+                return 2 * len((text or "").split())
         try:
             return pd.Series(tokenizer(batch.tolist()), dtype="int32")
-        except Exception:  # noqa: BLE001
-            return batch.fillna("").str.split().str.len().mul(2).astype("int32")
+        except Exception:  # noqa: BLE001 -- find out which text it was
+            return pd.Series([one(t) for t in batch], dtype="int32")
 
     return df.withColumn(out_col, _len(F.col(text_col)))
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage
 from .retrieval import token_len
 
 MAX_SEQ_TOKENS = 2048
@@ -50,55 +49,26 @@ def pack_sequences(df: DataFrame, order: list[str], tokens_col: str = "n_tokens"
     """T4: lay examples end to end in ``order`` and cut into ``block``-token blocks.
 
     Adds ``token_offset`` (tokens before the example, restarting per ``group``),
-    ``first_block`` and ``last_block``. The running sum is two-level so no
-    task ever sees more than one range partition:
-
-    1. range-partition on (group, order) and sort within partitions; the
-       result is checkpointed so the partition layout is fixed;
-    2. per-(partition, group) totals -- one small row each -- give every
-       partition its starting offset (exclusive prefix over partitions);
-    3. each partition adds its running sum on top, in an Arrow batch loop.
+    ``first_block`` and ``last_block``. The running sum has two levels, so that
+    no task sees more than a part of a group:
+
+    1. rows are dealt by ranges of (group, order) and written with their part;
+    2. totals per (part, group) -- one small row each -- give every part its
+       start, by a running sum over parts that is joined back;
+    3. within a part the running sum goes on from there.
     """
-    ship_package(df.sparkSession)
     keys = ([group] if group else []) + order
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-                         .withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_lineage(df.repartitionByRange(n_parts, *keys).withColumn("_pid", F.spark_partition_id()))
     gcols = [group] if group else []
-    totals = ranged.groupBy("_pid", *gcols).agg(F.sum(tokens_col).cast("long").alias("_t"))
-    w = Window.partitionBy(*gcols).orderBy("_pid") if gcols else Window.orderBy("_pid")
-    # One row per (partition, group): bounded by the partition count, not the data.
-    base_rows = totals.withColumn("_base", F.sum("_t").over(w) - F.col("_t")).collect()
-    base = {(r["_pid"], r[group] if group else None): int(r["_base"]) for r in base_rows}
-
-    schema = T.StructType(list(ranged.schema.fields) + [
-        T.StructField("token_offset", T.LongType()), T.StructField("first_block", T.LongType()),
-        T.StructField("last_block", T.LongType())])
-
-    def run(batches):
-        import numpy as np
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(token_offset=np.int64(0), first_block=np.int64(0), last_block=np.int64(0)).iloc[0:0]
-                continue
-            n = pdf[tokens_col].fillna(0).astype("int64").to_numpy()
-            gk = pdf[group].to_numpy() if group else np.array([None] * len(pdf), dtype=object)
-            pid = int(pdf["_pid"].iloc[0])
-            off = np.empty(len(pdf), dtype="int64")
-            start = 0
-            # rows arrive sorted by group, so each group is one contiguous run
-            while start < len(pdf):
-                g = gk[start]
-                end = start + 1
-                while end < len(pdf) and gk[end] == g:
-                    end += 1
-                c0 = carry.get(g, base.get((pid, g), 0))
-                run_sum = np.cumsum(n[start:end])
-                off[start:end] = c0 + run_sum - n[start:end]
-                carry[g] = c0 + int(run_sum[-1])
-                start = end
-            last = off + np.maximum(n, 1) - 1
-            yield pdf.assign(token_offset=off, first_block=off // block, last_block=last // block)
-
-    return ranged.mapInPandas(run, schema).drop("_pid")
+    tokens = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0))
+    totals = ranged.groupBy("_pid", *gcols).agg(F.sum(tokens).alias("_t"))
+    before = (Window.partitionBy(*gcols) if gcols else Window.partitionBy()).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("_pid", *[F.col(c).alias("_g") for c in gcols], F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_pid", *gcols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(base.withColumnRenamed("_pid", "_bpid"), (F.col("_pid") == F.col("_bpid")) & (
+        F.col(group).eqNullSafe(F.col("_g")) if group else F.lit(True)))
+    out = out.withColumn("token_offset", F.col("_base") + F.coalesce(F.sum(tokens).over(inside), F.lit(0)))
+    last = F.col("token_offset") + F.greatest(tokens, F.lit(1)) - 1
+    return (out.withColumn("first_block", F.floor(F.col("token_offset") / block).cast("long"))
+            .withColumn("last_block", F.floor(last / block).cast("long")).drop("_pid", "_bpid", "_base", "_g"))

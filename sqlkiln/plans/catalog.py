@@ -130,7 +130,7 @@ def c6_normalize_identifier(spark, d):
                        .alias("normalized")).distinct()
 
 
-@register("c7_bytes_to_text")
+@register("c7_bytes_to_text", sql="SELECT doc_id, text || chr(65533) AS text, length(text) + 1 AS n_chars FROM documents")
 def c7_bytes_to_text(spark, d):
     # Document text as bytes with a stray invalid byte appended: decoding
     # keeps every valid character and replaces the bad byte.
@@ -221,7 +221,19 @@ def c14_table_schema_map(spark, d):
     return cu.table_schema_map(fx.lake_tables(spark, d))
 
 
-# Star-schema tables profiled for keys; column lists are the driver's
+@register("c14_table_schema_default", sql=with_(D_T) + """
+SELECT db_id, table_name, 'mssql' AS dialect, coalesce(nullif(table_schema, 'dbo'), 'dbo') AS table_schema FROM t
+UNION ALL SELECT db_id, table_name, 'postgres', coalesce(nullif(table_schema, 'dbo'), 'public') FROM t
+UNION ALL SELECT db_id, table_name, 'oracle', coalesce(nullif(table_schema, 'dbo'), 'APP') FROM t
+UNION ALL SELECT db_id, table_name, 'sqlite', nullif(table_schema, 'dbo') FROM t""")
+def c14_table_schema_default(spark, d):
+    # tables without a schema: those that the fixture puts in dbo
+    t = fx.lake_tables(spark, d).withColumn("table_schema", F.nullif("table_schema", F.lit("dbo")))
+    parts = [cat.table_schema_default(t, k, "app").withColumn("dialect", F.lit(k)) for k in ("mssql", "postgres", "oracle", "sqlite")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# All tables profiled for keys; column lists are the driver's
 # published table layouts (fixed values).
 PROFILED = {
     "region": [("r_regionkey", "integer"), ("r_name", "string")],
@@ -236,6 +248,13 @@ PROFILED = {
     "lineitem": [("l_orderkey", "integer"), ("l_partkey", "integer"), ("l_suppkey", "integer"),
                  ("l_linenumber", "integer"), ("l_returnflag", "string"), ("l_linestatus", "string"),
                  ("l_shipdate", "datetime")],
+    "events": [("event_id", "integer"), ("ts", "datetime"), ("user_id", "integer"), ("event_type", "string"), ("props", "string")],
+    "documents": [("doc_id", "integer"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "integer")],
+    "embeddings": [("vec_id", "integer"), ("label", "integer")],
+    "pages": [("page_id", "integer"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "integer"), ("text", "string")],
+    "labels": [("doc_id", "integer"), ("quality", "integer"), ("toxic", "integer")],
+    "conversations": [("conv_id", "integer"), ("turn", "integer"), ("role", "string"), ("text", "string")],
 }
 
 
@@ -280,13 +299,15 @@ def _duck_inclusion() -> str:
     return (f"WITH kp AS ({KEY_PROFILE_SQL}), vals AS ({vals}),\n"
             "ref AS (SELECT v.table_name AS ref_table, v.column_name AS ref_column, family, value FROM vals v "
             "JOIN kp ON kp.n_columns = 1 AND kp.table_name = v.table_name AND kp.key_columns = v.column_name),\n"
-            "nv AS (SELECT table_name, column_name, count(*) AS n_values FROM vals GROUP BY ALL),\n"
+            "nv AS (SELECT table_name, column_name, any_value(family) AS family, count(*) AS n_values FROM vals GROUP BY ALL),\n"
             "hits AS (SELECT v.table_name AS dep_table, v.column_name AS dep_column, ref_table, ref_column, "
             "count(*) AS n_covered FROM vals v JOIN ref USING (family, value) "
             "WHERE v.table_name <> ref_table OR v.column_name <> ref_column GROUP BY ALL)\n"
-            "SELECT dep_table, dep_column, ref_table, ref_column, n_values, n_covered, "
-            "round(n_covered / n_values, 4) AS coverage FROM hits JOIN nv "
-            "ON nv.table_name = dep_table AND nv.column_name = dep_column")
+            "SELECT nv.table_name AS dep_table, nv.column_name AS dep_column, r.ref_table, r.ref_column, n_values, coalesce(n_covered, 0) AS n_covered, "
+            "round(coalesce(n_covered, 0) / n_values, 4) AS coverage FROM nv "
+            "JOIN (SELECT DISTINCT ref_table, ref_column, family FROM ref) r USING (family) "
+            "LEFT JOIN hits h ON h.dep_table = nv.table_name AND h.dep_column = nv.column_name AND h.ref_table = r.ref_table AND h.ref_column = r.ref_column "
+            "WHERE nv.table_name <> r.ref_table OR nv.column_name <> r.ref_column")
 
 
 @register("c16_inclusion_dependency", sql=_duck_inclusion())

@@ -34,7 +34,7 @@ D_QUALIFY = f"""tk AS (SELECT DISTINCT query_id, db_id, kind, tok,
 h AS (SELECT query_id, list(DISTINCT {{'tok': tok, 'table_schema': m.table_schema}}) AS rewrites
       FROM tk JOIN m USING (db_id, kind, key)
       WHERE lower(m.table_schema) <> lower(CASE tk.kind WHEN 'mssql' THEN 'dbo' WHEN 'postgres' THEN 'public'
-                                                 ELSE '{cu.ORACLE_DEFAULT_SCHEMA}' END)
+                                                 ELSE '' END)
       GROUP BY query_id),
 qd AS (SELECT a.*, coalesce(list_reduce(h.rewrites, lambda acc, r: regexp_replace(acc,
           '\\b((?i:FROM|JOIN))\\s+\\Q' || r.tok || '\\E([\\s,;]|$)', '\\1 ' || r.table_schema || '.' || r.tok || '\\2', 'g'),
@@ -118,6 +118,13 @@ def p7_to_postgres(spark, d):
                     st.to_postgres(F.col("best_sql"), compat=True).alias("pg_sql_compat"))
 
 
+@register("p7_to_postgres_typed", sql=with_(D_CORPUS, D_SPLIT, D_BEST) + """
+, p AS (SELECT query_id, regexp_replace(regexp_replace(regexp_replace(best_sql, '^\\s+|\\s+$', '', 'g'), '`([^`]+)`', '"\\1"', 'g'), '\\bAUTOINCREMENT\\b', 'SERIAL', 'gi') AS s FROM b)
+SELECT query_id, regexp_replace(regexp_replace(s, '\\b(active|flag)("?)\\s*=\\s*1\\b', '\\1\\2 = TRUE', 'gi'), '\\b(active|flag)("?)\\s*=\\s*0\\b', '\\1\\2 = FALSE', 'gi') AS pg_sql FROM p""")
+def p7_to_postgres_typed(spark, d):
+    return _best(spark, d).select("query_id", st.to_postgres(F.col("best_sql"), bool_columns=["active", "flag"]).alias("pg_sql"))
+
+
 @register("p8_to_mysql", sql=with_(D_CORPUS, D_SPLIT, D_BEST) + f"SELECT query_id, {dt.to_mysql('best_sql')} AS mysql_sql FROM b")
 def p8_to_mysql(spark, d):
     return _best(spark, d).select("query_id", st.to_mysql(F.col("best_sql")).alias("mysql_sql"))

@@ -1,6 +1,8 @@
 """DuckDB spellings of the text rules, used only to build oracle SQL.
 
-Written independently of the Spark expressions; RE2 replacement syntax
+The rules are written anew for DuckDB, but their patterns and word lists are the
+fixed values of ``functions.sqltext``, so a wrong pattern would be wrong on both
+sides; ``tests/test_sqltext.py`` holds the rules against rows worked out by hand. RE2 replacement syntax
 (``\\1``), the ``'g'`` flag and DuckDB lambdas differ from Java/Spark.
 """
 

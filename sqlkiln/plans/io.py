@@ -34,7 +34,7 @@ def s3_jsonl_scan(spark, d):
 
 
 D_EXAMPLES = """, ex AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS example_id, 'db_' || CAST(conv_id AS VARCHAR) AS db_id,
-    text AS question, coalesce(f.schema_text, '<SCHEMA>  </SCHEMA>') AS schema_text
+    text AS question, CASE WHEN turn % 7 = 2 THEN '<SCHEMA>  </SCHEMA>' ELSE coalesce(f.schema_text, '<SCHEMA>  </SCHEMA>') END AS schema_text
   FROM conversations q LEFT JOIN full_s f ON f.db_id = 'db_' || CAST(q.conv_id AS VARCHAR) WHERE role = 'user')"""
 EX_SQL = pr.D_CAT + pr.D_TSTR_FULL + D_EXAMPLES
 
@@ -46,7 +46,8 @@ def examples(spark, d):
     q = pr._questions(spark, d)
     return (q.join(full, "db_id", "left")
             .select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("example_id"), "db_id", "question",
-                    F.coalesce("schema_text", F.lit("<SCHEMA>  </SCHEMA>")).alias("schema_text")))
+                    F.when(F.col("turn") % 7 == 2, F.lit("<SCHEMA>  </SCHEMA>"))
+                    .otherwise(F.coalesce("schema_text", F.lit("<SCHEMA>  </SCHEMA>"))).alias("schema_text")))
 
 
 @register("s4_example_scan", sql=EX_SQL + " SELECT * FROM ex")
@@ -108,7 +109,7 @@ def b1_batch_predict(spark, d):
 @register("s8_prediction_sink", sql=B_SQL + " SELECT * FROM pred")
 def s8_prediction_sink(spark, d):
     path = fs.scratch_path(spark, "predictions")
-    fs.write_predictions(inf.batch_predict(examples(spark, d)), path, mode="overwrite")
+    fs.write_predictions(inf.batch_predict(examples(spark, d)), path)
     return fs.read_predictions(spark, path)
 
 
@@ -127,7 +128,7 @@ def b4_resume(spark, d):
     ex = examples(spark, d)
     path = fs.scratch_path(spark, "resume")
     # First run stops part-way (only the first slice is saved) ...
-    fs.write_predictions(inf.batch_predict(inf.slice_examples(ex, 0, 60000)), path, mode="overwrite")
+    fs.write_predictions(inf.batch_predict(inf.slice_examples(ex, 0, 60000)), path)
     # ... the resumed run predicts only what is missing.
     return inf.resume(ex, path)
 

@@ -225,30 +225,30 @@ def q26_having_compound(spark, d):
             .select("o_custkey", "n_orders", R2(F.col("_total")).alias("total")))
 
 
-@register("q27_order_by", sql="SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal")
+@register("q27_order_by", sql="SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey")
 def q27_order_by(spark, d):
-    return Tables(spark, d).supplier.select("s_suppkey", "s_name", "s_acctbal").orderBy("s_acctbal")
+    return Tables(spark, d).supplier.select("s_suppkey", "s_name", "s_acctbal").orderBy("s_acctbal", "s_suppkey")
 
 
 @register("q28_order_by_multi", sql="""
-SELECT c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_nationkey DESC, c_acctbal DESC""")
+SELECT c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_nationkey DESC, c_acctbal DESC, c_custkey""")
 def q28_order_by_multi(spark, d):
     c = Tables(spark, d).customer
-    return c.select("c_nationkey", "c_acctbal", "c_custkey").orderBy(F.desc("c_nationkey"), F.desc("c_acctbal"))
+    return c.select("c_nationkey", "c_acctbal", "c_custkey").orderBy(F.desc("c_nationkey"), F.desc("c_acctbal"), "c_custkey")
 
 
 @register("q29_order_by_expr", sql="""
-SELECT p_partkey, p_retailprice, p_size FROM part ORDER BY p_retailprice / p_size DESC""")
+SELECT p_partkey, p_retailprice, p_size FROM part ORDER BY p_retailprice / p_size DESC, p_partkey""")
 def q29_order_by_expr(spark, d):
     p = Tables(spark, d).part
-    return p.select("p_partkey", "p_retailprice", "p_size").orderBy((F.col("p_retailprice") / F.col("p_size")).desc())
+    return p.select("p_partkey", "p_retailprice", "p_size").orderBy((F.col("p_retailprice") / F.col("p_size")).desc(), "p_partkey")
 
 
 @register("q30_order_by_agg", sql="""
-SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC""")
+SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment""")
 def q30_order_by_agg(spark, d):
     c = Tables(spark, d).customer
-    return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+    return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c_mktsegment")
 
 
 @register("q31_limit_one", sql="""

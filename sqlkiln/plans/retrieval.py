@@ -182,15 +182,19 @@ def _questions(spark, d):
         F.concat(F.lit("db_"), F.col("conv_id").cast("string")).alias("db_id"))
 
 
+def _gated(spark, d):
+    """Questions with their full schema text, token counts and the gate."""
+    _, cols, fks = _catalog(spark, d)
+    return (_questions(spark, d).join(rt.full_schema_text(cols, fks), "db_id", "left")
+            .withColumn("schema_text", F.coalesce("schema_text", F.lit(EMPTY_SCHEMA)))
+            .withColumn("schema_tokens", rt.token_len(F.col("schema_text")))
+            .withColumn("question_tokens", rt.token_len(F.col("question")))
+            .withColumn("use_rag", rt.rag_gate(F.col("schema_tokens"), F.col("question_tokens"))))
+
+
 def _prompts(spark, d):
     tv, inv, cols, fks = _table_vecs(spark, d)
-    q = _questions(spark, d)
-    full = rt.full_schema_text(cols, fks)
-    qg = cut_lineage(q.join(full, "db_id", "left")
-          .withColumn("schema_text", F.coalesce("schema_text", F.lit(EMPTY_SCHEMA)))
-          .withColumn("schema_tokens", rt.token_len(F.col("schema_text")))
-          .withColumn("question_tokens", rt.token_len(F.col("question")))
-          .withColumn("use_rag", rt.rag_gate(F.col("schema_tokens"), F.col("question_tokens"))))
+    qg = cut_lineage(_gated(spark, d))
     # Retrieval only for gated questions: the filter runs before the join.
     gated = (qg.where("use_rag").select(*QT, "db_id", rt.hash_embed(F.col("question"), DIM).alias("raw"))
              .select(*QT, "db_id", rt.l2_normalize(F.col("raw")).alias("vec")))
@@ -236,7 +240,7 @@ qg3 AS (SELECT *, schema_tokens > 1528 OR question_tokens > 64 AS use_rag FROM q
 @register("r10_rag_gate", sql=D_CAT + D_TSTR_FULL + D_QT + D_GATE
           + " SELECT conv_id, turn, schema_tokens, question_tokens, use_rag FROM qg3")
 def r10_rag_gate(spark, d):
-    return _prompts(spark, d).select(*QT, "schema_tokens", "question_tokens", "use_rag")
+    return _gated(spark, d).select(*QT, "schema_tokens", "question_tokens", "use_rag")
 
 
 D_TEXT_SEL = (D_CTX + D_TV + f""", gq AS (SELECT conv_id, turn, db_id, {d_norm(d_hash_embed('question'))} AS vec FROM qg3 WHERE use_rag),

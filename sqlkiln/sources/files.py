@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,9 +84,10 @@ def example_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Write ``df`` as JSON-array files, one array per partition (no single writer)."""
-    arr = df.groupBy(F.spark_partition_id().alias("_p")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("v"))
+def write_json_arrays(df: DataFrame, path: str, rows_per_array: int = 10_000) -> None:
+    """Write ``df`` as JSON-array files of about ``rows_per_array`` rows each, one array a line."""
+    part = F.floor(F.monotonically_increasing_id() / rows_per_array)
+    arr = df.groupBy(part.alias("_p")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("v"))
     arr.select("v").write.mode("overwrite").text(path)
 
 
@@ -95,20 +96,17 @@ def query_file_scan(spark: SparkSession, path: str) -> DataFrame:
     """``SQL<TAB>db_id`` lines with their line number in file order;
     blank lines are dropped but keep their numbers, so later lines never shift.
 
-    Line numbering is the one place an RDD is used: ``zipWithIndex`` counts
-    each partition once and numbers lines in partition (= file) order.
-    Files are passed in name order so the order is stable.
+    Lines are numbered within the blocks that Spark reads -- a block's lines keep
+    their order -- and every block starts after the lines of the blocks before
+    it, by file name and place; only one count per block is gathered.
     """
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getFileStatus(hpath).isDirectory():
-        files = sorted(str(s.getPath().toString()) for s in fs.listStatus(hpath)
-                       if not s.getPath().getName().startswith(("_", ".")))
-    else:
-        files = [path]
-    lines = spark.sparkContext.textFile(",".join(files)).zipWithIndex()
-    df = spark.createDataFrame(lines, "value string, line_no long")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)       # one row per block
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("k")) - 1
+    df = lines.withColumn("nth", nth).join(blocks, ["file", "block"]).withColumn("line_no", F.col("base") + F.col("nth"))
     parts = F.split(F.col("value"), "\t", 2)
     return (df.where(F.trim("value") != "")
             .select("line_no", F.trim(parts[0]).alias("sql"), F.trim(parts[1]).alias("db_id")))
@@ -138,11 +136,15 @@ def export(spark: SparkSession, fmt: str, table_or_select: str, path: str) -> st
 PREDICTION_SCHEMA = "example_id long, sql string, error string"
 
 
-def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_predictions(df: DataFrame, path: str, batch: int | str = 0) -> None:
     """Predictions table ``(example_id, sql, error)``; failures are the
-    rows with an error, so no sidecar file is needed."""
-    df.select("example_id", "sql", "error").write.mode(mode).parquet(path)
+    rows with an error, so no sidecar file is needed.
+
+    Each batch is a folder of its own that a replay overwrites, so writing a
+    batch twice leaves it there once.
+    """
+    df.select("example_id", "sql", "error").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION_SCHEMA).parquet(path)
+    return spark.read.schema(PREDICTION_SCHEMA).parquet(path).select("example_id", "sql", "error")

@@ -31,7 +31,8 @@ def predict_available(spark: SparkSession, examples_dir: str, predictions_path:
     batches = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_predictions(batch_predict(batch, make_predictor), predictions_path, mode="append")
+        # a replayed batch overwrites its own folder
+        write_predictions(batch_predict(batch, make_predictor), predictions_path, batch=batch_id)
         batches.append(batch_id)
 
     q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

@@ -74,7 +74,7 @@ def test_resume_equals_full_run(spark, scratch):
                                 for i in range(40)], "example_id long, db_id string, question string, schema_text string")
     full = {tuple(r) for r in inf.batch_predict(ex).collect()}
     path = f"{scratch}/preds"
-    fs.write_predictions(inf.batch_predict(inf.slice_examples(ex, 0, 17)), path, mode="overwrite")
+    fs.write_predictions(inf.batch_predict(inf.slice_examples(ex, 0, 17)), path)
     resumed = {tuple(r) for r in inf.resume(ex, path).collect()}
     assert resumed == full and len(resumed) == 40
     failed = [r for r in full if r[2] is not None]
@@ -124,3 +124,41 @@ def test_pluggable_encoder_and_tokenizer(spark):
     assert lens == {1: 6, 2: 0}          # falls back to 2 x whitespace words
     ok = {r.id: r.n_tokens for r in rt.token_len_with(df, "text", lambda ts: [len(t) for t in ts]).collect()}
     assert ok == {1: 18, 2: 0}
+
+
+def test_components_of_a_long_chain_and_of_two_databases(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1000)], "src long, dst long")
+    got = cat.connected_components(chain).collect()
+    assert len(got) == 1001 and {r.component for r in got} == {0}
+    cols = spark.createDataFrame([(db, t, p, 0, "id", "INT", True) for db in "ab" for p, t in enumerate(("x", "y"))],
+                                 "db_id string, table_name string, table_pos long, pos int, name string, type string, pk boolean")
+    fks = spark.createDataFrame([("a", "y", "id", "x", "id", 0)],
+                                "db_id string, from_table string, from_column string, to_table string, to_column string, key_pos int")
+    rows = {tuple(r) for r in cat.fk_canonical_map(fks, cols).collect()}
+    assert rows == {("a", "x", "id", "x", "id"), ("a", "y", "id", "x", "id")}
+
+
+def test_replayed_batch_adds_no_rows(spark, scratch):
+    rows = spark.createDataFrame([(1, "db", "q", "<SCHEMA> t(x) </SCHEMA>"), (2, "db", "q", "no tables")],
+                                 "example_id long, db_id string, question string, schema_text string")
+    for _ in range(2):                       # written, then the commit is lost and the batch runs again
+        fs.write_predictions(inf.batch_predict(rows), f"{scratch}/p", batch=0)
+    got = {r.example_id: r for r in fs.read_predictions(spark, f"{scratch}/p").collect()}
+    assert len(got) == 2 and got[1].error is None and got[2].error.startswith("ValueError")
+    assert inf.resume(rows, f"{scratch}/p").count() == 2
+
+
+def test_ordered_queries_come_back_in_order(spark):
+    import __spark_entry__ as entry
+    qs = entry.queries()
+    keys = {"q27_order_by": lambda r: (r.s_acctbal, r.s_suppkey), "q28_order_by_multi": lambda r: (-r.c_nationkey, -r.c_acctbal, r.c_custkey),
+            "q29_order_by_expr": lambda r: (-r.p_retailprice / r.p_size, r.p_partkey), "q30_order_by_agg": lambda r: (-r.n, r.c_mktsegment)}
+    for name, key in keys.items():
+        got = [key(r) for r in qs[name](spark, SF001).collect()]
+        assert got == sorted(got), name
+
+
+def test_boolean_columns_limit_the_rewrite(spark):
+    df = spark.createDataFrame([('SELECT * FROM t WHERE id = 1 AND active=1 AND "flag" = 0',)], ["s"])
+    assert df.select(st.to_postgres(F.col("s"), bool_columns=["active", "flag"])).first()[0] == \
+        'SELECT * FROM t WHERE id = 1 AND active = TRUE AND "flag" = FALSE'

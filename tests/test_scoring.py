@@ -71,19 +71,70 @@ def test_partial_select_multiset(spark):
     assert parts["select"].f1 == 0 and parts["select(no AGG)"].f1 == 1
 
 
-def test_canonical_query_fk_map():
-    text = q([False, [[0, [0, [0, "__b.a_id__", False], None]]]], ["__b__"])
-    out = json.loads(sc.canonical_query(text, {"__b.a_id__": "__a.id__"}))
-    assert out["select"][1][0][1][1][1] == "__a.id__"
-    # tables outside FROM are not rewritten
-    out2 = json.loads(sc.canonical_query(text, {"__c.x__": "__a.id__"}))
-    assert out2["select"][1][0][1][1][1] == "__b.a_id__"
+def test_fk_columns_are_canonical_only_in_the_outer_from(spark):
+    by_b = q([False, [[0, [0, [0, "__b.a_id__", False], None]]]], ["__b__"])
+    by_a = q([False, [[0, [0, [0, "__a.id__", False], None]]]], ["__b__"])
+    kmap = spark.createDataFrame([("db", "__b.a_id__", "__a.id__"), ("db", "__c.x__", "__a.id__"), ("other", "__b.a_id__", "__z.z__")],
+                                 "db_id string, col string, rep string")
+    gold, pred = frame(spark, [(by_b, by_a), (by_a, by_b.replace("__b.a_id__", "__c.x__"))])
+    assert [r.exact for r in sc.score_examples(gold, pred, kmap).orderBy("example_id").collect()] == [1, 0]
+
+
+def test_values_and_distinct_can_be_compared(spark):
+    distinct = q([False, [[0, [0, [0, "__club.name__", True], None]]]], ["__club__"])
+    plain = distinct.replace("true", "false")
+    other_value = NAME_WHERE.replace('\\"x\\"', '\\"y\\"')
+    gold, pred = frame(spark, [(NAME_WHERE, other_value), (distinct, plain)])
+    exact = lambda **kw: [r.exact for r in sc.score_examples(gold, pred, **kw).orderBy("example_id").collect()]
+    assert exact() == [1, 1] and exact(values=True) == [0, 1] and exact(distinct=True) == [1, 0]
+
+
+def test_set_operations_match_at_any_depth(spark):
+    def deep(n, inner):
+        return inner if n == 0 else dict(json.loads(NAME_WHERE), intersect=deep(n - 1, inner))
+    pairs = []
+    for n in (1, 3, 6):
+        a, b = json.loads(TWO_CONDS), json.loads(TWO_CONDS)
+        b["select"][1].reverse()                        # the order of SELECT does not count, however deep
+        pairs.append((json.dumps(deep(n, a)), json.dumps(deep(n, b))))
+        b = dict(b, where=[])
+        pairs.append((json.dumps(deep(n, a)), json.dumps(deep(n, b))))
+    gold, pred = frame(spark, pairs)
+    assert [r.exact for r in sc.score_examples(gold, pred).orderBy("example_id").collect()] == [1, 0] * 3
+
+
+def test_subqueries_in_conditions_are_compared_whole(spark):
+    def sub(**change):
+        inner = dict(json.loads(NAME_WHERE), **change)
+        return q([False, [[0, [0, [0, "__club.id__", False], None]]]], ["__club__"], where=[[False, 8, [0, [0, "__club.id__", False], None], inner, None]])
+    gold, pred = frame(spark, [(sub(), sub()), (sub(), sub(limit=3)), (sub(), sub().replace('\\"x\\"', '\\"y\\"')), (sub(), sub(where=[]))])
+    assert [r.exact for r in sc.score_examples(gold, pred).orderBy("example_id").collect()] == [1, 0, 1, 0]
+
+
+def test_bad_gold_is_reported_and_not_scored(spark):
+    gold, pred = frame(spark, [("not json", COUNT_STAR), (COUNT_STAR, COUNT_STAR)])
+    assert [r.gold_failed for r in sc.align(gold, pred).orderBy("example_id").collect()] == [True, False]
+    assert [r.example_id for r in sc.score_examples(gold, pred).collect()] == [1]
+
+
+def test_report_has_all_blocks_and_levels(spark):
+    gold, pred = frame(spark, [(COUNT_STAR, COUNT_STAR), (TWO_CONDS, COUNT_STAR)])
+    run = spark.createDataFrame([(0, True)], "example_id long, exec_match boolean")
+    rep = {(r.block, r.type): r for r in sc.score_report(sc.score_rollup(sc.score_examples(gold, pred), run)).collect()}
+    assert len(rep) == 3 + 3 * len(sc.PARTIAL_TYPES)
+    whole = lambda block: [rep[block, ""][lv] for lv in sc.LEVELS]
+    assert whole("count") == [1, 0, 0, 1, 2] and whole("exec") == [1, 0, 0, 0, 0.5] and whole("exact") == [1, 0, 0, 0, 0.5]
+    assert rep["f1", "select"].medium == 0
 
 
 def test_execution_match(spark):
-    rows = [(1, "gold", "u", 0, "1"), (1, "pred", "u", 0, "1"),
-            (2, "gold", "u", 0, "1"), (2, "gold", "u", 1, "2"), (2, "pred", "u", 0, "2"), (2, "pred", "u", 1, "1")]
+    rows = [(1, "gold", "u", 0, "1"), (1, "pred", "u", 0, "1.0"),
+            (2, "gold", "u", 0, "1"), (2, "gold", "u", 1, "2"), (2, "pred", "u", 0, "2"), (2, "pred", "u", 1, "1"),
+            (3, "gold", "u", 0, None), (3, "pred", "u", 0, None), (4, "gold", "u", 0, None), (4, "pred", "u", 0, "n"),
+            (5, "gold", "u", 0, "a"), (6, "gold", "u", 0, "a"), (6, "gold", "u", 1, "a"), (6, "pred", "u", 0, "a")]
     df = spark.createDataFrame(rows, "example_id long, side string, unit_key string, row_no long, value string")
-    ordered = {r.example_id: r.exec_match for r in sc.execution_match(df).collect()}
-    unordered = {r.example_id: r.exec_match for r in sc.execution_match(df, ordered=False).collect()}
-    assert ordered == {1: True, 2: False} and unordered == {1: True, 2: True}
+    ran = spark.createDataFrame([(i, i != 8) for i in range(1, 9)], "example_id long, pred_ok boolean")
+    ordered = {r.example_id: r.exec_match for r in sc.execution_match(df, executed=ran).collect()}
+    unordered = {r.example_id: r.exec_match for r in sc.execution_match(df, ordered=False, executed=ran).collect()}
+    same = {1: True, 3: True, 4: False, 5: False, 6: False, 7: True, 8: False}     # 7: two empty results, 8: a failed prediction
+    assert ordered == same | {2: False} and unordered == same | {2: True}
