@@ -19,33 +19,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import rows_of, stored
+from .common import BROADCAST_IDS, stored
 
 BUCKETS = 1 << 18
 MIN_TOKENS = 5
 
 
-def _tokens(text: Column) -> Column:
-    """The pieces of ``text`` between white space; runs of it give empty pieces.
-
-    Blanks other than a space are rare and are turned into spaces first, which
-    leaves a split at one character, without a regular expression.
-    """
+def _plain(text: Column) -> Column:
+    """``text`` with a space for every other blank but the line end; these are rare."""
     odd = F.lit(False)
-    for c in "\t\n\v\f\r":
+    for c in "\t\v\f\r":
         odd = odd | F.contains(text, F.lit(c))
-    return F.split(F.when(odd, F.translate(text, "\t\n\v\f\r", "     ")).otherwise(text), " ", -1)
+    return F.when(odd, F.translate(text, "\t\v\f\r", "    ")).otherwise(text)
 
 
 def _words(line: Column) -> Column:
-    """Distinct words of a line."""
-    return F.array_remove(F.array_distinct(_tokens(line)), "")
+    """Distinct words of a plain line; splitting at one character needs no regular expression."""
+    return F.array_remove(F.array_distinct(F.split(line, " ", -1)), "")
 
 
 def _eligible(line: Column, min_tokens: int) -> Column:
-    """Whether a line has ``min_tokens`` distinct words; most show it in the first few."""
-    head = F.array_remove(F.array_distinct(F.slice(_tokens(line), 1, 2 * min_tokens)), "")
-    return (F.size(head) >= min_tokens) | ((F.size(_tokens(line)) > 2 * min_tokens) & (F.size(_words(line)) >= min_tokens))
+    """Whether a plain line has ``min_tokens`` distinct words; most show it in the first few."""
+    head = F.array_remove(F.array_distinct(F.slice(F.split(line, " ", 2 * min_tokens + 1), 1, 2 * min_tokens)), "")
+    return (F.size(head) >= min_tokens) | (F.size(_words(line)) >= min_tokens)
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -54,7 +50,8 @@ def _rarity(docs: DataFrame) -> Column:
     ``BUCKETS`` counts reach the driver, whatever the corpus, and go back as a
     literal.
     """
-    words = docs.select(F.explode(_tokens(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word")).where("word <> ''")
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ", -1)).alias("word")).where("word <> ''")
     rows = (words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
             .select("bucket", F.least(F.floor(F.log2("count")), F.lit(31)).cast("int").alias("size")).toPandas())
     table = bytearray(b"A" * BUCKETS)
@@ -105,38 +102,40 @@ def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) ->
     Eligible are lines of at least ``min_tokens`` distinct words. ``docs`` has
     ``doc_id`` and ``text``; rows without either are left out.
     """
-    docs = docs.where("doc_id is not null and text is not null")
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", _plain(F.col("text")).alias("text"))
     table = _rarity(docs)
 
-    def key(word: Column) -> Column:
+    def key(h: Column) -> Column:
         """Magnitude of the word's count, then 58 bits of its hash: sorts by rarity."""
-        h = F.xxhash64(word)
-        size = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")) - 65
+        size = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")) - 65
         return F.shiftleft(size.cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit((1 << 58) - 1)))
 
-    keys = F.sort_array(F.array_remove(F.array_distinct(F.transform(_tokens(F.col("line")), key)), key(F.lit(""))))
-    keyed = (_positions(docs).where(_eligible(F.col("line"), min_tokens))
-             .select("doc_id", "line_no", keys.alias("keys")))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    keyed = _positions(docs).select(F.struct("doc_id", "line_no").alias("at"), F.sort_array(F.transform(hashes, key)).alias("keys"))
     n = F.size("keys")
     prefix = n - F.floor((pct * n + 99) / 100).cast("int") + 1
     sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = keyed.select(F.struct("doc_id", "line_no").alias("at"), F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"),
+    lines = keyed.select("at", F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"),
                          n.alias("n"), sketch.alias("sketch"),
                          F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
-    # One row per distinct set: its first place; the rest depends on the set alone.
+    # One row per distinct set: its first place; the rest depends on the set
+    # alone. Small sets leave after this, so that keys are computed once.
     classes = stored(lines.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"),
                                                    F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-                     .drop("c1", "c2").withColumn("set_no", F.monotonically_increasing_id()), "line-sets")
+                     .where(F.col("n") >= min_tokens).drop("c1", "c2").withColumn("set_no", F.monotonically_increasing_id()), "line-sets")
 
     at = classes.select("set_no", "at")
     pairs = (_similar_sets(classes, pct).join(at.toDF("x", "ax"), "x").join(at.toDF("y", "ay"), "y")
              .select(F.least("ax", "ay").alias("earlier"), F.greatest("ax", "ay").alias("later")))
     pairs = stored(pairs, "line-pairs")
-    places = stored(pairs.select(F.explode(F.array("earlier", "later")).alias("at")).distinct(), "line-places")
-    again = (_positions(rows_of(docs, places.select(F.col("at.doc_id").alias("doc_id")).distinct()))
-             .select(F.struct("doc_id", "line_no").alias("at"), "line").join(places, "at", "left_semi"))
-    words = stored(again.select("at", _words(F.col("line")).alias("words")), "line-words")
+    # Only the lines concerned are read again, picked from their documents by number.
+    places = pairs.select(F.explode(F.array("earlier", "later")).alias("at")).distinct().select("at.*")
+    wanted = stored(places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"), F.count("*").alias("n")), "lines-wanted")
+    few = (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
+    words = stored(texts.select("doc_id", "lines", F.explode("wanted").alias("line_no"))
+                   .select(F.struct("doc_id", "line_no").alias("at"), _words(F.element_at("lines", F.col("line_no") + 1)).alias("words")), "line-words")
 
     # One similar earlier line is enough: the first candidate of each line is
     # verified, and all others only of lines that this did not settle.
@@ -160,7 +159,7 @@ def line_report(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) ->
     kept = (first_lines(docs, pct, min_tokens).groupBy("doc_id")
             .agg(F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("kept_lines"), F.count("*").alias("n_kept")))
     lines = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
-    sizes = docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"),
+    sizes = docs.select("doc_id", _plain(F.col("text")).alias("text")).select("doc_id", F.size(lines).cast("long").alias("n_lines"),
                         F.size(F.filter(lines, lambda x: _eligible(x, min_tokens))).cast("long").alias("n_eligible"))
     out = sizes.join(kept, "doc_id", "left")
     return out.select("doc_id", "n_lines", "n_eligible",
@@ -178,6 +177,6 @@ def dedup_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) ->
     kept = first_lines(plain, pct, min_tokens).groupBy("doc_id").agg(F.collect_list("line_no").alias("__kept"))
     none = F.array().cast("array<int>")
     lines = F.split("text", "\n", -1)
-    text = F.array_join(F.filter(lines, lambda x, i: ~_eligible(x, min_tokens) | F.array_contains(F.coalesce("__kept", none), i)), "\n")
+    text = F.array_join(F.filter(lines, lambda x, i: ~_eligible(_plain(x), min_tokens) | F.array_contains(F.coalesce("__kept", none), i)), "\n")
     return (docs.join(kept, "doc_id", "left")
             .withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(text)).select(*docs.columns))
