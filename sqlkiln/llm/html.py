@@ -117,12 +117,14 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.open[-1].children.append(Node("br"))
             return
-        fence = () if tag in ("table", "body", "html") else ("table",) if tag not in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else ("table",)
+        # Only a table's own parts, and the page's, reach beyond a cell; nothing else leaves a table.
+        of_table = tag in ("table", "tr", "caption", "body", "html") + _SECTION + _CELL
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
+            here = self.open[i].tag
+            if here == tag:
                 del self.open[i:]
                 return
-            if self.open[i].tag in fence or (self.open[i].tag in _CELL and tag not in ("tr", "table") + _SECTION and tag not in _CELL + ("body", "html")):
+            if here == "table" and tag not in ("body", "html") or here in _CELL and not of_table:
                 return
 
     def handle_data(self, data):
@@ -151,7 +153,8 @@ def text_width(s: str) -> int:
 class Page:
     """Collects text into lines; keeps track of the white space that is due."""
 
-    def __init__(self):
+    def __init__(self, in_list: bool = False):
+        self.in_list = in_list   # lists inside a list item stand close
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0             # blank lines due before the next text
@@ -252,8 +255,8 @@ def _visibility(node: Node, seen: bool) -> tuple[bool, bool]:
     return True, seen
 
 
-def _inner(nodes: list, seen: bool, pre: bool) -> list[str]:
-    page = Page()
+def _inner(nodes: list, seen: bool, pre: bool, in_list: bool = False) -> list[str]:
+    page = Page(in_list)
     _walk(nodes, page, seen, pre)
     return page.finish()
 
@@ -273,7 +276,7 @@ def _list(node: Node, page: Page, seen: bool) -> None:
             n += 1
         else:
             mark = "- "
-        lines = _inner(child.children, own, False)
+        lines = _inner(child.children, own, False, in_list=True)
         if lines:
             page.block()
             page.inset(lines, mark, " " * len(mark))
@@ -365,7 +368,7 @@ def _walk(nodes: list, page: Page, seen: bool, pre: bool) -> None:
         elif tag not in BLOCKS:
             _walk(node.children, page, own, pre)
         else:
-            blank = 1 if tag in PARAGRAPHS else 0
+            blank = 1 if tag in PARAGRAPHS and not (page.in_list and tag in ("ul", "ol", "menu")) else 0
             page.block(blank)
             if tag in ("ul", "ol", "menu"):
                 _list(node, page, own)

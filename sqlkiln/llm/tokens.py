@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from array import array
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
-END_ID = 2                    # the id that ends every document
-CACHE_CHUNKS = 600_000        # chunks a worker remembers before it starts afresh
-CACHE_CHARS = 48              # longer chunks are encoded, not remembered
-
-_IRREGULAR = re.compile(r" (?=\s|\Z)")
+END_ID = 2                      # the id that ends every document
+CACHE_CHUNKS = 1_000_000        # chunks a worker remembers; common ones come early, so a full cache just stays
+CACHE_CHARS = 48                # longer chunks are encoded, not remembered
 
 
 class ChunkEncoder:
@@ -53,36 +52,30 @@ class ChunkEncoder:
                 into[chunk] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        odd: list[int] = []
-        for i, text in enumerate(texts):
-            if _IRREGULAR.search(text):
-                odd.append(i)
-            else:
-                split[i] = text.split(" ")
-        missing: set[str] = set()
-        for parts in split.values():
-            missing.update(parts[1:])
         known = self.known
-        missing.difference_update(known)
-        if len(known) + len(missing) > CACHE_CHUNKS:
-            known.clear()
-            missing = {c for parts in split.values() for c in parts[1:]}
-        short = [c for c in missing if len(c) <= CACHE_CHARS]
-        self._learn(short, known)
-        long = {c for c in missing if len(c) > CACHE_CHARS}
-        here: dict[str, bytes] = {}
-        self._learn(list(long), here)
-        heads = dict(zip(split, self._whole([p[0] for p in split.values()])))
-        for i, parts in split.items():
-            if long and not long.isdisjoint(parts):
-                body = b"".join([known[c] if c in known else here[c] for c in parts[1:]])
-            else:
-                body = b"".join(map(known.__getitem__, parts[1:]))
-            out[i] = heads[i] + body
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
+        parts = [t.split(" ") for t in texts]
+        heads = self._whole([p[0] for p in parts])
+        found = [list(map(known.get, p)) for p in parts]          # the first chunk has no space before it: see heads
+        missing: set[str] = set()
+        for p, f in zip(parts, found):
+            missing.update(compress(p, map(not_, f)))
+        odd = {c for c in missing if not c or c[0].isspace()}     # a space before white space, or at the end
+        missing -= odd
+        new: dict[str, bytes] = {}
+        self._learn(list(missing), new)
+        out = []
+        for text, head, p, f in zip(texts, heads, parts, found):
+            if odd and not odd.isdisjoint(p[1:]):
+                out.append(self._whole([text])[0])
+                continue
+            f[0] = head
+            if None in f:
+                f = [new[c] if ids is None else ids for c, ids in zip(p, f)]
+            out.append(b"".join(f))
+        room = CACHE_CHUNKS - len(known)
+        if room > 0:
+            short = (c for c in new if len(c) <= CACHE_CHARS)
+            known.update((c, new[c]) for c, _ in zip(short, range(room)))
         return out
 
 
