@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from itertools import compress
 from operator import not_
@@ -12,6 +13,9 @@ END_ID = 2                      # the id that ends every document
 CACHE_CHUNKS = 1_000_000        # chunks a worker remembers; common ones come early, so a full cache just stays
 CACHE_CHARS = 48                # longer chunks are encoded, not remembered
 
+# A run of letters and what follows it: the pre-tokenizer parts the two, too.
+_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~\n'].*)", re.S)
+
 
 class ChunkEncoder:
     """Texts to ids (little-endian uint32 bytes), equal to encoding each whole text.
@@ -19,7 +23,8 @@ class ChunkEncoder:
     The byte-level pre-tokenizer always starts a new piece at a space that a
     non-space follows, and pieces are encoded independently; so a text's ids
     are those of its chunks between such spaces, in a row. Natural words
-    repeat, so most chunks come from the cache. Texts in which a space meets
+    repeat, so most chunks come from the cache; of a new one, the word and the
+    punctuation behind it often do. Texts in which a space meets
     other white space or ends the text are encoded whole.
     """
 
@@ -34,6 +39,7 @@ class ChunkEncoder:
         self.starts = np.zeros(self.vocab_size, bool)      # ids whose bytes begin with a space
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}                  # what stands behind a word, without a space before it
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,6 +57,27 @@ class ChunkEncoder:
             for chunk, a, b in zip(part, (cuts * 4).tolist(), ends.tolist()):
                 into[chunk] = raw[a:b]
 
+    def _new(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not known, each as it reads after a space."""
+        whole, split = set(), {}
+        for c in chunks:
+            m = _STEM.fullmatch(c)
+            if m:
+                split[c] = m.groups()
+                if m[1] not in self.known:
+                    whole.add(m[1])
+            else:
+                whole.add(c)
+        new: dict[str, bytes] = {}
+        self._learn(list(whole), new)
+        rest = list({tail for _, tail in split.values() if tail not in self.tails})
+        tails = dict(zip(rest, self._whole(rest)))
+        for c, (stem, tail) in split.items():
+            new[c] = (self.known.get(stem) or new[stem]) + (self.tails.get(tail) or tails[tail])
+        if len(self.tails) < CACHE_CHUNKS // 4:
+            self.tails.update((t, ids) for t, ids in tails.items() if len(t) <= CACHE_CHARS)
+        return new
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         parts = [t.split(" ") for t in texts]
@@ -61,8 +88,7 @@ class ChunkEncoder:
             missing.update(compress(p, map(not_, f)))
         odd = {c for c in missing if not c or c[0].isspace()}     # a space before white space, or at the end
         missing -= odd
-        new: dict[str, bytes] = {}
-        self._learn(list(missing), new)
+        new = self._new(missing)
         out = []
         for text, head, p, f in zip(texts, heads, parts, found):
             if odd and not odd.isdisjoint(p[1:]):
