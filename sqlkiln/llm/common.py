@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlkiln.session import cut_lineage
@@ -10,9 +12,18 @@ from sqlkiln.session import cut_lineage
 WS = r"[\x20\x09-\x0D]"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back."""
-    return cut_lineage(df, tag)
+def stored(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back.
+
+    Spark drops a finished step's shuffle files when the driver collects its
+    garbage, which on a quiet driver may be never; ``release`` asks for that
+    now, so that the next step does not find the last one's files on the disks.
+    """
+    out = cut_lineage(df, tag)
+    if release:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -123,26 +123,28 @@ def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) ->
     # alone. Small sets leave after this, so that keys are computed once.
     classes = stored(lines.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"),
                                                    F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-                     .where(F.col("n") >= min_tokens).drop("c1", "c2").withColumn("set_no", F.monotonically_increasing_id()), "line-sets")
+                     .where(F.col("n") >= min_tokens).drop("c1", "c2").withColumn("set_no", F.monotonically_increasing_id()), "line-sets", release=True)
 
     at = classes.select("set_no", "at")
     pairs = (_similar_sets(classes, pct).join(at.toDF("x", "ax"), "x").join(at.toDF("y", "ay"), "y")
              .select(F.least("ax", "ay").alias("earlier"), F.greatest("ax", "ay").alias("later")))
-    pairs = stored(pairs, "line-pairs")
+    pairs = stored(pairs, "line-pairs", release=True)
     # Only the lines concerned are read again, picked from their documents by number.
     places = pairs.select(F.explode(F.array("earlier", "later")).alias("at")).distinct().select("at.*")
     wanted = stored(places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"), F.count("*").alias("n")), "lines-wanted")
     few = (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
     words = stored(texts.select("doc_id", "lines", F.explode("wanted").alias("line_no"))
-                   .select(F.struct("doc_id", "line_no").alias("at"), _words(F.element_at("lines", F.col("line_no") + 1)).alias("words")), "line-words")
+                   .select(F.struct("doc_id", "line_no").alias("at"), _words(F.element_at("lines", F.col("line_no") + 1)).alias("words")), "line-words", release=True)
 
     # One similar earlier line is enough: the first candidate of each line is
     # verified, and all others only of lines that this did not settle.
-    best = pairs.groupBy("later").agg(F.min("earlier").alias("earlier"))
-    settled = stored(_verified(best, words, pct), "lines-settled")
-    open_pairs = pairs.join(settled, "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
-    later = settled.unionByName(_verified(open_pairs, words, pct)).select(F.col("later").alias("at"))
+    best = stored(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), "line-candidates")
+    settled = stored(_verified(best, words, pct), "lines-settled", release=True)
+    left = best.join(settled, "later", "left_anti")
+    others = stored(pairs.join(left.select("later", F.col("earlier").alias("tried")), "later").where("earlier <> tried").drop("tried"), "line-pairs-left")
+    ends = others.select(F.explode(F.array("earlier", "later")).alias("at")).distinct()
+    later = settled.unionByName(_verified(others, words.join(ends, "at", "left_semi"), pct)).select(F.col("later").alias("at"))
     return at.select("at").join(later, "at", "left_anti").select("at.doc_id", "at.line_no")
 
 
