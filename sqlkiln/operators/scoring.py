@@ -56,7 +56,7 @@ def _is_null(v: Column) -> Column:
 
 
 def _is_query(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, "$.select", "variant").isNotNull()
 
 
 def _even(a: Column) -> Column:
@@ -89,16 +89,19 @@ def align(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def sides(aligned: DataFrame) -> DataFrame:
-    """``(example_id, db_id, side, outer_tables, q)``: both parsed queries of each
-    scorable example, and the tables of their FROM in the notation of columns."""
+    """``(example_id, db_id, side, outer_columns, q)``: both parsed queries of each
+    scorable example, and the columns they name of the tables in their FROM."""
     pred = F.when(F.col("pred_failed"), F.lit(EMPTY_QUERY_JSON)).otherwise(F.col("pred_json"))
     two = F.array(F.struct(F.lit("gold").alias("side"), F.col("gold_json").alias("j")),
                   F.struct(F.lit("pred").alias("side"), pred.alias("j")))
+    names = F.array_distinct(F.regexp_extract_all("j", F.lit(r'"(__[^".]+\.[^"]+__)"'), 1))
+    tables = F.transform(F.filter(_arr(F.col("q"), "$.from.table_units"), lambda u: _get(u, "$[0]", "string") == "table_unit"),
+                         lambda u: F.regexp_replace(_get(u, "$[1]", "string"), "__$", ""))
     return (aligned.where("not gold_failed").select("example_id", "db_id", F.inline(two))
-            .select("example_id", "db_id", "side", F.parse_json("j").alias("q"))
-            .select("example_id", "db_id", "side", F.transform(
-                F.filter(_arr(F.col("q"), "$.from.table_units"), lambda u: _get(u, "$[0]", "string") == "table_unit"),
-                lambda u: F.regexp_replace(_get(u, "$[1]", "string"), "__$", "")).alias("outer_tables"), "q"))
+            .select("example_id", "db_id", "side", F.parse_json("j").alias("q"), names.alias("names"))
+            .select("example_id", "db_id", "side", "q", "names", tables.alias("tables"))
+            .select("example_id", "db_id", "side", "q",
+                    F.filter("names", lambda c: F.array_contains(F.col("tables"), F.split_part(c, F.lit("."), F.lit(1)))).alias("outer_columns")))
 
 
 # ---------------------------------------------------------------------------
@@ -231,21 +234,25 @@ def column_map(canon_map: DataFrame) -> DataFrame:
     return canon_map.groupBy("db_id", name("table_name", "column_name").alias("col")).agg(F.min(name("rep_table", "rep_column")).alias("rep"))
 
 
-def canonical_columns(comp: DataFrame, kmap: DataFrame) -> DataFrame:
-    """E5: columns of the main query replaced by their foreign-key representative.
+def column_reps(queries: DataFrame, kmap: DataFrame) -> DataFrame:
+    """``(example_id, reps)``: per example a map from ``side|column`` to its representative.
 
-    Only columns of tables in the outermost FROM count, also in branches of set
-    operations. Rows without such a column carry a key that matches nothing and
-    spreads them evenly.
+    Only columns of tables in the outermost FROM count. The join with the
+    foreign-key map moves column names alone, and a map holds no more than its
+    own queries name.
     """
-    for n in ("1", "2"):
-        col = F.col(f"c{n}")
-        usable = F.coalesce((F.col("scope") == "main") & (F.col("clause") != "from") & col.contains(".")
-                            & F.array_contains("outer_tables", F.split_part(col, F.lit("."), F.lit(1))), F.lit(False))
-        comp = (comp.withColumn("key", F.when(usable, col).otherwise(F.concat(F.lit("#"), F.col("example_id").cast("string"))))
-                .join(kmap.select("db_id", F.col("col").alias("key"), "rep"), ["db_id", "key"], "left")
-                .withColumn(f"c{n}", F.coalesce("rep", col)).drop("rep", "key"))
-    return comp
+    names = queries.select("example_id", "db_id", "side", F.explode("outer_columns").alias("col"))
+    hits = names.join(kmap, ["db_id", "col"]).where("col <> rep")
+    entry = F.struct(F.concat_ws("|", "side", "col").alias("k"), F.col("rep").alias("v"))
+    return hits.groupBy("example_id").agg(F.map_from_entries(F.collect_set(entry)).alias("reps"))
+
+
+def canonical_columns(comp: DataFrame) -> DataFrame:
+    """E5: columns of the main query, and of branches of its set operations,
+    replaced by what ``reps`` of the row says."""
+    here = (F.col("scope") == "main") & (F.col("clause") != "from")
+    return comp.withColumns({c: F.when(here, F.coalesce(F.element_at("reps", F.concat_ws("|", "side", c)), F.col(c))).otherwise(F.col(c))
+                             for c in ("c1", "c2")}).drop("reps")
 
 
 # ---------------------------------------------------------------------------
@@ -289,8 +296,9 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def _score(kind: str, hits: Column, pred_total: Column, label_total: Column) -> Column:
-    v = F.when((pred_total == label_total) & (hits == pred_total), 1).otherwise(0)
-    return F.struct(F.lit(kind).alias("type"), v.alias("acc"), v.alias("rec"), v.alias("f1"),
+    """One component: acc, rec and f1 are all ``ok``."""
+    ok = F.when((pred_total == label_total) & (hits == pred_total), 1).otherwise(0)
+    return F.struct(F.lit(kind).alias("type"), ok.alias("ok"),
                     label_total.cast("int").alias("label_total"), pred_total.cast("int").alias("pred_total"))
 
 
@@ -309,20 +317,26 @@ def score_queries(ex: DataFrame) -> DataFrame:
     q = ex.select("example_id", "rows", F.explode(F.array_distinct(F.transform("rows", lambda r: r["path"]))).alias("path"))
     q = q.withColumn("rows", F.filter("rows", lambda r: r["path"] == F.col("path")))
 
-    names = ["select", "from", "where", "where:and/or", "having", "having:and/or", "group", "order", "limit", "set", "distinct"]
-
+    # One array per side and clause, then what is compared of it, each computed once.
+    clauses = {"select": ("full", "part"), "from": ("full",), "where": ("full", "part"), "where:and/or": ("word",), "having": ("full",),
+               "having:and/or": ("full",), "group": ("part",), "order": ("full",), "limit": ("full",), "set": ("word",)}
 
     def of(side: str, name: str | None = None) -> Column:
         return F.filter("rows", lambda r: (r["side"] == side) & (r["clause"] == name if name else F.lit(True)))
 
-    staged = {f"{side[0]}_{name}": of(side, name) for side in ("gold", "pred") for name in names}
-    staged |= {f"{side[0]}_kw": F.array_distinct(F.flatten(F.transform(of(side), lambda r: r["kw"]))) for side in ("gold", "pred")}
-    q = q.select("example_id", "path", *[v.alias(k) for k, v in staged.items()])
+    def field(rows: str, name: str) -> Column:
+        return F.transform(F.col(f"`{rows}`"), lambda r: r[name])
+
+    q = q.select("example_id", "path", *[of(side, name).alias(f"{side[0]}_{name}") for side in ("gold", "pred") for name in clauses],
+                 *[F.array_distinct(F.flatten(F.transform(of(side), lambda r: r["kw"]))).alias(f"{side[0]}_kw") for side in ("gold", "pred")])
+    q = q.select("example_id", "path", "p_kw", "g_kw", *[field(f"{x}_{name}", what).alias(f"{x}_{name}_{what}")
+                                                         for x in "pg" for name, fields in clauses.items() for what in fields])
+    first = {name: fields[0] for name, fields in clauses.items()}
     c = lambda k: F.col(f"`{k}`")
-    texts = lambda k: F.transform(c(k), lambda r: r["full"])
-    parts_of = lambda k: F.transform(c(k), lambda r: r["part"])
-    words = lambda k: F.transform(c(k), lambda r: r["word"])
-    size = lambda k: F.size(c(k))
+    texts = lambda k: c(f"{k}_full")
+    parts_of = lambda k: c(f"{k}_part")
+    words = lambda k: c(f"{k}_word")
+    size = lambda k: F.size(c(f"{k}_{first[k[2:]]}"))
     column_name = lambda a: F.transform(a, lambda x: F.when(x.contains("."), F.split_part(x, F.lit("."), F.lit(2))).otherwise(x))
     some = lambda k: (size(k) > 0).cast("int")
     same = lambda *ks: F.concat(*[texts(f"p_{k}") for k in ks]) == F.concat(*[texts(f"g_{k}") for k in ks])
@@ -340,12 +354,12 @@ def score_queries(ex: DataFrame) -> DataFrame:
         _score("group", F.when(group_hit, 1).otherwise(0), some("p_group"), some("g_group")),
         _score("order", F.when(order_hit, 1).otherwise(0), some("p_order"), some("g_order")),
         and_or,
-        _score("keywords", F.size(F.array_intersect(c("p_kw"), c("g_kw"))), size("p_kw"), size("g_kw")),
+        _score("keywords", F.size(F.array_intersect("p_kw", "g_kw")), F.size("p_kw"), F.size("g_kw")),
     ]
     tables = (size("g_from") == 0) | (F.array_sort(texts("p_from")) == F.array_sort(texts("g_from")))
     q = q.select("example_id", "path", F.array(*local).alias("local"), tables.alias("tables"),
                  F.array_sort(F.coalesce(words("p_set"), arr)).alias("p_ops"), F.array_sort(F.coalesce(words("g_set"), arr)).alias("g_ops"))
-    good = F.forall("local", lambda s: s["f1"] == 1) & F.col("tables") & (F.col("p_ops") == F.col("g_ops"))
+    good = F.forall("local", lambda s: s["ok"] == 1) & F.col("tables") & (F.col("p_ops") == F.col("g_ops"))
     q = q.withColumn("good", good)
     # A query matches exactly when it and every set-operation branch below it are good.
     per = q.groupBy("example_id").agg(F.collect_list(F.struct("path", "good", "local", "p_ops", "g_ops")).alias("qs"))
@@ -355,7 +369,9 @@ def score_queries(ex: DataFrame) -> DataFrame:
     both = F.array_intersect("p_ops", "g_ops")
     hits = F.size(F.filter(both, lambda k: whole(F.concat(F.col("path"), F.lit("/"), k))))
     iuen = _score("IUEN", hits, F.size("p_ops"), F.size("g_ops"))
-    partial = F.concat(F.slice("local", 1, 8), F.array(iuen), F.slice("local", 9, 1))
+    partial = F.transform(F.concat(F.slice("local", 1, 8), F.array(iuen), F.slice("local", 9, 1)), lambda s: F.struct(
+        s["type"].alias("type"), s["ok"].alias("acc"), s["ok"].alias("rec"), s["ok"].alias("f1"), s["label_total"].alias("label_total"),
+        s["pred_total"].alias("pred_total")))
     return one.select("example_id", "path", partial.alias("partial"), whole(F.col("path")).cast("int").alias("exact"))
 
 
@@ -424,13 +440,16 @@ def with_hardness(df: DataFrame, g: str, out: str = "hardness") -> DataFrame:
 # ---------------------------------------------------------------------------
 def prepared(aligned: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
     """The component table to be scored. ``values`` / ``distinct``: compare them, too."""
-    tree = query_tree(sides(aligned))
+    queries = sides(aligned)
+    tree = query_tree(queries)
+    if kmap is not None:
+        tree = tree.join(column_reps(queries, kmap), "example_id", "left")
     comp = components(tree)
     if not values:
         comp = blind_values(comp)
     if not distinct:
         comp = blind_distinct(comp)
-    return comp if kmap is None else canonical_columns(comp, kmap)
+    return comp if kmap is None else canonical_columns(comp)
 
 
 def hardness(gold: DataFrame) -> DataFrame:
