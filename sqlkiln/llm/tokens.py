@@ -10,7 +10,7 @@ from operator import not_
 import numpy as np
 
 END_ID = 2                      # the id that ends every document
-CACHE_CHUNKS = 1_000_000        # chunks a worker remembers; common ones come early, so a full cache just stays
+CACHE_CHUNKS = 500_000          # chunks a worker remembers; common ones come early, so a full cache just stays
 CACHE_CHARS = 48                # longer chunks are encoded, not remembered
 
 # A run of letters and what follows it: the pre-tokenizer parts the two, too.
