@@ -88,6 +88,31 @@ def _similar_sets(classes: DataFrame, pct: int) -> DataFrame:
     return a.join(b, near).select(F.col("a.set_no").alias("x"), F.col("b.set_no").alias("y")).distinct()
 
 
+def _wide_sketch(words: Column) -> Column:
+    """256-bit parity sketch of a set: two sets differ in at least as many words as their sketches in bits."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    one = F.lit(1).cast("long")
+
+    def part(i: int) -> Column:
+        own = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(
+            F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.array(*[part(i) for i in range(4)])
+
+
+def _close(pairs: DataFrame, words: DataFrame, pct: int) -> DataFrame:
+    """The ``pairs`` that their wide sketches do not rule out, with the number of bits that differ.
+
+    Sketches move instead of words, so a candidate that is no match costs little.
+    """
+    slim = words.select("at", "sketch", F.size("words").alias("n"))
+    both = (pairs.join(slim.toDF("earlier", "se", "ne"), "earlier").join(slim.toDF("later", "sl", "nl"), "later"))
+    bits = F.aggregate(F.zip_with("se", "sl", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    n = F.col("ne") + F.col("nl")
+    return (both.withColumn("bits", bits).where(F.col("bits") <= n - 2 * F.floor((pct * n + 99 + pct) / (100 + pct)))
+            .select("earlier", "later", "bits"))
+
+
 def _verified(pairs: DataFrame, words: DataFrame, pct: int) -> DataFrame:
     """The ``later`` places of ``pairs`` whose words are similar enough."""
     both = (pairs.join(words.select(F.col("at").alias("earlier"), F.col("words").alias("we")), "earlier")
@@ -134,15 +159,18 @@ def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) ->
     wanted = stored(places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"), F.count("*").alias("n")), "lines-wanted")
     few = (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
-    words = stored(texts.select("doc_id", "lines", F.explode("wanted").alias("line_no"))
-                   .select(F.struct("doc_id", "line_no").alias("at"), _words(F.element_at("lines", F.col("line_no") + 1)).alias("words")), "line-words", release=True)
-
-    # One similar earlier line is enough: the first candidate of each line is
-    # verified, and all others only of lines that this did not settle.
-    best = stored(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), "line-candidates")
+    words = texts.select("doc_id", "lines", F.explode("wanted").alias("line_no")).select(
+        F.struct("doc_id", "line_no").alias("at"), _words(F.element_at("lines", F.col("line_no") + 1)).alias("words"))
+    words = stored(words.withColumn("sketch", _wide_sketch(F.col("words"))), "line-words", release=True)
+
+    # One similar earlier line is enough: each line's closest candidate is
+    # verified, and the others only of lines that this did not settle.
+    near = stored(_close(pairs, words, pct), "line-pairs-near", release=True)
+    best = stored(near.groupBy("later").agg(F.min(F.struct("bits", "earlier")).alias("b")).select("later", "b.earlier"), "line-candidates")
     settled = stored(_verified(best, words, pct), "lines-settled", release=True)
     left = best.join(settled, "later", "left_anti")
-    others = stored(pairs.join(left.select("later", F.col("earlier").alias("tried")), "later").where("earlier <> tried").drop("tried"), "line-pairs-left")
+    others = stored(near.join(left.select("later", F.col("earlier").alias("tried")), "later").where("earlier <> tried").select("earlier", "later"),
+                    "line-pairs-left")
     ends = others.select(F.explode(F.array("earlier", "later")).alias("at")).distinct()
     later = settled.unionByName(_verified(others, words.join(ends, "at", "left_semi"), pct)).select(F.col("later").alias("at"))
     return at.select("at").join(later, "at", "left_anti").select("at.doc_id", "at.line_no")
