@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from sqlkiln.llm import packing
 from test_lines_mixing import brute_kept, words
-from test_minhash import brute
+from test_minhash import brute, shingles
 
 D = "/root/testdata/sf0.001"
 
@@ -51,3 +51,15 @@ def test_stages(spark, tmp_path):
         assert filled.get(r.sequence_id, 0) == r.offset
         filled[r.sequence_id] = r.offset + r.length
     assert max(filled.values()) <= cp.CAPACITY
+
+
+def test_near_dedup_takes_pairs_from_080(spark, make_docs, sentence):
+    base = sentence(1, 160).split()
+    edited = lambda n: " ".join(f"edit{i}" if i in range(20, 20 + 20 * n, 20) else w for i, w in enumerate(base))
+    rows = [(1, " ".join(base)), (2, edited(3)), (3, edited(5)), (4, sentence(2, 160))]
+    similarity = [100 * len(shingles(rows[0][1]) & shingles(t)) / len(shingles(rows[0][1]) | shingles(t)) for _, t in rows]
+    assert 80 <= similarity[1] < 85 and similarity[2] < 80
+    expect = {i for i, (_, c) in brute(rows, pct=80).items() if c == i}
+    assert 2 not in expect
+    out = cp.near_dedup(spark, make_docs([(i, t, "en", "s") for i, t in rows]), D)
+    assert {r.doc_id for r in out.collect()} == expect
