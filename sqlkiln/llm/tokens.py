@@ -25,7 +25,8 @@ class ChunkEncoder:
     are those of its chunks between such spaces, in a row. Natural words
     repeat, so most chunks come from the cache; of a new one, the word and the
     punctuation behind it often do. Texts in which a space meets
-    other white space or ends the text are encoded whole.
+    other white space or ends the text are encoded whole, and so are those that
+    hold an added token's string, which the library maps to that token.
     """
 
     def __init__(self, path: str):
@@ -33,7 +34,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True              # their strings are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         vocab = self.tok.get_vocab()
         self.vocab_size = max(vocab.values()) + 1
         self.starts = np.zeros(self.vocab_size, bool)      # ids whose bytes begin with a space
@@ -79,6 +80,15 @@ class ChunkEncoder:
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        marked = [any(a in t for a in self.added) for t in texts]
+        if not any(marked):
+            return self._chunked(texts)
+        whole = iter(self._whole([t for t, m in zip(texts, marked) if m]))
+        plain = iter(self._chunked([t for t, m in zip(texts, marked) if not m]))
+        return [next(whole if m else plain) for m in marked]
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without an added token's string."""
         known = self.known
         parts = [t.split(" ") for t in texts]
         heads = self._whole([p[0] for p in parts])

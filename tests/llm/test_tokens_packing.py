@@ -39,6 +39,16 @@ def test_special_strings_long_chunks_and_cache_reset(enc, monkeypatch):
     assert [np.frombuffer(x, np.uint32).tolist() for x in enc.encode(texts)] == expect
 
 
+def test_added_tokens_are_encoded_as_by_the_library(enc):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "plain words", "x<|endoftext|>y z", "<|endoftext|>", "a b <|endoftext|>\n", "<|endoftext |>", "", "more words"]
+    expect = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expect[0] == [64, 220, 50256, 275]
+    for _ in range(2):                                     # the second time from the cache
+        assert [np.frombuffer(x, np.uint32).tolist() for x in enc.encode(texts)] == expect
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 32), st.integers(0, 300), st.integers(0, 2**32))
 def test_bits_round_trip(width, n, seed):
