@@ -29,16 +29,24 @@ MAX_DEPTH = 200          # deeper elements become siblings, so hostile nesting s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style title template noscript iframe object audio video canvas svg math datalist "
                   "select textarea option optgroup rp noframes noembed".split())
+RAW = NEVER - frozenset("select option optgroup".split())     # a table's part inside does not end them
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset details hr menu".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body center dd dialog div dt figcaption footer form header hgroup html legend li "
                                 "main nav search section summary caption tr td th thead tbody tfoot colgroup".split())
-# An opening tag closes these open elements, up to the scope that bounds the search.
 _CELL, _SECTION = ("td", "th"), ("thead", "tbody", "tfoot")
+_IN_TABLE = ("table", "tr") + _SECTION
+# A table's part goes into the innermost of these, out of stray elements in the table.
+PARENTS = {"td": _IN_TABLE, "th": _IN_TABLE, "tr": ("table",) + _SECTION,
+           **dict.fromkeys(_SECTION + ("caption", "colgroup", "col"), ("table",))}
+# What stands directly in a table, a section or a row; text and all other elements go before the table.
+TABLE_PARTS = frozenset(PARENTS) | {"form", "script", "style", "template"}
+# An opening tag closes these open elements, up to the scope that bounds the search.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
     "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
-    "td": (_CELL, ("tr", "table")), "th": (_CELL, ("tr", "table")),
-    "tr": (("tr",) + _CELL, ("table",)),
+    "td": (_CELL + ("caption",), ("tr", "table")), "th": (_CELL + ("caption",), ("tr", "table")),
+    "tr": (("tr", "caption") + _CELL, ("table",)),
+    "caption": (("caption",), ("td", "th", "table")), "colgroup": (("caption",), ("td", "th", "table")),
     "thead": (_SECTION + ("tr", "caption", "colgroup"), ("table",)),
     "tbody": (_SECTION + ("tr", "caption", "colgroup"), ("table",)),
     "tfoot": (_SECTION + ("tr", "caption", "colgroup"), ("table",)),
@@ -85,12 +93,18 @@ class TreeBuilder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag not in IN_HEAD and tag not in ("html", "head") and self.open[-1].tag == "head":
             self.open.pop()                              # anything else ends the head
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
         if tag in CLOSES_P:
             self._close(("p",), P_SCOPE)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.open.pop()
+        if tag == "table" and self._in_table():
+            del self.open[self._table():]                # a table directly in a table ends that
+        if tag in PARENTS and self.open[-1].tag not in PARENTS[tag] + ("colgroup",):
+            self._back(PARENTS[tag])
         if tag == "tr" and self.open[-1].tag == "table":
             self._push(Node("tbody"))
         elif tag in _CELL and self.open[-1].tag in ("table",) + _SECTION:
@@ -99,10 +113,43 @@ class TreeBuilder(HTMLParser):
         for name, value in attrs:
             attributes.setdefault(name, value or "")     # the first of a repeated attribute counts
         node = Node(tag, attributes)
-        self.open[-1].children.append(node)
+        in_table = self._in_table()
+        if in_table and tag not in TABLE_PARTS:
+            self._foster(node)
+        else:
+            self.open[-1].children.append(node)
+        if in_table and tag == "form":
+            return                                       # holds nothing there; the rows behind it are the table's
         if tag not in VOID and len(self.open) < MAX_DEPTH:
             self.open.append(node)
 
+    def _table(self) -> int:
+        """The place of the innermost open table."""
+        return max(i for i, n in enumerate(self.open) if n.tag == "table")
+
+    def _in_table(self) -> bool:
+        """Whether the innermost element is a table, or a section or row of one."""
+        for n in reversed(self.open):
+            if n.tag not in _IN_TABLE:
+                return False
+            if n.tag == "table":
+                return True
+        return False
+
+    def _foster(self, child) -> None:
+        """Put ``child`` before the innermost open table, which is the last child of its parent."""
+        self.open[self._table() - 1].children.insert(-1, child)
+
+    def _back(self, names) -> None:
+        """Close what is open inside the innermost element among ``names``, in the innermost table."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in names:
+                if any(n.tag == "table" for n in self.open[:i + 1]):
+                    del self.open[i + 1:]
+                return
+            if self.open[i].tag in _CELL + ("caption",) or self.open[i].tag in RAW:
+                return
+
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
         self.open.append(node)
@@ -118,13 +165,13 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(Node("br"))
             return
         # Only a table's own parts, and the page's, reach beyond a cell; nothing else leaves a table.
-        of_table = tag in ("table", "tr", "caption", "body", "html") + _SECTION + _CELL
+        of_table = tag in ("table", "tr", "caption", "body", "html") + _SECTION + _CELL or tag in RAW
         for i in range(len(self.open) - 1, 0, -1):
             here = self.open[i].tag
             if here == tag:
                 del self.open[i:]
                 return
-            if here == "table" and tag not in ("body", "html") or here in _CELL and not of_table:
+            if here == "table" and tag not in ("body", "html", "template") or here in _CELL and not of_table:
                 return
 
     def handle_data(self, data):
@@ -132,7 +179,12 @@ class TreeBuilder(HTMLParser):
             if not data.strip():
                 return
             self.open.pop()
-        self.open[-1].children.append(data)
+        if self.open[-1].tag == "colgroup" and data.strip():
+            self.open.pop()
+        if data.strip() and self._in_table():
+            self._foster(data)
+        else:
+            self.open[-1].children.append(data)
 
 
 def build(html: str) -> Node:

@@ -54,6 +54,28 @@ def test_all_visible_text_is_there():
     assert [w for w in got if w != "-"] == [f"{k}{i}" for i in range(50) for k in "wcdl"]
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><td>A</td></tr>note</table>", "note\n\nA"),
+    ("<table><tr><td>Z</td></tr><form><tr><td>B</td></tr></form></table>", "Z\nB"),
+    ("<table><colgroup><col><tr><td>A</td></tr></table>", "A"), ("<table><colgroup>c<tr><td>A<td>B</table>", "c\n\nA  B"),
+    ("<table><caption>C<tr><td>A<td>B</table>", "C\nA  B"), ("<table><tr><td>A</tr><div>x<tr><td>B</div></table>y", "x\n\nA\nB\n\ny"),
+    ("<table><tr><td>a<table><table><tr><td>in</table>b<td>c</table>", "a   c\n\nin\n\nb"),
+    ("<table><tbody><template><tr><td>no</template><noscript><tr><td>no</noscript><tr><td>A</table>", "A"),
+])
+def test_text_in_tables_outside_cells(page, text):
+    assert render(page) == text
+
+
+def test_no_visible_text_of_random_tables_is_lost():
+    import random
+    r = random.Random(8)
+    tags = "table table tr tr td td th tbody thead tfoot caption colgroup col form div p b ul li".split()
+    for _ in range(1500):
+        words = [f"w{i}" for i in range(r.randint(1, 12))]
+        page = "<table>" + "".join("".join(f"<{r.choice(['', '', '/'])}{r.choice(tags)}>" for _ in range(r.randrange(4))) + f" {w} " for w in words)
+        assert sorted(w for w in render(page).split() if w != "-") == sorted(words), page
+
+
 def test_extract_odd_rows(make_pages):
     rows = [(1, "u", "<p>a"), (2, None, None), (None, "x", ""), (3, "u", "<p>a"), (3, "u", "<p>a")]
     got = html.extract(make_pages(rows)).collect()
