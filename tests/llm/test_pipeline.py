@@ -63,3 +63,16 @@ def test_near_dedup_takes_pairs_from_080(spark, make_docs, sentence):
     assert 2 not in expect
     out = cp.near_dedup(spark, make_docs([(i, t, "en", "s") for i, t in rows]), D)
     assert {r.doc_id for r in out.collect()} == expect
+
+
+def test_mix_sources_cuts_the_last_document_of_a_leaf(spark, make_docs, sentence):
+    rows = [(i, " \t" + sentence(i, 10 + i % 7).replace(" ", "  \n", 3) + " ", "en", "src0" if i % 3 else "src1") for i in range(60)]
+    rows.append((60, sentence(60, 5000), "de", "src2"))
+    docs = make_docs(rows)
+    out = cp.mix_sources(spark, docs, D)
+    assert out.columns == docs.columns
+    got, size = out.collect(), lambda t: len(t.split())
+    full = {i: t for i, t, *_ in rows}
+    assert sum(size(r.text) for r in got) == sum(map(size, full.values())) * cp.BUDGET_PERMILLE // 1000
+    assert all(full[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in got)
+    assert 0 < sum(r.text != full[r.doc_id] for r in got) <= 3
