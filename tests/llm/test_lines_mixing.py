@@ -45,6 +45,12 @@ def test_first_lines_equal_brute_force(make_docs, sentence):
     assert got == brute_kept(rows)
 
 
+def test_first_lines_of_all_words_equal_brute_force(make_docs, sentence):
+    rows = [(d, "\n".join(similar_lines(sentence, d % 3) + [f"short line {d % 2}", "short", "", "  ", "a a a a a a", "one two three four" + " five" * (d % 2)])) for d in range(6)]
+    got = {(r.doc_id, r.line_no) for r in linededup.first_lines(make_docs([(i, t, "en", "s") for i, t in rows]), min_tokens=1).collect()}
+    assert got == brute_kept(rows, least=1)
+
+
 def test_dedup_keeps_columns_order_and_short_lines(make_docs, sentence):
     a, b, c = (sentence(i, 12) for i in (1, 2, 3))
     rows = [(2, f"{a}\nhi\n{b}\nhi", "en", "s"), (1, f"{c}\n{a}", "en", "s"), (3, a, "en", "s"), (4, None, "en", "s"), (5, "", None, None), (None, a, "en", "s")]
