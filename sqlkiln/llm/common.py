@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlkiln.session import cut_lineage
@@ -54,3 +57,36 @@ def word_count(text: Column) -> Column:
     trail = t.rlike(WS + r"\z").cast("int")
     blank = ~t.rlike("[^\\x20\\x09-\\x0D]")
     return F.when(blank, F.lit(0)).otherwise(pieces - lead - trail).cast("long")
+
+
+# Characters of text that a Python task holds at a time, and rows likewise.
+BATCH_CHARS, BATCH_ROWS = 4_000_000, 1024
+
+
+def by_chars(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
+    """``batches`` cut into slices of about ``BATCH_CHARS`` characters and at most
+    ``BATCH_ROWS`` rows; a longer text is a slice of its own."""
+    for pdf in batches:
+        sizes = pdf[column].str.len().fillna(0).to_numpy(np.int64) if len(pdf) else np.empty(0, np.int64)
+        a = 0
+        while a < len(pdf):
+            b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:a + BATCH_ROWS]), BATCH_CHARS, "right")))
+            yield pdf.iloc[a:b].reset_index(drop=True)
+            a = b
+
+
+SALTS = 32
+
+
+def attach(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``classes`` (one row per ``key``, stored), whose keys may be hot in ``rows``.
+
+    Counted first: broadcast up to ``BROADCAST_IDS``; beyond, each class is
+    repeated once per salt and a row takes one, so a hot key is dealt over
+    ``SALTS`` tasks.
+    """
+    if classes.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(classes), key, "left")
+    spread = classes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, [key, "__salt"], "left").drop("__salt")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sqlkiln.sources.tables import table
 
-from . import html, langid, linededup, merkle, minhash, mixing, packing, quality, sql, tokenfile, warc
+from . import html, langid, linededup, manifest, merkle, minhash, mixing, packing, quality, runs, simhash, sql, tokenfile, warc
 from .registry import ORACLE, QUERIES, register
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -83,3 +83,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op11_simhash_golay")
+def op11_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in three bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them made periodic, and the collapsed texts."""
+    docs = table(spark, sf_dir, "documents")
+    return runs.report(docs, plant=True)
+
+
+@register("op13_merkle_manifest", sql.OP13)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and inclusion proofs of all documents, a fifth of them tampered with."""
+    return manifest.prove_documents(table(spark, sf_dir, "documents"))

@@ -87,3 +87,58 @@ SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(1
   coalesce(n_eligible, 0) AS n_eligible, coalesce(n_eligible, 0) - coalesce(n_kept, 0) AS n_removed, coalesce(kept_lines, '') AS kept_lines
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def _fold_levels(name: str, leaves: str) -> str:
+    """Nodes ``(g, level, idx, digest)`` of the trees over ``leaves`` (g, idx, digest), and each parent's children."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS level, idx, digest, count(*) OVER (PARTITION BY g) AS n FROM ({leaves})
+  UNION ALL
+  SELECT g, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 15) // 16) FROM {name}
+  WHERE n > 1 GROUP BY g, level, idx // 16),
+{name}_kids AS (SELECT g, level, idx // 16 AS up, list(digest ORDER BY idx) AS kids FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _walk_levels(name: str, start: str, tree: str) -> str:
+    """Each of ``start`` (key, g, idx, folded, proof) carried up to the root of its tree."""
+    return f"""
+{name} AS (
+  SELECT key, g, 0 AS level, idx, folded, proof FROM ({start})
+  UNION ALL
+  SELECT w.key, w.g, w.level + 1, w.idx // 16,
+    sha256(array_to_string(list_concat(list_concat(kids[1:w.idx % 16], [folded]), kids[w.idx % 16 + 2:]), '')),
+    proof || array_to_string(list_concat(kids[1:w.idx % 16], kids[w.idx % 16 + 2:]), '')
+  FROM {name} w JOIN {tree}_kids k ON k.g = w.g AND k.level = w.level AND k.up = w.idx // 16)"""
+
+
+def _mark(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(_mark(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+# CRC-32 bit by bit: a byte is mixed in, then eight shifts (marked 256) follow.
+_CRC = """list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda x: list_concat([ord(x)::UBIGINT], list_transform(range(8), lambda k: 256::UBIGINT))))),
+    lambda c, b: CASE WHEN b < 256 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)"""
+
+OP13 = f"""
+WITH RECURSIVE marked AS (
+  SELECT doc_id, source, sha256({_LEAF.format(text="text")}) AS leaf,
+    CASE WHEN xor({_CRC}, 4294967295::UBIGINT) % 5 = 0
+      THEN sha256({_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered
+  FROM documents),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER () AS key,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM marked),
+{_fold_levels("tree", "SELECT g, idx, leaf AS digest FROM placed")},
+subroots AS (SELECT g, digest AS subroot FROM tree WHERE n = 1),
+{_fold_levels("crown", "SELECT 0 AS g, g AS idx, subroot AS digest FROM subroots")},
+top AS (SELECT digest AS root FROM crown WHERE n = 1),
+{_walk_levels("low", "SELECT key, g, idx, coalesce(tampered, leaf) AS folded, '' AS proof FROM placed", "tree")},
+{_walk_levels("high", '''SELECT key, 0 AS g, g AS idx, folded, proof FROM
+    (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level DESC) AS last FROM low) WHERE last = 1''', "crown")},
+ends AS (SELECT key, arg_max(folded, level) AS folded_root, arg_max(proof, level) AS proof FROM high GROUP BY key)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (g) JOIN ends USING (key) CROSS JOIN top
+"""
