@@ -7,8 +7,16 @@ the overlap that is needed, by the lines' sizes (length filter) and by its place
 in both (positional filter), and the lines' 64-bit parity sketches may not
 differ in more bits than the lines may differ in words. What passes is verified
 on the words themselves. A line goes when any earlier line of the corpus -- by
-doc_id, then line number -- is that similar; equal lines first collapse into
-one, so a line that is everywhere costs one row.
+doc_id, then text, then line number -- is that similar; equal lines first
+collapse into one, so a line that is everywhere costs one row.
+
+One similar earlier line is enough, so most pairs of a group of near copies are
+never needed. First each line is held against *hubs*, the earliest lines with
+two of its rarest words in a row: at most three candidates a line, whatever the
+group's size. Only lines that this leaves open are looked up in the prefix join,
+among all lines before them; a line's candidates are reduced to the closest
+where they arise. Lines whose closest candidate fails, and only these, have all
+theirs verified.
 
 Rarity is counted over all words of all texts in ``BUCKETS`` hash buckets, a
 table of fixed size. Any fixed order keeps the join exact; the counts make it
@@ -19,10 +27,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_IDS, stored
+from .common import BROADCAST_IDS, shuffle_partitions, stored
 
 BUCKETS = 1 << 18
-MIN_TOKENS = 5
+LEAD = 4               # rarest words of a line that name its hubs, two in a row each
+HUB_SPREAD = 64        # parts that the lines of one hub are dealt over
 
 
 def _plain(text: Column) -> Column:
@@ -39,9 +48,8 @@ def _words(line: Column) -> Column:
 
 
 def _eligible(line: Column, min_tokens: int) -> Column:
-    """Whether a plain line has ``min_tokens`` distinct words; most show it in the first few."""
-    head = F.array_remove(F.array_distinct(F.slice(F.split(line, " ", 2 * min_tokens + 1), 1, 2 * min_tokens)), "")
-    return (F.size(head) >= min_tokens) | (F.size(_words(line)) >= min_tokens)
+    """Whether a plain line has ``min_tokens`` distinct words."""
+    return F.trim(line) != "" if min_tokens == 1 else F.size(_words(line)) >= min_tokens
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -50,9 +58,8 @@ def _rarity(docs: DataFrame) -> Column:
     ``BUCKETS`` counts reach the driver, whatever the corpus, and go back as a
     literal.
     """
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ", -1)).alias("word")).where("word <> ''")
-    rows = (words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("word")).where("word <> ''")
+    rows = (words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
             .select("bucket", F.least(F.floor(F.log2("count")), F.lit(31)).cast("int").alias("size")).toPandas())
     table = bytearray(b"A" * BUCKETS)
     for bucket, size in zip(rows["bucket"], rows["size"]):
@@ -60,74 +67,17 @@ def _rarity(docs: DataFrame) -> Column:
     return F.lit(bytes(table))
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line)`` of every line."""
-    return docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-
-
-def _similar_sets(classes: DataFrame, pct: int) -> DataFrame:
-    """Pairs ``(x, y)`` of set numbers that pass the prefix, length, positional and sketch filters.
-
-    A row of the join is a word of a prefix; its place and its line's size share
-    a number, to keep what is shuffled small.
-    """
-    n, pos = F.col("n"), F.col("pos")
-    rows = classes.select("set_no", "sketch", "n", F.posexplode("prefix").alias("pos", "token"))
-    packed = ["set_no", "sketch", "token", (n * F.lit(1 << 24).cast("long") + pos).alias("place")]
-    # The smaller line of a pair needs only a shorter prefix.
-    short = n - F.floor((2 * pct * n + 99 + pct) / (100 + pct)).cast("int") + 1
-    a, b = rows.where(pos < short).select(*packed).alias("a"), rows.select(*packed).alias("b")
-    na, nb = (F.shiftright(F.col(f"{x}.place"), 24) for x in "ab")
-    pa, pb = (F.col(f"{x}.place").bitwiseAND(F.lit((1 << 24) - 1)) for x in "ab")
-    need = F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
-    near = ((F.col("a.token") == F.col("b.token"))
-            & ((na < nb) | ((na == nb) & (F.col("a.set_no") < F.col("b.set_no"))))
-            & (100 * na >= pct * nb)
-            & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= need)
-            & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= na + nb - 2 * need))
-    return a.join(b, near).select(F.col("a.set_no").alias("x"), F.col("b.set_no").alias("y")).distinct()
-
-
-def _wide_sketch(words: Column) -> Column:
-    """256-bit parity sketch of a set: two sets differ in at least as many words as their sketches in bits."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    one = F.lit(1).cast("long")
-
-    def part(i: int) -> Column:
-        own = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == i)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(
-            F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
-    return F.array(*[part(i) for i in range(4)])
-
-
-def _close(pairs: DataFrame, words: DataFrame, pct: int) -> DataFrame:
-    """The ``pairs`` that their wide sketches do not rule out, with the number of bits that differ.
-
-    Sketches move instead of words, so a candidate that is no match costs little.
-    """
-    slim = words.select("at", "sketch", F.size("words").alias("n"))
-    both = (pairs.join(slim.toDF("earlier", "se", "ne"), "earlier").join(slim.toDF("later", "sl", "nl"), "later"))
-    bits = F.aggregate(F.zip_with("se", "sl", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    n = F.col("ne") + F.col("nl")
-    return (both.withColumn("bits", bits).where(F.col("bits") <= n - 2 * F.floor((pct * n + 99 + pct) / (100 + pct)))
-            .select("earlier", "later", "bits"))
-
-
-def _verified(pairs: DataFrame, words: DataFrame, pct: int) -> DataFrame:
-    """The ``later`` places of ``pairs`` whose words are similar enough."""
-    both = (pairs.join(words.select(F.col("at").alias("earlier"), F.col("words").alias("we")), "earlier")
-            .join(words.select(F.col("at").alias("later"), F.col("words").alias("wl")), "later"))
-    inter = F.size(F.array_intersect("we", "wl"))
-    return both.where(100 * inter >= pct * (F.size("we") + F.size("wl") - inter)).select("later").distinct()
+def _needed(n: Column, pct: int) -> Column:
+    """Words that a set of ``n`` shares at least with any similar set."""
+    return F.floor((pct * n + 99) / 100).cast("int")
 
 
-def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``(doc_id, line_no)`` of the eligible lines that stay, one row each.
+def _line_sets(docs: DataFrame, pct: int, min_tokens: int) -> DataFrame:
+    """One row per distinct word set: ``(set_no, at, n, sketch, prefix)``.
 
-    Eligible are lines of at least ``min_tokens`` distinct words. ``docs`` has
-    ``doc_id`` and ``text``; rows without either are left out.
+    ``at`` is its first place ``(doc_id, rev, line_no)``, and ``set_no`` ascends
+    with it. ``prefix``: the rarest words' hashes (31 bits), ``LEAD`` at least.
     """
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", _plain(F.col("text")).alias("text"))
     table = _rarity(docs)
 
     def key(h: Column) -> Column:
@@ -136,77 +86,159 @@ def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) ->
         return F.shiftleft(size.cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit((1 << 58) - 1)))
 
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    keyed = _positions(docs).select(F.struct("doc_id", "line_no").alias("at"), F.sort_array(F.transform(hashes, key)).alias("keys"))
+    lines = docs.select("doc_id", "rev", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(_eligible(F.col("line"), 1))
+    keyed = lines.select(F.struct("doc_id", "rev", "line_no").alias("at"), F.sort_array(F.transform(hashes, key)).alias("keys"))
     n = F.size("keys")
-    prefix = n - F.floor((pct * n + 99) / 100).cast("int") + 1
     sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = keyed.select("at", F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"),
-                         n.alias("n"), sketch.alias("sketch"),
-                         F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
-    # One row per distinct set: its first place; the rest depends on the set
-    # alone. Small sets leave after this, so that keys are computed once.
-    classes = stored(lines.groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"),
-                                                   F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-                     .where(F.col("n") >= min_tokens).drop("c1", "c2").withColumn("set_no", F.monotonically_increasing_id()), "line-sets", release=True)
-
-    at = classes.select("set_no", "at")
-    pairs = (_similar_sets(classes, pct).join(at.toDF("x", "ax"), "x").join(at.toDF("y", "ay"), "y")
-             .select(F.least("ax", "ay").alias("earlier"), F.greatest("ax", "ay").alias("later")))
-    pairs = stored(pairs, "line-pairs", release=True)
-    # Only the lines concerned are read again, picked from their documents by number.
-    places = pairs.select(F.explode(F.array("earlier", "later")).alias("at")).distinct().select("at.*")
-    wanted = stored(places.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"), F.count("*").alias("n")), "lines-wanted")
+    first = F.slice("keys", 1, F.greatest(n - _needed(n, pct) + 1, F.lit(LEAD)))
+    sets = (keyed.where(n >= min_tokens)
+            .select("at", F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"), n.alias("n"), sketch.alias("sketch"),
+                    F.transform(first, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
+            .groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
+    ordered = sets.drop("c1", "c2").repartitionByRange(shuffle_partitions(docs.sparkSession), "at").sortWithinPartitions("at")
+    return stored(ordered.withColumn("set_no", F.monotonically_increasing_id()), "line-sets")
+
+
+def _differing(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _overlap(na: Column, nb: Column, pct: int) -> Column:
+    """Common words that two sets of these sizes need."""
+    return F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
+
+
+def _hub_candidates(sets: DataFrame, pct: int) -> DataFrame:
+    """``(later, earlier)``: per set its closest hub that the filters leave, if any."""
+    pairs = [F.shiftleft(F.get("prefix", F.lit(i)).cast("long"), 32).bitwiseOR(F.get("prefix", F.lit(i + 1)).cast("long")) for i in range(LEAD - 1)]
+    rows = sets.select("set_no", "sketch", "n", F.explode(F.array_compact(F.array(*pairs))).alias("key"))
+    hubs = (rows.groupBy("key").agg(F.min(F.struct("set_no", "sketch", "n")).alias("h"), F.count("*").alias("m")).where("m > 1")
+            .select("key", F.col("h.set_no").alias("earlier"), F.col("h.sketch").alias("hub_sketch"), F.col("h.n").alias("hub_n")))
+    n, hub_n, bits = F.col("n"), F.col("hub_n"), _differing("sketch", "hub_sketch")
+    near = rows.join(hubs, "key").where((F.col("earlier") < F.col("set_no")) & (100 * F.least(n, hub_n) >= pct * F.greatest(n, hub_n))
+                                        & (bits <= n + hub_n - 2 * _overlap(n, hub_n, pct)))
+    return near.groupBy(F.col("set_no").alias("later")).agg(F.min(F.struct(bits.alias("bits"), "earlier")).alias("b")).select("later", "b.earlier")
+
+
+def _prefix_candidates(sets: DataFrame, open_sets: DataFrame, pct: int) -> DataFrame:
+    """``(later, earlier, bits)``: pairs of an open set and any earlier set that pass all filters.
+
+    A row of the join is a word of a prefix; its place and its line's size share
+    a number, to keep what is shuffled small. A pair may come more than once.
+    """
+    def rows(df: DataFrame, prefix: str) -> DataFrame:
+        n = F.col("n")
+        part = df.select("set_no", "sketch", "n", F.posexplode(F.slice("prefix", 1, n - _needed(n, pct) + 1)).alias("pos", "token"))
+        return part.select("token", F.col("set_no").alias(f"{prefix}_no"), F.col("sketch").alias(f"{prefix}_sketch"),
+                           (n * F.lit(1 << 24).cast("long") + F.col("pos")).alias(f"{prefix}_place"))
+    y, x = rows(open_sets, "y"), rows(sets, "x")
+    nx, ny = (F.shiftright(F.col(f"{c}_place"), 24) for c in "xy")
+    px, py = (F.col(f"{c}_place").bitwiseAND(F.lit((1 << 24) - 1)) for c in "xy")
+    need, bits = _overlap(nx, ny, pct), _differing("x_sketch", "y_sketch")
+    near = ((F.col("x_no") < F.col("y_no")) & (100 * F.least(nx, ny) >= pct * F.greatest(nx, ny))
+            & (F.least(px, py) + F.least(nx - px, ny - py) >= need) & (bits <= nx + ny - 2 * need))
+    return y.join(x, "token").where(near).select(F.col("y_no").alias("later"), F.col("x_no").alias("earlier"), bits.alias("bits"))
+
+
+def _without(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """``sets`` but those in ``gone`` (``later``, distinct, stored), broadcast as long as these are few enough."""
+    gone = gone.select(F.col("later").alias("set_no"))
+    return sets.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "set_no", "left_anti")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The distinct ``later`` of ``pairs`` (stored) whose words are similar enough.
+
+    Only the lines concerned are read again, picked from their documents by number.
+    """
+    ends = pairs.select(F.explode(F.array("earlier", "later")).alias("set_no")).distinct()
+    places = sets.select("set_no", "at").join(ends, "set_no").select("at.*", "set_no")
+    wanted = stored(places.groupBy("doc_id", "rev").agg(F.collect_list(F.struct("line_no", "set_no")).alias("wanted"), F.count("*").alias("n")),
+                    "lines-wanted")
     few = (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
-    words = texts.select("doc_id", "lines", F.explode("wanted").alias("line_no")).select(
-        F.struct("doc_id", "line_no").alias("at"), _words(F.element_at("lines", F.col("line_no") + 1)).alias("words"))
-    words = stored(words.withColumn("sketch", _wide_sketch(F.col("words"))), "line-words", release=True)
-
-    # One similar earlier line is enough: each line's closest candidate is
-    # verified, and the others only of lines that this did not settle.
-    near = stored(_close(pairs, words, pct), "line-pairs-near", release=True)
-    best = stored(near.groupBy("later").agg(F.min(F.struct("bits", "earlier")).alias("b")).select("later", "b.earlier"), "line-candidates")
-    settled = stored(_verified(best, words, pct), "lines-settled", release=True)
-    left = best.join(settled, "later", "left_anti")
-    others = stored(near.join(left.select("later", F.col("earlier").alias("tried")), "later").where("earlier <> tried").select("earlier", "later"),
-                    "line-pairs-left")
-    ends = others.select(F.explode(F.array("earlier", "later")).alias("at")).distinct()
-    later = settled.unionByName(_verified(others, words.join(ends, "at", "left_semi"), pct)).select(F.col("later").alias("at"))
-    return at.select("at").join(later, "at", "left_anti").select("at.doc_id", "at.line_no")
-
-
-def line_report(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    texts = docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "rev"]).withColumn("lines", F.split("text", "\n", -1))
+    lines = texts.select("lines", F.explode("wanted").alias("w")).select("w.set_no", F.get("lines", F.col("w.line_no")).alias("line"))
+    lines = stored(lines.dropDuplicates(["set_no"]), "lines")          # repeated rows hold a line more than once
+    # A hub's pairs are dealt over HUB_SPREAD parts.
+    salted = pairs.withColumn("part", F.pmod(F.hash("later"), F.lit(HUB_SPREAD)))
+    hubs = (salted.select("earlier", "part").distinct()
+            .join(lines.select(F.col("set_no").alias("earlier"), _words(F.col("line")).alias("we")), "earlier"))
+    both = (salted.join(lines.select(F.col("set_no").alias("later"), F.col("line").alias("ll")), "later").join(hubs, ["earlier", "part"])
+            .select("later", "we", _words(F.col("ll")).alias("wl")))
+    inter = F.size(F.array_intersect("we", "wl"))
+    return both.where(100 * inter >= pct * (F.size("we") + F.size("wl") - inter)).select("later").distinct()
+
+
+def _revisions(docs: DataFrame) -> DataFrame:
+    """``(doc_id, rev, text)`` of the rows that have a place; ``rev`` tells texts of one doc_id apart."""
+    docs = docs.where("doc_id is not null and text is not null")
+    return docs.select("doc_id", F.xxhash64("text").alias("rev"), _plain(F.col("text")).alias("text"))
+
+
+def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = 1) -> DataFrame:
+    """``(doc_id, rev, line_no)`` of the eligible lines that stay, one row each.
+
+    Eligible are lines of at least ``min_tokens`` distinct words. ``docs`` has
+    ``doc_id`` and ``text``; rows without either are left out. ``rev`` is the
+    text's ``xxhash64``.
+    """
+    docs = _revisions(docs)
+    every = _line_sets(docs, pct, min_tokens)
+    # A set of n words can be similar to another only if one word more or less still is.
+    sets = every.where(100 * F.col("n") >= pct * (F.col("n") + 1))
+    tried = stored(_hub_candidates(sets, pct), "hub-candidates")
+    settled = stored(_verified(tried, docs, sets, pct), "lines-settled")
+    pairs = _prefix_candidates(sets, _without(sets, settled), pct)
+    best = stored(pairs.groupBy("later").agg(F.min(F.struct("bits", "earlier")).alias("b")).select("later", "b.earlier"), "closest")
+    fresh = stored(best.join(tried, ["later", "earlier"], "left_anti"), "closest-new")      # the closest may be the hub that has failed
+    more = stored(_verified(fresh, docs, sets, pct), "lines-settled-2")
+    left = stored(best.join(more, "later", "left_anti").select("later", F.col("earlier").alias("failed")), "lines-left")
+    settled = settled.unionByName(more)
+    if not left.isEmpty():
+        still = sets.join(left.select(F.col("later").alias("set_no")), "set_no", "left_semi")
+        others = (_prefix_candidates(sets, still, pct).select("later", "earlier").distinct()
+                  .join(left, "later").where("earlier <> failed").select("later", "earlier"))
+        settled = settled.unionByName(_verified(stored(others, "pairs-left"), docs, sets, pct))
+    gone = stored(settled, "lines-gone")
+    return _without(every.select("set_no", "at"), gone).select("at.*")
+
+
+def line_report(docs: DataFrame, pct: int = 80, min_tokens: int = 1) -> DataFrame:
     """``(doc_id, n_lines, n_eligible, n_removed, kept_lines)`` per row of ``docs``.
 
     ``kept_lines``: numbers (from 0) of the eligible lines that stay, ascending,
     joined by commas. Null text has no lines; an empty text has one line with
     no words. Repeated rows (one doc_id, one text) share their places, so both
-    keep the first's lines. A null doc_id has no place in the order: its lines
-    stay and remove nothing. An empty table gives an empty result.
+    keep the first's lines; rows of one doc_id with different texts are texts
+    of their own, in an order fixed by their content. A null doc_id has no
+    place in the order: its lines stay and remove nothing. An empty table gives
+    an empty result.
     """
     docs = docs.select("doc_id", "text")
-    kept = (first_lines(docs, pct, min_tokens).groupBy("doc_id")
+    kept = (first_lines(docs, pct, min_tokens).groupBy("doc_id", "rev")
             .agg(F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("kept_lines"), F.count("*").alias("n_kept")))
     lines = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
-    sizes = docs.select("doc_id", _plain(F.col("text")).alias("text")).select("doc_id", F.size(lines).cast("long").alias("n_lines"),
-                        F.size(F.filter(lines, lambda x: _eligible(x, min_tokens))).cast("long").alias("n_eligible"))
-    out = sizes.join(kept, "doc_id", "left")
+    sizes = (docs.select("doc_id", F.xxhash64("text").alias("rev"), _plain(F.col("text")).alias("text"))
+             .select("doc_id", "rev", F.size(lines).cast("long").alias("n_lines"),
+                     F.size(F.filter(lines, lambda x: _eligible(x, min_tokens))).cast("long").alias("n_eligible")))
+    out = sizes.join(kept, ["doc_id", "rev"], "left")
     return out.select("doc_id", "n_lines", "n_eligible",
                       F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("n_eligible") - F.coalesce("n_kept", F.lit(0))).cast("long").alias("n_removed"),
                       F.coalesce("kept_lines", F.lit("")).alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, pct: int = 80, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, pct: int = 80, min_tokens: int = 1) -> DataFrame:
     """``docs`` with its repeated lines removed from ``text``; all columns stay.
 
-    Lines that stay keep their order and their text. A text that loses every
-    line becomes empty; null texts and rows of a null doc_id stay as they are.
+    Lines that stay keep their order and their text; lines without words stay.
+    A text that loses every line becomes empty; null texts and rows of a null
+    doc_id stay as they are. Repeated rows and doc_ids: as in ``line_report``.
     """
-    plain = docs.select("doc_id", "text")
-    kept = first_lines(plain, pct, min_tokens).groupBy("doc_id").agg(F.collect_list("line_no").alias("__kept"))
+    kept = (first_lines(docs.select("doc_id", "text"), pct, min_tokens).groupBy("doc_id", F.col("rev").alias("__rev"))
+            .agg(F.collect_list("line_no").alias("__kept")))
     none = F.array().cast("array<int>")
     lines = F.split("text", "\n", -1)
     text = F.array_join(F.filter(lines, lambda x, i: ~_eligible(_plain(x), min_tokens) | F.array_contains(F.coalesce("__kept", none), i)), "\n")
-    return (docs.join(kept, "doc_id", "left")
+    return (docs.withColumn("__rev", F.xxhash64("text")).join(kept, ["doc_id", "__rev"], "left")
             .withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(text)).select(*docs.columns))

@@ -64,21 +64,14 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
 sets AS (
   SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM lines),
-eligible AS (SELECT doc_id, line_no, words, len(words) AS n FROM sets WHERE len(words) >= 5),
+eligible AS (SELECT doc_id, line_no, words, len(words) AS n FROM sets WHERE len(words) >= 1),
 firsts AS (SELECT min({'doc_id': doc_id, 'line_no': line_no}) AS pos, words, any_value(n) AS n FROM eligible GROUP BY words),
 tokens AS (SELECT pos, n, unnest(words) AS word FROM firsts),
-seen AS (SELECT word, count(*) AS times FROM tokens GROUP BY word),
-ranked AS (
-  SELECT pos, n, word, row_number() OVER (PARTITION BY pos ORDER BY times, word) AS place FROM tokens JOIN seen USING (word)),
-prefix AS (SELECT pos, n, word FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1),
-cand AS (
-  SELECT DISTINCT a.pos AS x, b.pos AS y FROM prefix a JOIN prefix b
-  ON a.word = b.word AND a.pos < b.pos AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
-later AS (
-  SELECT DISTINCT y FROM (
-    SELECT y, len(list_intersect(p.words, q.words)) AS common, p.n + q.n AS total
-    FROM cand JOIN firsts p ON p.pos = x JOIN firsts q ON q.pos = y)
-  WHERE 100 * common >= 80 * (total - common)),
+shared AS (
+  SELECT a.pos AS x, b.pos AS y, a.n + b.n AS total, count(*) AS common
+  FROM tokens a JOIN tokens b ON a.word = b.word AND a.pos < b.pos AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY ALL),
+later AS (SELECT DISTINCT y FROM shared WHERE 100 * common >= 80 * (total - common)),
 kept AS (
   SELECT pos.doc_id AS doc_id, string_agg(CAST(pos.line_no AS VARCHAR), ',' ORDER BY pos.line_no) AS kept_lines, count(*) AS n_kept
   FROM firsts WHERE pos NOT IN (SELECT y FROM later) GROUP BY pos.doc_id),

@@ -12,7 +12,7 @@ def words(line):
     return set(line.encode().split())
 
 
-def brute_kept(rows, pct=80, least=5):
+def brute_kept(rows, pct=80, least=1):
     """Places of eligible lines with no similar earlier line."""
     lines = [(i, n, words(x)) for i, t in rows if t is not None and i is not None for n, x in enumerate(t.split("\n"))]
     lines = sorted({(i, n, tuple(sorted(w))) for i, n, w in lines if len(w) >= least})
@@ -45,20 +45,56 @@ def test_first_lines_equal_brute_force(make_docs, sentence):
     assert got == brute_kept(rows)
 
 
-def test_first_lines_of_all_words_equal_brute_force(make_docs, sentence):
+@pytest.mark.parametrize("least", [1, 5])
+def test_first_lines_of_any_size_equal_brute_force(make_docs, sentence, least):
     rows = [(d, "\n".join(similar_lines(sentence, d % 3) + [f"short line {d % 2}", "short", "", "  ", "a a a a a a", "one two three four" + " five" * (d % 2)])) for d in range(6)]
-    got = {(r.doc_id, r.line_no) for r in linededup.first_lines(make_docs([(i, t, "en", "s") for i, t in rows]), min_tokens=1).collect()}
-    assert got == brute_kept(rows, least=1)
+    got = {(r.doc_id, r.line_no) for r in linededup.first_lines(make_docs([(i, t, "en", "s") for i, t in rows]), min_tokens=least).collect()}
+    assert got == brute_kept(rows, least=least)
 
 
-def test_dedup_keeps_columns_order_and_short_lines(make_docs, sentence):
+def test_a_group_of_near_copies_gives_few_candidates(make_docs, sentence, monkeypatch):
+    """Candidates grow with the lines, not with the pairs, of near copies of one line."""
+    counts, plain = [], linededup._verified
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return plain(pairs, *rest)
+    monkeypatch.setattr(linededup, "_verified", counted)
+    base = sentence(77, 30).split()
+    lines = [" ".join(w if i != k % 30 else f"other{k}" for i, w in enumerate(base)) for k in range(400)]
+    rows = [(k, "\n".join(lines[k * 4:k * 4 + 4])) for k in range(100)]
+    got = {(r.doc_id, r.line_no) for r in linededup.first_lines(make_docs([(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == brute_kept(rows) == {(0, 0)}
+    assert sum(counts) <= 2 * 400
+
+
+def test_lines_similar_to_a_removed_line_only(make_docs):
+    """Each line is like the one before it, but not like the first: all but the first go."""
+    w = [f"w{i:03d}" for i in range(80)]
+    chain = [" ".join(w[k:k + 20]) for k in range(0, 40, 2)]
+    rows = [(k, x) for k, x in enumerate(chain)]
+    got = {(r.doc_id, r.line_no) for r in linededup.first_lines(make_docs([(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == brute_kept(rows) == {(0, 0)}
+
+
+def test_dedup_keeps_columns_and_order(make_docs, sentence):
     a, b, c = (sentence(i, 12) for i in (1, 2, 3))
-    rows = [(2, f"{a}\nhi\n{b}\nhi", "en", "s"), (1, f"{c}\n{a}", "en", "s"), (3, a, "en", "s"), (4, None, "en", "s"), (5, "", None, None), (None, a, "en", "s")]
+    rows = [(2, f"{a}\nhi\n\n{b}\nhi", "en", "s"), (1, f"{c}\n{a}", "en", "s"), (3, a, "en", "s"), (4, None, "en", "s"), (5, "", None, None), (None, a, "en", "s")]
     docs = make_docs(rows)
     out = linededup.dedup_lines(docs)
     assert out.columns == docs.columns
     got = {r.doc_id: r.text for r in out.collect()}
-    assert got == {1: f"{c}\n{a}", 2: f"hi\n{b}\nhi", 3: "", 4: None, 5: "", None: a}
+    assert got == {1: f"{c}\n{a}", 2: f"hi\n\n{b}", 3: "", 4: None, 5: "", None: a}
+
+
+def test_two_texts_of_one_doc_id(make_docs, sentence):
+    a, b, c, d = (sentence(i, 12) for i in (1, 2, 3, 4))
+    rows = [(1, f"{a}\n{b}\n{c}\n{d}", "en", "s"), (1, d, "en", "s"), (1, d, "en", "s"), (2, f"{b}\nx", "en", "s")]
+    got = sorted((r.doc_id, r.n_lines, r.n_eligible, r.n_removed) for r in linededup.line_report(make_docs(rows)).collect())
+    lost = sum(r[3] for r in got if r[0] == 1)
+    assert [r[:3] for r in got] == [(1, 1, 1), (1, 1, 1), (1, 4, 4), (2, 2, 2)] and got[3][3] == 1 and lost in (1, 2)
+    texts = sorted(r.text for r in linededup.dedup_lines(make_docs(rows)).collect())
+    assert "x" in texts and sum(d in t for t in texts) in (1, 2)
 
 
 def test_report_of_odd_rows(make_docs, odd_rows):
@@ -67,7 +103,7 @@ def test_report_of_odd_rows(make_docs, odd_rows):
     by = {r.doc_id: r for r in rows}
     assert (by[1].n_eligible, by[1].n_removed, by[1].kept_lines) == (1, 0, "0")
     assert by[5].n_removed == 1 and by[2].n_lines == 0 and by[3].n_lines == 1 and by[None].n_removed == 0
-    assert by[7].n_eligible == 120 and by[7].n_removed == 0
+    assert by[7].n_eligible == 120 and by[7].n_removed == 0 and by[8].n_eligible == 1
     assert linededup.line_report(make_docs([])).count() == 0
 
 
