@@ -4,9 +4,9 @@ A line is the set of its words. Words are ordered by rarity, rarest first; two
 lines with a Jaccard similarity of at least ``pct`` % must share a word among
 the first few of each (prefix filter). A shared word then has to leave room for
 the overlap that is needed, by the lines' sizes (length filter) and by its place
-in both (positional filter), and the lines' 64-bit parity sketches may not
-differ in more bits than the lines may differ in words. What passes is verified
-on the words themselves. A line goes when any earlier line of the corpus -- by
+in both (positional filter), and the lines' parity sketches (64 bits, up to 256
+for lines of many words) may not differ in more bits than the lines may differ
+in words. What passes is verified on the words themselves. A line goes when any earlier line of the corpus -- by
 doc_id, then text, then line number -- is that similar; equal lines first
 collapse into one, so a line that is everywhere costs one row.
 
@@ -31,6 +31,7 @@ from .common import BROADCAST_IDS, shuffle_partitions, stored
 
 BUCKETS = 1 << 18
 LEAD = 4               # rarest words of a line that name its hubs, two in a row each
+HALVES, QUARTERS = 64, 160   # words from which a sketch is kept in two, or four, parts
 HUB_SPREAD = 64        # parts that the lines of one hub are dealt over
 
 
@@ -72,8 +73,37 @@ def _needed(n: Column, pct: int) -> Column:
     return F.floor((pct * n + 99) / 100).cast("int")
 
 
+SKETCH = ("s_all", "s_half", "s_q2", "s_q3")
+
+
+def _sketches(keys: Column, n: Column) -> list[Column]:
+    """Parity sketch of a set: bit b tells whether an odd number of hashes has b in its low 6 bits.
+
+    ``s_all`` counts all words; ``s_half`` those with hash bit 6, from ``HALVES``
+    words on; ``s_q2`` and ``s_q3`` those with bit 7 and without or with bit 6,
+    from ``QUARTERS`` on. The other parts are differences of these.
+    """
+    def parity(*bits: tuple[int, int]) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            flip = acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+            mask, want = sum(1 << b for b, _ in bits), sum(v << b for b, v in bits)
+            return F.when(k.bitwiseAND(F.lit(mask)) == want, flip).otherwise(acc) if bits else flip
+        return F.aggregate(keys, F.lit(0).cast("long"), step)
+    quarters = n >= QUARTERS
+    return [parity().alias("s_all"), F.when(n >= HALVES, parity((6, 1))).alias("s_half"),
+            F.when(quarters, parity((6, 0), (7, 1))).alias("s_q2"), F.when(quarters, parity((6, 1), (7, 1))).alias("s_q3")]
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, in as many parts as both have: words differ in no fewer."""
+    d_all, d_half, d2, d3 = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in SKETCH)
+    rest = d_all.bitwiseXOR(d_half)
+    four = F.bit_count(d2) + F.bit_count(d3) + F.bit_count(d_half.bitwiseXOR(d3)) + F.bit_count(rest.bitwiseXOR(d2))
+    return F.coalesce(four, F.bit_count(d_half) + F.bit_count(rest), F.bit_count(d_all))
+
+
 def _line_sets(docs: DataFrame, pct: int, min_tokens: int) -> DataFrame:
-    """One row per distinct word set: ``(set_no, at, n, sketch, prefix)``.
+    """One row per distinct word set: ``(set_no, at, n, prefix)`` and its sketch.
 
     ``at`` is its first place ``(doc_id, rev, line_no)``, and ``set_no`` ascends
     with it. ``prefix``: the rarest words' hashes (31 bits), ``LEAD`` at least.
@@ -89,21 +119,15 @@ def _line_sets(docs: DataFrame, pct: int, min_tokens: int) -> DataFrame:
     lines = docs.select("doc_id", "rev", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(_eligible(F.col("line"), 1))
     keyed = lines.select(F.struct("doc_id", "rev", "line_no").alias("at"), F.sort_array(F.transform(hashes, key)).alias("keys"))
     n = F.size("keys")
-    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     first = F.slice("keys", 1, F.greatest(n - _needed(n, pct) + 1, F.lit(LEAD)))
     sets = (keyed.where(n >= min_tokens)
-            .select("at", F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"), n.alias("n"), sketch.alias("sketch"),
+            .select("at", F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"), n.alias("n"), *_sketches(F.col("keys"), n),
                     F.transform(first, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
-            .groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
+            .groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix")))
     ordered = sets.drop("c1", "c2").repartitionByRange(shuffle_partitions(docs.sparkSession), "at").sortWithinPartitions("at")
     return stored(ordered.withColumn("set_no", F.monotonically_increasing_id()), "line-sets")
 
 
-def _differing(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def _overlap(na: Column, nb: Column, pct: int) -> Column:
     """Common words that two sets of these sizes need."""
     return F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
@@ -112,10 +136,10 @@ def _overlap(na: Column, nb: Column, pct: int) -> Column:
 def _hub_candidates(sets: DataFrame, pct: int) -> DataFrame:
     """``(later, earlier)``: per set its closest hub that the filters leave, if any."""
     pairs = [F.shiftleft(F.get("prefix", F.lit(i)).cast("long"), 32).bitwiseOR(F.get("prefix", F.lit(i + 1)).cast("long")) for i in range(LEAD - 1)]
-    rows = sets.select("set_no", "sketch", "n", F.explode(F.array_compact(F.array(*pairs))).alias("key"))
-    hubs = (rows.groupBy("key").agg(F.min(F.struct("set_no", "sketch", "n")).alias("h"), F.count("*").alias("m")).where("m > 1")
-            .select("key", F.col("h.set_no").alias("earlier"), F.col("h.sketch").alias("hub_sketch"), F.col("h.n").alias("hub_n")))
-    n, hub_n, bits = F.col("n"), F.col("hub_n"), _differing("sketch", "hub_sketch")
+    rows = sets.select("set_no", *SKETCH, "n", F.explode(F.array_compact(F.array(*pairs))).alias("key"))
+    hubs = (rows.groupBy("key").agg(F.min(F.struct("set_no", "n", *SKETCH)).alias("h"), F.count("*").alias("m")).where("m > 1")
+            .select("key", F.col("h.set_no").alias("earlier"), F.col("h.n").alias("hub_n"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in SKETCH]))
+    n, hub_n, bits = F.col("n"), F.col("hub_n"), _differing("", "hub_")
     near = rows.join(hubs, "key").where((F.col("earlier") < F.col("set_no")) & (100 * F.least(n, hub_n) >= pct * F.greatest(n, hub_n))
                                         & (bits <= n + hub_n - 2 * _overlap(n, hub_n, pct)))
     return near.groupBy(F.col("set_no").alias("later")).agg(F.min(F.struct(bits.alias("bits"), "earlier")).alias("b")).select("later", "b.earlier")
@@ -129,13 +153,13 @@ def _prefix_candidates(sets: DataFrame, open_sets: DataFrame, pct: int) -> DataF
     """
     def rows(df: DataFrame, prefix: str) -> DataFrame:
         n = F.col("n")
-        part = df.select("set_no", "sketch", "n", F.posexplode(F.slice("prefix", 1, n - _needed(n, pct) + 1)).alias("pos", "token"))
-        return part.select("token", F.col("set_no").alias(f"{prefix}_no"), F.col("sketch").alias(f"{prefix}_sketch"),
+        part = df.select("set_no", *SKETCH, "n", F.posexplode(F.slice("prefix", 1, n - _needed(n, pct) + 1)).alias("pos", "token"))
+        return part.select("token", F.col("set_no").alias(f"{prefix}_no"), *[F.col(c).alias(f"{prefix}_{c}") for c in SKETCH],
                            (n * F.lit(1 << 24).cast("long") + F.col("pos")).alias(f"{prefix}_place"))
     y, x = rows(open_sets, "y"), rows(sets, "x")
     nx, ny = (F.shiftright(F.col(f"{c}_place"), 24) for c in "xy")
     px, py = (F.col(f"{c}_place").bitwiseAND(F.lit((1 << 24) - 1)) for c in "xy")
-    need, bits = _overlap(nx, ny, pct), _differing("x_sketch", "y_sketch")
+    need, bits = _overlap(nx, ny, pct), _differing("x_", "y_")
     near = ((F.col("x_no") < F.col("y_no")) & (100 * F.least(nx, ny) >= pct * F.greatest(nx, ny))
             & (F.least(px, py) + F.least(nx - px, ny - py) >= need) & (bits <= nx + ny - 2 * need))
     return y.join(x, "token").where(near).select(F.col("y_no").alias("later"), F.col("x_no").alias("earlier"), bits.alias("bits"))
