@@ -65,6 +65,13 @@ def by_chars(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[
             a = b
 
 
+def by_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``batches`` cut into slices of at most ``BATCH_ROWS`` rows."""
+    for pdf in batches:
+        for a in range(0, len(pdf), BATCH_ROWS):
+            yield pdf.iloc[a:a + BATCH_ROWS].reset_index(drop=True)
+
+
 SALTS = 32
 
 

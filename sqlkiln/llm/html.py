@@ -10,12 +10,14 @@ cells are padded to columns, preformatted text keeps its spaces.
 Hidden are: elements that never render (script, style, head, template, ...),
 ``hidden``, ``aria-hidden`` aside, and inline styles ``display:none`` and
 ``visibility:hidden``; a descendant may set ``visibility:visible`` again.
-Closed ``details`` show their summary alone.
+Closed ``details`` show their summary alone, a closed ``dialog`` nothing. Style
+sheets are not read: only attributes hide. Depth has no limit.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -23,8 +25,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MAX_DEPTH = 200          # deeper elements become siblings, so hostile nesting stays linear
-
 # The HTML standard's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style title template noscript iframe object audio video canvas svg math datalist "
@@ -78,6 +78,11 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.depth = 1
+
+    def _push_open(self, node: Node) -> None:
+        self.open.append(node)
+        self.depth = max(self.depth, len(self.open))
 
     def _close(self, names, scope) -> None:
         """Close the innermost open element among ``names`` not beyond ``scope``, and all in it;
@@ -120,8 +125,8 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(node)
         if in_table and tag == "form":
             return                                       # holds nothing there; the rows behind it are the table's
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
-            self.open.append(node)
+        if tag not in VOID:
+            self._push_open(node)
 
     def _table(self) -> int:
         """The place of the innermost open table."""
@@ -152,7 +157,7 @@ class TreeBuilder(HTMLParser):
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        self.open.append(node)
+        self._push_open(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)                 # a slash closes nothing in HTML
@@ -188,10 +193,14 @@ class TreeBuilder(HTMLParser):
 
 
 def build(html: str) -> Node:
-    """The page's tree; whatever the markup, every character of text is in it."""
+    """The page's tree; whatever the markup, every character of text is in it.
+
+    Elements nest as deep as the page says; the walk's recursion gets room for it.
+    """
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 8 * builder.depth))
     return builder.root
 
 
@@ -296,7 +305,7 @@ def _marker(kind: str, n: int) -> str:
 
 def _visibility(node: Node, seen: bool) -> tuple[bool, bool]:
     """``(rendered, its own text visible)``."""
-    if node.tag in NEVER or "hidden" in node.attrs or (node.tag == "input"):
+    if node.tag in NEVER or "hidden" in node.attrs or node.tag == "input" or (node.tag == "dialog" and "open" not in node.attrs):
         return False, False
     style = node.attrs.get("style", "")
     if style:

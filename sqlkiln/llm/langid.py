@@ -14,6 +14,7 @@ the convolution.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ SAMPLE_DOCS = 1200                       # labelled texts per language to learn
 SAMPLE_WINDOWS = 4                       # windows of each, spread over the whole text
 CHUNK = 256                              # windows scored at a time
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")      # number signs as well
 
 
 def windows(text: str) -> np.ndarray:
@@ -39,7 +40,7 @@ def windows(text: str) -> np.ndarray:
 
 
 def has_letter(text) -> bool:
-    return isinstance(text, str) and _LETTER.search(text) is not None
+    return isinstance(text, str) and any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 class ByteCNN:
@@ -146,7 +147,7 @@ class Scorer:
         return np.concatenate(out) if out else np.zeros((0, len(self.bias)), np.float32)
 
 
-_SCORERS: dict[str, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}          # of the last network that this worker met, by its name
 
 
 def _held_out():
@@ -197,11 +198,13 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", "lang")
     net, langs = learn(docs, sample_docs)
+    name = uuid.uuid4().hex                    # a task unpickles its own copy of the network
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if net is not None and _SCORERS.get("net") is not net:
-            _SCORERS.update(net=net, scorer=Scorer(net))
-        scorer = _SCORERS.get("scorer")
+        if net is not None and name not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[name] = Scorer(net)
+        scorer = _SCORERS.get(name)
         for pdf in batches:
             pred, score = [UNKNOWN] * len(pdf), np.zeros(len(pdf))
             held: list[tuple[int, np.ndarray, int]] = []       # row, windows, bytes

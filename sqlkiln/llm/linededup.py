@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BROADCAST_IDS, shuffle_partitions, stored
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 LEAD = 4               # rarest words of a line that name its hubs, two in a row each
 HALVES, QUARTERS = 64, 160   # words from which a sketch is kept in two, or four, parts
 HUB_SPREAD = 64        # parts that the lines of one hub are dealt over
@@ -54,18 +54,18 @@ def _eligible(line: Column, min_tokens: int) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """Per bucket of word hashes the magnitude of its count, as one byte each.
+    """Per bucket of word hashes the magnitude of its count, as an array literal.
 
     ``BUCKETS`` counts reach the driver, whatever the corpus, and go back as a
-    literal.
+    constant.
     """
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("word")).where("word <> ''")
     rows = (words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
             .select("bucket", F.least(F.floor(F.log2("count")), F.lit(31)).cast("int").alias("size")).toPandas())
-    table = bytearray(b"A" * BUCKETS)
+    table = ["0"] * BUCKETS
     for bucket, size in zip(rows["bucket"], rows["size"]):
-        table[bucket] = 65 + size
-    return F.lit(bytes(table))
+        table[bucket] = str(size)
+    return F.split(F.lit(",".join(table)), ",").cast("array<int>")
 
 
 def _needed(n: Column, pct: int) -> Column:
@@ -73,15 +73,15 @@ def _needed(n: Column, pct: int) -> Column:
     return F.floor((pct * n + 99) / 100).cast("int")
 
 
-SKETCH = ("s_all", "s_half", "s_q2", "s_q3")
+SKETCH = ("s_all", "s_more")
 
 
 def _sketches(keys: Column, n: Column) -> list[Column]:
     """Parity sketch of a set: bit b tells whether an odd number of hashes has b in its low 6 bits.
 
-    ``s_all`` counts all words; ``s_half`` those with hash bit 6, from ``HALVES``
-    words on; ``s_q2`` and ``s_q3`` those with bit 7 and without or with bit 6,
-    from ``QUARTERS`` on. The other parts are differences of these.
+    ``s_all`` counts all words. From ``HALVES`` words on ``s_more`` has ``half``
+    of those with hash bit 6, and from ``QUARTERS`` on ``q2`` and ``q3`` of those
+    with bit 7 and without or with bit 6. The other parts are differences of these.
     """
     def parity(*bits: tuple[int, int]) -> Column:
         def step(acc: Column, k: Column) -> Column:
@@ -90,13 +90,14 @@ def _sketches(keys: Column, n: Column) -> list[Column]:
             return F.when(k.bitwiseAND(F.lit(mask)) == want, flip).otherwise(acc) if bits else flip
         return F.aggregate(keys, F.lit(0).cast("long"), step)
     quarters = n >= QUARTERS
-    return [parity().alias("s_all"), F.when(n >= HALVES, parity((6, 1))).alias("s_half"),
-            F.when(quarters, parity((6, 0), (7, 1))).alias("s_q2"), F.when(quarters, parity((6, 1), (7, 1))).alias("s_q3")]
+    more = F.struct(parity((6, 1)).alias("half"), F.when(quarters, parity((6, 0), (7, 1))).alias("q2"),
+                    F.when(quarters, parity((6, 1), (7, 1))).alias("q3"))
+    return [parity().alias("s_all"), F.when(n >= HALVES, more).alias("s_more")]
 
 
 def _differing(a: str, b: str) -> Column:
     """Bits in which two sketches differ, in as many parts as both have: words differ in no fewer."""
-    d_all, d_half, d2, d3 = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in SKETCH)
+    d_all, d_half, d2, d3 = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("s_all", "s_more.half", "s_more.q2", "s_more.q3"))
     rest = d_all.bitwiseXOR(d_half)
     four = F.bit_count(d2) + F.bit_count(d3) + F.bit_count(d_half.bitwiseXOR(d3)) + F.bit_count(rest.bitwiseXOR(d2))
     return F.coalesce(four, F.bit_count(d_half) + F.bit_count(rest), F.bit_count(d_all))
@@ -112,18 +113,20 @@ def _line_sets(docs: DataFrame, pct: int, min_tokens: int) -> DataFrame:
 
     def key(h: Column) -> Column:
         """Magnitude of the word's count, then 58 bits of its hash: sorts by rarity."""
-        size = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")) - 65
+        size = F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(size.cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit((1 << 58) - 1)))
 
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # array_except also drops repetitions
+    hashes = F.array_except(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
     lines = docs.select("doc_id", "rev", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(_eligible(F.col("line"), 1))
     keyed = lines.select(F.struct("doc_id", "rev", "line_no").alias("at"), F.sort_array(F.transform(hashes, key)).alias("keys"))
     n = F.size("keys")
     first = F.slice("keys", 1, F.greatest(n - _needed(n, pct) + 1, F.lit(LEAD)))
-    sets = (keyed.where(n >= min_tokens)
-            .select("at", F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"), n.alias("n"), *_sketches(F.col("keys"), n),
+    # small sets leave after the aggregate, so that keys are computed once
+    sets = (keyed.select("at", F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"), n.alias("n"), *_sketches(F.col("keys"), n),
                     F.transform(first, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
-            .groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix")))
+            .groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix"))
+            .where(F.col("n") >= min_tokens))
     ordered = sets.drop("c1", "c2").repartitionByRange(shuffle_partitions(docs.sparkSession), "at").sortWithinPartitions("at")
     return stored(ordered.withColumn("set_no", F.monotonically_increasing_id()), "line-sets")
 
@@ -136,9 +139,14 @@ def _overlap(na: Column, nb: Column, pct: int) -> Column:
 def _hub_candidates(sets: DataFrame, pct: int) -> DataFrame:
     """``(later, earlier)``: per set its closest hub that the filters leave, if any."""
     pairs = [F.shiftleft(F.get("prefix", F.lit(i)).cast("long"), 32).bitwiseOR(F.get("prefix", F.lit(i + 1)).cast("long")) for i in range(LEAD - 1)]
-    rows = sets.select("set_no", *SKETCH, "n", F.explode(F.array_compact(F.array(*pairs))).alias("key"))
-    hubs = (rows.groupBy("key").agg(F.min(F.struct("set_no", "n", *SKETCH)).alias("h"), F.count("*").alias("m")).where("m > 1")
-            .select("key", F.col("h.set_no").alias("earlier"), F.col("h.n").alias("hub_n"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in SKETCH]))
+    key = F.explode(F.array_compact(F.array(*pairs))).alias("key")
+    hubs = stored(sets.select("set_no", key).groupBy("key").agg(F.min("set_no").alias("earlier"), F.count("*").alias("m"))
+                  .where("m > 1").select("key", "earlier"), "hubs")
+    few = hubs.count() <= BROADCAST_IDS
+    hubs = sets.select(F.col("set_no").alias("earlier"), F.col("n").alias("hub_n"), *[F.col(c).alias(f"hub_{c}") for c in SKETCH]).join(
+        F.broadcast(hubs) if few else hubs, "earlier")
+    hubs = stored(hubs, "hub-sketches")
+    rows, hubs = sets.select("set_no", *SKETCH, "n", key), F.broadcast(hubs) if few else hubs
     n, hub_n, bits = F.col("n"), F.col("hub_n"), _differing("", "hub_")
     near = rows.join(hubs, "key").where((F.col("earlier") < F.col("set_no")) & (100 * F.least(n, hub_n) >= pct * F.greatest(n, hub_n))
                                         & (bits <= n + hub_n - 2 * _overlap(n, hub_n, pct)))
@@ -176,7 +184,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, pct: int) -> D
 
     Only the lines concerned are read again, picked from their documents by number.
     """
-    ends = pairs.select(F.explode(F.array("earlier", "later")).alias("set_no")).distinct()
+    ends = pairs.select(F.col("earlier").alias("set_no")).distinct().unionByName(pairs.select(F.col("later").alias("set_no")).distinct()).distinct()
     places = sets.select("set_no", "at").join(ends, "set_no").select("at.*", "set_no")
     wanted = stored(places.groupBy("doc_id", "rev").agg(F.collect_list(F.struct("line_no", "set_no")).alias("wanted"), F.count("*").alias("n")),
                     "lines-wanted")

@@ -17,9 +17,10 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import shuffle_partitions
 
@@ -121,23 +122,30 @@ def _next_rows(docs: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark) * 2
     ids = docs.select("doc_id").where("doc_id is not null")
     edges = (ids.repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("p"))
-             .agg(F.min("doc_id").alias("first")).orderBy("first").toPandas()["first"].tolist())   # at most n ids
-    edges = [int(x) for x in edges]
+             .agg(F.min("doc_id").alias("first")).orderBy("first").toPandas()["first"].to_numpy("int64"))   # at most n ids
+    if not len(edges):
+        edges = np.zeros(1, np.int64)
     has_null = not docs.where("doc_id is null").isEmpty()
-    if not edges:
-        edges = [0]
-    bounds = F.array(*[F.lit(x).cast("long") for x in edges])
-    part: Column = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(
-        F.greatest(F.lit(0), F.aggregate(bounds, F.lit(0), lambda acc, x: acc + (x <= F.col("doc_id")).cast("int")) - 1))
-    first = F.col("doc_id").isNull() if has_null else F.col("doc_id") == edges[0]
-    own = F.struct(F.col("part"), F.lit(0).alias("tail"))
-    before = F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("tail"))
+
+    @F.pandas_udf("struct<part:int,starts:boolean>")
+    def place(doc_id: pd.Series) -> pd.DataFrame:
+        """The range of an id and whether it is the range's first; only ids pass here."""
+        given = doc_id.notna().to_numpy()
+        x = doc_id.fillna(0).to_numpy("int64")
+        part = np.where(given, np.maximum(np.searchsorted(edges, x, "right") - 1, 0), 0)
+        return pd.DataFrame({"part": part.astype("int32"), "starts": given & (edges[part] == x)})
+
+    placed = docs.select("doc_id", "text").withColumn("at", place("doc_id"))
+    part = F.col("at.part")
+    first = F.col("doc_id").isNull() if has_null else F.col("at.starts") & (part == 0)
+    own = F.struct(part.alias("part"), F.lit(0).alias("tail"))
+    before = F.struct((part - 1).alias("part"), F.lit(1).alias("tail"))
     last = F.struct(F.lit(len(edges) - 1).alias("part"), F.lit(1).alias("tail"))
     none = F.array().cast("array<struct<part:int,tail:int>>")
-    starts = F.col("doc_id").isin(edges[1:]) if len(edges) > 1 else F.lit(False)
-    copies = F.concat(F.array(own), F.when(starts, F.array(before)).otherwise(none), F.when(first, F.array(last)).otherwise(none))
-    return (docs.select("doc_id", "text").withColumn("part", part).select("doc_id", "text", F.inline(copies))
-            .repartition(n, "part").sortWithinPartitions("part", "tail", "doc_id", "text"))
+    copies = F.concat(F.array(own), F.when(F.col("at.starts") & (part > 0), F.array(before)).otherwise(none),
+                      F.when(first, F.array(last)).otherwise(none))
+    return (placed.select("doc_id", "text", F.inline(copies)).repartitionById(len(edges), F.col("part"))
+            .sortWithinPartitions("part", "tail", "doc_id", "text"))
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,7 @@ capped and no link is lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sqlkiln.operators.components import connected_components
 
-from .common import rows_of, stored
+from .common import attach, by_chars, rows_of, stored
 from .shingles import mix, shingle_set
 
 BANDS, ROWS = 24, 4
@@ -71,15 +72,18 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _set_id(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-        for pdf in batches:
+        for pdf in by_chars(batches):
             sets = [shingle_set(t, width) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
                 "n": [len(s) for s in sets],
-                "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                "set_id": [_set_id(s) for s in sets],
                 "bands": [band_keys(s) if len(s) else np.empty(0, np.int64) for s in sets],
             })
     return run
@@ -87,9 +91,10 @@ def _signatures(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["doc_id"],
-                                "shingles": [shingle_set(t, width).view(np.int64) for t in pdf["text"]]})
+        for pdf in by_chars(batches):
+            sets = [shingle_set(t, width) for t in pdf["text"]]
+            yield pd.DataFrame({"rep": pdf["doc_id"], "set_id": [_set_id(s) for s in sets],
+                                "shingles": [s.view(np.int64) for s in sets]})
     return run
 
 
@@ -137,15 +142,17 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
     ``width``-word shingles; ``component_id`` is the least doc_id reachable,
     ``kept`` marks it, ``copies`` counts the rows with exactly this set.
     Null, empty and blank texts have no shingles and are alone. Rows of one
-    doc_id come back once each; with a null doc_id, n_shingles and kept = true
+    doc_id come back once each and are one document, with the text of the least
+    set digest; a copy of another of its texts has the same component. With a null doc_id, n_shingles and kept = true
     and a null component. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
     sig = stored(docs.mapInPandas(_signatures(width), "doc_id long, n long, set_id binary, bands array<long>"), "signatures")
     named = sig.where("doc_id is not null and n > 0")
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = (named.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("rep_set")), "doc_id")
-            .where("set_id = rep_set").select(F.col("doc_id").alias("rep"), "n", "bands").dropDuplicates(["rep"]))
+    chosen = classes.groupBy("rep").agg(F.min("set_id").alias("set_id"))
+    reps = (named.join(chosen.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_id"])
+            .select(F.col("doc_id").alias("rep"), "set_id", "n", "bands").dropDuplicates(["rep"]))
 
     # Buckets: every member gets an edge to the least member.
     rows = reps.select("rep", F.explode("bands").alias("key"))
@@ -156,7 +163,9 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
 
     # Full sets of the texts that occur in an edge.
     ends = edges.select(F.explode(F.array("hub", "rep")).alias("doc_id")).distinct()
-    sets = stored(rows_of(docs, ends).mapInPandas(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    sets = (rows_of(docs, ends).mapInPandas(_sets(width), "rep long, set_id binary, shingles array<long>")
+            .join(chosen, ["rep", "set_id"], "left_semi"))
+    sets = stored(sets.dropDuplicates(["rep"]).drop("set_id"), "sets")
 
     # Confirm the edges; a hub's edges are dealt over HUB_SPREAD parts.
     salted = edges.withColumn("part", F.pmod(F.hash("rep"), F.lit(HUB_SPREAD)))
@@ -177,18 +186,20 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
                      .agg(F.sum("m").alias("total"), F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("top"))
                      .where("parts > 1 and total > 2")
                      .select("cluster", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("top")))
-    rest = members.join(open_clusters, "cluster")
+    rest = stored(members.join(open_clusters, "cluster").withColumn("block", F.pmod(F.hash("rep"), F.col("blocks"))), "open-clusters")
     if rest.isEmpty():
         return _answer(sig, classes, linked)
-    block = F.pmod(F.hash("rep"), F.col("blocks"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # members go only where outsiders are
+    outside = rest.where("comp <> top").groupBy("cluster").agg(F.collect_set("block").alias("at"))
+    rest = rest.join(outside, "cluster")
     roles = F.concat(
-        F.transform(others, lambda j: F.struct(F.lit(1).alias("role"), j.alias("i"), block.alias("j"))),
+        F.transform("at", lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), F.col("block").alias("j"))),
         F.when(F.col("comp") != F.col("top"),
-               F.transform(others, lambda j: F.struct(F.lit(0).alias("role"), block.alias("i"), j.alias("j")))
+               F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                           lambda j: F.struct(F.lit(0).alias("role"), F.col("block").alias("i"), j.alias("j")))
                ).otherwise(F.array().cast("array<struct<role:int,i:int,j:int>>")))
     tasks = (rest.select("cluster", "rep", "comp", F.inline(roles))
-             .join(reps, "rep").join(sets, "rep"))
+             .join(reps.drop("set_id"), "rep").join(sets, "rep"))
     more = stored(tasks.groupBy("cluster", "i", "j").applyInPandas(_block_links(pct), "hub long, rep long"), "block-links")
     if not more.isEmpty():
         merged = links.unionByName(more)
@@ -202,9 +213,11 @@ def _answer(sig: DataFrame, classes: DataFrame, linked: DataFrame | None) -> Dat
         classes = classes.withColumn("comp", F.col("rep"))
     else:
         classes = classes.join(linked, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    out = sig.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
+    # a set of one row that is in no link needs no look-up; texts without words have none
+    shared = stored(classes.where("copies > 1 or comp <> rep").select("set_id", "comp", "copies"), "shared-sets")
+    out = attach(sig.select("doc_id", "n", "set_id"), shared, "set_id")
     alone = F.col("n") == 0
-    comp = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("comp"))
+    comp = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
                       F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"),
                       F.when(alone, F.lit(1)).otherwise(F.coalesce("copies", F.lit(1))).cast("long").alias("copies"))

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WS, stored
+from .common import WS, by_chars, by_rows, stored
 from .shingles import HASHES, mix
 
 MIN_BASE_WORDS = 50
@@ -160,7 +160,7 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
             for x, ws in words.items()}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in by_chars(batches):
             rows = []
             for doc_id, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
                 *base, classes, counts = base_and_histograms(text if isinstance(text, str) else None, wanted)
@@ -177,7 +177,7 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
+        for pdf in by_rows(batches):
             for lang, part in pdf.groupby("lang"):
                 row = np.concatenate([np.stack(part["classes"].to_numpy()).sum(0), _dense(part, width).sum(0), [part["n_words"].sum()]])
                 sums[lang] = sums.get(lang, 0) + row
@@ -191,7 +191,7 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
     refs = References(wanted, bins, sums)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in by_rows(batches):
             if len(pdf):
                 classes = np.stack(pdf["classes"].to_numpy())
                 n_words = pdf["n_words"].to_numpy(np.int64)

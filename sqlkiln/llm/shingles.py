@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 class WordHashes(dict):

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -132,7 +133,7 @@ class BundleReader:
             at += packed
         self.frames = pairs[:-1]
         file.seek(self.starts[-1] + 8)
-        self.index = list(struct.iter_unpack("<qII", file.read(pairs[-1][0] - 8)))
+        self.index = sorted(struct.iter_unpack("<qII", file.read(pairs[-1][0] - 8)))
 
     def plain(self, k: int) -> bytes:
         packed, size = self.frames[k]
@@ -140,8 +141,11 @@ class BundleReader:
         return self.zstd.decompress(self.file.read(packed), max_output_size=size)
 
     def record(self, page_id: int) -> tuple[dict[str, str], bytes]:
-        """One record by its page: a look-up, a seek and one frame."""
-        frame, offset = next((f, o) for p, f, o in self.index if p == page_id)
+        """One record by its page: a binary search, a seek and one frame."""
+        at = bisect_left(self.index, (page_id,))
+        if at == len(self.index) or self.index[at][0] != page_id:
+            raise KeyError(page_id)
+        _, frame, offset = self.index[at]
         _, headers, block = next(parse_records(self.plain(frame)[offset:]))
         return headers, block
 

@@ -145,3 +145,8 @@ def test_language_of_odd_rows(make_docs, odd_rows, sentence):
     assert got[7].lang_pred != "und" and len(got) == len({r[0] for r in rows})
     none = langid.identify(make_docs([(1, "some text", None, "s")])).first()
     assert none.lang_pred == "und" and langid.identify(make_docs([])).count() == 0
+
+
+def test_number_signs_are_no_letters():
+    assert not any(langid.has_letter(x) for x in ("½ ²", "Ⅷ", "٣ 12_", "", None))
+    assert langid.has_letter("½ ª") and langid.has_letter("Ⅷ x")

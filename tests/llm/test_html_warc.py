@@ -118,3 +118,14 @@ def test_bundle_is_seekable_and_plain_zstd():
     for i in (29, 0, 17):
         head, block = r.record(i)
         assert head["X-Page-ID"] == str(i) and block == texts[i]
+
+
+def test_depth_has_no_limit():
+    deep = "<span>" * 205 + "<script>var a=1;</script><p hidden>secret</p><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>cc<td>d</table>end"
+    assert html.render(deep) == html.render(deep.replace("<span>", ""))
+    text = html.render("<div>" * 3000 + "x" + "</div>" * 3000 + "<style>p{}</style>y")
+    assert text.split() == ["x", "y"]
+
+
+def test_closed_dialogs_are_hidden():
+    assert html.render("a<dialog>no</dialog><dialog open>yes</dialog>b").split() == ["a", "yes", "b"]

@@ -77,3 +77,10 @@ def test_band_agreement_estimates_similarity(sentence):
     b = np.union1d(a[: int(len(a) * 0.9)], shingle_set(sentence(4, 300)))
     j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((minhash.signature(a) == minhash.signature(b)).mean() - j) < 0.15
+
+
+def test_two_texts_of_one_doc_id_in_any_order(make_docs, sentence):
+    a, b = sentence(1, 60), sentence(2, 60)
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, b, "en", "s")]
+    results = [sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(make_docs(x)).collect()) for x in (rows, rows[::-1])]
+    assert results[0] == results[1] == [(1, 1), (1, 1), (2, 1)]
