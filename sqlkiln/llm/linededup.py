@@ -12,8 +12,9 @@ collapse into one, so a line that is everywhere costs one row.
 
 One similar earlier line is enough, so most pairs of a group of near copies are
 never needed. First each line is held against *hubs*, the earliest lines with
-two of its rarest words in a row: at most three candidates a line, whatever the
-group's size. Only lines that this leaves open are looked up in the prefix join,
+two words of its prefix in a row: the closest is its one candidate, whatever the
+group's size. Lines of such groups that this leaves open choose hubs among themselves,
+as long as that settles a good part. Only what is still open is looked up in the prefix join,
 among all lines before them; a line's candidates are reduced to the closest
 where they arise. Lines whose closest candidate fails, and only these, have all
 theirs verified.
@@ -30,8 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import BROADCAST_IDS, shuffle_partitions, stored
 
 BUCKETS = 1 << 17
-LEAD = 4               # rarest words of a line that name its hubs, two in a row each
-HALVES, QUARTERS = 64, 160   # words from which a sketch is kept in two, or four, parts
+LEAD = 4               # words that a prefix has at least; two in a row name a hub
+HALVES, QUARTERS = 24, 64   # words from which a sketch is kept in two, or four, parts
 HUB_SPREAD = 64        # parts that the lines of one hub are dealt over
 
 
@@ -136,10 +137,12 @@ def _overlap(na: Column, nb: Column, pct: int) -> Column:
     return F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
 
 
-def _hub_candidates(sets: DataFrame, pct: int) -> DataFrame:
-    """``(later, earlier)``: per set its closest hub that the filters leave, if any."""
-    pairs = [F.shiftleft(F.get("prefix", F.lit(i)).cast("long"), 32).bitwiseOR(F.get("prefix", F.lit(i + 1)).cast("long")) for i in range(LEAD - 1)]
-    key = F.explode(F.array_compact(F.array(*pairs))).alias("key")
+def _hub_candidates(sets: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
+    """``(later, earlier)``: per set its closest hub that the filters leave, if any;
+    and ``set_no`` of all sets that have a hub."""
+    ahead = F.size("prefix") - 1
+    key = F.explode(F.zip_with(F.slice("prefix", 1, ahead), F.slice("prefix", 2, ahead),
+                               lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")))).alias("key")
     hubs = stored(sets.select("set_no", key).groupBy("key").agg(F.min("set_no").alias("earlier"), F.count("*").alias("m"))
                   .where("m > 1").select("key", "earlier"), "hubs")
     few = hubs.count() <= BROADCAST_IDS
@@ -148,9 +151,27 @@ def _hub_candidates(sets: DataFrame, pct: int) -> DataFrame:
     hubs = stored(hubs, "hub-sketches")
     rows, hubs = sets.select("set_no", *SKETCH, "n", key), F.broadcast(hubs) if few else hubs
     n, hub_n, bits = F.col("n"), F.col("hub_n"), _differing("", "hub_")
-    near = rows.join(hubs, "key").where((F.col("earlier") < F.col("set_no")) & (100 * F.least(n, hub_n) >= pct * F.greatest(n, hub_n))
+    met = rows.join(hubs, "key").where(F.col("earlier") < F.col("set_no"))
+    near = met.where((100 * F.least(n, hub_n) >= pct * F.greatest(n, hub_n))
                                         & (bits <= n + hub_n - 2 * _overlap(n, hub_n, pct)))
-    return near.groupBy(F.col("set_no").alias("later")).agg(F.min(F.struct(bits.alias("bits"), "earlier")).alias("b")).select("later", "b.earlier")
+    best = near.groupBy(F.col("set_no").alias("later")).agg(F.min(F.struct(bits.alias("bits"), "earlier")).alias("b")).select("later", "b.earlier")
+    return stored(best, "hub-candidates"), met.select("set_no").distinct()
+
+
+def _settled_by_hubs(docs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The distinct ``later`` that are similar to a hub, in rounds over the lines that groups leave open."""
+    open_sets, found, n_first = sets, None, 0
+    while True:
+        tried, members = _hub_candidates(open_sets, pct)
+        n = tried.count()
+        got = stored(_verified(tried, docs, sets, pct), "lines-settled")
+        found = got if found is None else found.unionByName(got)
+        n_got, n_first = got.count(), n_first or n
+        if n_got * 10 < n or n_got * 50 < n_first or not n:
+            return stored(found, "lines-settled-by-hubs")
+        ids = stored(members, "hub-members")
+        few = ids.count() <= BROADCAST_IDS
+        open_sets = stored(_without(open_sets.join(F.broadcast(ids) if few else ids, "set_no", "left_semi"), got), "open-members")
 
 
 def _prefix_candidates(sets: DataFrame, open_sets: DataFrame, pct: int) -> DataFrame:
@@ -219,12 +240,10 @@ def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = 1) -> DataFram
     every = _line_sets(docs, pct, min_tokens)
     # A set of n words can be similar to another only if one word more or less still is.
     sets = every.where(100 * F.col("n") >= pct * (F.col("n") + 1))
-    tried = stored(_hub_candidates(sets, pct), "hub-candidates")
-    settled = stored(_verified(tried, docs, sets, pct), "lines-settled")
+    settled = _settled_by_hubs(docs, sets, pct)
     pairs = _prefix_candidates(sets, _without(sets, settled), pct)
     best = stored(pairs.groupBy("later").agg(F.min(F.struct("bits", "earlier")).alias("b")).select("later", "b.earlier"), "closest")
-    fresh = stored(best.join(tried, ["later", "earlier"], "left_anti"), "closest-new")      # the closest may be the hub that has failed
-    more = stored(_verified(fresh, docs, sets, pct), "lines-settled-2")
+    more = stored(_verified(best, docs, sets, pct), "lines-settled-2")
     left = stored(best.join(more, "later", "left_anti").select("later", F.col("earlier").alias("failed")), "lines-left")
     settled = settled.unionByName(more)
     if not left.isEmpty():
