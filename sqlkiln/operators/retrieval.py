@@ -3,9 +3,8 @@
 Questions carry ``db_id``; candidate tables are the catalog rows of the same
 database. Similarity is computed for question x (tables of its database):
 with a catalog whose per-database size is bounded, that is linear in the
-number of questions. The table-vector side is broadcast only when AQE's
-run-time statistics put it under the broadcast threshold; otherwise the join
-shuffles on ``db_id`` and AQE splits a skewed database across tasks.
+number of questions. The product is taken block by block, a database's questions dealt
+over many groups, and selection happens on the block.
 """
 
 
@@ -84,17 +83,113 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def similarities(questions: DataFrame, table_vecs: DataFrame, qid: list[str], dim: int) -> DataFrame:
-    """Cosine of every question with every table of its own database.
+CHUNKS = 64             # parts that the questions of one database are dealt over
+BLOCK_ROWS = 512        # questions multiplied with a database's tables at a time
 
-    Both sides are L2-normalised, so cosine = dot product; computed in double
-    inside codegen, rounded to 9 digits so ties and thresholds are stable.
+
+def _block_product(questions: DataFrame, table_vecs: DataFrame, qid: list[str], per_block, schema: str) -> DataFrame:
+    """Questions against the tables of their database as a block matrix product.
+
+    Questions are dealt by ``(db_id, chunk)``, so a hot database is spread over
+    ``CHUNKS`` groups; its tables go once to each chunk that has questions.
+    ``per_block(ids, products, tables)`` gets up to ``BLOCK_ROWS`` questions and
+    the matrix of their cosines (rounded to 9 digits so that ties and thresholds
+    are stable) and returns the rows to keep, so nothing of the size questions x
+    tables is written or shuffled unless asked for. A task holds one database's
+    table vectors and one chunk of questions.
+    """
+    import numpy as np
+    import pandas as pd
+
+    ship_package(questions.sparkSession)
+    q = questions.select(*qid, "db_id", "vec").withColumn("chunk", F.pmod(F.xxhash64(*qid), F.lit(CHUNKS)).cast("int"))
+    places = q.select(F.col("db_id").alias("t_db"), F.col("chunk").alias("t_chunk")).distinct()
+    t = places.join(table_vecs.withColumnRenamed("db_id", "t_db"), "t_db")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return per_block(left[[*qid, "db_id"]], np.empty((0, len(right))), right)
+        right = right.sort_values(["table_pos", "table_name"], ignore_index=True)
+        matrix = np.stack(right["vec"].to_numpy()).astype(float) if len(right) else None
+        parts = []
+        for a in range(0, len(left), BLOCK_ROWS):
+            rows = left.iloc[a:a + BLOCK_ROWS].reset_index(drop=True)
+            made = np.round(np.stack(rows["vec"].to_numpy()).astype(float) @ matrix.T, 9) if len(right) else np.empty((len(rows), 0))
+            parts.append(per_block(rows[[*qid, "db_id"]], made, right))
+        return pd.concat(parts, ignore_index=True)
+
+    return q.groupBy("db_id", "chunk").cogroup(t.groupBy("t_db", "t_chunk")).applyInPandas(run, schema)
+
+
+def _id_schema(questions: DataFrame, qid: list[str]) -> str:
+    return ", ".join(f"{c} {dict(questions.dtypes)[c]}" for c in [*qid, "db_id"])
+
+
+def similarities(questions: DataFrame, table_vecs: DataFrame, qid: list[str]) -> DataFrame:
+    """Cosine of every question with every table of its own database (both
+    L2-normalised, so the dot product); questions of a database without tables have none."""
+    import numpy as np
+
+    def all_pairs(ids, sims, tables):
+        at, of = np.divmod(np.arange(sims.size), max(1, sims.shape[1]))
+        return ids.iloc[at].reset_index(drop=True).assign(
+            table_name=tables["table_name"].to_numpy(object)[of], table_pos=tables["table_pos"].to_numpy()[of], sim=sims.ravel())
+
+    t = table_vecs.select("db_id", "table_name", "table_pos", "vec")
+    pos = dict(t.dtypes)["table_pos"]
+    return _block_product(questions, t, qid, all_pairs, f"{_id_schema(questions, qid)}, table_name string, table_pos {pos}, sim double")
+
+
+def retrieve_tables(questions: DataFrame, table_vecs: DataFrame, neighbours: DataFrame, qid: list[str],
+                    base: float = BASE_THRESHOLD) -> DataFrame:
+    """R4-R8 in one pass: the tables chosen for each question.
+
+    Per question the tables with ``sim >= max(base, 0.5 * best)``, or the single
+    best (ties: table order) when none passes, and the one-hop FK neighbours of
+    these. Columns: ``passes``, ``chosen`` (R6), ``rank`` (R8: by similarity,
+    then name); a question of a database without tables has one row of nulls.
+    The rules are applied to a block of products where it arises; a database's
+    tables carry their neighbours' names.
     """
-    # No hint: AQE measures the table-vector stage at run time and turns the
-    # join into a broadcast only when it is under the broadcast threshold.
-    t = table_vecs.select("db_id", "table_name", "table_pos", F.col("vec").alias("_tv"))
-    j = questions.select(*qid, "db_id", F.col("vec").alias("_qv")).join(t, "db_id")
-    return j.select(*qid, "db_id", "table_name", "table_pos", F.round(dot("_qv", "_tv"), 9).alias("sim"))
+    import numpy as np
+    import pandas as pd
+
+    near = neighbours.groupBy("db_id", "table_name").agg(F.collect_set("neighbour").alias("near"))
+    t = table_vecs.select("db_id", "table_name", "table_pos", "vec").join(near, ["db_id", "table_name"], "left")
+
+    def choose(ids, sims, tables):
+        n, m = sims.shape
+        if not m:
+            return ids.assign(table_name=None, table_pos=None, sim=np.nan, threshold=np.nan, passes=False, chosen=False, rank=None)
+        names = tables["table_name"].to_numpy(object)
+        number = {x: i for i, x in enumerate(names)}
+        link_from, link_to = [], []
+        for i, xs in enumerate(tables["near"]):
+            for x in xs if xs is not None else ():
+                if x in number:
+                    link_from.append(i)
+                    link_to.append(number[x])
+        threshold = np.maximum(base, 0.5 * sims.max(1)) if n else np.empty(0)
+        passes = sims >= threshold[:, None]
+        chosen = passes.copy()
+        none = np.flatnonzero(~passes.any(1))
+        chosen[none, sims[none].argmax(1)] = True                # tables are in order: the first of equals
+        taken = chosen.copy()
+        for a, b in zip(link_from, link_to):
+            taken[:, b] |= chosen[:, a]
+        at, of = np.nonzero(taken)
+        by_name = np.empty(m, int)
+        by_name[np.argsort(names.astype(str), kind="stable")] = np.arange(m)
+        order = np.lexsort((by_name[of], -sims[at, of], at))
+        at, of = at[order], of[order]
+        first = np.searchsorted(at, at)
+        return ids.iloc[at].reset_index(drop=True).assign(
+            table_name=names[of], table_pos=tables["table_pos"].to_numpy()[of], sim=sims[at, of], threshold=threshold[at],
+            passes=passes[at, of], chosen=chosen[at, of], rank=np.arange(len(at)) - first + 1)
+
+    pos = dict(t.dtypes)["table_pos"]
+    schema = f"{_id_schema(questions, qid)}, table_name string, table_pos {pos}, sim double, threshold double, passes boolean, chosen boolean, rank int"
+    return _block_product(questions, t, qid, lambda *a: choose(*a).astype({"table_pos": "Int64", "rank": "Int64"}), schema)
 
 
 # -- R5 .. R8 ----------------------------------------------------------------

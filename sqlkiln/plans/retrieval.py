@@ -44,9 +44,9 @@ def _vec_questions(spark, d):
                     rt.l2_normalize(F.col("embedding")).alias("vec"))
 
 
-def _vec_sims(spark, d):
+def _vec_retrieved(spark, d):
     tv, inv, cols, fks = _table_vecs(spark, d)
-    return cut_lineage(rt.similarities(_vec_questions(spark, d), tv, QV, DIM)), cols, fks
+    return rt.retrieve_tables(_vec_questions(spark, d), tv, _neighbours(cols, inv, fks), QV)
 
 
 def _neighbours(cols, inv, fks):
@@ -120,45 +120,36 @@ def r3_l2_normalize(spark, d):
 
 @register("r4_cosine", sql=D_CAT + D_CTX + D_TV + D_QV + D_SIMS + " SELECT vec_id, table_name, sim FROM sims")
 def r4_cosine(spark, d):
-    sims = _vec_sims(spark, d)[0]
-    return sims.select("vec_id", "table_name", F.col("sim"))
+    sims = rt.similarities(_vec_questions(spark, d), _table_vecs(spark, d)[0], QV)
+    return sims.select("vec_id", "table_name", "sim")
 
 
 @register("r5_dynamic_threshold", sql=D_CAT + D_CTX + D_TV + D_QV + D_SIMS + d_select("sims", "vec_id", "sel")
           + " SELECT vec_id, table_name, sim, threshold FROM sel WHERE passes")
 def r5_dynamic_threshold(spark, d):
-    sel = rt.select_tables(_vec_sims(spark, d)[0], QV)
-    return sel.where("passes").select("vec_id", "table_name", F.col("sim"),
-                                      F.col("threshold"))
+    return _vec_retrieved(spark, d).where("passes").select("vec_id", "table_name", "sim", "threshold")
 
 
 @register("r6_top1_fallback", sql=D_CAT + D_CTX + D_TV + D_QV + D_SIMS + d_select("sims", "vec_id", "sel")
           + " SELECT vec_id, table_name, sim, passes FROM sel")
 def r6_top1_fallback(spark, d):
-    sel = rt.select_tables(_vec_sims(spark, d)[0], QV)
-    return sel.select("vec_id", "table_name", F.col("sim"), "passes")
-
-
-def _vec_expanded(spark, d):
-    tv, inv, cols, fks = _table_vecs(spark, d)
-    sims = cut_lineage(rt.similarities(_vec_questions(spark, d), tv, QV, DIM))
-    kept = rt.select_tables(sims, QV)
-    return rt.fk_expand(kept, _neighbours(cols, inv, fks), sims, QV)
+    return _vec_retrieved(spark, d).where("chosen").select("vec_id", "table_name", "sim", "passes")
 
 
 @register("r7_fk_expand", sql=D_CAT + D_CTX + D_TV + D_QV + D_SIMS + d_select("sims", "vec_id", "sel")
           + d_expand("sel", "sims", "vec_id", "ex") + " SELECT vec_id, table_name, sim FROM ex")
 def r7_fk_expand(spark, d):
-    return _vec_expanded(spark, d).select("vec_id", "table_name", F.col("sim"))
+    return _vec_retrieved(spark, d).where("table_name is not null").select("vec_id", "table_name", "sim")
 
 
 @register("r8_rank", sql=D_CAT + D_CTX + D_TV + D_QV + D_SIMS + d_select("sims", "vec_id", "sel")
           + d_expand("sel", "sims", "vec_id", "ex")
           + " SELECT vec_id, table_name, sim, "
-            "CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, table_name) AS INTEGER) AS rank FROM ex")
+            "CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, table_name) AS INTEGER) AS rank FROM ex"
+            " UNION ALL SELECT vec_id, NULL, NULL, NULL FROM qv WHERE db_id NOT IN (SELECT db_id FROM tv)")
 def r8_rank(spark, d):
-    r = rt.rank_tables(_vec_expanded(spark, d), QV)
-    return r.select("vec_id", "table_name", F.col("sim"), "rank")
+    """A question of a database without tables is there with an empty choice."""
+    return _vec_retrieved(spark, d).select("vec_id", "table_name", "sim", "rank")
 
 
 D_WS = "'[ \\t\\n\\r\\f\\x0B]+'"
@@ -198,9 +189,8 @@ def _prompts(spark, d):
     # Retrieval only for gated questions: the filter runs before the join.
     gated = (qg.where("use_rag").select(*QT, "db_id", rt.hash_embed(F.col("question"), DIM).alias("raw"))
              .select(*QT, "db_id", rt.l2_normalize(F.col("raw")).alias("vec")))
-    # The similarity table feeds selection, expansion and lookup: materialise it once.
-    sims = cut_lineage(rt.similarities(gated, tv, QT, DIM))
-    kept = cut_lineage(rt.fk_expand(rt.select_tables(sims, QT), _neighbours(cols, inv, fks), sims, QT))
+    # The choice is used three times below: written once.
+    kept = cut_lineage(rt.retrieve_tables(gated, tv, _neighbours(cols, inv, fks), QT).where("table_name is not null"))
     pruned = rt.pruned_schema_text(kept, cols, fks, QT).withColumnRenamed("schema_text", "pruned_text")
     out = qg.join(pruned.drop("db_id"), QT, "left")
     rag = F.col("use_rag") & F.col("pruned_text").isNotNull()

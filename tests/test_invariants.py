@@ -11,7 +11,7 @@ from sqlkiln.operators import retrieval as rt
 from sqlkiln.operators import training as tr
 from sqlkiln.sources import files as fs
 
-from conftest import SF001
+from sf_folders import SF001
 
 
 def union_find(edges):
