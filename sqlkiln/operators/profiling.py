@@ -96,44 +96,54 @@ def typed_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
     return [(name, f.name, family(f.dataType)) for name, df in tables.items() for f in df.schema.fields if family(f.dataType)]
 
 
-def column_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct ``(table_name, column_name, family, h1, h2)`` of every key-typed column.
+WORD_BITS = 62           # columns that one number of a bitmap stands for
 
-    One scan per table; values are 128-bit digests, so a long text is no wider
-    than a number.
+
+def value_bitmaps(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per distinct value of a type family a bitmap of the columns that hold it, counted:
+    ``(family, w0, w1, ..., n)``, one row per family and distinct bitmap.
+
+    Column i of ``typed_columns`` is bit ``i % WORD_BITS`` of word ``i // WORD_BITS``.
+    One scan per table and one shuffle of values, combined within tasks before;
+    a value is a 128-bit digest, so a long text is no wider than a number.
     """
-    parts = None
+    cols = typed_columns(tables)
+    words = [f"w{i}" for i in range(-(-len(cols) // WORD_BITS))]
+    rows = None
     for name, df in tables.items():
-        cols = [(f.name, family(f.dataType)) for f in df.schema.fields if family(f.dataType)]
-        if not cols:
+        own = [(i, c, fam) for i, (t, c, fam) in enumerate(cols) if t == name]
+        if not own:
             continue
-        values = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column_name"), F.lit(fam).alias("family"), *digest(c)))
-                           for c, fam in cols])
-        rows = (df.select(F.explode(F.filter(values, lambda v: v.isNotNull())).alias("v"))
-                .select(F.lit(name).alias("table_name"), "v.*").distinct())
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
+        bit = {i: [F.lit(1 << i % WORD_BITS if k == i // WORD_BITS else 0).cast("long").alias(w) for k, w in enumerate(words)] for i, _, _ in own}
+        values = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(fam).alias("family"), *digest(c), *bit[i])) for i, c, fam in own])
+        part = df.select(F.explode(F.filter(values, lambda v: v.isNotNull())).alias("v")).select("v.*")
+        rows = part if rows is None else rows.unionByName(part)
+    held = rows.groupBy("family", "h1", "h2").agg(*[F.bit_or(w).alias(w) for w in words])
+    return held.groupBy("family", *words).agg(F.count(F.lit(1)).alias("n"))
 
 
 def inclusion_dependencies(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
     """For every column A and single-column key B of the same type family,
     the share of A's distinct values found in B (1.0 = candidate foreign key, 0.0 = nothing in common).
 
-    The distinct values are written once. The join is on the value, so a value
-    shared by many columns meets at most (#columns)^2 partners.
+    Values meet in one aggregate that leaves a bitmap of columns per value; all
+    counts come from the distinct bitmaps, of which there are few.
     """
-    vals = cut_lineage(column_values(tables), "column-values")
-    spark = vals.sparkSession
-    cols = spark.createDataFrame(typed_columns(tables), "dep_table string, dep_column string, family string")
-    ref_cols = (keys.where(F.col("n_columns") == 1).select(F.col("table_name").alias("ref_table"), F.col("key_columns").alias("ref_column"))
-                .join(cols.toDF("ref_table", "ref_column", "family"), ["ref_table", "ref_column"]))
-    pairs = cols.join(ref_cols, "family").where((F.col("dep_table") != F.col("ref_table")) | (F.col("dep_column") != F.col("ref_column")))
-    n_values = vals.groupBy(F.col("table_name").alias("dep_table"), F.col("column_name").alias("dep_column")).agg(F.count(F.lit(1)).alias("n_values"))
-    ref = (vals.join(ref_cols, (F.col("table_name") == F.col("ref_table")) & (F.col("column_name") == F.col("ref_column")), "left_semi")
-           .select(F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), "family", "h1", "h2"))
-    dep = vals.select(F.col("table_name").alias("dep_table"), F.col("column_name").alias("dep_column"), "family", "h1", "h2")
-    both = ["dep_table", "dep_column", "ref_table", "ref_column"]
-    hits = dep.join(ref, ["family", "h1", "h2"]).groupBy(*both).agg(F.count(F.lit(1)).alias("n_covered"))
-    n, k = F.coalesce("n_values", F.lit(0)), F.coalesce("n_covered", F.lit(0))
-    return (pairs.join(n_values, ["dep_table", "dep_column"], "left").join(hits, both, "left")
-            .select(*both, n.alias("n_values"), k.alias("n_covered"), F.round(F.when(n > 0, k / n).otherwise(0.0), 4).alias("coverage")))
+    cols = typed_columns(tables)
+    bitmaps = cut_lineage(value_bitmaps(tables), "column-bitmaps")
+    spark = bitmaps.sparkSession
+    columns = spark.createDataFrame([(i, *c) for i, c in enumerate(cols)], "id int, table_name string, column_name string, family string")
+    ref_cols = keys.where(F.col("n_columns") == 1).select("table_name", F.col("key_columns").alias("column_name")).join(columns, ["table_name", "column_name"])
+    dep, ref = (df.select("family", F.col("id").alias(f"{x}_id"), F.col("table_name").alias(f"{x}_table"), F.col("column_name").alias(f"{x}_column"))
+                for df, x in ((columns, "dep"), (ref_cols, "ref")))
+    pairs = dep.join(ref, "family").where(F.col("dep_id") != F.col("ref_id"))
+    here = F.array_compact(F.array(*[F.when(F.col(f"w{i // WORD_BITS}").bitwiseAND(F.lit(1 << i % WORD_BITS).cast("long")) != 0, F.lit(i))
+                                     for i in range(len(cols))]))
+    held = bitmaps.select("n", here.alias("here"))
+    n_values = held.select(F.explode("here").alias("dep_id"), "n").groupBy("dep_id").agg(F.sum("n").alias("n_values"))
+    both = held.select("n", "here", F.explode("here").alias("dep_id")).select("n", "dep_id", F.explode("here").alias("ref_id"))
+    hits = both.groupBy("dep_id", "ref_id").agg(F.sum("n").alias("n_covered"))
+    n, k = F.coalesce("n_values", F.lit(0)).cast("long"), F.coalesce("n_covered", F.lit(0)).cast("long")
+    return (pairs.join(n_values, "dep_id", "left").join(hits, ["dep_id", "ref_id"], "left")
+            .select("dep_table", "dep_column", "ref_table", "ref_column", n.alias("n_values"), k.alias("n_covered"),
+                    F.round(F.when(n > 0, k / n).otherwise(0.0), 4).alias("coverage")))

@@ -502,19 +502,35 @@ def score_report(rollup: DataFrame) -> DataFrame:
     return whole.unionByName(each).groupBy("block", "type").pivot("level", LEVELS).agg(F.first("v")).select("block", "type", *LEVELS)
 
 
+def canonical_value(value: Column, kind: Column) -> Column:
+    """One text per distinct value: ``n`` null, ``i`` whole number with all its digits, ``d`` other number, ``s`` text."""
+    plain = F.trim(value)
+    digits = F.regexp_replace(F.regexp_extract(plain, r"^[+-]?0*(\d+)(?:\.0*)?$", 1), r"^0+(?=\d)", "")
+    minus = F.when(plain.startswith("-") & (digits != "0"), "-").otherwise("")
+    double = plain.try_cast("double")
+    # a fraction or an exponent: whole values below 2^53 are exact as doubles
+    exact = (double == F.floor(double)) & (F.abs(double) < 2.0 ** 53)
+    number = (F.when(digits != "", F.concat(F.lit("i"), minus, digits))
+              .when(exact, F.concat(F.lit("i"), double.cast("long").cast("string")))
+              .when(double.isNotNull(), F.concat(F.lit("d"), double.cast("string"))))
+    text = F.concat(F.lit("s"), value)
+    return F.when(value.isNull(), "n").when(kind == "text", text).otherwise(F.coalesce(number, text))
+
+
 def execution_match(results: DataFrame, ordered: bool = True, executed: DataFrame | None = None) -> DataFrame:
-    """E16 over result sets in long form ``(example_id, side, unit_key, row_no, value)``.
+    """E16 over result sets in long form ``(example_id, side, unit_key, row_no, value[, kind])``.
 
     Per example the values of every select unit must be equal, in row order
-    unless ``ordered=False``, which compares multisets. Values that read as
-    numbers compare as numbers (1 equals 1.0), null equals null. ``executed``:
+    unless ``ordered=False``, which compares multisets. ``kind`` is what the
+    engine returned: ``number`` or ``text``; a number never equals a text
+    (``7`` and ``'007'``), numbers are equal as numbers (1 equals 1.0) and whole
+    ones exactly, of any size; null equals null of either kind. Without a
+    ``kind`` column a value that reads as a number counts as one. ``executed``:
     ``(example_id, pred_ok)`` of all examples; those without rows on either side
     match if the prediction ran (two empty results), and a prediction that
     failed never matches. Without it the examples are those with rows.
     """
-    number = F.col("value").cast("string").try_cast("double")
-    text = F.when(F.col("value").isNull(), "n").when(number.isNotNull(), F.concat(F.lit("d"), number.cast("string"))).otherwise(
-        F.concat(F.lit("s"), F.col("value").cast("string")))
+    text = canonical_value(F.col("value").cast("string"), F.col("kind") if "kind" in results.columns else F.lit(None).cast("string"))
     key = ["example_id", "unit_key"] + (["row_no"] if ordered else []) + ["text"]
     v = results.withColumn("text", text)
     sign = F.when(F.col("side") == "gold", 1).otherwise(-1)

@@ -396,26 +396,32 @@ def e17_hardness(spark, d):
 # for returned items; the prediction's result carries an injected change chosen
 # by the customer key: none, a wrong value, an extra row, reversed row order,
 # no result (the predicted query failed), or whole numbers written without a
-# fraction (equal). Orders without items have two empty results.
+# fraction (equal), the same digits as a text (not equal), or whole numbers just
+# above 2^53 of which the prediction's first is one less (not equal, though both
+# are the same double). Orders without items have two empty results.
 RESULTS_SQL = """
-WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity, o_custkey % 6 AS m
+WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity, o_custkey % 8 AS m
             FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 11 <> 0),
 r AS (SELECT l_orderkey AS example_id, m, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS v,
              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) - 1 AS rn,
              count(*) OVER (PARTITION BY l_orderkey) AS n FROM li)
-SELECT example_id, 'gold' AS side, 'qty' AS unit_key, CAST(rn AS BIGINT) AS row_no, CAST(v AS STRING) AS value FROM r
+SELECT example_id, 'gold' AS side, 'qty' AS unit_key, CAST(rn AS BIGINT) AS row_no,
+       CASE WHEN m = 7 THEN CAST(9007199254740993 + 2 * CAST(v AS BIGINT) AS STRING) ELSE CAST(v AS STRING) END AS value, 'number' AS kind FROM r
 UNION ALL
 SELECT example_id, 'pred', 'qty', CAST(CASE WHEN m = 3 THEN n - 1 - rn ELSE rn END AS BIGINT),
-       CASE WHEN m = 1 AND rn = 0 THEN 'changed' WHEN m = 5 THEN CAST(CAST(v AS BIGINT) AS STRING) ELSE CAST(v AS STRING) END FROM r WHERE m <> 4
+       CASE WHEN m = 1 AND rn = 0 THEN 'changed' WHEN m = 5 THEN CAST(CAST(v AS BIGINT) AS STRING)
+            WHEN m = 7 THEN CAST(9007199254740993 + 2 * CAST(v AS BIGINT) - CASE WHEN rn = 0 THEN 1 ELSE 0 END AS STRING)
+            ELSE CAST(v AS STRING) END,
+       CASE WHEN m = 6 OR m = 1 AND rn = 0 THEN 'text' ELSE 'number' END FROM r WHERE m <> 4
 UNION ALL
-SELECT example_id, 'pred', 'qty', CAST(n AS BIGINT), '0.0' FROM r WHERE m = 2 AND rn = 0"""
-EXECUTED_SQL = "SELECT o_orderkey AS example_id, o_custkey % 6 <> 4 AS pred_ok FROM orders"
+SELECT example_id, 'pred', 'qty', CAST(n AS BIGINT), '0.0', 'number' FROM r WHERE m = 2 AND rn = 0"""
+EXECUTED_SQL = "SELECT o_orderkey AS example_id, o_custkey % 8 <> 4 AS pred_ok FROM orders"
 
 
 def _duck_exec(ordered: bool) -> str:
     n, place = int(ordered), "row_no" if ordered else "0"
-    return (f"v{n} AS (SELECT example_id, side, list_sort(list({{'k': {place}, 'u': unit_key, 'n': try_cast(value AS DOUBLE), "
-            f"'s': CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END}})) AS whole FROM res GROUP BY ALL),\n"
+    return (f"v{n} AS (SELECT example_id, side, list_sort(list({{'k': {place}, 'u': unit_key, 'n': CASE WHEN kind = 'number' THEN CAST(value AS DECIMAL(38, 6)) END, "
+            f"'s': CASE WHEN kind = 'text' THEN value END}})) AS whole FROM res GROUP BY ALL),\n"
             f"m{n} AS (SELECT x.example_id, pred_ok AND p.whole IS NOT DISTINCT FROM g.whole AS ok FROM xq x "
             f"LEFT JOIN (SELECT * FROM v{n} WHERE side = 'pred') p USING (example_id) LEFT JOIN (SELECT * FROM v{n} WHERE side = 'gold') g USING (example_id))")
 

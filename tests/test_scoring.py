@@ -138,3 +138,16 @@ def test_execution_match(spark):
     unordered = {r.example_id: r.exec_match for r in sc.execution_match(df, ordered=False, executed=ran).collect()}
     same = {1: True, 3: True, 4: False, 5: False, 6: False, 7: True, 8: False}     # 7: two empty results, 8: a failed prediction
     assert ordered == same | {2: False} and unordered == same | {2: True}
+
+
+def test_execution_match_by_kind(spark):
+    cases = [("7", "number", "007", "text", False), ("007", "text", "7", "text", False), ("007", "text", "007", "text", True),
+             ("9007199254740993", "number", "9007199254740992", "number", False), ("1", "number", "1.0", "number", True),
+             ("-0", "number", "0.0", "number", True), ("1e3", "number", "1000", "number", True), ("+07.00", "number", "7", "number", True),
+             ("123456789012345678901234567890", "number", "123456789012345678901234567890.0", "number", True),
+             ("0.1", "number", "0.10", "number", True), ("0.1", "number", "0.2", "number", False), (None, "text", None, "number", True),
+             (None, "number", "0", "number", False), ("", "text", None, "text", False)]
+    rows = [(i, side, "u", 0, v, k) for i, (a, ka, b, kb, _) in enumerate(cases) for side, v, k in (("gold", a, ka), ("pred", b, kb))]
+    df = spark.createDataFrame(rows, "example_id int, side string, unit_key string, row_no long, value string, kind string")
+    got = {r.example_id: r.exec_match for r in sc.execution_match(df).collect()}
+    assert got == {i: c[-1] for i, c in enumerate(cases)}
