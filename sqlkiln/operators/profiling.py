@@ -41,17 +41,23 @@ def digest(*cols) -> list:
     return [F.xxhash64(*text).alias("h1"), F.xxhash64(F.lit(1), *text).alias("h2")]
 
 
-def _duplicated(df: DataFrame, cands: list[tuple[str, ...]]) -> set[int]:
-    """Ids of candidate column sets that hold a duplicate value (one job).
+def _duplicated(tables: dict[str, DataFrame], cands: dict[str, list[tuple[str, ...]]]) -> set[tuple[str, tuple[str, ...]]]:
+    """Column sets that hold a duplicate value, over all tables in one job.
 
-    Rows are fanned out once per candidate as (id, digest) and grouped; partial
-    aggregation runs map-side. The result is at most ``len(cands)`` ids.
+    Rows are fanned out once per candidate as (number, digest) and grouped;
+    partial aggregation runs map-side. The result is at most one row per candidate.
     """
-    if not cands:
+    numbered = [(t, c) for t, cs in cands.items() for c in cs]
+    rows = None
+    for t in cands:
+        own = [F.struct(F.lit(i).alias("no"), *digest(*c)) for i, (u, c) in enumerate(numbered) if u == t]
+        if own:
+            part = tables[t].select(F.inline(F.array(*own)))
+            rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
         return set()
-    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pid"), *digest(*cols)) for i, cols in enumerate(cands)])))
-    dup = rows.groupBy("pid", "h1", "h2").count().where(F.col("count") > 1).select("pid").distinct()
-    return {r.pid for r in dup.collect()}
+    dup = rows.groupBy("no", "h1", "h2").count().where(F.col("count") > 1).select("no").distinct()
+    return {numbered[r.no] for r in dup.collect()}
 
 
 def key_profile(spark: SparkSession, tables: dict[str, DataFrame], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -61,33 +67,30 @@ def key_profile(spark: SparkSession, tables: dict[str, DataFrame], sample_rows:
     whatever the sample cannot disprove gets the exact check over all rows,
     singles first, then the pairs that hold no key. Nothing is decided by an
     estimate. Columns with nulls and floating-point measures are never keys.
+    Four jobs in all, however many tables there are: each takes all tables.
     """
-    def profile(item):
-        name, df = item
-        cols = [f.name for f in df.schema.fields if isinstance(f.dataType, KEY_TYPES)]
-        st = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(f"nn__{c}") for c in cols]).first()      # one row
-        n = st["__n"]
-        full = [c for c in cols if n and st[f"nn__{c}"] == n]
-        cands = [(c,) for c in full] + list(combinations(full, 2))
-        some = df if n <= sample_rows else df.sample(sample_rows / n, seed=11)
-        bad = _duplicated(some, cands)
-        left = [c for i, c in enumerate(cands) if i not in bad]
-        if n > sample_rows:
-            singles = [c for c in left if len(c) == 1]
-            bad = _duplicated(df, singles)
-            keys = {c[0] for i, c in enumerate(singles) if i not in bad}
-            pairs = [c for c in left if len(c) == 2 and not keys & set(c)]
-            bad = _duplicated(df, pairs)
-            pairs = [c for i, c in enumerate(pairs) if i not in bad]
-        else:
-            keys = {c[0] for c in left if len(c) == 1}
-            pairs = [c for c in left if len(c) == 2 and not keys & set(c)]
-        return [(name, c, 1, n) for c in sorted(keys, key=cols.index)] + [(name, f"{a},{b}", 2, n) for a, b in pairs]
-
-    # Tables are independent: their (small) jobs are submitted concurrently.
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        out = [r for rows in pool.map(profile, tables.items()) for r in rows]
+    cols = {t: [f.name for f in df.schema.fields if isinstance(f.dataType, KEY_TYPES)] for t, df in tables.items()}
+    counts = None
+    for t, df in tables.items():
+        part = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count(c) for c in cols[t]]).cast("array<long>").alias("filled")).withColumn("t", F.lit(t))
+        counts = part if counts is None else counts.unionByName(part)
+    if counts is None:
+        return spark.createDataFrame([], KEY_PROFILE_SCHEMA)
+    stats = {r["t"]: r for r in counts.collect()}                  # one row a table
+    n = {t: stats[t]["n"] for t in tables}
+    full = {t: [c for c, k in zip(cols[t], stats[t]["filled"]) if n[t] and k == n[t]] for t in tables}
+    cands = {t: [(c,) for c in full[t]] + list(combinations(full[t], 2)) for t in tables}
+    some = {t: df if n[t] <= sample_rows else df.sample(sample_rows / n[t], seed=11) for t, df in tables.items()}
+    bad = _duplicated(some, cands)
+    left = {t: [c for c in cs if (t, c) not in bad] for t, cs in cands.items()}
+    large = [t for t in tables if n[t] > sample_rows]
+    bad = _duplicated(tables, {t: [c for c in left[t] if len(c) == 1] for t in large})
+    keys = {t: [c[0] for c in left[t] if len(c) == 1 and (t, c) not in bad] for t in tables}
+    pairs = {t: [c for c in left[t] if len(c) == 2 and not set(keys[t]) & set(c)] for t in tables}
+    bad = _duplicated(tables, {t: pairs[t] for t in large})
+    out = []
+    for t in tables:
+        out += [(t, c, 1, n[t]) for c in keys[t]] + [(t, f"{a},{b}", 2, n[t]) for a, b in pairs[t] if (t, (a, b)) not in bad]
     return spark.createDataFrame(out, KEY_PROFILE_SCHEMA)
 
 

@@ -8,6 +8,8 @@ over many groups, and selection happens on the block.
 """
 
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +55,40 @@ def hash_embed(text: Column, dim: int = 64) -> Column:
         acc, lambda v, i: F.when(i == b, v + 1.0).otherwise(v)))
 
 
-def embed_with(df: DataFrame, text_col: str, encoder, out_col: str = "vec", dim: int = 384) -> DataFrame:
-    """R2 with a user model: ``encoder(list[str]) -> list[list[float]]`` runs in an
-    Arrow-batched pandas UDF; the model is built once per Python worker."""
+_LOADED: dict = {}       # models of this Python worker, by the name of the call that wants them
+
+
+def per_worker(name: str, factory):
+    """What ``factory()`` makes, made once per Python worker and call; the worker keeps the last one."""
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = factory()
+    return _LOADED[name]
+
+
+def embed_with(df: DataFrame, text_col: str, encoder=None, out_col: str = "vec", dim: int | None = None, factory=None) -> DataFrame:
+    """R2 with a user model, in an Arrow-batched iterator UDF.
+
+    ``factory()`` runs once per Python worker and returns the encoder, a
+    callable ``list[str] -> list of vectors``; a light encoder can be given as
+    ``encoder`` itself. Null texts are empty. ``dim``, if given, is checked: a
+    vector of another length stops the job.
+    """
+    import uuid
+
     import pandas as pd
 
     ship_package(df.sparkSession)
+    name, make = uuid.uuid4().hex, factory or (lambda: encoder)
 
     @F.pandas_udf("array<double>")
-    def _enc(batch: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in encoder(batch.tolist())])
+    def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = per_worker(name, make)
+        for batch in batches:
+            vectors = [list(map(float, v)) for v in model(batch.fillna("").tolist())]
+            if dim is not None and any(len(v) != dim for v in vectors):
+                raise ValueError(f"the encoder's vectors do not have {dim} numbers")
+            yield pd.Series(vectors)
 
     return df.withColumn(out_col, _enc(F.col(text_col)))
 
@@ -233,29 +259,59 @@ def token_len(text: Column) -> Column:
     return 2 * F.size(F.filter(F.split(text, WS), lambda w: w != ""))
 
 
-def token_len_with(df: DataFrame, text_col: str, tokenizer, out_col: str = "n_tokens") -> DataFrame:
-    """R9 with a real tokenizer (``tokenizer(list[str]) -> list[int]`` lengths),
-    vectorised over Arrow batches. If a batch fails, its texts are tried one by
-    one, and only a text that fails alone gets the rule."""
+def token_len_with(df: DataFrame, text_col: str, tokenizer=None, out_col: str = "n_tokens", factory=None) -> DataFrame:
+    """R9 with a real tokenizer (``list[str] -> list[int]`` lengths), vectorised over
+    Arrow batches; ``factory()`` makes it, once per Python worker. If a batch
+    fails, its texts are tried one by one, and only a text that fails alone gets
+    the rule."""
+    import uuid
+
     import pandas as pd
 
     ship_package(df.sparkSession)
+    name, make = uuid.uuid4().hex, factory or (lambda: tokenizer)
 
     @F.pandas_udf("int")
-    def _len(batch: pd.Series) -> pd.Series:
+    def _len(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = per_worker(name, make)
+
         def one(text):
             try:
-                return tokenizer([text])[0]
+                return count([text])[0]
             except Exception:  # noqa: BLE001 -- whatever the tokenizer raises, the rule answers
                 return 2 * len((text or "").split())
-        try:
-            return pd.Series(tokenizer(batch.tolist()), dtype="int32")
-        except Exception:  # noqa: BLE001 -- find out which text it was
-            return pd.Series([one(t) for t in batch], dtype="int32")
+
+        for batch in batches:
+            try:
+                yield pd.Series(count(batch.tolist()), dtype="int32")
+            except Exception:  # noqa: BLE001 -- find out which text it was
+                yield pd.Series([one(t) for t in batch], dtype="int32")
 
     return df.withColumn(out_col, _len(F.col(text_col)))
 
 
+class LetterEncoder:
+    """A small fixed encoder: counts of a text's characters by code point modulo ``dim``."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __call__(self, texts: list[str]) -> list:
+        import numpy as np
+        return [np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % self.dim, minlength=self.dim) for t in texts]
+
+
+class FileTokenizer:
+    """Token counts by a tokenizer file of the ``tokenizers`` library, used where it lies."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list) -> list[int]:
+        return [len(e.ids) for e in self.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def rag_gate(schema_tokens: Column, question_tokens: Column) -> Column:
     """Retrieve when the schema or the question is over budget (strict)."""
     return (schema_tokens > MAX_SCHEMA_TOKENS) | (question_tokens > MAX_QUESTION_TOKENS)

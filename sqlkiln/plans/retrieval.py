@@ -111,6 +111,14 @@ def r2_embed_text(spark, d):
     return ctx.select("db_id", "table_name", rt.hash_embed(F.col("context"), DIM).alias("vec"))
 
 
+@register("r2_embed_model", sql=f"""SELECT doc_id, list_transform(range({DIM}), lambda i: CAST(len(list_filter(
+    string_split(coalesce(text, ''), ''), lambda c: c <> '' AND ord(c) % {DIM} = i)) AS DOUBLE)) AS vec FROM documents""")
+def r2_embed_model(spark, d):
+    """R2 through the model hook: an encoder made once per Python worker."""
+    docs = Tables(spark, d).documents.select("doc_id", "text")
+    return rt.embed_with(docs, "text", factory=lambda: rt.LetterEncoder(DIM), dim=DIM).select("doc_id", "vec")
+
+
 @register("r3_l2_normalize", sql=f"SELECT vec_id, list_transform({d_norm('embedding')}, lambda x: round(x, 6)) AS vec "
                                  "FROM embeddings")
 def r3_l2_normalize(spark, d):
@@ -165,6 +173,15 @@ def r9_token_len(spark, d):
     return docs.select("doc_id", rt.token_len(F.col("text")).alias("n_tokens"))
 
 
+@register("r9_token_len_model")
+def r9_token_len_model(spark, d):
+    """R9 through the tokenizer hook, with a public tokenizer's file; byte-pair tokens are beyond SQL."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = Tables(spark, d).documents.select("doc_id", "text")
+    return rt.token_len_with(docs, "text", factory=lambda: rt.FileTokenizer(path)).select("doc_id", "n_tokens")
+
+
 # -- text path -----------------------------------------------------------------
 def _questions(spark, d):
     c = Tables(spark, d).conversations
