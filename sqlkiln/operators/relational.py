@@ -6,9 +6,11 @@ give Spark the same answers where the two disagree, without leaving the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def sqlite_like(col: Column, pattern: str) -> Column:
     """SQLite ``LIKE`` ignores ASCII case; Spark's ``like`` does not."""
@@ -64,3 +66,20 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
 def except_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     """SQL ``EXCEPT`` (set semantics), not ``exceptAll``."""
     return a.subtract(b)
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 1) in ``ORDER BY order``, as a column.
+
+    The order becomes part of the result, so it survives a write or a join. Rows
+    are sorted by ranges and numbered inside their partition; the partitions'
+    starts are a running sum of their sizes, one row a partition. No window runs
+    over all rows in one task. Rows that tie in ``order`` are numbered in any order.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))      # Spark's place inside the partition
+    ordered = cut_lineage(df.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), at.alias("__at")), "ordered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ordered.groupBy("__part").agg(F.count("*").alias("__n"))
+              .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    return (ordered.join(F.broadcast(starts), "__part")
+            .select(*[ordered[c] for c in df.columns], (F.col("__start") + F.col("__at") + 1).alias(name)))

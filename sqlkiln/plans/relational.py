@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.relational import int_div, not_in, semi_join, sqlite_like, union_distinct, except_distinct
+from ..operators.relational import int_div, not_in, numbered, semi_join, sqlite_like, union_distinct, except_distinct
 from ..sources.tables import Tables
 from .registry import register
 
@@ -225,30 +225,33 @@ def q26_having_compound(spark, d):
             .select("o_custkey", "n_orders", R2(F.col("_total")).alias("total")))
 
 
-@register("q27_order_by", sql="SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey")
+@register("q27_order_by", sql="""
+SELECT s_suppkey, s_name, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS position FROM supplier""")
 def q27_order_by(spark, d):
-    return Tables(spark, d).supplier.select("s_suppkey", "s_name", "s_acctbal").orderBy("s_acctbal", "s_suppkey")
+    return numbered(Tables(spark, d).supplier.select("s_suppkey", "s_name", "s_acctbal"), "s_acctbal", "s_suppkey")
 
 
 @register("q28_order_by_multi", sql="""
-SELECT c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_nationkey DESC, c_acctbal DESC, c_custkey""")
+SELECT c_nationkey, c_acctbal, c_custkey,
+       row_number() OVER (ORDER BY c_nationkey DESC, c_acctbal DESC, c_custkey) AS position FROM customer""")
 def q28_order_by_multi(spark, d):
     c = Tables(spark, d).customer
-    return c.select("c_nationkey", "c_acctbal", "c_custkey").orderBy(F.desc("c_nationkey"), F.desc("c_acctbal"), "c_custkey")
+    return numbered(c.select("c_nationkey", "c_acctbal", "c_custkey"), F.desc("c_nationkey"), F.desc("c_acctbal"), "c_custkey")
 
 
 @register("q29_order_by_expr", sql="""
-SELECT p_partkey, p_retailprice, p_size FROM part ORDER BY p_retailprice / p_size DESC, p_partkey""")
+SELECT p_partkey, p_retailprice, p_size, row_number() OVER (ORDER BY p_retailprice / p_size DESC, p_partkey) AS position FROM part""")
 def q29_order_by_expr(spark, d):
     p = Tables(spark, d).part
-    return p.select("p_partkey", "p_retailprice", "p_size").orderBy((F.col("p_retailprice") / F.col("p_size")).desc(), "p_partkey")
+    return numbered(p.select("p_partkey", "p_retailprice", "p_size"), (F.col("p_retailprice") / F.col("p_size")).desc(), "p_partkey")
 
 
 @register("q30_order_by_agg", sql="""
-SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment""")
+SELECT c_mktsegment, n, row_number() OVER (ORDER BY n DESC, c_mktsegment) AS position
+FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment)""")
 def q30_order_by_agg(spark, d):
     c = Tables(spark, d).customer
-    return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c_mktsegment")
+    return numbered(c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), F.desc("n"), "c_mktsegment")
 
 
 @register("q31_limit_one", sql="""

@@ -70,17 +70,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+# Spark's setting to remove a query's shuffle files as soon as it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df, tag: str = "table"):
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Used where one intermediate feeds several branches of a plan or a loop: the
     branches then share a columnar scan -- with pruning, pushdown and sizes --
     instead of each recomputing the whole upstream tree, and a lost executor
-    re-reads files instead of replaying the lineage.
+    re-reads files instead of replaying the lineage. The shuffle files of the
+    write are dropped when it ends: nothing reads them after that.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sqlkiln-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sqlkiln.functions import sqltext as st
 from sqlkiln.operators import catalog as cat
 from sqlkiln.operators import inference as inf
+from sqlkiln.operators import relational as rel
 from sqlkiln.operators import retrieval as rt
 from sqlkiln.operators import training as tr
 from sqlkiln.sources import files as fs
@@ -162,3 +163,21 @@ def test_boolean_columns_limit_the_rewrite(spark):
     df = spark.createDataFrame([('SELECT * FROM t WHERE id = 1 AND active=1 AND "flag" = 0',)], ["s"])
     assert df.select(st.to_postgres(F.col("s"), bool_columns=["active", "flag"])).first()[0] == \
         'SELECT * FROM t WHERE id = 1 AND active = TRUE AND "flag" = FALSE'
+
+
+def test_numbered_rows_follow_the_order(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([None, 0, 1, 2, 2, 2, 3]), "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v int, part string").repartition(7)
+    got = {r.id: r.position for r in rel.numbered(df, F.desc_nulls_last("v"), "id").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: n for n, r in enumerate(want, 1)}
+    assert rel.numbered(df.where("id < 0"), "id").collect() == []
+
+
+def test_written_intermediates_leave_the_cleanup_setting_alone(spark):
+    from sqlkiln.session import SHUFFLE_CLEANUP, cut_lineage
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert counts.count() == 10 and cut_lineage(counts).count() == 10 and counts.count() == 10
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
