@@ -34,6 +34,7 @@ BUCKETS = 1 << 17
 LEAD = 4               # words that a prefix has at least; two in a row name a hub
 HALVES, QUARTERS = 24, 64   # words from which a sketch is kept in two, or four, parts
 HUB_SPREAD = 64        # parts that the lines of one hub are dealt over
+PASSES = 4             # shares of the words that the prefix join takes one after the other
 
 
 def _plain(text: Column) -> Column:
@@ -174,8 +175,19 @@ def _settled_by_hubs(docs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         open_sets = stored(_without(open_sets.join(F.broadcast(ids) if few else ids, "set_no", "left_semi"), got), "open-members")
 
 
-def _prefix_candidates(sets: DataFrame, open_sets: DataFrame, pct: int) -> DataFrame:
-    """``(later, earlier, bits)``: pairs of an open set and any earlier set that pass all filters.
+def _in_passes(sets: DataFrame, open_sets: DataFrame, pct: int, reduce, tag: str) -> DataFrame:
+    """``reduce`` of the prefix candidates, word share by word share: the join of all words
+    takes ``PASSES`` steps, each written, so that the shuffle of one share is on disk at a time."""
+    out = None
+    for k in range(PASSES):
+        part = stored(reduce(_prefix_candidates(sets, open_sets, pct, k)), f"{tag}-{k}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _prefix_candidates(sets: DataFrame, open_sets: DataFrame, pct: int, share: int) -> DataFrame:
+    """``(later, earlier, bits)``: pairs of an open set and any earlier set that pass all filters
+    and have a prefix word of the given share (of ``PASSES``) in common.
 
     A row of the join is a word of a prefix; its place and its line's size share
     a number, to keep what is shuffled small. A pair may come more than once.
@@ -183,6 +195,7 @@ def _prefix_candidates(sets: DataFrame, open_sets: DataFrame, pct: int) -> DataF
     def rows(df: DataFrame, prefix: str) -> DataFrame:
         n = F.col("n")
         part = df.select("set_no", *SKETCH, "n", F.posexplode(F.slice("prefix", 1, n - _needed(n, pct) + 1)).alias("pos", "token"))
+        part = part.where(F.col("token") % PASSES == share)
         return part.select("token", F.col("set_no").alias(f"{prefix}_no"), *[F.col(c).alias(f"{prefix}_{c}") for c in SKETCH],
                            (n * F.lit(1 << 24).cast("long") + F.col("pos")).alias(f"{prefix}_place"))
     y, x = rows(open_sets, "y"), rows(sets, "x")
@@ -241,15 +254,19 @@ def first_lines(docs: DataFrame, pct: int = 80, min_tokens: int = 1) -> DataFram
     # A set of n words can be similar to another only if one word more or less still is.
     sets = every.where(100 * F.col("n") >= pct * (F.col("n") + 1))
     settled = _settled_by_hubs(docs, sets, pct)
-    pairs = _prefix_candidates(sets, _without(sets, settled), pct)
-    best = stored(pairs.groupBy("later").agg(F.min(F.struct("bits", "earlier")).alias("b")).select("later", "b.earlier"), "closest")
+
+    def closest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("later").agg(F.min(F.struct("bits", "earlier")).alias("b")).select("later", "b.earlier", "b.bits")
+
+    best = closest(_in_passes(sets, _without(sets, settled), pct, closest, "closest"))
+    best = stored(best.drop("bits"), "closest")
     more = stored(_verified(best, docs, sets, pct), "lines-settled-2")
     left = stored(best.join(more, "later", "left_anti").select("later", F.col("earlier").alias("failed")), "lines-left")
     settled = settled.unionByName(more)
     if not left.isEmpty():
         still = sets.join(left.select(F.col("later").alias("set_no")), "set_no", "left_semi")
-        others = (_prefix_candidates(sets, still, pct).select("later", "earlier").distinct()
-                  .join(left, "later").where("earlier <> failed").select("later", "earlier"))
+        others = _in_passes(sets, stored(still, "sets-left"), pct, lambda pairs: pairs.select("later", "earlier").distinct(), "pairs")
+        others = others.distinct().join(left, "later").where("earlier <> failed").select("later", "earlier")
         settled = settled.unionByName(_verified(stored(others, "pairs-left"), docs, sets, pct))
     gone = stored(settled, "lines-gone")
     return _without(every.select("set_no", "at"), gone).select("at.*")
