@@ -30,6 +30,41 @@ def table_inventory(tables: DataFrame) -> DataFrame:
             .select("db_id", "table_schema", "table_name", "table_pos"))
 
 
+# Fixed value: what each engine's catalog shows to a connection, as (dbms, schema, include,
+# views, precedence). Schema "*" is any, "=" the connection's own schema, owner or database.
+DEFAULT_SCOPE = [("sqlite", "*", True, False, 0), ("postgresql", "=", True, False, 0), ("mysql", "=", True, True, 0),
+                 ("mssql", "*", True, False, 0), ("oracle", "=", True, False, 0)]
+SCOPE_SCHEMA = "dbms string, schema string, include boolean, views boolean, precedence int"
+
+
+def scoped_inventory(tables: DataFrame, databases: DataFrame, rules: DataFrame) -> DataFrame:
+    """C1 by rules of which schemas and owners count: the tables that a connection sees.
+
+    ``databases`` has ``(db_id, dbms, own_schema)``, ``rules`` the columns of
+    ``SCOPE_SCHEMA``. Of the rules that match a table's engine and schema the
+    highest precedence decides; on a tie a named schema goes before "=", that
+    before "*", and leaving out before taking in. Without a matching rule, or with
+    a null schema that only a name or "=" could match, a table is out. Views count
+    where the rule says so. A database's rules travel with its row as one short
+    array, so tables are neither multiplied by rules nor grouped.
+    """
+    exact = F.when(F.col("schema") == "*", 0).when(F.col("schema") == "=", 1).otherwise(2)
+    rank = F.struct((-F.col("precedence")).alias("p"), (-exact).alias("e"), "include", "views", "schema")
+    by_dbms = rules.groupBy("dbms").agg(F.array_sort(F.collect_list(rank)).alias("__rules"))
+    dbs = databases.join(by_dbms, "dbms").select("db_id", "dbms", "own_schema", "__rules")
+    seen = tables.join(dbs, "db_id")
+
+    def matches(r: Column) -> Column:
+        return F.coalesce((r["schema"] == "*") | ((r["schema"] == "=") & (F.col("table_schema") == F.col("own_schema")))
+                          | (r["schema"] == F.col("table_schema")), F.lit(False))
+
+    rule = F.get(F.filter("__rules", matches), F.lit(0))
+    kind = F.col("table_type")
+    return (seen.withColumn("__rule", rule)
+            .where(F.col("__rule.include") & ((kind == "BASE TABLE") | (F.col("__rule.views") & (kind == "VIEW"))))
+            .select("db_id", "dbms", "table_schema", "table_name", "table_pos", "table_type"))
+
+
 def prefix_filter(tables: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
     """Drop tables whose name starts with an ignored prefix.
 

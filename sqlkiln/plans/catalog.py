@@ -75,6 +75,22 @@ def c1_table_inventory(spark, d):
     return cat.table_inventory(fx.lake_tables(spark, d))
 
 
+# Beside the engines' own rules: SQL Server's sales schema is left out, Postgres' dbo taken in.
+EXTRA_SCOPE = [("mssql", "sales", False, False, 10), ("postgresql", "dbo", True, False, 0)]
+
+
+@register("c1_scoped_inventory", sql=with_(D_T, f"db AS ({fx.DATABASES_SQL})") + """
+SELECT t.db_id, dbms, table_schema, table_name, table_pos, table_type FROM t JOIN db ON db.db_id = t.db_id
+WHERE CASE dbms WHEN 'sqlite' THEN table_type = 'BASE TABLE'
+                WHEN 'postgresql' THEN table_type = 'BASE TABLE' AND table_schema IN (own_schema, 'dbo')
+                WHEN 'mysql' THEN table_schema = own_schema
+                WHEN 'mssql' THEN table_type = 'BASE TABLE' AND table_schema <> 'sales'
+                ELSE table_type = 'BASE TABLE' AND table_schema = own_schema END""")
+def c1_scoped_inventory(spark, d):
+    rules = spark.createDataFrame(cat.DEFAULT_SCOPE + EXTRA_SCOPE, cat.SCOPE_SCHEMA)
+    return cat.scoped_inventory(fx.lake_tables(spark, d), fx.lake_databases(spark, d), rules)
+
+
 @register("c2_column_inventory", sql=with_(D_T, D_C, D_K, D_KC, D_INV, D_COLS) + "SELECT * FROM cols")
 def c2_column_inventory(spark, d):
     return _lake(spark, d)[2]

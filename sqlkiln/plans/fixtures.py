@@ -121,6 +121,13 @@ SELECT 'db_' || CAST(o_custkey AS STRING) AS db_id,
        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type
 FROM orders"""
 
+# The engine of every database, and the schema (or owner) of its connection.
+DATABASES_SQL = """
+SELECT 'db_' || CAST(c_custkey AS STRING) AS db_id,
+       CASE c_custkey % 5 WHEN 0 THEN 'sqlite' WHEN 1 THEN 'postgresql' WHEN 2 THEN 'mysql' WHEN 3 THEN 'mssql' ELSE 'oracle' END AS dbms,
+       CASE WHEN c_custkey % 5 = 1 THEN 'public' WHEN c_custkey % 2 = 0 THEN 'sales' ELSE 'dbo' END AS own_schema
+FROM customer"""
+
 COLUMN_WORDS = ["name", "price", "qty", "status", "note", "code"]
 
 COLUMNS_SQL = f"""
@@ -218,3 +225,7 @@ FROM events"""
 
 def query_log(spark, sf_dir) -> DataFrame:
     return spark_sql(spark, sf_dir, QUERY_LOG_SQL, ("events",))
+
+
+def lake_databases(spark, sf_dir) -> DataFrame:
+    return spark_sql(spark, sf_dir, DATABASES_SQL, ("customer",))

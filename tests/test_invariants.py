@@ -181,3 +181,23 @@ def test_written_intermediates_leave_the_cleanup_setting_alone(spark):
     counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
     assert counts.count() == 10 and cut_lineage(counts).count() == 10 and counts.count() == 10
     assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+
+
+def test_scope_rules_of_five_engines(spark):
+    kinds = ["sqlite", "postgresql", "mysql", "mssql", "oracle", "unknown"]
+    dbs = spark.createDataFrame([(k, k, "own") for k in kinds], "db_id string, dbms string, own_schema string")
+    tabs = [(k, s, f"{s}_{t[0]}", 0, t) for k in kinds for s in ("own", "other", None) for t in ("BASE TABLE", "VIEW")]
+    tables = spark.createDataFrame(tabs, "db_id string, table_schema string, table_name string, table_pos int, table_type string")
+
+    def seen(rules):
+        got = cat.scoped_inventory(tables, dbs, spark.createDataFrame(rules, cat.SCOPE_SCHEMA)).collect()
+        return {k: sorted(r.table_name for r in got if r.db_id == k) for k in kinds}
+
+    every = ["None_B", "other_B", "own_B"]
+    base = {"sqlite": every, "postgresql": ["own_B"], "mysql": ["own_B", "own_V"], "mssql": every, "oracle": ["own_B"], "unknown": []}
+    assert seen(cat.DEFAULT_SCOPE) == base
+    # a higher precedence wins; on a tie the named schema does, and leaving out before taking in
+    more = [("mssql", "other", False, False, 5), ("oracle", "*", True, True, 9), ("mysql", "own", False, False, 0)]
+    assert seen(cat.DEFAULT_SCOPE + more) == base | {"mssql": ["None_B", "own_B"], "mysql": [],
+                                                     "oracle": ["None_B", "None_V", "other_B", "other_V", "own_B", "own_V"]}
+    assert seen([("sqlite", "own", True, False, 1), ("sqlite", "own", False, False, 1)])["sqlite"] == []
