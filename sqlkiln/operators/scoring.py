@@ -6,8 +6,8 @@ table, condition, connector, group / order unit, limit and set operation of the
 query and of every query nested in it, found level by level until none is left.
 Everything else reads that table: values and DISTINCT are blinded by leaving
 columns out (E3, E4), columns are made canonical by a join to the foreign-key
-map on ``(db_id, column)`` (E5). The rows of an example then meet once, and the
-matchers (E6-E15) compare small arrays in place. Whether a set operation's
+map on ``(db_id, column)`` (E5). The matchers (E6-E15) count what each side says
+per example, query and component; equal counts match. Whether a set operation's
 branch matches at any depth is whether all rows of its subtree do, so no depth
 is special; the same holds for a subquery in a condition, whose identity is the
 list of its subtree's rows.
@@ -149,66 +149,48 @@ def query_tree(queries: DataFrame) -> DataFrame:
     return tree.withColumn("scope", F.when(main, "main").otherwise("nested"))
 
 
-_FIELDS = {"clause": "string", "pos": "int", "word": "string", "agg": "int", "not_op": "boolean", "op": "int", "uop": "int",
-           "a1": "int", "c1": "string", "d1": "boolean", "a2": "int", "c2": "string", "d2": "boolean",
-           "v1": "string", "v2": "string", "q1": "boolean", "q2": "boolean"}
-_ROW = "array<struct<" + ",".join(f"{k}:{t}" for k, t in _FIELDS.items()) + ">>"
-
-
-def _row(**known) -> Column:
-    return F.struct(*[known.get(k, F.lit(None)).cast(t).alias(k) for k, t in _FIELDS.items()])
-
-
-def _val_unit(vu: Column) -> dict[str, Column]:
-    out = {"uop": _get(vu, "$[0]", "int")}
-    for n in ("1", "2"):
-        out |= {f"a{n}": _get(vu, f"$[{n}][0]", "int"), f"c{n}": _get(vu, f"$[{n}][1]", "string"), f"d{n}": _get(vu, f"$[{n}][2]", "boolean")}
-    return out
-
-
-def _value(u: Column, slot: int) -> dict[str, Column]:
-    v = _get(u, f"$[{slot}]", "variant")
-    n = slot - 2
-    return {f"v{n}": F.when(~_is_null(v), F.to_json(v)), f"q{n}": _is_query(v)}
+_UNIT = {"uop": ("[0]", "int"), "a1": ("[1][0]", "int"), "c1": ("[1][1]", "string"), "d1": ("[1][2]", "boolean"),
+         "a2": ("[2][0]", "int"), "c2": ("[2][1]", "string"), "d2": ("[2][2]", "boolean")}
 
 
 def components(tree: DataFrame) -> DataFrame:
-    """The rows of every query in ``tree``; see ``_FIELDS``.
+    """A row per clause item of every query in ``tree``.
 
     Conditions alternate with connectors: clause ``where`` has the units,
     ``where:and/or`` the words between them, at their places in the list (so
     for joins and HAVING). ``v1`` / ``v2`` are values as JSON, ``q1`` / ``q2``
-    say whether they are subqueries.
+    say whether they are subqueries. The clause lists become rows first; fields
+    are then read from each item once, as plain columns.
     """
-    q = F.col("q")
-    parts = [
-        F.array(_row(clause=F.lit("distinct"), pos=F.lit(0), word=_get(q, "$.select[0]", "string"))),
-        F.transform(_arr(q, "$.select[1]"), lambda u, i: _row(clause=F.lit("select"), pos=i, agg=_get(u, "$[0]", "int"),
-                                                              **_val_unit(_get(u, "$[1]", "variant")))),
-        F.transform(_arr(q, "$.from.table_units"), lambda u, i: _row(
-            clause=F.lit("from"), pos=i, word=_get(u, "$[0]", "string"), c1=F.when(~_is_query(_get(u, "$[1]", "variant")), _get(u, "$[1]", "string")),
-            v1=F.to_json(_get(u, "$[1]", "variant")), q1=_is_query(_get(u, "$[1]", "variant")))),
-    ]
-
-    def conditions(clause: str, path: str) -> Column:
-        return F.transform(_arr(q, path), lambda u, i: F.when(i % 2 == 0, _row(
-            clause=F.lit(clause), pos=i, not_op=_get(u, "$[0]", "boolean"), op=_get(u, "$[1]", "int"),
-            **_val_unit(_get(u, "$[2]", "variant")), **_value(u, 3), **_value(u, 4)))
-            .otherwise(_row(clause=F.lit(f"{clause}:and/or"), pos=i, word=_get(u, "$", "string"))))
-
-    parts += [conditions(clause, path) for clause, path in COND_LISTS]
-    parts += [
-        F.transform(_arr(q, "$.groupBy"), lambda c, i: _row(clause=F.lit("group"), pos=i, a1=_get(c, "$[0]", "int"),
-                                                            c1=_get(c, "$[1]", "string"), d1=_get(c, "$[2]", "boolean"))),
-        F.transform(_arr(q, "$.orderBy[1]"), lambda vu, i: _row(clause=F.lit("order"), pos=i, word=_get(q, "$.orderBy[0]", "string"),
-                                                                **_val_unit(vu))),
-        F.when(~_is_null(_sub(q, "limit")), F.array(_row(clause=F.lit("limit"), pos=F.lit(0), v1=F.to_json(_sub(q, "limit")))))
-        .otherwise(F.array().cast(_ROW)),
-        F.filter(F.array(*[F.when(~_is_null(_sub(q, k)), _row(clause=F.lit("set"), pos=F.lit(i), word=F.lit(k)))
-                           for i, k in enumerate(SQL_OPS)]), lambda r: r.isNotNull()),
-    ]
-    keys = [c for c in tree.columns if c != "q"]
-    return tree.select(*keys, F.inline(F.concat(*[p.cast(_ROW) for p in parts])))
+    q, c = F.col("q"), F.col
+    keys = [k for k in tree.columns if k != "q"]
+    lists = {"distinct": F.array(_get(q, "$.select[0]", "variant")), "select": _arr(q, "$.select[1]"), "from": _arr(q, "$.from.table_units"),
+             **{clause: _arr(q, path) for clause, path in COND_LISTS}, "group": _arr(q, "$.groupBy"), "order": _arr(q, "$.orderBy[1]"),
+             "limit": F.array(_sub(q, "limit")), "set": F.array(*[_sub(q, k) for k in SQL_OPS])}
+    named = [F.struct(F.lit(clause).alias("clause"), items.alias("items")) for clause, items in lists.items()]
+    rows = tree.select(*keys, _get(q, "$.orderBy[0]", "string").alias("direction"), F.inline(F.array(*named)))
+    rows = rows.select(*keys, "direction", "clause", F.posexplode("items").alias("pos", "u"))
+    is_ = lambda *names: c("clause").isin(*names)
+    listed, u = is_(*[clause for clause, _ in COND_LISTS]), c("u")
+    rows = rows.where(~is_("limit", "set") | ~_is_null(u)).withColumn("cond", listed & (c("pos") % 2 == 0))
+
+    # the value unit, and the two places of values or of a table
+    at = lambda path: _get(u, path, "variant")
+    rows = rows.withColumns({
+        "unit": F.when(is_("select"), at("$[1]")).when(c("cond"), at("$[2]")).when(is_("order"), u),
+        "x1": F.when(c("cond"), at("$[3]")).when(is_("from"), at("$[1]")).when(is_("limit"), u), "x2": F.when(c("cond"), at("$[4]"))})
+    value = lambda n: F.when(~_is_null(c(f"x{n}")), F.to_json(f"x{n}")).alias(f"v{n}")
+    subquery = {n: F.when(c("cond") | (is_("from") if n == 1 else F.lit(False)), _is_query(c(f"x{n}"))) for n in (1, 2)}
+    fields = {k: _get(c("unit"), f"${path}", kind) for k, (path, kind) in _UNIT.items()}
+    group = {"a1": _get(u, "$[0]", "int"), "c1": _get(u, "$[1]", "string"), "d1": _get(u, "$[2]", "boolean")}
+    fields |= {k: F.when(is_("group"), v).otherwise(fields[k]) for k, v in group.items()}
+    fields["c1"] = F.when(is_("from"), F.when(~_is_query(c("x1")), _get(c("x1"), "$", "string"))).otherwise(fields["c1"])
+    word = (F.when(is_("distinct") | (listed & ~c("cond")), _get(u, "$", "string")).when(is_("from"), _get(u, "$[0]", "string"))
+            .when(is_("order"), c("direction")).when(is_("set"), F.get(F.array(*[F.lit(k) for k in SQL_OPS]), c("pos"))))
+    return rows.select(*keys, F.when(listed & ~c("cond"), F.concat("clause", F.lit(":and/or"))).otherwise(c("clause")).alias("clause"), "pos",
+                       word.alias("word"), F.when(is_("select"), _get(u, "$[0]", "int")).alias("agg"),
+                       F.when(c("cond"), _get(u, "$[0]", "boolean")).alias("not_op"), F.when(c("cond"), _get(u, "$[1]", "int")).alias("op"),
+                       *[v.alias(k) for k, v in fields.items()], value(1), value(2), *[v.alias(f"q{n}") for n, v in subquery.items()])
 
 
 # ---------------------------------------------------------------------------
@@ -262,11 +244,16 @@ def _join(*parts: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
 
 
-def examples(comp: DataFrame) -> DataFrame:
-    """One row per example: ``parts``, all component rows of both sides as texts.
+# A nested row's way up to the condition of a main query that holds it.
+_OWNER = "^((?:/(?:" + "|".join(SQL_OPS) + "))*)/(" + "|".join(clause for clause, _ in COND_LISTS) + ")([0-9]+)[.]"
 
-    ``full`` is what a row says, ``part`` the same without its aggregate or
-    operator, ``kw`` the keywords it brings to its query.
+
+def row_texts(comp: DataFrame) -> DataFrame:
+    """The rows of the main queries as ``full``, what a row says, and ``part``,
+    the same without its aggregate or operator.
+
+    A condition that holds subqueries says, too, what all rows below it say: these
+    rows meet it in one aggregate. Rows below a FROM are part of its text already.
     """
     c = F.col
     unit = _join(c("uop"), c("a1"), c("c1"), c("d1"), c("a2"), c("c2"), c("d2"))
@@ -277,102 +264,101 @@ def examples(comp: DataFrame) -> DataFrame:
             .when(c("clause") == "from", _join(c("word"), c("v1"))).when(c("clause") == "limit", _join(c("v1")))
             .when(c("clause") == "group", _join(c("a1"), c("c1"), c("d1"))).when(c("clause") == "order", _join(c("word"), unit))
             .otherwise(_join(c("word"))))
-    part = F.when(c("clause") == "group", c("c1")).otherwise(unit)
-    kw = F.filter(F.array(
-        F.when(c("clause").isin("where", "group", "having", "limit", "order"), c("clause")),
-        F.when(c("clause").isin("order", "set"), c("word")),
-        F.when(c("clause").endswith(":and/or") & (c("word") == "or"), F.lit("or")),
-        F.when(cond & c("not_op"), F.lit("not")),
-        F.when(cond & (c("op") == WHERE_OPS.index("in")), F.lit("in")),
-        F.when(cond & (c("op") == WHERE_OPS.index("like")), F.lit("like"))), lambda k: k.isNotNull())
-    rows = F.struct("path", "clause", "pos", "side", "scope", full.alias("full"), part.alias("part"), kw.alias("kw"), c("word").alias("word"))
-    return comp.groupBy("example_id").agg(F.array_sort(F.collect_list(rows)).alias("parts"))
-
-
-def _common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two string arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(
-        F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-
-
-def _score(kind: str, hits: Column, pred_total: Column, label_total: Column) -> Column:
-    """One component: acc, rec and f1 are all ``ok``."""
-    ok = F.when((pred_total == label_total) & (hits == pred_total), 1).otherwise(0)
-    return F.struct(F.lit(kind).alias("type"), ok.alias("ok"),
-                    label_total.cast("int").alias("label_total"), pred_total.cast("int").alias("pred_total"))
-
-
-def score_queries(ex: DataFrame) -> DataFrame:
-    """``(example_id, path, partial, exact)`` for every main query: the outermost and all set-operation branches."""
-    arr = F.array().cast("array<string>")
-    # Conditions with a subquery carry the rows of its subtree as part of their text.
-    def spelled(r: Column) -> Column:
-        at = F.concat(r["path"], F.lit("/"), r["clause"], r["pos"].cast("string"), F.lit("."))
-        own = F.filter("parts", lambda s: (s["side"] == r["side"]) & s["path"].startswith(at))
-        below = F.transform(own, lambda s: F.concat_ws("|", F.substr(s["path"], F.length(at) + 1), s["clause"], s["pos"].cast("string"), s["full"]))
-        return F.concat_ws("\n", F.array(r["full"]), below)
-    ex = ex.withColumn("rows", F.transform(F.filter("parts", lambda r: r["scope"] == "main"), lambda r: F.struct(
-        r["path"].alias("path"), r["clause"].alias("clause"), r["side"].alias("side"), r["part"].alias("part"), r["kw"].alias("kw"),
-        r["word"].alias("word"), F.when(r["full"].contains("?"), spelled(r)).otherwise(r["full"]).alias("full"))))
-    q = ex.select("example_id", "rows", F.explode(F.array_distinct(F.transform("rows", lambda r: r["path"]))).alias("path"))
-    q = q.withColumn("rows", F.filter("rows", lambda r: r["path"] == F.col("path")))
-
-    # One array per side and clause, then what is compared of it, each computed once.
-    clauses = {"select": ("full", "part"), "from": ("full",), "where": ("full", "part"), "where:and/or": ("word",), "having": ("full",),
-               "having:and/or": ("full",), "group": ("part",), "order": ("full",), "limit": ("full",), "set": ("word",)}
-
-    def of(side: str, name: str | None = None) -> Column:
-        return F.filter("rows", lambda r: (r["side"] == side) & (r["clause"] == name if name else F.lit(True)))
-
-    def field(rows: str, name: str) -> Column:
-        return F.transform(F.col(f"`{rows}`"), lambda r: r[name])
-
-    q = q.select("example_id", "path", *[of(side, name).alias(f"{side[0]}_{name}") for side in ("gold", "pred") for name in clauses],
-                 *[F.array_distinct(F.flatten(F.transform(of(side), lambda r: r["kw"]))).alias(f"{side[0]}_kw") for side in ("gold", "pred")])
-    q = q.select("example_id", "path", "p_kw", "g_kw", *[field(f"{x}_{name}", what).alias(f"{x}_{name}_{what}")
-                                                         for x in "pg" for name, fields in clauses.items() for what in fields])
-    first = {name: fields[0] for name, fields in clauses.items()}
-    c = lambda k: F.col(f"`{k}`")
-    texts = lambda k: c(f"{k}_full")
-    parts_of = lambda k: c(f"{k}_part")
-    words = lambda k: c(f"{k}_word")
-    size = lambda k: F.size(c(f"{k}_{first[k[2:]]}"))
-    column_name = lambda a: F.transform(a, lambda x: F.when(x.contains("."), F.split_part(x, F.lit("."), F.lit(2))).otherwise(x))
-    some = lambda k: (size(k) > 0).cast("int")
-    same = lambda *ks: F.concat(*[texts(f"p_{k}") for k in ks]) == F.concat(*[texts(f"g_{k}") for k in ks])
-    group_hit = (size("p_group") > 0) & (size("g_group") > 0) & (parts_of("p_group") == parts_of("g_group")) & same("having") & same("having:and/or")
-    order_hit = (size("g_order") > 0) & same("order") & (some("p_limit") == some("g_limit"))
-    p_ao, g_ao = (F.array_sort(F.array_distinct(words(f"{x}_where:and/or"))) for x in ("p", "g"))
-    and_or = F.when(p_ao == g_ao, _score("and/or", F.lit(1), F.lit(1), F.lit(1))).otherwise(
-        _score("and/or", F.lit(0), F.size(g_ao), F.size(p_ao)))      # totals of unequal sets come back the other way round
-    local = [
-        _score("select", _common(texts("p_select"), texts("g_select")), size("p_select"), size("g_select")),
-        _score("select(no AGG)", _common(parts_of("p_select"), parts_of("g_select")), size("p_select"), size("g_select")),
-        _score("where", _common(texts("p_where"), texts("g_where")), size("p_where"), size("g_where")),
-        _score("where(no OP)", _common(parts_of("p_where"), parts_of("g_where")), size("p_where"), size("g_where")),
-        _score("group(no Having)", _common(column_name(parts_of("p_group")), column_name(parts_of("g_group"))), size("p_group"), size("g_group")),
-        _score("group", F.when(group_hit, 1).otherwise(0), some("p_group"), some("g_group")),
-        _score("order", F.when(order_hit, 1).otherwise(0), some("p_order"), some("g_order")),
-        and_or,
-        _score("keywords", F.size(F.array_intersect("p_kw", "g_kw")), F.size("p_kw"), F.size("g_kw")),
-    ]
-    tables = (size("g_from") == 0) | (F.array_sort(texts("p_from")) == F.array_sort(texts("g_from")))
-    q = q.select("example_id", "path", F.array(*local).alias("local"), tables.alias("tables"),
-                 F.array_sort(F.coalesce(words("p_set"), arr)).alias("p_ops"), F.array_sort(F.coalesce(words("g_set"), arr)).alias("g_ops"))
-    good = F.forall("local", lambda s: s["ok"] == 1) & F.col("tables") & (F.col("p_ops") == F.col("g_ops"))
-    q = q.withColumn("good", good)
+    part = F.when(c("clause") == "group", F.coalesce("c1", F.lit("~"))).otherwise(unit)
+    main = c("scope") == "main"
+    up = lambda n: F.regexp_extract("path", _OWNER, n)
+    below = F.concat_ws("|", F.regexp_replace("path", _OWNER, ""), "clause", "pos", full)
+    own = lambda col: F.when(main, col)
+    rows = comp.select(
+        "example_id", "side", own(c("path")).otherwise(up(1)).alias("path"), own(c("clause")).otherwise(up(2)).alias("clause"),
+        own(c("pos")).otherwise(F.expr(f"try_cast(regexp_extract(path, '{_OWNER}', 3) as int)")).alias("pos"),
+        own(full).alias("full"), own(part).alias("part"), own(c("word")).alias("word"), own(c("not_op")).alias("not_op"),
+        own(c("op")).alias("op"), F.when(~main, below).alias("below"))
+    kept = [F.first(k, ignorenulls=True).alias(k) for k in ("full", "part", "word", "not_op", "op")]
+    met = rows.where("clause <> ''").groupBy("example_id", "path", "side", "clause", "pos").agg(*kept, F.array_sort(F.collect_list("below")).alias("below"))
+    return met.withColumn("full", F.concat_ws("\n", F.array("full"), "below")).drop("below")
+
+
+# What a row is counted under. Sequences carry their places, so that equal counts mean equal sequences.
+_SETS = ("keywords", "and/or")      # a repeated text counts once
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``(example_id, path, kind, text, p, g)``: how often predicted and gold query say ``text``."""
+    c = F.col
+    clause, is_ = c("clause"), lambda *names: c("clause").isin(*names)
+    placed = F.concat_ws("|", "clause", "pos", F.when(is_("group"), c("part")).otherwise(c("full")))
+    column = F.when(c("part").contains("."), F.split_part("part", F.lit("."), F.lit(2))).otherwise(c("part"))
+    cond = is_(*[x for x, _ in COND_LISTS])
+
+    def item(kind: Column, text: Column) -> Column:
+        return F.struct(kind.alias("kind"), text.alias("text"))
+
+    def keyword(word: Column) -> Column:
+        return item(F.when(word.isNotNull(), F.lit("keywords")), word)
+    items = F.array(
+        item(F.when(is_("select", "where", "from", "set", "limit", "distinct"), clause).when(is_("where:and/or"), F.lit("and/or"))
+             .when(is_("having", "having:and/or"), F.lit("having")).when(is_("group", "order"), F.concat(clause, F.lit(" placed"))),
+             F.when(is_("having", "having:and/or", "group", "order"), placed)
+             .when(is_("set", "where:and/or"), F.coalesce("word", F.lit("~"))).when(~is_("limit", "distinct"), c("full")).otherwise("")),
+        item(F.when(is_("select"), F.lit("select(no AGG)")).when(is_("where"), F.lit("where(no OP)")).when(is_("group"), F.lit("group(no Having)")),
+             F.when(is_("group"), column).otherwise(c("part"))),
+        keyword(F.when(is_("where", "group", "having", "limit", "order"), clause)),
+        keyword(F.when(is_("order", "set"), c("word")).when(clause.endswith(":and/or") & (c("word") == "or"), F.lit("or"))
+                .when(cond & c("not_op"), F.lit("not"))),
+        keyword(F.when(cond & (c("op") == WHERE_OPS.index("in")), F.lit("in")).when(cond & (c("op") == WHERE_OPS.index("like")), F.lit("like"))))
+    n = {x[0]: F.count_if(c("side") == x).cast("int") for x in ("pred", "gold")}
+    counts = (rows.select("example_id", "path", "side", F.inline(items)).where("kind is not null").groupBy("example_id", "path", "kind", "text")
+              .agg(*[v.alias(k) for k, v in n.items()]))
+    return counts.withColumns({x: F.when(c("kind").isin(*_SETS), F.least(x, F.lit(1))).otherwise(c(x)) for x in n})
+
+
+def score_queries(rows: DataFrame) -> DataFrame:
+    """``(example_id, partial, exact)``: the ten components of the outermost query, and
+    whether it and every branch of its set operations match.
+
+    Both sides' counts of a text meet in one row; a component matches if no
+    counts differ. Then one row per main query, then one per example.
+    """
+    c = F.col
+    kinds = {"s": "select", "sp": "select(no AGG)", "w": "where", "wp": "where(no OP)", "g": "group(no Having)", "gs": "group placed",
+             "h": "having", "o": "order placed", "l": "limit", "a": "and/or", "k": "keywords", "f": "from", "x": "set"}
+    of = lambda k: c("kind") == kinds[k]
+    same = [F.coalesce(F.bool_and(F.when(of(k), c("p") == c("g"))), F.lit(True)).alias(f"same_{k}") for k in kinds if k != "l"]
+    sizes = [F.sum(F.when(of(k), c(x)).otherwise(0)).cast("int").alias(f"{x}_{k}") for k in ("s", "w", "g", "o", "l", "a", "k", "f", "x") for x in "pg"]
+    shared = [F.coalesce(F.bool_or(F.when(of("x") & (c("text") == k), (c("p") > 0) & (c("g") > 0))), F.lit(False)).alias(f"both_{k}") for k in SQL_OPS]
+    q = _counted(rows).groupBy("example_id", "path").agg(*same, *sizes, *shared)
+
+    has = {k: (c(f"p_{k}") > 0, c(f"g_{k}") > 0) for k in ("g", "o", "l")}
+    both = lambda k, hit: (has[k][0] == has[k][1]) & (~has[k][0] | hit)
+    one = lambda k: tuple(x.cast("int") for x in has[k])
+    size = lambda k: (c(f"p_{k}"), c(f"g_{k}"))
+    local = {
+        "select": (c("same_s"), *size("s")), "select(no AGG)": (c("same_sp"), *size("s")),
+        "where": (c("same_w"), *size("w")), "where(no OP)": (c("same_wp"), *size("w")),
+        "group(no Having)": (c("same_g"), *size("g")), "group": (both("g", c("same_gs") & c("same_h")), *one("g")),
+        "order": (both("o", c("same_o") & (has["l"][0] == has["l"][1])), *one("o")),
+        # totals of unequal sets come back the other way round
+        "and/or": (c("same_a"), *[F.when(c("same_a"), 1).otherwise(c(f"{x}_a")) for x in "gp"]),
+        "keywords": (c("same_k"), *size("k"))}
+    good = ((c("g_f") == 0) | c("same_f")) & c("same_x")
+    for ok, _, _ in local.values():
+        good = good & ok
+    no = {kind: i for i, kind in enumerate(PARTIAL_TYPES)}
+    q = q.select("example_id", "path", good.alias("good"), "p_x", "g_x", *[f"both_{k}" for k in SQL_OPS],
+                 *[v.alias(f"{what}{no[kind]}") for kind, scores in local.items() for what, v in zip(("ok", "p", "g"), scores)])
     # A query matches exactly when it and every set-operation branch below it are good.
-    per = q.groupBy("example_id").agg(F.collect_list(F.struct("path", "good", "local", "p_ops", "g_ops")).alias("qs"))
-    whole = lambda path: F.forall(F.filter("qs", lambda s: (s["path"] == path) | s["path"].startswith(F.concat(path, F.lit("/")))),
-                                  lambda s: s["good"])
-    one = per.select("example_id", "qs", F.inline("qs"))
-    both = F.array_intersect("p_ops", "g_ops")
-    hits = F.size(F.filter(both, lambda k: whole(F.concat(F.col("path"), F.lit("/"), k))))
-    iuen = _score("IUEN", hits, F.size("p_ops"), F.size("g_ops"))
-    partial = F.transform(F.concat(F.slice("local", 1, 8), F.array(iuen), F.slice("local", 9, 1)), lambda s: F.struct(
-        s["type"].alias("type"), s["ok"].alias("acc"), s["ok"].alias("rec"), s["ok"].alias("f1"), s["label_total"].alias("label_total"),
-        s["pred_total"].alias("pred_total")))
-    return one.select("example_id", "path", partial.alias("partial"), whole(F.col("path")).cast("int").alias("exact"))
+    root = [F.max(F.when(c("path") == "", c(k))).alias(k) for k in q.columns if k not in ("example_id", "path", "good")]
+    branch = [F.bool_and(F.when((c("path") == f"/{k}") | c("path").startswith(f"/{k}/"), c("good"))).alias(f"whole_{k}") for k in SQL_OPS]
+    ex = q.groupBy("example_id").agg(*root, *branch, F.bool_and("good").cast("int").alias("exact"))
+    hits = sum((c(f"both_{k}") & F.coalesce(f"whole_{k}", F.lit(True))).cast("int") for k in SQL_OPS)
+
+    def scored(kind: str) -> Column:
+        ok, p, g = (c(f"{what}{no[kind]}") for what in ("ok", "p", "g")) if kind != "IUEN" else (
+            (c("p_x") == c("g_x")) & (hits == c("p_x")), c("p_x"), c("g_x"))
+        ok = ok.cast("int")                     # acc, rec and f1 are all ``ok``
+        return F.struct(F.lit(kind).alias("type"), ok.alias("acc"), ok.alias("rec"), ok.alias("f1"), g.alias("label_total"), p.alias("pred_total"))
+    return ex.select("example_id", F.array(*[scored(kind) for kind in PARTIAL_TYPES]).alias("partial"), "exact")
 
 
 # ---------------------------------------------------------------------------
@@ -441,7 +427,8 @@ def with_hardness(df: DataFrame, g: str, out: str = "hardness") -> DataFrame:
 def prepared(aligned: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
     """The component table to be scored. ``values`` / ``distinct``: compare them, too."""
     queries = sides(aligned)
-    tree = query_tree(queries)
+    # the one shuffle of scoring: what follows groups by example_id and more
+    tree = query_tree(queries).repartition("example_id")
     if kmap is not None:
         tree = tree.join(column_reps(queries, kmap), "example_id", "left")
     comp = components(tree)
@@ -461,7 +448,7 @@ def hardness(gold: DataFrame) -> DataFrame:
 def score_examples(gold: DataFrame, pred: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
     """Per scorable example: hardness, exact match and the ten partial components."""
     a = align(gold, pred)
-    s = score_queries(examples(prepared(a, kmap, values, distinct))).where("path = ''").drop("path")
+    s = score_queries(row_texts(prepared(a, kmap, values, distinct)))
     return a.where("not gold_failed").select("example_id", "db_id", "pred_failed").join(hardness(gold), "example_id").join(s, "example_id")
 
 
