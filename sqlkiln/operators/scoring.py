@@ -89,18 +89,19 @@ def align(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def sides(aligned: DataFrame) -> DataFrame:
-    """``(example_id, db_id, side, outer_columns, q)``: both parsed queries of each
-    scorable example, and the columns they name of the tables in their FROM."""
+    """``(example_id, db_id, pred_failed, side, outer_columns, q)``: both parsed queries of
+    each scorable example, and the columns they name of the tables in their FROM."""
     pred = F.when(F.col("pred_failed"), F.lit(EMPTY_QUERY_JSON)).otherwise(F.col("pred_json"))
     two = F.array(F.struct(F.lit("gold").alias("side"), F.col("gold_json").alias("j")),
                   F.struct(F.lit("pred").alias("side"), pred.alias("j")))
     names = F.array_distinct(F.regexp_extract_all("j", F.lit(r'"(__[^".]+\.[^"]+__)"'), 1))
     tables = F.transform(F.filter(_arr(F.col("q"), "$.from.table_units"), lambda u: _get(u, "$[0]", "string") == "table_unit"),
                          lambda u: F.regexp_replace(_get(u, "$[1]", "string"), "__$", ""))
-    return (aligned.where("not gold_failed").select("example_id", "db_id", F.inline(two))
-            .select("example_id", "db_id", "side", F.parse_json("j").alias("q"), names.alias("names"))
-            .select("example_id", "db_id", "side", "q", "names", tables.alias("tables"))
-            .select("example_id", "db_id", "side", "q",
+    keys = ["example_id", "db_id", "pred_failed"]
+    return (aligned.where("not gold_failed").select(*keys, F.inline(two))
+            .select(*keys, "side", F.parse_json("j").alias("q"), names.alias("names"))
+            .select(*keys, "side", "q", "names", tables.alias("tables"))
+            .select(*keys, "side", "q",
                     F.filter("names", lambda c: F.array_contains(F.col("tables"), F.split_part(c, F.lit("."), F.lit(1)))).alias("outer_columns")))
 
 
@@ -424,14 +425,16 @@ def with_hardness(df: DataFrame, g: str, out: str = "hardness") -> DataFrame:
 # ---------------------------------------------------------------------------
 # Job level
 # ---------------------------------------------------------------------------
-def prepared(aligned: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
-    """The component table to be scored. ``values`` / ``distinct``: compare them, too."""
-    queries = sides(aligned)
-    # the one shuffle of scoring: what follows groups by example_id and more
-    tree = query_tree(queries).repartition("example_id")
+def prepared(tree: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
+    """The component table to be scored, of a ``query_tree``. ``values`` / ``distinct``: compare them, too.
+
+    The tree is dealt by ``example_id``, the one shuffle of scoring: what follows
+    groups by that and more.
+    """
+    dealt = tree.drop("outer_columns").repartition("example_id")
     if kmap is not None:
-        tree = tree.join(column_reps(queries, kmap), "example_id", "left")
-    comp = components(tree)
+        dealt = dealt.join(column_reps(tree.where("path = ''"), kmap), "example_id", "left")
+    comp = components(dealt)
     if not values:
         comp = blind_values(comp)
     if not distinct:
@@ -447,9 +450,10 @@ def hardness(gold: DataFrame) -> DataFrame:
 
 def score_examples(gold: DataFrame, pred: DataFrame, kmap: DataFrame | None = None, values: bool = False, distinct: bool = False) -> DataFrame:
     """Per scorable example: hardness, exact match and the ten partial components."""
-    a = align(gold, pred)
-    s = score_queries(row_texts(prepared(a, kmap, values, distinct)))
-    return a.where("not gold_failed").select("example_id", "db_id", "pred_failed").join(hardness(gold), "example_id").join(s, "example_id")
+    tree = query_tree(sides(align(gold, pred)))
+    s = score_queries(row_texts(prepared(tree, kmap, values, distinct)))
+    whole = tree.where("path = '' and side = 'gold'").select("example_id", "db_id", "pred_failed", "q")
+    return with_hardness(whole, "q").drop("q").join(s, "example_id")
 
 
 def score_rollup(scored: DataFrame, executed: DataFrame | None = None) -> DataFrame:

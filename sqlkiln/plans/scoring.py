@@ -298,7 +298,7 @@ def e4_blind_distinct(spark, d):
 @register("e5_canonical_columns", sql=pc.D_CANON + ",\n" + D_PARSED + ",\n" + _duck_components() + D_BLIND + D_COLUMNS + """
 SELECT example_id, side, path, clause, pos, c1, c2 FROM cc WHERE c1 IS NOT NULL AND clause <> 'from'""")
 def e5_canonical_columns(spark, d):
-    c = sc.prepared(sc.align(*parsed(spark, d)), _canon(spark, d))
+    c = sc.prepared(_tree(spark, d), _canon(spark, d))
     return c.where("c1 is not null and clause <> 'from'").select(*_OUT, "c1", "c2")
 
 
