@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import catalog as cat
 from ..operators import cleanup as cu
 from ..operators import profiling as prof
-from ..sources.tables import Tables
+from ..sources import lake
+from ..sources.tables import TABLES, Tables
 from . import fixtures as fx
 from .registry import register
 
@@ -96,6 +97,32 @@ def c2_column_inventory(spark, d):
     return _lake(spark, d)[2]
 
 
+# The given tables' own files. DuckDB takes names and types from the views over them and counts rows.
+_VIEWS = "(" + ", ".join(f"'{t}'" for t in TABLES) + ")"
+D_FILES = """WITH col AS (SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name,
+    replace(replace(replace(replace(replace(lower(data_type), 'float[]', 'array<float>'), 'varchar', 'string'), 'integer', 'int'),
+      'timestamp', 'timestamp_ntz'), 'timestamp_ntz with time zone', 'timestamp') AS data_type
+  FROM information_schema.columns WHERE table_name IN """ + _VIEWS + "),\nsize AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES) + "),\nfull_cells AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, * FROM (UNPIVOT (SELECT count(COLUMNS(*)) AS '\\0' FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n_values)"
+    for t in TABLES) + ")"
+
+
+@register("c1_lake_tables", sql=D_FILES + """
+SELECT table_name, 0 AS n_unreadable, any_value(n_rows) AS n_rows, count(*) AS n_columns FROM col JOIN size USING (table_name) GROUP BY table_name""")
+def c1_lake_tables(spark, d):
+    return lake.lake_tables(lake.parquet_footers(spark, d)).where(F.col("table_name").isin(*TABLES)).select("table_name", "n_unreadable", "n_rows", "n_columns")
+
+
+@register("c2_lake_columns", sql=D_FILES + """
+SELECT table_name, position, column_name, data_type, CASE WHEN data_type NOT LIKE 'array%' THEN n_values END AS n_values,
+       CASE WHEN data_type NOT LIKE 'array%' THEN n_rows - n_values END AS n_nulls
+FROM col JOIN size USING (table_name) JOIN full_cells USING (table_name, column_name)""")
+def c2_lake_columns(spark, d):
+    cols = lake.lake_columns(lake.parquet_footers(spark, d)).where(F.col("table_name").isin(*TABLES))
+    return cols.select("table_name", "position", "column_name", "data_type", "n_values", "n_nulls")
+
+
 @register("c3_fk_inventory", sql=with_(D_T, D_C, D_K, D_KC, D_FKS)
           + "SELECT db_id, from_table, from_column, to_table, to_column, CAST(key_pos AS INTEGER) AS key_pos FROM fks")
 def c3_fk_inventory(spark, d):
