@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -44,8 +44,9 @@ def batch_predict(examples: DataFrame, make_predictor: Callable[[], Callable[[li
     """B1+B3: ``(example_id, sql, error)``.
 
     The predictor takes lists of up to ``batch`` questions and schemas. If it
-    raises, the batch is repeated prompt by prompt; a prompt that fails alone
-    becomes an empty prediction with its message, and the run goes on.
+    raises, the batch is repeated in halves, so that one bad prompt costs a few
+    more calls and not one per prompt; a prompt that fails alone becomes an
+    empty prediction with its message, and the run goes on.
     """
     ship_package(examples.sparkSession)
     cols = examples.select("example_id", "db_id", F.col(question).alias("q"), F.col(schema).alias("s"))
@@ -54,20 +55,19 @@ def batch_predict(examples: DataFrame, make_predictor: Callable[[], Callable[[li
         import pandas as pd
         predict = make_predictor()
 
-        def one(q, s):
+        def answers(qs, ss):
             try:
-                return predict([q], [s])[0], None
+                return [(sql, None) for sql in predict(qs, ss)]
             except Exception as e:  # noqa: BLE001 -- whatever the model raises is the row's result
-                return "", f"{type(e).__name__}: {e}"
+                if len(qs) == 1:
+                    return [("", f"{type(e).__name__}: {e}")]
+                half = len(qs) // 2
+                return answers(qs[:half], ss[:half]) + answers(qs[half:], ss[half:])
 
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at:at + batch]
-                qs, ss = part["q"].tolist(), part["s"].tolist()
-                try:
-                    rows = [(sql, None) for sql in predict(qs, ss)]
-                except Exception:  # noqa: BLE001 -- find out which prompt it was
-                    rows = [one(q, s) for q, s in zip(qs, ss)]
+                rows = answers(part["q"].tolist(), part["s"].tolist())
                 yield pd.DataFrame({"example_id": part["example_id"], "sql": [r[0] for r in rows], "error": [r[1] for r in rows]})
 
     return cols.sortWithinPartitions("db_id").mapInPandas(run, PREDICTION_COLS)
@@ -100,20 +100,24 @@ def resume(examples: DataFrame, predictions_path: str, make_predictor=TemplatePr
     return read_predictions(spark, predictions_path)
 
 
-def throughput(predictions: DataFrame) -> DataFrame:
-    """Examples, failures, seconds and examples/s of one full run.
+THROUGHPUT_SCHEMA = "n_examples long, n_failed long, seconds double, examples_per_sec double"
+
+
+def measured(predictions: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Examples, failures, seconds and examples/s of one ``write`` of ``predictions``.
 
-    Counts are gathered with ``observe`` on the same pass that writes
-    nothing (noop sink), so measuring adds no extra job over the data.
+    Counts are gathered with ``observe`` on the pass that writes, so measuring
+    adds no job over the data.
     """
-    spark = predictions.sparkSession
-    from pyspark.sql import Observation
-    obs = Observation("throughput")
-    observed = predictions.observe(obs, F.count(F.lit(1)).alias("n"),
-                                   F.count(F.col("error")).alias("n_failed"))
+    obs = Observation()
+    observed = predictions.observe(obs, F.count(F.lit(1)).alias("n"), F.count(F.col("error")).alias("n_failed"))
     t0 = time.time()
-    observed.write.format("noop").mode("overwrite").save()
+    write(observed)
     sec = max(time.time() - t0, 1e-9)
     m = obs.get
-    return spark.createDataFrame([(int(m["n"]), int(m["n_failed"]), round(sec, 3), round(m["n"] / sec, 1))],
-                                 "n_examples long, n_failed long, seconds double, examples_per_sec double")
+    return predictions.sparkSession.createDataFrame([(int(m["n"]), int(m["n_failed"]), round(sec, 3), round(m["n"] / sec, 1))], THROUGHPUT_SCHEMA)
+
+
+def throughput(predictions: DataFrame) -> DataFrame:
+    """B5 of one full run that keeps nothing (noop sink)."""
+    return measured(predictions, lambda df: df.write.format("noop").mode("overwrite").save())

@@ -8,7 +8,7 @@ from ..operators import inference as inf
 from ..operators import retrieval as rt
 from ..sources import files as fs
 from ..sources.tables import Tables, register_tables
-from ..streaming.resume import EXAMPLE_SCHEMA, predict_available
+from ..streaming.resume import batch_throughput, EXAMPLE_SCHEMA, predict_available
 from . import fixtures as fx
 from . import retrieval as pr
 from . import training as ptr
@@ -147,3 +147,15 @@ def b4_resume_streaming(spark, d):
 @register("b5_throughput")
 def b5_throughput(spark, d):
     return inf.throughput(inf.batch_predict(examples(spark, d)))
+
+
+# Examples arrive in four lots; each is a micro-batch of one resumed stream.
+@register("b5_batch_throughput", sql=B_SQL + """
+SELECT CAST(example_id % 4 AS BIGINT) AS batch, count(*) AS n_examples, count(error) AS n_failed FROM pred GROUP BY 1""")
+def b5_batch_throughput(spark, d):
+    base = fs.scratch_path(spark, "throughput")
+    examples(spark, d).withColumn("lot", F.col("example_id") % 4).write.partitionBy("lot").parquet(f"{base}/lots")
+    for lot in range(4):
+        spark.read.parquet(f"{base}/lots").where(F.col("lot") == lot).drop("lot").write.parquet(f"{base}/in/lot{lot}")
+        predict_available(spark, f"{base}/in/*", f"{base}/predictions", f"{base}/checkpoint", metrics_path=f"{base}/metrics")
+    return batch_throughput(spark, f"{base}/metrics").select("batch", "n_examples", "n_failed")
