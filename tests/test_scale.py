@@ -4,6 +4,9 @@ import json
 
 from sqlkiln.operators import catalog as cat
 from sqlkiln.operators import scoring as sc
+from sqlkiln.plans import fixtures as fx
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -52,3 +55,8 @@ def test_catalog_joins_broadcast_nothing_by_file_size(spark):
         assert "BroadcastHashJoin" not in plan(df)
     assert {(r.name, r.pk) for r in inv.collect()} == {("id", True), ("k2", True), ("up", False), (None, False)}
     assert [(r.from_column, r.to_column) for r in fks.collect()] == [("up", "id")]
+
+
+def test_lake_columns_are_derived_once(spark):
+    for df in (fx.lake_constraints(spark, SMALL), fx.lake_key_columns(spark, SMALL)):
+        assert not any("lineitem" in f for f in df.inputFiles())
