@@ -41,9 +41,9 @@ EX_SQL = pr.D_CAT + pr.D_TSTR_FULL + D_EXAMPLES
 
 def examples(spark, d):
     """Benchmark-style examples: every user turn, its database and full schema text."""
-    _, cols, fks = pr._catalog(spark, d)
-    full = rt.full_schema_text(cols, fks)
     q = pr._questions(spark, d)
+    _, cols, fks = (pr.asked(x, q) for x in pr._catalog(spark, d))
+    full = rt.full_schema_text(cols, fks)
     return (q.join(full, "db_id", "left")
             .select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("example_id"), "db_id", "question",
                     F.when(F.col("turn") % 7 == 2, F.lit("<SCHEMA>  </SCHEMA>"))

@@ -5,6 +5,7 @@ import json
 from sqlkiln.operators import catalog as cat
 from sqlkiln.operators import scoring as sc
 from sqlkiln.plans import fixtures as fx
+from sqlkiln.plans import retrieval as pr
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +61,9 @@ def test_catalog_joins_broadcast_nothing_by_file_size(spark):
 def test_lake_columns_are_derived_once(spark):
     for df in (fx.lake_constraints(spark, SMALL), fx.lake_key_columns(spark, SMALL)):
         assert not any("lineitem" in f for f in df.inputFiles())
+
+
+def test_only_asked_databases_are_embedded(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "db_id string, n int")
+    questions = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "db_id string")
+    assert sorted(r.n for r in pr.asked(rows, questions).collect()) == [1, 2]
