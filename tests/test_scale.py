@@ -2,7 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from sqlkiln.operators import catalog as cat
+from sqlkiln.operators import retrieval as rt
 from sqlkiln.operators import scoring as sc
 from sqlkiln.plans import fixtures as fx
 from sqlkiln.plans import retrieval as pr
@@ -67,3 +70,12 @@ def test_only_asked_databases_are_embedded(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "db_id string, n int")
     questions = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "db_id string")
     assert sorted(r.n for r in pr.asked(rows, questions).collect()) == [1, 2]
+
+
+def test_models_get_short_runs_of_texts(spark):
+    df = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('x', cast(if(id % 1000 = 7, 900000, id % 3) as int)) AS text")
+    given = rt.token_len_with(df, "text", tokenizer=lambda ts: [len(ts)] * len(ts)).agg(F.max("n_tokens").alias("m"), F.count("n_tokens").alias("n")).first()
+    assert given.m <= rt.SLICE_ROWS and given.n == 3000
+    vecs = rt.embed_with(df, "text", encoder=lambda ts: [[len(t), len(ts)] for t in ts], dim=2)
+    row = vecs.agg(F.max(F.col("vec")[1]).alias("m"), F.count_if(F.col("vec")[0] == F.length("text")).alias("n")).first()
+    assert row.m <= rt.SLICE_ROWS and row.n == 3000
