@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from sqlkiln.operators import catalog as cat
+from sqlkiln.operators import profiling as prof
 from sqlkiln.operators import retrieval as rt
 from sqlkiln.operators import scoring as sc
 from sqlkiln.plans import fixtures as fx
@@ -79,3 +80,19 @@ def test_models_get_short_runs_of_texts(spark):
     vecs = rt.embed_with(df, "text", encoder=lambda ts: [[len(t), len(ts)] for t in ts], dim=2)
     row = vecs.agg(F.max(F.col("vec")[1]).alias("m"), F.count_if(F.col("vec")[0] == F.length("text")).alias("n")).first()
     assert row.m <= rt.SLICE_ROWS and row.n == 3000
+
+
+def test_few_candidates_are_shuffled_whole(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("id AS k", "id % 1999 AS one_twice", "id % 500 AS a", "id div 4 % 500 AS b", "id div 500 AS c", "id % 250 AS d")
+    whole, part, real = [], [], prof._duplicated
+
+    def watched(tables, cands, share=1):
+        (whole if share == 1 else part).append([c for cs in cands.values() for c in cs])
+        return real(tables, cands, share)
+    monkeypatch.setattr(prof, "_duplicated", watched)
+    keys = {r.key_columns for r in prof.key_profile(spark, {"t": rows}, sample_rows=40).collect()}
+    values = {c: [tuple(r[x] for x in c.split(",")) for r in rows.collect()] for c in ("k", "one_twice", "a,c", "b,c", "a,b", "one_twice,c", "one_twice,a", "one_twice,b",
+                                                                                     "one_twice,d", "a,d", "b,d", "c,d")}
+    assert keys == {c for c, v in values.items() if len(set(v)) == len(v)}        # one pair of equal values counts, too
+    # the sample, all singles, all pairs: half of (c, d) are duplicates, so that a share of the values shows it
+    assert ("k",) in whole[1] and ("c", "d") in part[1] and ("c", "d") not in whole[2]
