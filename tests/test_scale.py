@@ -96,3 +96,20 @@ def test_few_candidates_are_shuffled_whole(spark, monkeypatch):
     assert keys == {c for c, v in values.items() if len(set(v)) == len(v)}        # one pair of equal values counts, too
     # the sample, all singles, all pairs: half of (c, d) are duplicates, so that a share of the values shows it
     assert ("k",) in whole[1] and ("c", "d") in part[1] and ("c", "d") not in whole[2]
+
+
+def test_parsed_queries_are_written_not_kept_in_memory(spark):
+    from urllib.parse import urlparse
+    import pyarrow.parquet as pq
+    from sqlkiln.plans import scoring as ps
+    assert "InMemoryTableScan" not in plan(ps.parsed(spark, SMALL)[0])
+    q = F.parse_json(F.lit(query("t.a"))).alias("q")
+    tree = sc.query_tree(spark.range(3).select(F.col("id").alias("example_id"), F.lit("gold").alias("side"), q))
+    files = [urlparse(f).path for f in tree.inputFiles()]
+    assert files and not any("typed_value" in str(pq.read_schema(f)) for f in files)       # variants go whole
+
+
+def test_clause_lists_are_taken_apart_once(spark):
+    df = spark.range(1).select(F.parse_json(F.lit(query("t.a"))).alias("q"))
+    found = df.select(sc.children(F.col("q"), F.lit("")).alias("k"))
+    assert [found._jdf.queryExecution().analyzed().toString().count(p) for p in ("$.where", "$.having", "$.from.conds")] == [1, 1, 1]
