@@ -125,7 +125,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def document_ids(texts, path: str, group_chars: int = 4_000_000):
+def document_ids(texts, path: str, group_chars: int = 1_000_000):
     """Ids with the end id of each text (null: empty), as uint32 bytes, in order.
 
     Texts are encoded in groups of about ``group_chars`` so that memory follows

@@ -168,3 +168,17 @@ def test_pack_is_gapless_and_whole(make_docs, odd_rows, sentence, enc):
             assert [r.length for r in pieces] == packing.cut(sum(r.length for r in pieces), 128)
     assert len(docs[6]) == 2 * max(r.piece + 1 for r in docs[6])
     assert packing.pack(make_docs([]), tokenizer_path()).count() == 0
+
+
+def test_texts_are_encoded_in_short_groups(enc, monkeypatch):
+    from sqlkiln.llm import tokens
+    sizes, real = [], ChunkEncoder.encode
+
+    def watched(self, texts):
+        sizes.append(sum(map(len, texts)))
+        return real(self, texts)
+    monkeypatch.setattr(ChunkEncoder, "encode", watched)
+    texts = ["word " * 2000 + str(i) for i in range(250)]
+    ids = list(tokens.document_ids(texts, tokenizer_path()))
+    assert max(sizes) <= 1_000_000 + 10_100 and len(sizes) > 2
+    assert np.frombuffer(ids[7], np.uint32).tolist() == whole(enc, texts[7]) + [END_ID]
