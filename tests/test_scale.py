@@ -113,3 +113,21 @@ def test_clause_lists_are_taken_apart_once(spark):
     df = spark.range(1).select(F.parse_json(F.lit(query("t.a"))).alias("q"))
     found = df.select(sc.children(F.col("q"), F.lit("")).alias("k"))
     assert [found._jdf.queryExecution().analyzed().toString().count(p) for p in ("$.where", "$.having", "$.from.conds")] == [1, 1, 1]
+
+
+def test_lake_tables_are_read_as_written(spark):
+    tables = fx.lake_tables(spark, SMALL)
+    assert "InMemoryTableScan" not in plan(tables) and tables.count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert "InMemoryTableScan" not in plan(fx.lake_constraints(spark, SMALL))
+
+
+def test_scores_are_written_with_short_methods(spark, monkeypatch):
+    gold = spark.createDataFrame([(1, "db", query("t.a")), (2, "db", query("t.a"))], "example_id long, db_id string, gold_json string")
+    pred = spark.createDataFrame([(1, query("t.a")), (2, query("t.b"))], "example_id long, pred_json string")
+    before, limits, cut = spark.conf.get("spark.sql.codegen.hugeMethodLimit"), {}, sc.cut_lineage
+    monkeypatch.setattr(sc, "cut_lineage", lambda df, tag, conf=None: (limits.update({tag: conf}), cut(df, tag, conf))[1])
+    scored = sc.score_examples(gold, pred)
+    assert limits["scores"] == {"spark.sql.codegen.hugeMethodLimit": "8000"} and limits["level-0"] is None
+    assert "SortAggregate" not in plan(scored)                # the rows of all queries are matched before, not by each reader
+    assert {r.example_id: r.exact for r in scored.collect()} == {1: 1, 2: 0}
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
