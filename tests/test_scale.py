@@ -131,3 +131,14 @@ def test_scores_are_written_with_short_methods(spark, monkeypatch):
     assert "SortAggregate" not in plan(scored)                # the rows of all queries are matched before, not by each reader
     assert {r.example_id: r.exact for r in scored.collect()} == {1: 1, 2: 0}
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
+def test_questions_are_dealt_over_all_tasks(spark):
+    questions = spark.createDataFrame([(i, f"db_{i % 40}", [1.0, float(i)]) for i in range(80)], "vec_id int, db_id string, vec array<double>")
+    tables = spark.createDataFrame([(f"db_{i}", "t", 0, [0.0, 1.0]) for i in range(40)], "db_id string, table_name string, table_pos int, vec array<double>")
+    sims = rt.similarities(questions, tables, ["vec_id"])
+    rows = sims.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.vec_id: r.sim for r in rows} == {i: float(i) for i in range(80)}
+    assert len({r.task for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cogroup = plan(sims).split("FlatMapCoGroupsInPandas")[1]
+    assert cogroup.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS, [plan_id" not in cogroup.split("REPARTITION_BY_NUM")[0]
