@@ -142,3 +142,16 @@ def test_questions_are_dealt_over_all_tasks(spark):
     assert len({r.task for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     cogroup = plan(sims).split("FlatMapCoGroupsInPandas")[1]
     assert cogroup.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS, [plan_id" not in cogroup.split("REPARTITION_BY_NUM")[0]
+
+
+def test_parsed_queries_are_dealt_over_all_tasks(spark):
+    text = sc.EMPTY_QUERY_JSON
+    gold = spark.createDataFrame([(i, "db", text) for i in range(80)], "example_id long, db_id string, gold_json string")
+    pred = gold.select("example_id", F.col("gold_json").alias("pred_json"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda df: {r.task for r in df.select(F.spark_partition_id().alias("task")).collect()}
+    aligned = sc.align(gold, pred)
+    assert aligned.count() == 80 and len(tasks(aligned)) == n
+    rows = sc.row_texts(sc.prepared(sc.query_tree(sc.sides(aligned)), once=True))
+    assert len(tasks(rows)) == n and "REPARTITION_BY_NUM" in plan(rows)
+    assert {r.exact for r in sc.score_examples(gold, pred).collect()} == {1}
