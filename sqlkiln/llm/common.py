@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sqlkiln.session import cut_lineage
+from sqlkiln.session import by_shuffle, cut_lineage
 
 # ASCII white space, the separators between words everywhere in this package.
 WS = r"[\x20\x09-\x0D]"
@@ -27,6 +27,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BROADCAST_IDS = 2_000_000
 
 
+# Rows of more than an id that are broadcast, or that Spark may broadcast for the size of their
+# files; the driver holds some hundred bytes of each.
+BROADCAST_ROWS = 100_000
+
+
 def rows_of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (distinct), without moving
     texts as long as the ids are few enough to broadcast; counted first."""
@@ -78,12 +83,12 @@ SALTS = 32
 def attach(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """Left join of ``rows`` with ``classes`` (one row per ``key``, stored), whose keys may be hot in ``rows``.
 
-    Counted first: broadcast up to ``BROADCAST_IDS``; beyond, each class is
+    Counted first: broadcast up to ``BROADCAST_ROWS``; beyond, each class is
     repeated once per salt and a row takes one, so a hot key is dealt over
     ``SALTS`` tasks.
     """
-    if classes.count() <= BROADCAST_IDS:
+    if classes.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(classes), key, "left")
     spread = classes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return dealt.join(spread, [key, "__salt"], "left").drop("__salt")
+    return dealt.join(by_shuffle(spread), [key, "__salt"], "left").drop("__salt")

@@ -26,8 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sqlkiln.operators.components import connected_components
+from sqlkiln.session import by_shuffle
 
-from .common import attach, by_chars, rows_of, stored
+from .common import BROADCAST_ROWS, attach, by_chars, rows_of, stored
 from .shingles import mix, shingle_set
 
 BANDS, ROWS = 24, 4
@@ -158,8 +159,12 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
     rows = reps.select("rep", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
     edges = stored(rows.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct(), "star-edges")
-    if edges.isEmpty():
+    n_edges = edges.count()
+    if not n_edges:
         return _answer(sig, classes, None)
+    # Ids take few bytes in files: beyond a count, no side of a join is broadcast for the size of its files.
+    large = n_edges > BROADCAST_ROWS
+    side = by_shuffle if large else (lambda df: df)
 
     # Full sets of the texts that occur in an edge.
     ends = edges.select(F.explode(F.array("hub", "rep")).alias("doc_id")).distinct()
@@ -170,16 +175,16 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
     # Confirm the edges; a hub's edges are dealt over HUB_SPREAD parts.
     salted = edges.withColumn("part", F.pmod(F.hash("rep"), F.lit(HUB_SPREAD)))
     hub_sets = (salted.select("hub", "part").distinct()
-                .join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_set")), "hub"))
+                .join(side(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_set"))), "hub"))
     inter = F.size(F.array_intersect("shingles", "hub_set"))
     union = F.size("shingles") + F.size("hub_set") - inter
-    links = stored(salted.join(sets, "rep").join(hub_sets, ["hub", "part"])
+    links = stored(salted.join(side(sets), "rep").join(side(hub_sets), ["hub", "part"])
                    .where(100 * inter >= pct * union).select("hub", "rep"), "links")
 
     # Candidate clusters that still hold several components.
-    cluster = connected_components(edges, "hub", "rep").select(F.col("vertex").alias("rep"), F.col("component").alias("cluster"))
-    linked = connected_components(links, "hub", "rep").select(F.col("vertex").alias("rep"), F.col("component").alias("comp"))
-    members = stored(cluster.join(linked, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "members")
+    cluster = connected_components(edges, "hub", "rep", large).select(F.col("vertex").alias("rep"), F.col("component").alias("cluster"))
+    linked = connected_components(links, "hub", "rep", large).select(F.col("vertex").alias("rep"), F.col("component").alias("comp"))
+    members = stored(cluster.join(side(linked), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "members")
     sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
     # two texts are one checked edge; largest component = greatest (size, id)
     open_clusters = (sizes.groupBy("cluster")
@@ -188,7 +193,7 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
                      .select("cluster", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("top")))
     rest = stored(members.join(open_clusters, "cluster").withColumn("block", F.pmod(F.hash("rep"), F.col("blocks"))), "open-clusters")
     if rest.isEmpty():
-        return _answer(sig, classes, linked)
+        return _answer(sig, classes, linked, side)
     # members go only where outsiders are
     outside = rest.where("comp <> top").groupBy("cluster").agg(F.collect_set("block").alias("at"))
     rest = rest.join(outside, "cluster")
@@ -199,20 +204,20 @@ def near_duplicates(docs: DataFrame, pct: int = 85, width: int = 5) -> DataFrame
                            lambda j: F.struct(F.lit(0).alias("role"), F.col("block").alias("i"), j.alias("j")))
                ).otherwise(F.array().cast("array<struct<role:int,i:int,j:int>>")))
     tasks = (rest.select("cluster", "rep", "comp", F.inline(roles))
-             .join(reps.drop("set_id"), "rep").join(sets, "rep"))
+             .join(by_shuffle(reps.drop("set_id")), "rep").join(by_shuffle(sets), "rep"))      # a member is many rows here
     more = stored(tasks.groupBy("cluster", "i", "j").applyInPandas(_block_links(pct), "hub long, rep long"), "block-links")
     if not more.isEmpty():
         merged = links.unionByName(more)
-        linked = connected_components(merged, "hub", "rep").select(F.col("vertex").alias("rep"), F.col("component").alias("comp"))
-    return _answer(sig, classes, linked)
+        linked = connected_components(merged, "hub", "rep", large).select(F.col("vertex").alias("rep"), F.col("component").alias("comp"))
+    return _answer(sig, classes, linked, side)
 
 
-def _answer(sig: DataFrame, classes: DataFrame, linked: DataFrame | None) -> DataFrame:
+def _answer(sig: DataFrame, classes: DataFrame, linked: DataFrame | None, side=by_shuffle) -> DataFrame:
     """Every document with its class's representative and component."""
     if linked is None:
         classes = classes.withColumn("comp", F.col("rep"))
     else:
-        classes = classes.join(linked, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        classes = classes.join(side(linked), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     # a set of one row that is in no link needs no look-up; texts without words have none
     shared = stored(classes.where("copies > 1 or comp <> rep").select("set_id", "comp", "copies"), "shared-sets")
     out = attach(sig.select("doc_id", "n", "set_id"), shared, "set_id")

@@ -84,3 +84,19 @@ def test_two_texts_of_one_doc_id_in_any_order(make_docs, sentence):
     rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, b, "en", "s")]
     results = [sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(make_docs(x)).collect()) for x in (rows, rows[::-1])]
     assert results[0] == results[1] == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_many_edges_are_not_broadcast_for_the_size_of_their_files(spark, make_docs, sentence, monkeypatch):
+    from sqlkiln.llm import common
+    base = [sentence(i, 60) for i in range(6)]
+    rows = [(10 * i + k, " ".join(t.split()[:60 - k]), "en", "s") for i, t in enumerate(base) for k in range(4)]
+    few = sorted(minhash.near_duplicates(make_docs(rows)).collect())
+    plans, larges, real, comps = {}, [], minhash.stored, minhash.connected_components
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(minhash, "stored", lambda df, tag: (plans.update({tag: df._jdf.queryExecution().executedPlan().toString()}), real(df, tag))[1])
+    monkeypatch.setattr(minhash, "connected_components", lambda *a: (larges.append(a[3]), comps(*a))[1])
+    many = minhash.near_duplicates(make_docs(rows))
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(many.collect()) == few and len({r.component_id for r in few}) == 6
+    assert all(larges) and not any("BroadcastHashJoin" in plans[tag] for tag in ("links", "members"))
