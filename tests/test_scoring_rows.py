@@ -71,3 +71,13 @@ def test_many_queries_are_dealt_over_more_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = spark.range(10).withColumnRenamed("id", "example_id")
     assert [sc._dealt(df, q).rdd.getNumPartitions() for q in (0, 1, 9 * n * sc.TASK_QUERIES)] == [n, n, 9 * n]
+
+
+def test_canonical_columns_are_made_once(spark):
+    gold = spark.createDataFrame([(1, "db", query("t.b"))], "example_id long, db_id string, gold_json string")
+    kmap = spark.createDataFrame([("db", "__t.b__", "__t.a__")], "db_id string, col string, rep string")
+    comp = sc.prepared(sc.query_tree(sc.sides(sc.align(gold, gold.select("example_id", F.col("gold_json").alias("pred_json"))))), kmap)
+    rows = comp.where("c1 is not null and clause <> 'from'")
+    assert [f for f in plan(rows).splitlines() if "Filter" in f and "element_at" in f] == []       # no filter makes the column anew
+    assert {(r.side, r.clause, r.c1, r.c2) for r in rows.collect()} == {(s, "select", "__t.a__", None) for s in ("gold", "pred")}
+    assert comp.columns[-2:] == ["q1", "q2"] and "reps" not in comp.columns
